@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents
+from .covering_simhash import hex_digits, near_duplicates
 from .dac_tokens import token_ids
+from .kk_sharding import shard
 from .vector_packing import pack
 
 
@@ -16,12 +18,22 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op8_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_vector_packing": op3_vector_packing,
+    "op4_kk_sharding": op4_kk_sharding,
+    "op7_covering_simhash": op7_covering_simhash,
     "op8_dac_tokens": op8_dac_tokens,
 }
 
