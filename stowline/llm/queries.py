@@ -11,9 +11,15 @@ from .common import documents
 from .covering_simhash import hex_digits, near_duplicates
 from .dac_tokens import token_ids
 from .kk_sharding import shard
+from .suffix_dedup import remove_repeats
 from .vector_packing import pack
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,6 +37,7 @@ def op8_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_vector_packing": op3_vector_packing,
     "op4_kk_sharding": op4_kk_sharding,
     "op7_covering_simhash": op7_covering_simhash,
