@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import documents
 from .covering_simhash import hex_digits, near_duplicates
 from .dac_tokens import token_ids
+from .flac_media import features, to_flac
 from .kk_sharding import shard
 from .suffix_dedup import remove_repeats
 from .vector_packing import pack
@@ -36,12 +37,17 @@ def op8_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(to_flac(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_vector_packing": op3_vector_packing,
     "op4_kk_sharding": op4_kk_sharding,
     "op7_covering_simhash": op7_covering_simhash,
     "op8_dac_tokens": op8_dac_tokens,
+    "op9_flac_media": op9_flac_media,
 }
 
 SQL: dict[str, str] = {}
