@@ -99,19 +99,19 @@ class Segment:
         return out
 
 
-def _segments(path: str, blanks_matter: bool, end_id: int):
-    end = np.uint32(end_id).tobytes()
+def _segments(path: str, end_id: int):
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, part, before = word_cache(path, blanks_matter), TaskContext.get().partitionId(), 0
+        cache, part, before = word_cache(path), TaskContext.get().partitionId(), 0
         docs: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pd.DataFrame:
             nonlocal before, size
-            lengths = np.array([len(x) // 4 for x in held], "<i8")
-            ids = np.frombuffer(b"".join(held), "<u4")
+            lengths = np.array([len(x) for x in held], "<i8")
+            ids = np.concatenate(held)
             out = frame(SEGMENT, part=[part], before=[before], first_doc=[docs[0]], n_docs=[len(docs)], n_ids=[len(ids)], doc_ids=[np.array(docs, "<i8").tobytes()], lengths=[lengths.tobytes()], codes=[encode_ids(ids)])
             before, size = before + len(ids), 0
             docs.clear()
@@ -123,8 +123,8 @@ def _segments(path: str, blanks_matter: bool, end_id: int):
             for at in range(0, len(texts), 1000):
                 for doc, got in zip(ids[at : at + 1000], cache.encode(texts[at : at + 1000]), strict=True):
                     docs.append(doc)
-                    held.append(got + end)
-                    size += len(got) // 4 + 1
+                    held.append(np.append(got, end))
+                    size += len(got) + 1
                     if size >= SEGMENT_IDS:
                         yield flush()
         if docs:
@@ -133,13 +133,13 @@ def _segments(path: str, blanks_matter: bool, end_id: int):
     return run
 
 
-def write_segments(docs: DataFrame, tokenizer_path: str, blanks_matter: bool = True, end_id: int = 0) -> DataFrame:
+def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Segments of the documents in ascending doc_id order, written as files of the shared folder and read again.
 
     Parts are ranges of doc_id in order; ``before`` counts the ids of the part in front of the segment.
     """
     ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return write_table(ordered.mapInPandas(_segments(tokenizer_path, blanks_matter, end_id), SEGMENT), "dac", "none")
+    return write_table(ordered.mapInPandas(_segments(tokenizer_path, end_id), SEGMENT), "dac", "none")
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
@@ -168,6 +168,6 @@ def read_segments(segments: DataFrame) -> DataFrame:
     return segments.join(F.broadcast(offsets), "part").select("part_start", "before", "doc_ids", "lengths", "codes").mapInPandas(run, RESULT)
 
 
-def token_ids(docs: DataFrame, tokenizer_path: str, blanks_matter: bool = True, end_id: int = 0) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Write the documents' ids as directly addressable codes and return what the files say of each document."""
-    return read_segments(write_segments(docs, tokenizer_path, blanks_matter, end_id))
+    return read_segments(write_segments(docs, tokenizer_path, end_id))

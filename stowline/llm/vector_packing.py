@@ -117,12 +117,12 @@ class Packer:
             rest -= filled
 
 
-def pack(docs: DataFrame, tokenizer_path: str, blanks_matter: bool = False, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 32, max_loss: int = 2048, least_cut: int = 8) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 32, max_loss: int = 2048, least_cut: int = 8) -> DataFrame:
     """One row for each piece of each document: where it begins there, its length, its sequence and its place in it."""
-    end = np.uint32(end_id).tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = word_cache(tokenizer_path, blanks_matter)
+        cache = word_cache(tokenizer_path)
         packer = Packer(max_tokens, max_segments, max_loss, least_cut, TaskContext.get().partitionId() << 40)
 
         def flush() -> pd.DataFrame:
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer_path: str, blanks_matter: bool = False, end_
             ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             for at in range(0, len(texts), 1000):
                 for doc, got in zip(ids[at : at + 1000], cache.encode(texts[at : at + 1000]), strict=True):
-                    packer.add(doc, np.frombuffer(got + end, "<u4"))
+                    packer.add(doc, np.append(got, end).astype("<u4"))
                     if len(packer.pool) >= POOL:
                         packer.pack(POOL // 2)
                 if len(packer.out) >= 20_000:
