@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents
+from .bm25_decontam import contaminated
+from .common import documents, table
 from .covering_simhash import hex_digits, near_duplicates
 from .dac_tokens import token_ids
 from .flac_media import features, to_flac
@@ -29,6 +30,10 @@ def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_bm25_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_vector_packing": op3_vector_packing,
     "op4_kk_sharding": op4_kk_sharding,
+    "op5_bm25_decontam": op5_bm25_decontam,
     "op7_covering_simhash": op7_covering_simhash,
     "op8_dac_tokens": op8_dac_tokens,
     "op9_flac_media": op9_flac_media,
