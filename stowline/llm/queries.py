@@ -13,6 +13,9 @@ from .covering_simhash import hex_digits, near_duplicates
 from .dac_tokens import token_ids
 from .flac_media import features, to_flac
 from .kk_sharding import shard
+from .license_scan import licences
+from .skip_chain_pii import personal_data
+from .subword_quality import KEEP, held_out, score
 from .suffix_dedup import remove_repeats
 from .vector_packing import pack
 
@@ -22,6 +25,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -34,6 +41,11 @@ def op5_bm25_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
 def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
@@ -46,14 +58,21 @@ def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(to_flac(documents(spark, sf_dir)))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_skip_chain_pii": op2_skip_chain_pii,
     "op3_vector_packing": op3_vector_packing,
     "op4_kk_sharding": op4_kk_sharding,
     "op5_bm25_decontam": op5_bm25_decontam,
+    "op6_subword_quality": op6_subword_quality,
     "op7_covering_simhash": op7_covering_simhash,
     "op8_dac_tokens": op8_dac_tokens,
     "op9_flac_media": op9_flac_media,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL: dict[str, str] = {}
