@@ -13,7 +13,7 @@ of its answer part (its last sentence, or its last quarter if it has one sentenc
 
 Items are taken ``SLICE_ITEMS`` at a time; that is the bound on what is broadcast, and every slice reads all texts.
 
-Defined results: null and empty texts match nothing; an item without words is left out; repeated documents match
+Defined results: null and empty texts match nothing; an item without words or item_id is left out; repeated documents match
 each, repeated items each; an empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -210,7 +210,7 @@ def _scan(index: Index, ids: list[int], texts: list[str], threshold: float, leas
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = LEAST_OVERLAP, slice_items: int = SLICE_ITEMS) -> DataFrame:
     """One row for each document and test item found in it, with its best passage's score, overlaps and first word."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.count()
     slices = max(1, -(-total // slice_items))
     texts = id_and_text(docs)

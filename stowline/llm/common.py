@@ -47,8 +47,11 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone; other columns, whatever their names, play no part. A null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """doc_id and text alone; other columns, whatever their names, play no part.
+
+    A null text is empty. A row without a doc_id is no document and is left out, in all operators.
+    """
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def frame(schema: str, **columns) -> pd.DataFrame:

@@ -133,5 +133,5 @@ def shard(docs: DataFrame, shards: int = 40, part_groups: int = PART_GROUPS, fan
     laid = laid.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     counts = laid.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     begins = counts.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("begin"))
-    ranked = laid.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id")) - 1)
+    ranked = laid.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32")) - 1)
     return ranked.join(begins, ["shard", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("begin") + F.col("rank")).alias("slot"))

@@ -31,7 +31,7 @@ from .common import id_and_text
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 LABELS = NONE + 1
-LEAST_BELIEF = 0.9
+LEAST_BELIEF = 0.7
 ROUNDS, DAMPING = 12, 0.3
 SEED = 2
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
