@@ -91,8 +91,8 @@ def _forest(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             us, vs = [], []
-            for fps, reps in zip(batch["fps"], batch["reps"], strict=True):
-                fps, reps = np.asarray(fps, np.int64).view(np.uint64), np.asarray(reps, np.int64)
+            for fps in batch["fps"]:
+                fps = np.asarray(fps, np.int64).view(np.uint64)
                 left = np.arange(len(fps))
                 queue: list[int] = []
                 while len(left):
@@ -103,11 +103,11 @@ def _forest(radius: int):
                     near = np.bitwise_count(fps[left] ^ fps[i]) <= radius
                     if near.any():
                         found, left = left[near], left[~near]
-                        us.append(reps[found])
-                        vs.append(np.full(len(found), reps[i]))
+                        us.append(fps[found])
+                        vs.append(np.full(len(found), fps[i]))
                         queue += found.tolist()
             if us:
-                yield frame("u long, v long", u=np.concatenate(us), v=np.concatenate(vs))
+                yield frame("u long, v long", u=np.concatenate(us).view(np.int64), v=np.concatenate(vs).view(np.int64))
 
     return run
 
@@ -119,37 +119,39 @@ def _points(radius: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for fp, rep in zip(batch["fp"].tolist(), batch["rep"].tolist(), strict=True):
-                yield frame("point long, rep long", point=near ^ np.int64(fp), rep=np.full(len(near), rep))
+            for fp in batch["fp"].tolist():
+                yield frame("point long, fp long", point=near ^ np.int64(fp), fp=np.full(len(near), fp))
 
     return run
 
 
 def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
-    """Edges (u, v) of reps whose connected components are those of all pairs of nodes (fp, rep) within the radius.
+    """Edges (u, v) of fingerprints whose connected components are those of all pairs within the radius.
 
-    nodes has one row for each distinct fingerprint. radius must be even for buckets beyond ``bucket``.
+    nodes has one row (fp) for each distinct fingerprint. A table's number and the bits it keeps are hashed into one bucket
+    key; should two buckets fall together, distances still decide. radius must be even for buckets beyond ``bucket``.
     """
-    masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
-    keyed = nodes.select("fp", "rep", F.posexplode(masks).alias("t", "mask")).select("fp", "rep", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["t", "key"])
-    buckets = shared.where(F.col("n") <= bucket).groupBy("t", "key").agg(F.collect_list(F.struct("fp", "rep")).alias("m"))
-    near = buckets.select(F.col("m.fp").alias("fps"), F.col("m.rep").alias("reps")).mapInPandas(_forest(radius), "u long, v long")
-    crowded = shared.where(F.col("n") > bucket).select("fp", "rep").distinct()
-    points = crowded.mapInPandas(_points(radius), "point long, rep long")
-    least = points.groupBy("point").agg(F.min("rep").alias("v"), F.max("rep").alias("x")).where("v < x").select("point", "v")
-    return near.unionByName(points.join(least, "point").select(F.col("rep").alias("u"), "v").where("u <> v")).distinct()
+    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))])
+    keyed = nodes.select("fp", F.explode(tables).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keyed.join(sizes, "key")
+    buckets = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    near = buckets.select("fps").mapInPandas(_forest(radius), "u long, v long")
+    crowded = shared.where(F.col("n") > bucket).select("fp").distinct()
+    points = crowded.mapInPandas(_points(radius), "point long, fp long")
+    least = points.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("x")).where("v < x").select("point", "v")
+    return near.unionByName(points.join(least, "point").select(F.col("fp").alias("u"), "v").where("u <> v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links within the radius."""
     prints = write_table(fingerprints(docs, words), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = connected_components(links(nodes, radius, bucket))
+    roots = connected_components(links(nodes.select("fp"), radius, bucket))
     release_shuffles(docs.sparkSession)
-    classes = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp):
