@@ -35,7 +35,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 K = "cast(regexp_extract(props, '\"k\": (\\d+)', 1) AS INTEGER)"
 E = f"(SELECT *, {K} AS k FROM events)"
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query(f"SELECT event_id, {K} AS k, {K} >= 50 AS high FROM events")
@@ -65,7 +68,7 @@ def asof_location(spark, sf_dir):
 JOIN events n ON n.event_id = c.next_id WHERE c.event_type = 'view' AND n.event_type = 'signup' AND n.ts - c.ts <= INTERVAL 6 HOUR""")
 def first_name_within(spark, sf_dir):
     e = events(spark, sf_dir).where(F.col("event_type").isin("view", "signup"))
-    e = e.withColumn("next", F.lead(F.struct("ts", "event_id", "event_type")).over(BY_USER))
+    e = e.withColumn("next", F.lead(F.struct("ts", "event_id", "event_type")).over(by_user()))
     ok = (F.col("event_type") == "view") & (F.col("next.event_type") == "signup") & (F.col("next.ts") - F.col("ts") <= F.expr("INTERVAL 6 HOURS"))
     return e.where(ok).select("event_id", F.col("next.event_id").alias("named_by"))
 
@@ -150,7 +153,7 @@ def source_bits(spark, sf_dir):
 
 @query(f"""SELECT user_id, event_id, k FROM (SELECT *, max(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {E}) WHERE k > best""")
 def running_max_updates(spark, sf_dir):
-    w = BY_USER.rowsBetween(Window.unboundedPreceding, -1)
+    w = by_user().rowsBetween(Window.unboundedPreceding, -1)
     return events(spark, sf_dir).withColumn("best", F.max("k").over(w)).where("k > best").select("user_id", "event_id", "k")
 
 

@@ -7,8 +7,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scoring import confidence_label, item_category
 from .holdings import root, where_text
 
-CHAIN = F.col("chain")
-ROOT_KIND, ROOT_KEY = root(CHAIN, "kind"), root(CHAIN, "key")
+
+def chain() -> Column:
+    return F.col("chain")
+
+
+def root_kind() -> Column:
+    """Kind of the outermost place."""
+    return root(chain(), "kind")
+
+
+def root_key() -> Column:
+    return root(chain(), "key")
 
 
 def contains_folded(c: Column, text: str) -> Column:
@@ -18,7 +28,7 @@ def contains_folded(c: Column, text: str) -> Column:
 def by_root(holdings: DataFrame, find: str = "") -> DataFrame:
     """Holdings below their outermost place, places with most units first; ``find`` keeps classes that contain it."""
     h = holdings.where(contains_folded(F.col("item_class"), find)) if find else holdings
-    pooled = h.groupBy("account", ROOT_KIND.alias("root_kind"), ROOT_KEY.alias("root_key"), "item_class").agg(F.sum("quantity").alias("quantity"), F.min("rank").alias("rank"), F.max("since").alias("last_move"))
+    pooled = h.groupBy("account", root_kind().alias("root_kind"), root_key().alias("root_key"), "item_class").agg(F.sum("quantity").alias("quantity"), F.min("rank").alias("rank"), F.max("since").alias("last_move"))
     total = F.sum("quantity").over(Window.partitionBy("account", "root_kind", "root_key"))
     return pooled.withColumn("root_quantity", total).withColumn("confidence", confidence_label(F.col("rank"))).drop("rank").orderBy(F.desc("root_quantity"), "root_kind", "root_key", "item_class")
 
@@ -42,20 +52,20 @@ def item_history(moves: DataFrame, geid: str, resets: DataFrame) -> DataFrame:
 
 def stations(holdings: DataFrame, places: DataFrame) -> DataFrame:
     """Places that hold something, by system and name; aliases are one place."""
-    held = holdings.where(ROOT_KIND == "Location").select(ROOT_KEY.alias("location_id")).distinct()
+    held = holdings.where(root_kind() == "Location").select(root_key().alias("location_id")).distinct()
     ids = places.select("place_key", "name", "system", F.explode("alias_ids").alias("location_id"))
     return ids.join(held, "location_id", "left_semi").select("place_key", "name", "system").distinct().orderBy("system", "name")
 
 
 def orphans(holdings: DataFrame, places: DataFrame) -> DataFrame:
     """Locations that hold something and are no known place."""
-    held = holdings.where(ROOT_KIND == "Location").select(ROOT_KEY.alias("location_id")).distinct()
+    held = holdings.where(root_kind() == "Location").select(root_key().alias("location_id")).distinct()
     return held.join(places.select(F.explode("alias_ids").alias("location_id")), "location_id", "left_anti")
 
 
 def level(holdings: DataFrame, path: list[tuple[str, str]]) -> DataFrame:
     """What is directly below a path of (kind, key), outermost first, and openable containers with their whole content."""
-    outward = F.reverse(F.transform(CHAIN, lambda x: F.struct(x["kind"].alias("kind"), x["key"].alias("key"))))
+    outward = F.reverse(F.transform(chain(), lambda x: F.struct(x["kind"].alias("kind"), x["key"].alias("key"))))
     prefix = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("key")) for k, v in path])
     n = len(path)
     below = holdings.withColumn("_out", outward).where(F.slice("_out", 1, n) == prefix) if path else holdings.withColumn("_out", outward)
@@ -74,11 +84,11 @@ def pool(holdings: DataFrame) -> DataFrame:
 
 def search(holdings: DataFrame, text: str, category: str | None = None) -> DataFrame:
     """Holdings at stations, in ships or dropped, by class or display name; holdings need ``display_name`` and ``type_label``."""
-    h = holdings.where(ROOT_KIND.isin("Location", "Ship", "World")).withColumn("category", item_category(F.col("type_label")))
+    h = holdings.where(root_kind().isin("Location", "Ship", "World")).withColumn("category", item_category(F.col("type_label")))
     name = F.coalesce("display_name", "item_class")
     h = h.where(contains_folded(name, text) | contains_folded(F.col("item_class"), text))
     h = h.where(F.col("category") == category) if category else h
-    return h.withColumn("where", where_text(CHAIN)).orderBy(name, F.desc("since"))
+    return h.withColumn("where", where_text(chain())).orderBy(name, F.desc("since"))
 
 
 def category_counts(holdings: DataFrame) -> DataFrame:
@@ -88,23 +98,23 @@ def category_counts(holdings: DataFrame) -> DataFrame:
 def dropped(holdings: DataFrame, places: DataFrame) -> DataFrame:
     """Dropped items by place, aliases folded, the newest place first."""
     ids = places.select("place_key", "name", F.explode("alias_ids").alias("root_key"))
-    d = holdings.where(ROOT_KIND == "World").withColumn("root_key", ROOT_KEY).join(ids, "root_key", "left")
+    d = holdings.where(root_kind() == "World").withColumn("root_key", root_key()).join(ids, "root_key", "left")
     key = F.coalesce("place_key", "root_key")
     return d.groupBy(key.alias("place_key")).agg(F.first("name", ignorenulls=True).alias("name"), F.sum("quantity").alias("quantity"), F.max("since").alias("newest")).orderBy(F.desc("newest"))
 
 
 def ships(holdings: DataFrame, vehicles: DataFrame, names: DataFrame) -> DataFrame:
     """Ships that hold something, by class whatever its case, with the last time each was fetched."""
-    cls = F.lower(root(CHAIN, "label"))
-    s = holdings.where(ROOT_KIND == "Ship").groupBy(cls.alias("ship")).agg(F.sum("quantity").alias("quantity"), F.count("*").alias("rows"))
+    cls = F.lower(root(chain(), "label"))
+    s = holdings.where(root_kind() == "Ship").groupBy(cls.alias("ship")).agg(F.sum("quantity").alias("quantity"), F.count("*").alias("rows"))
     out = vehicles.groupBy(F.lower("class_name").alias("ship")).agg(F.max("retrieved_ts").alias("retrieved_ts"))
     label = names.select(F.lower("class_name").alias("ship"), F.col("name").alias("label"))
     return s.join(out, "ship", "left").join(label, "ship", "left").orderBy(F.coalesce("label", "ship"))
 
 
 def sidebar(holdings: DataFrame) -> DataFrame:
-    kind = ROOT_KIND
-    return holdings.agg(F.count_distinct(F.when(kind == "Location", ROOT_KEY)).alias("stations"), F.count_distinct(F.when(kind == "Ship", F.lower(root(CHAIN, "label")))).alias("ships"), F.coalesce(F.sum(F.when(kind == "World", F.col("quantity"))), F.lit(0)).alias("dropped"))
+    kind = root_kind()
+    return holdings.agg(F.count_distinct(F.when(kind == "Location", root_key())).alias("stations"), F.count_distinct(F.when(kind == "Ship", F.lower(root(chain(), "label")))).alias("ships"), F.coalesce(F.sum(F.when(kind == "World", F.col("quantity"))), F.lit(0)).alias("dropped"))
 
 
 def palette(entries: DataFrame, text: str, most: int = 40) -> DataFrame:
@@ -115,12 +125,12 @@ def palette(entries: DataFrame, text: str, most: int = 40) -> DataFrame:
 
 
 def unnamed_stations(holdings: DataFrame, locations: DataFrame) -> DataFrame:
-    at = holdings.where(ROOT_KIND == "Location").withColumn("location_id", ROOT_KEY)
+    at = holdings.where(root_kind() == "Location").withColumn("location_id", root_key())
     return at.join(locations.select("location_id"), "location_id", "left_anti").groupBy("location_id").agg(F.sum("quantity").alias("quantity")).orderBy(F.desc("quantity"))
 
 
 def unknown_containers(holdings: DataFrame) -> DataFrame:
-    return holdings.select(F.explode(CHAIN).alias("c")).where("c.kind = 'Container' AND c.item_class IS NULL").select("c.key", "c.label").distinct()
+    return holdings.select(F.explode(chain()).alias("c")).where("c.kind = 'Container' AND c.item_class IS NULL").select("c.key", "c.label").distinct()
 
 
 def nameless_items(holdings: DataFrame) -> DataFrame:
