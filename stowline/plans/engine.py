@@ -17,8 +17,8 @@ CUTOFF = "2026-07-16 00:00:00"
 def derive(lines: DataFrame, builds: DataFrame, account: str, cutoff: str = CUTOFF, finished: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of one account's lines (session_id, ingest_seq, line_offset, line); builds is (session_id, build).
 
-    Times of sessions count all lines; events before the cutoff do not count. Events and moves, which most tables read, are
-    kept where they were computed and computed again where an executor is lost.
+    Times of sessions count all lines; events before the cutoff do not count. Events, moves, the account's rows
+    and the dimensions that chains read at every hop are kept where they were computed and computed again where an executor is lost.
     """
     seq = lines.select("session_id", "ingest_seq").distinct()
     events = parse(lines).where(F.col("ts") >= F.lit(cutoff).cast("timestamp")).join(seq, "session_id").persist()
@@ -26,10 +26,10 @@ def derive(lines: DataFrame, builds: DataFrame, account: str, cutoff: str = CUTO
     seen = D.sightings(events).withColumn("account", F.lit(account)).withColumn("seq", F.col("ingest_seq") * 10_000_000_000 + F.col("line_offset"))
     sessions = D.sessions(lines, events, cutoff).join(builds, "session_id", "left")
     updates = D.game_updates(sessions)
-    containers = D.containers(events, moves).withColumn("account", F.lit(account))
-    locations = D.location_names(events)
+    containers = D.containers(events, moves).withColumn("account", F.lit(account)).persist()
+    locations = D.location_names(events).persist()
     resets = updates.where("reset_at IS NOT NULL").select(F.lit(account).alias("account"), F.col("at").alias("ts"), "build")
-    rows = L.ledger(L.timeline(moves, seen, resets, containers))
+    rows = L.ledger(L.timeline(moves, seen, resets, containers)).persist()
     return {"events": events, "moves": moves, "sightings": seen, "sessions": sessions, "updates": updates, "containers": containers, "vehicles": D.vehicles(events), "attachments": D.attachments(seen), "location_names": locations, "place_evidence": D.place_evidence(events), "resets": resets, "ledger": rows}
 
 

@@ -19,54 +19,62 @@ def _link(kind, key, label, item_class, prefix) -> Column:
 def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations: DataFrame) -> DataFrame:
     """rows (account, kind, key, ...) with ``chain`` (outermost last) and ``chain_factor``.
 
-    Each of up to six hops asks, by equi-joins on the account and the place's key, what holds the container. A place that
-    nothing holds ends at where the player last opened it, or is unknown.
+    Each of up to six hops asks, by equi-joins on the account and the place's key, what holds the container, and notes what
+    it saw; links and factors are made of the notes in the end. A place that nothing holds ends at where the player
+    last opened it, or is unknown.
     """
-    held = rows.where("geid IS NOT NULL").select("account", F.col("geid").alias("_g"), F.col("kind").alias("_k"), F.col("key").alias("_key"), F.col("item_class").alias("_c"))
-    known = containers.select("account", F.col("geid").alias("_g"), F.col("class_name").alias("_cc"), F.col("capacity").alias("_cap"), F.col("last_loc_id").alias("_loc"))
-    named = locations.select(F.col("location_id").alias("_l"), F.col("name").alias("_name"))
-    part = parents.select("account", F.col("geid").alias("_g"), F.lit(True).alias("_part"))
-    out = rows.withColumns({"chain": F.array().cast(f"array<{LINK}>"), "chain_factor": F.lit(1.0), "seen": F.array().cast("array<string>"), "now": F.struct("kind", "key")})
+    about = lambda c: (is_apparel(c), ship_of_locker(c))
+    worn, ship = about("item_class")
+    held = rows.where("geid IS NOT NULL").select("account", F.col("geid").alias("_g"), F.col("kind").alias("_k"), F.col("key").alias("_key"), F.col("item_class").alias("_c"), worn.alias("_w"), ship.alias("_s"))
+    worn, ship = about("class_name")
+    known = containers.select("account", F.col("geid").alias("_g"), F.col("class_name").alias("_c2"), F.col("capacity").alias("_cap"), F.col("last_loc_id").alias("_loc"), worn.alias("_w2"), ship.alias("_s2"))
+    boxes = held.join(known, ["account", "_g"], "full").join(parents.select("account", F.col("geid").alias("_g"), F.lit(True).alias("_part")), ["account", "_g"], "left")
+    boxes = boxes.select("account", "_g", "_k", "_key", F.coalesce("_c", "_c2").alias("_c"), "_cap", "_loc", F.coalesce("_w", "_w2", F.lit(False)).alias("_w"), F.coalesce("_s", "_s2").alias("_s"), F.coalesce("_part", F.lit(False)).alias("_part"))
+    out = rows.withColumns({"_nk": F.col("kind"), "_nkey": F.col("key")})
     for depth in range(HOPS):
-        j = out.withColumn("_g", F.when(F.col("now.kind") == "Container", F.col("now.key"))).withColumn("_l", F.when(F.col("now.kind").isin("Location", "World"), F.col("now.key")))
-        j = j.join(held, ["account", "_g"], "left").join(known, ["account", "_g"], "left").join(part, ["account", "_g"], "left").join(named, "_l", "left")
-        kind, key = F.col("now.kind"), F.col("now.key")
-        name, cls = F.coalesce("_name", key), F.coalesce("_c", "_cc")
-        ship = ship_of_locker(cls)
-        worn = is_apparel(cls)
-        box = F.coalesce(cls, S.size_label(F.col("_cap"), key))
-        loop = F.array_contains("seen", key)
-        link = (
-            F.when(kind == "Location", F.array(_link("Location", key, name, None, "")))
-            .when(kind == "World", F.array(_link("World", key, F.when(key == "", F.lit("somewhere")).otherwise(name), None, "dropped at ")))
-            .when(kind == "Equipped", F.array(_link("Equipped", "", "on you", None, "")))
-            .when(kind == "LostTrack", F.array(_link("LostTrack", "", "lost track", None, "")))
-            .when(ship.isNotNull(), F.array(_link("Ship", key, ship, cls, "")))
-            .when(F.coalesce("_part", F.lit(False)), F.array(_link("Container", key, box, cls, "on ")))
-            .when(F.coalesce(worn, F.lit(False)) & (F.lit(depth) > 0), F.array().cast(f"array<{LINK}>"))
-            .when(kind == "Container", F.array(_link("Container", key, box, cls, "")))
-            .otherwise(F.array().cast(f"array<{LINK}>"))
-        )
-        onward = (kind == "Container") & ship.isNull() & ~loop
-        up = onward & F.col("_k").isNotNull()
-        opened = onward & F.col("_k").isNull() & F.col("_loc").isNotNull() & ~F.coalesce(worn, F.lit(False))
-        factors = [
-            S.factor((kind == "Location") & F.col("_name").isNull(), S.UNNAMED_LOCATION),
-            S.factor(kind == "LostTrack", S.LOST_TRACK),
-            S.factor((kind == "Container") & F.lit(depth > 0) & ~F.coalesce(worn, F.lit(False)) & ~F.coalesce("_part", F.lit(False)) & ship.isNull(), S.CONTAINER_HOP),
-            S.factor(opened, S.OPENED_HERE),
-            S.factor(onward & F.col("_k").isNull() & F.coalesce(worn, F.lit(False)), S.NEVER_PLACED),
-            S.factor(onward & F.col("_k").isNull() & F.col("_loc").isNull() & ~F.coalesce(worn, F.lit(False)), S.UNKNOWN_CONTAINER),
-        ]
-        follow = F.when(up, F.struct(F.col("_k").alias("kind"), F.col("_key").alias("key"))).when(opened, F.struct(F.lit("Location").alias("kind"), F.col("_loc").alias("key"))).when(onward & F.coalesce(worn, F.lit(False)), F.struct(F.lit("Equipped").alias("kind"), F.lit("").alias("key")))
-        live = F.col("now").isNotNull()
-        out = j.withColumns({
-            "chain": F.when(live & ~loop, F.concat("chain", link)).otherwise(F.col("chain")),
-            "chain_factor": F.when(live & ~loop, F.col("chain_factor") * S.product(factors)).otherwise(F.col("chain_factor")),
-            "seen": F.when(live, F.concat("seen", F.array(F.coalesce(key, F.lit(""))))).otherwise(F.col("seen")),
-            "now": F.when(live, follow),
-        }).drop("_g", "_l", "_k", "_key", "_c", "_cc", "_cap", "_loc", "_part", "_name")
-    return out.drop("now", "seen")
+        j = out.withColumn("_g", F.when(F.col("_nk") == "Container", F.col("_nkey"))).join(boxes, ["account", "_g"], "left")
+        box = F.col("_nk") == "Container"
+        before = [(F.col(f"_p{d}.key") == F.col("_nkey")) & (F.col(f"_p{d}.kind") == "Container") for d in range(depth)]
+        loop = F.lit(False)
+        for x in before:
+            loop = loop | F.coalesce(x, F.lit(False))
+        note = F.when(F.col("_nk").isNotNull() & ~(box & loop), F.struct(F.col("_nk").alias("kind"), F.col("_nkey").alias("key"), F.lit(depth).alias("depth"), F.col("_c").alias("cls"), F.col("_cap").alias("cap"), F.coalesce("_w", F.lit(False)).alias("worn"), F.col("_s").alias("ship"), F.coalesce("_part", F.lit(False)).alias("part"), F.col("_k").isNotNull().alias("held"), F.col("_loc").alias("loc")))
+        j = j.withColumn(f"_p{depth}", note)
+        p = F.col(f"_p{depth}")
+        onward = (p["kind"] == "Container") & p["ship"].isNull()
+        j = j.withColumns({
+            "_nk": F.when(onward & p["held"], F.col("_k")).when(onward & p["worn"], "Equipped").when(onward & p["loc"].isNotNull(), "Location"),
+            "_nkey": F.when(onward & p["held"], F.col("_key")).when(onward & p["worn"], "").when(onward & p["loc"].isNotNull(), F.col("_loc")),
+        })
+        out = j.drop("_g", "_k", "_key", "_c", "_cap", "_loc", "_w", "_s", "_part")
+    notes = [f"_p{d}" for d in range(HOPS)]
+    out = out.withColumn("notes", F.filter(F.array(*notes), lambda x: x.isNotNull())).drop("_nk", "_nkey", *notes)
+    # A chain has one place with a name, its last: one join names it.
+    last = F.element_at("notes", -1)
+    spot = F.when((F.size("notes") > 0) & last["kind"].isin("Location", "World"), last["key"])
+    out = out.withColumn("_l", spot).join(locations.select(F.col("location_id").alias("_l"), F.col("name").alias("_name")), "_l", "left")
+    name = F.col("_name")
+
+    def link(x: Column) -> Column:
+        kind, key = x["kind"], x["key"]
+        box = F.coalesce(x["cls"], S.size_label(x["cap"], key))
+        ship = x["ship"].isNotNull()
+        text = F.when(kind == "Location", F.coalesce(name, key)).when(kind == "World", F.when(key == "", "somewhere").otherwise(F.coalesce(name, key))).when(kind == "Equipped", "on you").when(kind == "LostTrack", "lost track").when(ship, x["ship"]).otherwise(box)
+        prefix = F.when(kind == "World", "dropped at ").when((kind == "Container") & ~ship & x["part"], "on ").otherwise("")
+        return _link(F.when(ship, "Ship").otherwise(kind), key, text, x["cls"], prefix)
+
+    hidden = lambda x: (x["kind"] == "Container") & x["ship"].isNull() & ~x["part"] & x["worn"] & (x["depth"] > 0)
+
+    def doubt(total: Column, x: Column) -> Column:
+        box = (x["kind"] == "Container") & x["ship"].isNull()
+        alone = box & ~x["held"]
+        return (
+            total * S.factor((x["kind"] == "Location") & name.isNull(), S.UNNAMED_LOCATION) * S.factor(x["kind"] == "LostTrack", S.LOST_TRACK)
+            * S.factor(box & (x["depth"] > 0) & ~x["worn"] & ~x["part"], S.CONTAINER_HOP) * S.factor(alone & ~x["worn"] & x["loc"].isNotNull(), S.OPENED_HERE)
+            * S.factor(alone & x["worn"], S.NEVER_PLACED) * S.factor(alone & ~x["worn"] & x["loc"].isNull(), S.UNKNOWN_CONTAINER)
+        )
+
+    return out.withColumns({"chain": F.transform(F.filter("notes", lambda x: ~hidden(x)), link), "chain_factor": F.aggregate("notes", F.lit(1.0), doubt)}).drop("notes", "_l", "_name")
 
 
 def update_factors(checks: DataFrame, updates: DataFrame) -> DataFrame:
