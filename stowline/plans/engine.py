@@ -1,4 +1,4 @@
-"""From lines to holdings: the whole derivation as one lazy set of tables."""
+"""From lines to holdings. Tables that others read several times are computed once and kept in the checkpoint folder."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..operators import dimensions as D, ledger as L
 from ..operators.correlate import moves as correlate
 from ..sources.gamelog import build_of, discover, read_lines, sessions_of
 from .holdings import chains, score, update_factors
+from .store import cut
 
 #: Fixed value: moves before it are of another game patch.
 CUTOFF = "2026-07-16 00:00:00"
@@ -17,19 +18,19 @@ CUTOFF = "2026-07-16 00:00:00"
 def derive(lines: DataFrame, builds: DataFrame, account: str, cutoff: str = CUTOFF, finished: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of one account's lines (session_id, ingest_seq, line_offset, line); builds is (session_id, build).
 
-    Times of sessions count all lines; events before the cutoff do not count. Events, moves, the account's rows
-    and the dimensions that chains read at every hop are kept where they were computed and computed again where an executor is lost.
+    Times of sessions count all lines; events before the cutoff do not count.
     """
     seq = lines.select("session_id", "ingest_seq").distinct()
-    events = parse(lines).where(F.col("ts") >= F.lit(cutoff).cast("timestamp")).join(seq, "session_id").persist()
-    moves = correlate(events, finished).join(seq, "session_id").withColumn("account", F.lit(account)).withColumn("seq", F.col("ingest_seq") * 10_000_000_000 + F.col("line_offset")).persist()
-    seen = D.sightings(events).withColumn("account", F.lit(account)).withColumn("seq", F.col("ingest_seq") * 10_000_000_000 + F.col("line_offset"))
-    sessions = D.sessions(lines, events, cutoff).join(builds, "session_id", "left")
+    own = {"account": F.lit(account), "seq": F.col("ingest_seq") * 10_000_000_000 + F.col("line_offset")}
+    events = cut(parse(lines).where(F.col("ts") >= F.lit(cutoff).cast("timestamp")).join(seq, "session_id"))
+    moves = cut(correlate(events, finished).join(seq, "session_id").withColumns(own))
+    seen = D.sightings(events).withColumns(own)
+    sessions = cut(D.sessions(lines, events, cutoff).join(builds, "session_id", "left"))
     updates = D.game_updates(sessions)
-    containers = D.containers(events, moves).withColumn("account", F.lit(account)).persist()
-    locations = D.location_names(events).persist()
+    containers = D.containers(events, moves).withColumn("account", F.lit(account))
+    containers, locations = cut(containers), cut(D.location_names(events))
     resets = updates.where("reset_at IS NOT NULL").select(F.lit(account).alias("account"), F.col("at").alias("ts"), "build")
-    rows = L.ledger(L.timeline(moves, seen, resets, containers)).persist()
+    rows = cut(L.ledger(L.timeline(moves, seen, resets, containers)))
     return {"events": events, "moves": moves, "sightings": seen, "sessions": sessions, "updates": updates, "containers": containers, "vehicles": D.vehicles(events), "attachments": D.attachments(seen), "location_names": locations, "place_evidence": D.place_evidence(events), "resets": resets, "ledger": rows}
 
 

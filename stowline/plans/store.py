@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,6 +22,17 @@ def insert_new(store: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.dropDuplicates(key).join(store.select(*key).distinct(), key, "left_anti")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed now and kept in the checkpoint folder: what is built on it has a short plan and outlives lost executors.
+
+    The folder is the session's (spark.checkpoint.dir); only where none is set, as in tests, one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 class Snapshots:
     """Versions of a set of tables below one folder, named by a pointer file that is written last.
 
