@@ -156,9 +156,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: in
 
 def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of docs but for those whose component has a smaller doc_id; all columns stay."""
-    kept = near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
