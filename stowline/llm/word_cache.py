@@ -3,8 +3,8 @@
 The public vocabularies cut a text, before any merge is done, in front of a blank that stands alone, around a line
 feed that stands alone, and between a letter and a sign that is no apostrophe. So the ids of a text are those of such
 pieces in order. A worker finds the distinct pieces of a few MB of text at once, keeps the ids of those it has met
-(at most ``MAX_PIECES``), and asks the library for the others. Texts with white space of another kind or in runs go to the
-library whole.
+(at most ``MAX_PIECES``), and asks the library for the others. Texts with white space of another kind or in runs, or with
+an added token of the vocabulary such as <|endoftext|>, go to the library whole.
 """
 
 from __future__ import annotations
@@ -39,9 +39,13 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=4)
+def _added(path: str) -> list[str]:
+    """Strings that the vocabulary cuts out of a text before anything else."""
+    return [token.content for token in _tokenizer(path).get_added_tokens_decoder().values()]
 
 
 def encode_whole(path: str, texts: list[str]) -> list[np.ndarray]:
@@ -120,6 +124,8 @@ class WordCache:
         text = np.frombuffer(b"".join([*raw, bytes(LONGEST)]), np.uint8)
         body = text[: len(text) - LONGEST]
         whole = self._irregular(texts, body, begins, sizes)
+        for token in _added(self.path):
+            whole |= np.fromiter((token in t for t in texts), bool, len(texts))
         kind = _KIND[body]
         lead = np.flatnonzero(body == 0xC3)
         lead = lead[(text[lead + 1] != 0x97) & (text[lead + 1] != 0xB7)]

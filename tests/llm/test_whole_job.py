@@ -52,3 +52,20 @@ def test_near_dedup_stage_keeps_one_of_a_pair_far_apart_in_bits(spark):
     assert (int(a) ^ int(b)).bit_count() > 4
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_in_texts_are_one_id(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from stowline.llm.word_cache import WordCache
+
+    path = public_tokenizers.path(name)
+    fresh = Tokenizer.from_file(path)
+    texts = ["one <|endoftext|> two", "a<|startoftext|>b", "<|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "plain text", "", "x<|endoftext|><|endoftext|>\ny"]
+    want = [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert fresh.token_to_id("<|endoftext|>") in want[0]
+    cache = WordCache(path)
+    for _ in range(2):
+        assert [x.tolist() for x in cache.encode(texts)] == want
