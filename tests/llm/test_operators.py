@@ -229,8 +229,9 @@ def test_shards_of_nothing(none):
 def test_wand_finds_what_scores_above(rows):
     index = bm25_decontam.Index([(i, t[:300]) for i, t in rows if t])
     rng = random.Random(5)
+    real = [k for k, w in enumerate(index.words) if w]
     for _ in range(200):
-        item = rng.randrange(len(index.ids))
+        item = rng.choice(real)
         terms = sorted({rng.randrange(len(index.vocabulary)) for _ in range(20)} | {t for t, p in enumerate(index.lists) if any(i == item for i, _ in p) and rng.random() < 0.8})
         scores = {}
         for t in terms:
@@ -238,6 +239,61 @@ def test_wand_finds_what_scores_above(rows):
                 scores[i] = scores.get(i, 0) + x
         threshold = rng.choice([0.1, 0.4, 0.7])
         assert sorted(i for i, _ in index.above(terms, threshold)) == sorted(i for i, x in scores.items() if x >= threshold - 1e-6)
+        for _, first, end in index.classes:
+            assert sorted(i for i, _ in index.above(terms, threshold, first, end)) == sorted(i for i, x in scores.items() if x >= threshold - 1e-6 and first <= i < end)
+
+
+def test_contaminated_is_brute_force_whatever_the_slices(spark):
+    """Every item against every passage, with documents that hold about as much of an item as the threshold asks."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(16)
+    vocabulary = ["".join(rng.choice("klmnop") for _ in range(rng.randint(1, 5))) for _ in range(150)]
+    plain = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, ". ".join(plain(rng.randint(2, 40)) for _ in range(rng.randint(1, 3))) + ".") for k in range(40)]
+    items += [(3, items[3][1] + " more words"), (500, items[0][1]), (501, "short one")]
+    docs = [(0, None), (1, ""), (2, plain(700))]
+    for k, t in items:
+        w = t.split()
+        keep = [x for x in w if rng.random() < rng.choice([0.75, 0.85, 0.95, 1])]
+        docs.append((100 + len(docs), plain(rng.randint(0, 90)) + " " + " ".join(keep) + " " + plain(rng.randint(0, 60))))
+    words = bm25_decontam.words
+    held = [(i, t, words(t)) for i, t in items]
+    df = Counter(x for _, _, w in held for x in set(w))
+    mean = sum(len(w) for _, _, w in held) / len(held)
+    weight = lambda w, x: math.log(1 + (len(held) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    want, near = {}, 0
+    for d, t in docs:
+        own = words(t or "")
+        for i, text, w in held:
+            size = 1
+            while size < len(w):
+                size *= 2
+            span = (1 + -(-size // 30)) * 30
+            total = sum(weight(w, x) for x in set(w))
+            for a in range(0, len(own), 30):
+                passage = own[a : a + span]
+                score = sum(weight(w, x) for x in set(w) & set(passage)) / total
+                near += 0.65 < score < 0.75
+                if score < 0.7 - 1e-6:
+                    continue
+                q, r = (bm25_decontam._overlap(p, passage) for p in bm25_decontam.Index._parts(text))
+                if q >= 0.8 and r >= 0.8:
+                    want[d, i] = max(want.get((d, i), ()), (round(score, 5), round(q, 6), round(r, 6), -a))
+    assert len(want) > 20 and near > 100
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for slices, size in ((2000, 8 << 20), (3, 8 << 20), (3, 2000)):
+        got = bm25_decontam.contaminated(frame(spark, docs), bench, slice_items=slices, scan_bytes=size).collect()
+        assert {(r["doc_id"], r["item_id"]): (round(r["score"], 5), round(r["question_overlap"], 6), round(r["answer_overlap"], 6), -r["word_start"]) for r in got} == want
+        assert len(got) == len(want)
+
+
+def test_words_that_differ_behind_32_bytes_have_other_keys():
+    raw = [b"x" * 40 + b"a", b"x" * 40 + b"b", b"x" * 1000 + b"c", b"x" * 1000 + b"d", b"y"]
+    ends = np.cumsum([len(r) for r in raw])
+    keys = bm25_decontam._keys(np.frombuffer(b"".join([*raw, bytes(8)]), np.uint8), ends - [len(r) for r in raw], ends)
+    assert len(set(keys.tolist())) == 5
 
 
 def test_decontamination(spark, docs, none):
