@@ -179,11 +179,12 @@ def test_personal_data(docs, rows, none):
 # 3
 
 
-def check_packing(found, ids, tokens=2048, segments=32, loss=2048):
+def check_packing(found, ids, tokens=2048, segments=32, loss=1984, prompt=32):
     assert sorted(found["doc_id"].unique()) == sorted(ids)
     for i, g in found.sort_values(["doc_id", "start"]).groupby("doc_id"):
         assert (g["start"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() == len(ids[i]) == g["doc_tokens"].iloc[0]
         assert [zlib.crc32(ids[i][a : a + n].astype("<u4").tobytes()) for a, n in zip(g["start"], g["length"], strict=True)] == g["ids_crc32"].tolist()
+        assert [max(0, a + n - max(a, prompt)) for a, n in zip(g["start"], g["length"], strict=True)] == g["loss_tokens"].tolist()
     padding = 0
     for _, g in found.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
         n = int(g["length"].sum())
@@ -194,12 +195,30 @@ def check_packing(found, ids, tokens=2048, segments=32, loss=2048):
 
 def test_packing(docs, rows, none):
     ids = {i: np.append(x, 1) for (i, _), x in zip(rows, word_cache.encode_whole(WORD, [t or "" for _, t in rows]), strict=True)}
-    assert check_packing(vector_packing.pack(docs, WORD).toPandas(), ids) < 0.01
-    tight = vector_packing.pack(docs, WORD, max_tokens=256, max_segments=3, max_loss=200).toPandas()
-    check_packing(tight, ids, 256, 3, 200)
+    found = vector_packing.pack(docs, WORD).toPandas()
+    assert check_packing(found, ids) == 0
+    assert found.groupby("sequence_id")["loss_tokens"].sum().max() > 1900
+    tight = vector_packing.pack(docs, WORD, max_tokens=256, max_segments=3, max_loss=200, prompt_tokens=5).toPandas()
+    check_packing(tight, ids, 256, 3, 200, 5)
     assert vector_packing.pack(none, WORD).count() == 0
 
 
+@pytest.mark.parametrize("low, high", [(3, 3), (3, 10), (20, 40), (1, 3000), (5000, 9000)])
+def test_no_padding_whatever_the_lengths(low, high):
+    rng = np.random.default_rng(low)
+    packer = vector_packing.Packer(2048, 32, 1984, 32, 8, 0)
+    ids = {i: rng.integers(0, 1000, rng.integers(low, high + 1), np.uint32) for i in range(3000 if high < 100 else 300)}
+    for i, x in ids.items():
+        packer.add(i, x)
+        if len(packer.pool) >= 500:
+            packer.pack(250)
+    packer.pack(0)
+    found = pd.DataFrame(packer.out, columns=[c.split()[0] for c in vector_packing.RESULT.split(", ")])
+    assert check_packing(found, ids) == 0 and not packer.pool
+    if low > 1000 or low == 1:
+        assert (found.groupby("sequence_id")["length"].sum() >= 1024).mean() > 0.9
+
+
 # 4
 
 
