@@ -3,13 +3,15 @@
 An id is cut into chunks of ``CHUNK_BITS`` bits, lowest first. Level 0 holds the first chunk of every id; a bitmap
 says which ids go on, and level 1 holds the second chunk of those alone, and so on. A rank directory gives the number
 of set bits before each block of ``RANK_BLOCK`` bits, so the place of an id's next chunk is one directory entry and
-one partial popcount away: any token is read without decoding its neighbours.
+one partial popcount away: any token is read without decoding its neighbours, and any run of tokens without decoding
+what stands before it. The query reads each document's ids as such a run; ``tokens_at`` reads single ones.
 
 Segment layout (little endian): magic ``DAC1``, chunk bits u8, levels u8, two zero bytes, n u64; then for each level
 its length u64, chunk bytes, and, but for the last level, bitmap bytes and rank directory (u64 each).
 
 Defined results: a null or empty text has the end id alone; an empty table gives no rows; repeated rows are encoded
-each; other columns are ignored.
+each; rows of equal doc_id stand in the order of their texts; other columns are ignored. A very long text is one
+document of one segment, in memory whole while it is encoded and while it is read.
 """
 
 from __future__ import annotations
@@ -73,29 +75,42 @@ class Segment:
                 at += len(bitmap) + 8 * len(ranks)
             self.levels.append((chunks, bitmap, ranks))
 
+    def _rank(self, level: int, i: int) -> int:
+        """Set bits in front of bit i of a level's bitmap: a directory entry and a partial popcount."""
+        _, bitmap, ranks = self.levels[level]
+        block = min(i // RANK_BLOCK, len(ranks) - 1)
+        part = bitmap[block * RANK_BLOCK // 8 : -(-i // 8)]
+        within = int(np.bitwise_count(part).sum())
+        if i & 7:
+            within -= (int(part[-1]) >> (i & 7)).bit_count()
+        return int(ranks[block]) + within
+
     def token(self, i: int) -> int:
         """Id number i: one chunk a level, its place found by rank."""
         value = 0
-        for k, (chunks, bitmap, ranks) in enumerate(self.levels):
+        for k, (chunks, bitmap, _) in enumerate(self.levels):
             value |= int(chunks[i]) << (k * self.bits)
             if bitmap is None or not bitmap[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // RANK_BLOCK
-            within = np.unpackbits(bitmap[block * RANK_BLOCK // 8 : (i >> 3) + 1], bitorder="little")[: i - block * RANK_BLOCK]
-            i = int(ranks[block]) + int(within.sum())
+            i = self._rank(k, i)
         return value
 
-    def all(self) -> np.ndarray:
-        out = np.zeros(self.n, "<u4")
-        where = None
+    def run(self, a: int, z: int) -> np.ndarray:
+        """Ids a to z (exclusive): a slice of each level, its ends found by rank."""
+        out, where = np.zeros(z - a, "<u4"), None
         for k, (chunks, bitmap, _) in enumerate(self.levels):
+            part = chunks[a:z].astype("<u4") << np.uint32(k * self.bits)
             if where is None:
-                out |= chunks
+                out |= part
             else:
-                out[where] |= chunks.astype("<u4") << np.uint32(k * self.bits)
-            if bitmap is not None:
-                more = np.flatnonzero(np.unpackbits(bitmap, count=len(chunks), bitorder="little"))
-                where = more if where is None else where[more]
+                out[where] |= part
+            if bitmap is None or a == z:
+                break
+            bits = np.unpackbits(bitmap[a >> 3 : -(-z // 8)], bitorder="little")[a & 7 : (a & 7) + z - a]
+            more = np.flatnonzero(bits)
+            where = more if where is None else where[more]
+            a = self._rank(k, a)
+            z = a + len(more)
         return out
 
 
@@ -138,7 +153,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> Dat
 
     Parts are ranges of doc_id in order; ``before`` counts the ids of the part in front of the segment.
     """
-    ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return write_table(ordered.mapInPandas(_segments(tokenizer_path, end_id), SEGMENT), "dac", "none")
 
 
@@ -158,16 +173,43 @@ def read_segments(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids = Segment(row.codes).all()
-                lengths = np.frombuffer(row.lengths, "<i8")
+                segment, lengths = Segment(row.codes), np.frombuffer(row.lengths, "<i8")
                 starts = np.cumsum(lengths) - lengths
-                data = memoryview(ids.tobytes())
-                crcs = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+                crcs = [zlib.crc32(segment.run(a, a + n).tobytes()) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
                 yield frame(RESULT, doc_id=np.frombuffer(row.doc_ids, "<i8"), start=starts + row.part_start + row.before, n_tokens=lengths, ids_crc32=crcs)
 
     return segments.join(F.broadcast(offsets), "part").select("part_start", "before", "doc_ids", "lengths", "codes").mapInPandas(run, RESULT)
 
 
+def directory(segments: DataFrame) -> DataFrame:
+    """doc_id, part, before, at, n_tokens: the segment that holds each document, and where it begins there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                lengths = np.frombuffer(row.lengths, "<i8")
+                yield pd.DataFrame({"doc_id": np.frombuffer(row.doc_ids, "<i8"), "part": row.part, "before": row.before, "at": np.cumsum(lengths) - lengths, "n_tokens": lengths})
+
+    return segments.select("part", "before", "doc_ids", "lengths").mapInPandas(run, "doc_id long, part long, before long, at long, n_tokens long")
+
+
+def tokens_at(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, index and token for each distinct (doc_id, index) of ``wanted`` that is a token of a document.
+
+    Each segment that is asked for is opened once, and its tokens are read one by one through the rank directories.
+    """
+    asked = wanted.select(F.col("doc_id").cast("long"), F.col("index").cast("long")).distinct().join(directory(segments), "doc_id").where("index >= 0 AND index < n_tokens")
+    lists = asked.groupBy("part", "before").agg(F.collect_list(F.struct("doc_id", "index", (F.col("at") + F.col("index")).alias("place"))).alias("asked"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                segment = Segment(row.codes)
+                yield pd.DataFrame([(x["doc_id"], x["index"], segment.token(x["place"])) for x in row.asked], columns=["doc_id", "index", "token"])
+
+    return lists.join(segments.select("part", "before", "codes"), ["part", "before"]).select("asked", "codes").mapInPandas(run, "doc_id long, index long, token long")
+
+
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Write the documents' ids as directly addressable codes and return what the files say of each document."""
     return read_segments(write_segments(docs, tokenizer_path, end_id))

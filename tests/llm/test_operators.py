@@ -434,7 +434,10 @@ def test_word_cache_is_the_library(rows, path):
 def test_codes_give_any_token():
     for ids in ([], [0], [255, 256, 65535, 65536, 1 << 31], np.random.default_rng(0).integers(0, 50257, 3000).tolist()):
         s = dac_tokens.Segment(dac_tokens.encode_ids(np.array(ids, "<u4")))
-        assert s.all().tolist() == ids and [s.token(i) for i in range(0, len(ids), 7)] == ids[::7]
+        assert s.run(0, len(ids)).tolist() == ids and [s.token(i) for i in range(0, len(ids), 7)] == ids[::7]
+        for a in range(0, len(ids), 97):
+            z = min(len(ids), a + 1 + a * 7 % 1300)
+            assert s.run(a, z).tolist() == ids[a:z] and s.run(a, a).tolist() == []
 
 
 def test_token_ids(docs, rows, none, monkeypatch):
@@ -444,6 +447,12 @@ def test_token_ids(docs, rows, none, monkeypatch):
     assert got["doc_id"].tolist() == sorted(ids) and got["n_tokens"].tolist() == n.tolist() and got["start"].tolist() == (np.cumsum(n) - n).tolist()
     assert got["ids_crc32"].tolist() == [zlib.crc32(ids[i].tobytes()) for i in sorted(ids)]
     assert dac_tokens.token_ids(none, BYTE).count() == 0
+    monkeypatch.setattr(dac_tokens, "SEGMENT_IDS", 500)
+    segments = dac_tokens.write_segments(docs, BYTE)
+    wanted = [(i, k) for i in sorted(ids) for k in (0, len(ids[i]) // 2, len(ids[i]) - 1, len(ids[i]), -1)] + [(10**9, 0)]
+    asked = dac_tokens.tokens_at(segments, docs.sparkSession.createDataFrame(wanted, "doc_id long, index int")).collect()
+    assert {(r["doc_id"], r["index"]): r["token"] for r in asked} == {(i, k): int(ids[i][k]) for i, k in wanted if i in ids and 0 <= k < len(ids[i])}
+    assert len(asked) == len({(i, k) for i, k in wanted if i in ids and 0 <= k < len(ids[i])})
 
 
 # 9
