@@ -2,13 +2,15 @@
 
 The writer makes streams of fixed blocks with STREAMINFO (with the samples' MD5) and a seek table; each frame is
 constant, verbatim, or Rice-coded residuals of the best of the fixed predictors 0 to 2 and a linear predictor of
-order 4. The reader finds the frames by their headers, whose checksums and numbers must hold, verifies every frame's
-CRC-16 and the MD5, decodes residuals and predictors, and gives PCM blocks with their sample offsets. Both work on
-arrays of frames: a step of the bit reader or of a predictor is done for all frames of a batch together.
+order 4. The fast reader, for streams of that form, finds the frames by their headers, whose checksums and numbers must
+hold, verifies every frame's CRC-16 and the MD5, decodes residuals and predictors, and gives PCM blocks with their sample
+offsets. Both work on arrays of frames: a step of the bit reader or of a predictor is done for all frames of a batch
+together. Streams of any other form, and those in which bytes look like another frame's header, are read frame by frame
+in order (``flac_reader``).
 
 A sample is a byte less 128. Defined results: a null or empty text is one block of blanks; equal texts give equal
 streams; a damaged stream raises ValueError, naming the place; repeated rows are done each; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. Frames of a very long text are coded ``BATCH`` samples at a time.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import id_and_text, write_table
+from .flac_reader import CRC8, CRC16, FIXED, Info, read_stream
 
 BLOCK = 192
 RATE = 8000
@@ -40,19 +43,7 @@ RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 PCM = "doc_id long, block long, first_sample long, n_samples long, pcm binary"
 
 
-def _crc_table(bits: int, poly: int) -> np.ndarray:
-    out = []
-    for byte in range(256):
-        c = byte << (bits - 8)
-        for _ in range(8):
-            c = (c << 1) ^ (poly if c >> (bits - 1) & 1 else 0)
-        out.append(c & ((1 << bits) - 1))
-    return np.array(out, np.uint8 if bits == 8 else np.uint16)
-
-
-_CRC8, _CRC16 = _crc_table(8, 0x07), _crc_table(16, 0x8005)
-#: Predictors by number: fixed ones of order 0 to 4, as coefficients of the samples before.
-_FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
+_CRC8, _CRC16 = np.array(CRC8, np.uint8), np.array(CRC16, np.uint16)
 
 
 def _rows(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, right: bool, extra: int = 0) -> np.ndarray:
@@ -130,7 +121,7 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[bytes, np.n
     for k, order in ((8, 0), (9, 1), (10, 2), (31 + LPC_ORDER, LPC_ORDER)):
         guess = np.zeros_like(x)
         if k < 32:
-            for j, c in enumerate(_FIXED[order]):
+            for j, c in enumerate(FIXED[order]):
                 guess[:, order:] += c * x[:, order - 1 - j : BLOCK - 1 - j]
             extra = 0
         else:
@@ -206,7 +197,8 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
     count = np.array([len(p) // BLOCK for p in payloads])
     samples = (np.frombuffer(b"".join(payloads), np.uint8) ^ np.uint8(0x80)).view(np.int8).reshape(-1, BLOCK)
     numbers = np.arange(len(samples)) - np.repeat(np.cumsum(count) - count, count)
-    data, sizes = encode_frames(samples, numbers)
+    coded = [encode_frames(samples[k : k + BATCH // BLOCK], numbers[k : k + BATCH // BLOCK]) for k in range(0, len(samples), BATCH // BLOCK)]
+    data, sizes = b"".join(d for d, _ in coded), np.concatenate([x for _, x in coded])
     ends = np.cumsum(sizes)
     out, frame = [], 0
     for n in count.tolist():
@@ -223,17 +215,10 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
 
 def _stream_info(stream: bytes) -> tuple[int, int, bytes]:
     """Where the frames begin, the number of samples, and their MD5."""
-    if stream[:4] != b"fLaC":
-        raise ValueError("not a FLAC stream")
-    at, last, info = 4, False, None
-    while not last:
-        last, kind, size = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
-        if kind == 0:
-            info = stream[at + 4 : at + 4 + size]
-        at += 4 + size
-    if info is None or struct.unpack(">HH", info[:4]) != (BLOCK, BLOCK) or int.from_bytes(info[10:18], "big") >> 36 & 0xFF != 7:
-        raise ValueError(f"a mono stream of 8 bits in blocks of {BLOCK} is needed")
-    return at, int.from_bytes(info[10:18], "big") & ((1 << 36) - 1), info[18:34]
+    info = Info(stream)
+    if info.blocks != (BLOCK, BLOCK) or info.channels != 1 or info.bits != 8:
+        raise ValueError(f"not a mono stream of 8 bits in blocks of {BLOCK}")
+    return info.begin, info.samples, info.md5
 
 
 def _find_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +249,17 @@ def _find_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray, frames: n
 
 
 def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
-    """The samples (int8) of each stream, after all checksums hold."""
+    """The samples of each stream, after all checksums hold: int8, or int64 (n x channels) of streams of another form."""
+    try:
+        return _decode_fast(streams)
+    except ValueError:
+        if len(streams) > 1:
+            return [x for s in streams for x in decode_streams([s])]
+        samples, info = read_stream(streams[0])
+        return [samples[:, 0].astype(np.int8) if info.channels == 1 and info.bits == 8 else samples]
+
+
+def _decode_fast(streams: list[bytes]) -> list[np.ndarray]:
     if not streams:
         return []
     infos = [_stream_info(s) for s in streams]
@@ -276,7 +271,22 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     last = np.cumsum(frames) - 1
     ends = np.append(starts[1:], 0)
     ends[last] = end
-    if (_crc16(_rows(data, starts, ends - starts, right=True)) != 0).any():
+    if (ends <= starts).any():
+        raise ValueError("frames are not in the order of their numbers")
+    step = BATCH // BLOCK
+    samples = np.concatenate([_decode_frames(data, starts[k : k + step], places[k : k + step], ends[k : k + step]) for k in range(0, len(starts), step)])
+    out, at = [], 0
+    for (_, n, md5), count in zip(infos, frames.tolist(), strict=True):
+        own = samples[at : at + count].reshape(-1)
+        if len(own) != n or hashlib.md5(own.tobytes()).digest() != md5:
+            raise ValueError("the samples' MD5 does not hold")
+        out.append(own)
+        at += count
+    return out
+
+
+def _decode_frames(data: np.ndarray, starts: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if int((ends - starts).max()) > 2 * BLOCK or (_crc16(_rows(data, starts, ends - starts, right=True)) != 0).any():
         raise ValueError("a frame's checksum does not hold")
     kind = data[places] >> 1
     x = np.zeros((len(starts), BLOCK), np.int32)
@@ -287,15 +297,7 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     rows = np.flatnonzero(kind >= 8)
     if len(rows):
         x[rows] = _decode_coded(data, places[rows] + 1, ends[rows] - 2, kind[rows])
-    samples = x.astype(np.int8)
-    out, at = [], 0
-    for (_, n, md5), count in zip(infos, frames.tolist(), strict=True):
-        own = samples[at : at + count].reshape(-1)
-        if len(own) != n or hashlib.md5(own.tobytes()).digest() != md5:
-            raise ValueError("the samples' MD5 does not hold")
-        out.append(own)
-        at += count
-    return out
+    return x.astype(np.int8)
 
 
 def _decode_coded(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -319,7 +321,7 @@ def _decode_coded(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np
     coefs, shift = np.zeros((most, n), np.int32), np.zeros(n, np.int32)
     for k in range(1, 5):
         own = ~linear & (order == k)
-        coefs[:k, own] = np.array(_FIXED[k], np.int32)[:, None]
+        coefs[:k, own] = np.array(FIXED[k], np.int32)[:, None]
     at = base + 8 * order
     some = np.flatnonzero(linear)
     if len(some):
@@ -407,16 +409,26 @@ def features(media: DataFrame) -> DataFrame:
     return media.mapInPandas(run, RESULT)
 
 
+def _pcm(samples: np.ndarray, stream: bytes) -> bytes:
+    if samples.ndim == 1:
+        return samples.tobytes()
+    width = -(-Info(stream).bits // 8)
+    return (samples & ((1 << 8 * width) - 1)).astype("<u8").reshape(-1, 1).view(np.uint8)[:, :width].tobytes()
+
+
 def pcm_blocks(media: DataFrame, samples: int = BLOCK * SEEK_FRAMES) -> DataFrame:
-    """PCM blocks of decoded streams with the offset of their first sample: what a reader seeks by."""
+    """PCM blocks of decoded streams with the offset of their first sample: what a reader seeks by.
+
+    Samples are little endian, channels in turn, in the fewest bytes that hold their bits.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             streams = batch["flac"].tolist()
             for part in _batches([len(s) for s in streams]):
-                for doc, x in zip(batch["doc_id"].iloc[part], decode_streams(streams[part]), strict=True):
+                for doc, stream, x in zip(batch["doc_id"].iloc[part], streams[part], decode_streams(streams[part]), strict=True):
                     starts = range(0, len(x), samples)
                     pieces = [x[a : a + samples] for a in starts]
-                    yield pd.DataFrame({"doc_id": doc, "block": range(len(pieces)), "first_sample": list(starts), "n_samples": [len(p) for p in pieces], "pcm": [p.tobytes() for p in pieces]})
+                    yield pd.DataFrame({"doc_id": doc, "block": range(len(pieces)), "first_sample": list(starts), "n_samples": [len(p) for p in pieces], "pcm": [_pcm(p, stream) for p in pieces]})
 
     return media.select("doc_id", F.col("flac")).mapInPandas(run, PCM)
