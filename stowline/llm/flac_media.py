@@ -9,7 +9,7 @@ together. Streams of any other form, and those in which bytes look like another
 in order (``flac_reader``).
 
 A sample is a byte less 128. Defined results: a null or empty text is one block of blanks; equal texts give equal
-streams; a damaged stream raises ValueError, naming the place; repeated rows are done each; an empty table gives no
+streams; a damaged stream raises DamagedStream, a ValueError, naming the place; repeated rows are done each; an empty table gives no
 rows; other columns are ignored. Frames of a very long text are coded ``BATCH`` samples at a time.
 """
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import id_and_text, write_table
-from .flac_reader import CRC8, CRC16, FIXED, Info, read_stream
+from .flac_reader import CRC8, CRC16, FIXED, DamagedStream, Info, read_stream
 
 BLOCK = 192
 RATE = 8000
@@ -217,7 +217,7 @@ def _stream_info(stream: bytes) -> tuple[int, int, bytes]:
     """Where the frames begin, the number of samples, and their MD5."""
     info = Info(stream)
     if info.blocks != (BLOCK, BLOCK) or info.channels != 1 or info.bits != 8:
-        raise ValueError(f"not a mono stream of 8 bits in blocks of {BLOCK}")
+        raise DamagedStream(f"not a mono stream of 8 bits in blocks of {BLOCK}")
     return info.begin, info.samples, info.md5
 
 
@@ -244,7 +244,7 @@ def _find_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray, frames: n
     slot = first[owner[real]] + number[real]
     wanted[slot[::-1]] = np.flatnonzero(real)[::-1]  # of equal numbers the first
     if (wanted < 0).any():
-        raise ValueError(f"frame {int(np.flatnonzero(wanted < 0)[0])} of the batch has no valid header")
+        raise DamagedStream(f"frame {int(np.flatnonzero(wanted < 0)[0])} of the batch has no valid header")
     return at[wanted], (at + head + 1)[wanted]
 
 
@@ -252,7 +252,7 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     """The samples of each stream, after all checksums hold: int8, or int64 (n x channels) of streams of another form."""
     try:
         return _decode_fast(streams)
-    except ValueError:
+    except DamagedStream:
         if len(streams) > 1:
             return [x for s in streams for x in decode_streams([s])]
         samples, info = read_stream(streams[0])
@@ -272,14 +272,14 @@ def _decode_fast(streams: list[bytes]) -> list[np.ndarray]:
     ends = np.append(starts[1:], 0)
     ends[last] = end
     if (ends <= starts).any():
-        raise ValueError("frames are not in the order of their numbers")
+        raise DamagedStream("frames are not in the order of their numbers")
     step = BATCH // BLOCK
     samples = np.concatenate([_decode_frames(data, starts[k : k + step], places[k : k + step], ends[k : k + step]) for k in range(0, len(starts), step)])
     out, at = [], 0
     for (_, n, md5), count in zip(infos, frames.tolist(), strict=True):
         own = samples[at : at + count].reshape(-1)
         if len(own) != n or hashlib.md5(own.tobytes()).digest() != md5:
-            raise ValueError("the samples' MD5 does not hold")
+            raise DamagedStream("the samples' MD5 does not hold")
         out.append(own)
         at += count
     return out
@@ -287,7 +287,7 @@ def _decode_fast(streams: list[bytes]) -> list[np.ndarray]:
 
 def _decode_frames(data: np.ndarray, starts: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if int((ends - starts).max()) > 2 * BLOCK or (_crc16(_rows(data, starts, ends - starts, right=True)) != 0).any():
-        raise ValueError("a frame's checksum does not hold")
+        raise DamagedStream("a frame's checksum does not hold")
     kind = data[places] >> 1
     x = np.zeros((len(starts), BLOCK), np.int32)
     rows = np.flatnonzero(kind == 0)
@@ -319,7 +319,7 @@ def _decode_coded(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np
     order = np.where(linear, kind.astype(np.int64) - 31, kind.astype(np.int64) - 8)
     most = int(order.max())
     coefs, shift = np.zeros((most, n), np.int32), np.zeros(n, np.int32)
-    for k in range(1, 5):
+    for k in range(1, min(most, 4) + 1):
         own = ~linear & (order == k)
         coefs[:k, own] = np.array(FIXED[k], np.int32)[:, None]
     at = base + 8 * order
@@ -333,7 +333,7 @@ def _decode_coded(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np
             coefs[j, some[own]] = value - (value >> (precision[own] - 1) << precision[own])
         at[some] += 9 + order[some] * precision
     if take(at, np.full(n, 6)).any():
-        raise ValueError("only Rice codes in one partition are read")
+        raise DamagedStream("only Rice codes in one partition are read")
     rice = take(at + 6, np.full(n, 4))
     bits = np.unpackbits(rows, axis=1)
     places = np.where(bits.view(bool), np.arange(width, dtype=np.int16 if width < 32000 else np.int32), width - 1)

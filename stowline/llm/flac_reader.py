@@ -11,6 +11,10 @@ import hashlib
 
 import numpy as np
 
+class DamagedStream(ValueError):
+    """The stream is not what the format allows, or a checksum does not hold."""
+
+
 #: Predictors by number: fixed ones of order 0 to 4, as coefficients of the samples before.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
@@ -73,16 +77,16 @@ class Info:
 
     def __init__(self, stream: bytes):
         if stream[:4] != b"fLaC":
-            raise ValueError("not a FLAC stream")
+            raise DamagedStream("not a FLAC stream")
         at, last, found = 4, False, None
         while not last:
             if at + 4 > len(stream):
-                raise ValueError("the stream ends in its metadata")
+                raise DamagedStream("the stream ends in its metadata")
             last, kind, size = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
             found = stream[at + 4 : at + 4 + size] if kind == 0 else found
             at += 4 + size
         if found is None or len(found) < 34:
-            raise ValueError("the stream has no STREAMINFO")
+            raise DamagedStream("the stream has no STREAMINFO")
         word = int.from_bytes(found[10:18], "big")
         self.begin, self.blocks, self.md5 = at, (int.from_bytes(found[:2], "big"), int.from_bytes(found[2:4], "big")), bytes(found[18:34])
         self.rate, self.channels, self.bits, self.samples = word >> 44, (word >> 41 & 7) + 1, (word >> 36 & 31) + 1, word & ((1 << 36) - 1)
@@ -91,7 +95,7 @@ class Info:
 def _residuals(b: _Bits, block: int, order: int) -> list[int]:
     kind = b.take(2)
     if kind > 1:
-        raise ValueError("residuals of an unknown kind")
+        raise DamagedStream("residuals of an unknown kind")
     width, parts = 4 + kind, b.take(4)
     out: list[int] = []
     for k in range(1 << parts):
@@ -109,7 +113,7 @@ def _residuals(b: _Bits, block: int, order: int) -> list[int]:
 
 def _subframe(b: _Bits, block: int, bits: int) -> list[int]:
     if b.take(1):
-        raise ValueError("a subframe does not begin with a zero")
+        raise DamagedStream("a subframe does not begin with a zero")
     kind, wasted = b.take(6), 0
     if b.take(1):
         wasted = b.zeros() + 1
@@ -129,7 +133,7 @@ def _subframe(b: _Bits, block: int, bits: int) -> list[int]:
         for e in _residuals(b, block, order):
             out.append(e + (sum(c * out[-1 - j] for j, c in enumerate(coefs)) >> shift))
     else:
-        raise ValueError(f"a subframe of reserved kind {kind}")
+        raise DamagedStream(f"a subframe of reserved kind {kind}")
     return [x << wasted for x in out]
 
 
@@ -137,7 +141,7 @@ def _frame(data: bytes, info: Info) -> tuple[list[list[int]], int]:
     """Samples of each channel of the frame that data begins with, and its length in bytes."""
     b = _Bits(data)
     if b.take(15) != 0x7FFC:
-        raise ValueError("no frame begins here")
+        raise DamagedStream("no frame begins here")
     b.take(1)
     size, rate, layout, depth = b.take(4), b.take(4), b.take(4), b.take(3)
     b.take(1)
@@ -145,12 +149,12 @@ def _frame(data: bytes, info: Info) -> tuple[list[list[int]], int]:
     for _ in range(max(0, 7 - (lead ^ 0xFF).bit_length() - 1)):
         b.take(8)
     if size == 0 or layout > 10 or depth == 3:
-        raise ValueError("a frame header has reserved values")
+        raise DamagedStream("a frame header has reserved values")
     block = 192 if size == 1 else 576 << (size - 2) if size < 6 else b.take(8) + 1 if size == 6 else b.take(16) + 1 if size == 7 else 256 << (size - 8)
     b.take({12: 8, 13: 16, 14: 16}.get(rate, 0))
     head = b.at // 8
     if _crc8(data[:head]) != b.take(8):
-        raise ValueError("a frame header's checksum does not hold")
+        raise DamagedStream("a frame header's checksum does not hold")
     bits = {0: info.bits, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}[depth]
     channels = layout + 1 if layout < 8 else 2
     # 8 left and side, 9 side and right, 10 middle and side.
@@ -165,12 +169,12 @@ def _frame(data: bytes, info: Info) -> tuple[list[list[int]], int]:
     b.at += -b.at % 8
     end = b.at // 8
     if _crc16(data[:end]) != b.take(16):
-        raise ValueError("a frame's checksum does not hold")
+        raise DamagedStream("a frame's checksum does not hold")
     return own, end + 2
 
 
 def read_stream(stream: bytes) -> tuple[np.ndarray, Info]:
-    """Samples (n x channels) of a stream; ValueError, with the place, where it is damaged."""
+    """Samples (n x channels) of a stream; DamagedStream, with the place, where it is damaged."""
     info = Info(stream)
     at, done, out = info.begin, 0, []
     while done < info.samples or not info.samples and at < len(stream):
@@ -181,18 +185,18 @@ def read_stream(stream: bytes) -> tuple[np.ndarray, Info]:
                 break
             except IndexError:
                 if at + size >= len(stream):
-                    raise ValueError(f"the stream ends in the frame at byte {at}") from None
+                    raise DamagedStream(f"the stream ends in the frame at byte {at}") from None
                 size *= 4
-            except ValueError as e:
-                raise ValueError(f"at byte {at}: {e}") from None
+            except DamagedStream as e:
+                raise DamagedStream(f"at byte {at}: {e}") from None
         out.append(np.array(own, np.int64).T)
         at += used
         done += len(out[-1])
     samples = np.concatenate(out) if out else np.empty((0, info.channels), np.int64)
     if info.samples and len(samples) != info.samples:
-        raise ValueError("the stream has another number of samples than it says")
+        raise DamagedStream("the stream has another number of samples than it says")
     width = -(-info.bits // 8)
     raw = (samples & ((1 << 8 * width) - 1)).astype("<u8").reshape(-1, 1).view(np.uint8)[:, :width].tobytes()
     if any(info.md5) and hashlib.md5(raw).digest() != info.md5:
-        raise ValueError("the samples' MD5 does not hold")
+        raise DamagedStream("the samples' MD5 does not hold")
     return samples, info

@@ -134,6 +134,12 @@ def test_both_readers_agree_and_a_false_header_misleads_neither():
     assert ((read_stream(streams[1])[0][:, 0].astype(np.int8).view(np.uint8) ^ 0x80).tobytes()) == plain
 
 
+def test_frames_of_low_orders_alone_are_read_fast():
+    ramp = np.repeat(np.arange(0, 192, dtype=np.uint8), 4).tobytes()
+    streams = flac_media.encode_streams([ramp, bytes([5]) * 192])
+    assert [(x.view(np.uint8) ^ 0x80).tobytes() for x in flac_media._decode_fast(streams)] == [ramp, bytes([5]) * 192]
+
+
 def test_a_long_text_takes_bounded_memory():
     code = "import resource, numpy as np\nfrom stowline.llm import flac_media as f\nbase = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\np = np.random.default_rng(0).integers(97, 123, 192 * 52000, dtype=np.uint8).tobytes()\ns = f.encode_streams([p])\nassert (f.decode_streams(s)[0].view(np.uint8) ^ 0x80).tobytes() == p\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) >> 10)"
     assert resource.RUSAGE_SELF == 0
