@@ -15,12 +15,16 @@ The dictionary's suffix array, sorted a word of 8 bytes at a time among those st
 order; neighbours that share LENGTH bytes are one string, and the parse gives its smallest document. Round 3 takes the
 answers back to the blocks.
 
-*Load.* A phrase costs one entry a block, however many copies the block holds. Phrases around a trigger that
-``HOT`` blocks have are dealt out by each string's own hash instead, one entry a block and string. Only counts of
-bytes come to the driver. Each round is a job that ends in a table of the shared folder.
+*Load.* A phrase costs one entry a block, however many copies the block holds; a block writes a row for each bucket it has
+something for, so rows grow with the text and never beyond a block's keys. Round 1 adds up, over all blocks, how many
+strings each trigger's distinct phrases have; the strings of triggers with ``HOT`` or more are dealt out by each string's
+own hash instead, one entry a block and string, so that no bucket grows with a passage that many documents share.
+Tasks are dealt a fixed amount of text each. Only counts of bytes and blocks come to the driver. Each round is a job
+that ends in a table of the shared folder.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows of equal doc_id do not count as
-smaller than one another; an empty table gives no rows; other columns are ignored.
+smaller than one another; an empty table gives no rows; other columns are ignored. A text longer than a block is a
+block of its own, in one task's memory about sixty times its length.
 """
 
 from __future__ import annotations
@@ -41,8 +45,10 @@ TRIGGER = 16
 BLOCK_BYTES = 8 << 20
 #: Text bytes for each bucket of triggers.
 BUCKET_BYTES = 16 << 20
-#: Blocks that must share a trigger before its strings are dealt out one by one.
-HOT = 20_000
+#: Strings of a trigger, over all blocks, from which on they are dealt out one by one.
+HOT = 500_000
+#: Most partitions of a shuffle; beyond it a partition has several buckets or blocks, one after another.
+PARTITIONS = 100_000
 #: Bytes hashed at a time.
 CHUNK = 1 << 18
 
@@ -164,38 +170,56 @@ def _open(row) -> tuple[np.ndarray, np.ndarray, Phrases]:
     return np.frombuffer(row.doc_ids, "<i8"), lengths, Phrases(np.frombuffer(zstandard.decompress(row.text), np.uint8), lengths)
 
 
-def _block_keys(phrases: Phrases, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigger keys by bucket, whether two documents of the block have each, the buckets' bounds, phrase -> key."""
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+
+
+def _cuts(buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of each run of sorted bucket numbers: only those that occur."""
+    begins = _edges(buckets)
+    ends = np.append(begins, len(buckets))[1:]
+    return list(zip(buckets[begins].tolist(), begins.tolist(), ends.tolist(), strict=True))
+
+
+def _block_keys(phrases: Phrases, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+    """Distinct trigger keys by bucket, whether two documents of the block have each, the buckets' cuts, phrase -> key."""
     order = np.lexsort((phrases.key, phrases.key % np.uint64(buckets)))
     key, doc = phrases.key[order], phrases.doc[order]
-    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    begins = _edges(key)
     shared = np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins) if len(begins) else np.empty(0, bool)
     inverse = np.empty(len(key), np.int64)
     inverse[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key))))
     keys = key[begins]
-    return keys, shared, np.searchsorted(keys % np.uint64(buckets), np.arange(buckets + 1)), inverse
+    return keys, shared, _cuts((keys % np.uint64(buckets)).astype(np.int64)), inverse
 
 
 def _offer_keys(buckets: int):
+    """Per bucket: keys, whether the block's documents share them, and the eighths of a power of two of their strings."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                keys, shared, bounds, _ = _block_keys(_open(row)[2], buckets)
-                cut = [(b, bounds[b], bounds[b + 1]) for b in range(buckets) if bounds[b] < bounds[b + 1]]
-                yield pd.DataFrame({"bucket": [c[0] for c in cut], "block": row.block, "keys": [keys[a:b].astype("<u8").tobytes() for _, a, b in cut], "shared": [np.packbits(shared[a:b]).tobytes() for _, a, b in cut]})
+                p = _open(row)[2]
+                keys, shared, cut, of_phrase = _block_keys(p, buckets)
+                _, sample = np.unique(p.digest, return_index=True)
+                strings = np.bincount(of_phrase[sample], (p.last - p.first + 1)[sample], len(keys))
+                many = np.ceil(8 * np.log2(np.maximum(strings, 1))).astype(np.uint8)
+                yield pd.DataFrame({"bucket": [c[0] for c in cut], "block": row.block, "keys": [keys[a:b].astype("<u8").tobytes() for _, a, b in cut], "shared": [np.packbits(shared[a:b]).tobytes() for _, a, b in cut], "strings": [many[a:b].tobytes() for _, a, b in cut]})
 
     return run
 
 
 def _judge_keys(hot: int):
-    """Per block, two bits a key: other documents have it; so many blocks have it that its strings are dealt out singly."""
+    """Per block, two bits a key: other documents have it; it has so many strings that they are dealt out singly."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(k, "<u8") for k in group["keys"]]
         shared = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(group["shared"], keys, strict=True)])
+        strings = 2 ** (np.concatenate([np.frombuffer(x, np.uint8) for x in group["strings"]]) / 8)
         _, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         both = np.bincount(inverse, shared) > 0
-        wanted, often = ((counts > 1) | both)[inverse], (counts >= hot)[inverse]
+        wanted, often = ((counts > 1) | both)[inverse], (np.bincount(inverse, strings) >= hot)[inverse]
         ends = np.cumsum([len(k) for k in keys])
         bits = [np.packbits(np.concatenate([wanted[e - len(k) : e], often[e - len(k) : e]])).tobytes() for e, k in zip(ends, keys, strict=True)]
         return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "bits": bits})
@@ -207,12 +231,11 @@ class Asks:
     """What a block asks: distinct phrases whose trigger others have, and single strings of hot triggers, by bucket."""
 
     def __init__(self, phrases: Phrases, doc_ids: np.ndarray, bits: dict[int, bytes], buckets: int):
-        keys, _, bounds, of_phrase = _block_keys(phrases, buckets)
+        keys, _, cuts, of_phrase = _block_keys(phrases, buckets)
         wanted, often = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-        for bucket, data in bits.items():
-            n = bounds[bucket + 1] - bounds[bucket]
-            both = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * n).astype(bool)
-            wanted[bounds[bucket] : bounds[bucket + 1]], often[bounds[bucket] : bounds[bucket + 1]] = both[:n], both[n:]
+        for bucket, a, z in cuts:
+            both = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=2 * (z - a)).astype(bool)
+            wanted[a:z], often[a:z] = both[: z - a], both[z - a :]
         self.phrases, p = phrases, phrases
         doc = doc_ids[p.doc]
         # Phrases: those of a block with equal digests are one entry, its document the least.
@@ -225,7 +248,7 @@ class Asks:
         back[order] = np.arange(len(order))
         self.entry, self.sample, self.least, self.digest = back[self.entry], sample[order], least[order], digest[order]
         self.counts = (p.last - p.first + 1)[self.sample]
-        self.bounds = np.searchsorted(p.key[self.sample] % np.uint64(buckets), np.arange(buckets + 1))
+        self.cuts = _cuts((p.key[self.sample] % np.uint64(buckets)).astype(np.int64))
         # Strings.
         hard = np.flatnonzero(wanted[of_phrase] & often[of_phrase])
         n = (p.last - p.first + 1)[hard]
@@ -240,7 +263,7 @@ class Asks:
         self.one, self.two = one[order][begins], two[order][begins]
         docs = doc_ids[self.place_doc][order]
         self.place_least = np.minimum.reduceat(docs, begins) if len(begins) else docs
-        self.place_bounds = np.searchsorted(self.one % np.uint64(buckets), np.arange(buckets + 1))
+        self.place_cuts = _cuts((self.one % np.uint64(buckets)).astype(np.int64))
 
     def _strings(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each string of LENGTH bytes."""
@@ -255,13 +278,12 @@ class Asks:
         p, out = self.phrases, []
         size = self.counts + LENGTH - 1
         into = (p.trigger - p.first)[self.sample]
-        for b in range(len(self.bounds) - 1):
-            x = slice(self.bounds[b], self.bounds[b + 1])
-            if x.start < x.stop:
-                out.append((b, block, self.digest[x].tobytes(), self.least[x].astype("<i8").tobytes(), self.counts[x].astype(np.uint8).tobytes(), into[x].astype(np.uint8).tobytes(), _squeeze(p.text[_ranges(p.first[self.sample[x]], size[x])].tobytes())))
-            x = slice(self.place_bounds[b], self.place_bounds[b + 1])
-            if x.start < x.stop:
-                out.append((-1 - b, block, self.one[x].tobytes(), self.place_least[x].astype("<i8").tobytes(), b"", b"", self.two[x].tobytes()))
+        for b, a, z in self.cuts:
+            x = slice(a, z)
+            out.append((b, block, self.digest[x].tobytes(), self.least[x].astype("<i8").tobytes(), self.counts[x].astype(np.uint8).tobytes(), into[x].astype(np.uint8).tobytes(), _squeeze(p.text[_ranges(p.first[self.sample[x]], size[x])].tobytes())))
+        for b, a, z in self.place_cuts:
+            x = slice(a, z)
+            out.append((-1 - b, block, self.one[x].tobytes(), self.place_least[x].astype("<i8").tobytes(), b"", b"", self.two[x].tobytes()))
         return pd.DataFrame(out, columns=["bucket", "block", "digests", "docs", "counts", "into", "bytes"])
 
     def covered(self, doc_ids: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
@@ -270,13 +292,11 @@ class Asks:
         values = np.full(int(self.counts.sum()), np.iinfo("i8").max, "i8")
         at = np.append(_starts(self.counts), len(values))
         place_values = np.full(len(self.one), np.iinfo("i8").max, "i8")
-        for b, data in answers.items():
-            if b >= 0:
-                a, z = at[self.bounds[b]], at[self.bounds[b + 1]]
-                values[a:z] = _unpack(data, z - a)
-            else:
-                a, z = self.place_bounds[-1 - b], self.place_bounds[-b]
-                place_values[a:z] = _unpack(data, z - a)
+        for b, i, k in self.cuts:
+            a, z = at[i], at[k]
+            values[a:z] = _unpack(answers[b], z - a)
+        for b, a, z in self.place_cuts:
+            place_values[a:z] = _unpack(answers[-1 - b], z - a)
         n = self.counts[self.entry]
         places = _ranges(p.first[self.soft], n)
         found = values[_ranges(at[self.entry], n)] < np.repeat(doc_ids[p.doc[self.soft]], n)
@@ -354,12 +374,6 @@ def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "data": out})
 
 
-def _by_block(answers: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks with the list of their answers; a block without any has null."""
-    lists = answers.groupBy("block").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("data").alias("data"))
-    return blocks.join(lists, "block", "left")
-
-
 def _answers(row) -> dict[int, bytes]:
     return dict(zip(row.buckets, row.data, strict=True)) if row.data is not None else {}
 
@@ -399,14 +413,19 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     spark = docs.sparkSession
     blocks = to_blocks(docs, block_bytes)
     release_shuffles(spark)
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    total, count = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     buckets = max(16, -(-total // bucket_bytes))
-    offers = blocks.mapInPandas(_offer_keys(buckets), "bucket long, block long, keys binary, shared binary")
-    bits = write_table(offers.groupBy("bucket").applyInPandas(_judge_keys(hot), "block long, bucket long, bits binary"), "triggers")
+    by_bucket, by_block = (lambda df, n=min(n, PARTITIONS), key=key: df.repartition(n, key) for n, key in ((buckets, "bucket"), (max(1, count), "block")))
+
+    def gathered(rows: DataFrame, data: str, *names: str) -> DataFrame:
+        """A row for each block: its buckets and what they say."""
+        return by_block(rows).groupBy("block").agg(F.collect_list("bucket").alias(names[0]), F.collect_list(data).alias(names[1]))
+
+    offers = blocks.mapInPandas(_offer_keys(buckets), "bucket long, block long, keys binary, shared binary, strings binary")
+    bits = write_table(by_bucket(offers).groupBy("bucket").applyInPandas(_judge_keys(hot), "block long, bucket long, bits binary"), "triggers")
     release_shuffles(spark)
-    lists = bits.groupBy("block").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("bits").alias("data"))
-    asks = blocks.join(lists, "block", "left").mapInPandas(_ask(buckets), "bucket long, block long, digests binary, docs binary, counts binary, into binary, bytes binary")
-    answers = write_table(asks.groupBy("bucket").applyInPandas(_resolve, "block long, bucket long, data binary"), "strings")
+    asks = by_block(blocks).join(gathered(bits, "bits", "buckets", "data"), "block", "left").mapInPandas(_ask(buckets), "bucket long, block long, digests binary, docs binary, counts binary, into binary, bytes binary")
+    answers = write_table(by_bucket(asks).groupBy("bucket").applyInPandas(_resolve, "block long, bucket long, data binary"), "strings")
     release_shuffles(spark)
-    keyed = lists.select("block", F.col("buckets").alias("key_buckets"), F.col("data").alias("key_bits"))
-    return _by_block(answers, blocks.join(keyed, "block", "left")).mapInPandas(_cut(buckets), RESULT)
+    told = by_block(blocks).join(gathered(bits, "bits", "key_buckets", "key_bits"), "block", "left").join(gathered(answers, "data", "buckets", "data"), "block", "left")
+    return told.mapInPandas(_cut(buckets), RESULT)
