@@ -46,6 +46,22 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of a key, and as a share of all, from which on it is hot: no more than 100,000 keys can be.
+HOT_ROWS, HOT_SHARE = 200_000, 1e-5
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: list[str], total: int, least: int = HOT_ROWS) -> DataFrame:
+    """rows joined with ``one``, which has one row for each key and ``n``, the number of rows that have it.
+
+    Keys with many rows are joined by broadcast, so that no task gets them all; there are at most 1 / HOT_SHARE of them.
+    Both inputs are read twice: tables, not plans.
+    """
+    bound = max(least, int(total * HOT_SHARE))
+    hot = F.broadcast(one.where(F.col("n") > bound).drop("n"))
+    rest = rows.join(hot.select(*key), key, "left_anti").join(one.where(F.col("n") <= bound).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; other columns, whatever their names, play no part.
 

@@ -25,7 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import frame, id_and_text, release_shuffles, write_table
+from .common import frame, id_and_text, join_hot, release_shuffles, write_table
 from .components import connected_components
 
 BITS = 64
@@ -129,7 +129,7 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     """Edges (u, v) of fingerprints whose connected components are those of all pairs within the radius.
 
     nodes has one row (fp) for each distinct fingerprint. A table's number and the bits it keeps are hashed into one bucket
-    key; should two buckets fall together, distances still decide. radius must be even for buckets beyond ``bucket``.
+    key; should two buckets fall together, distances still decide. radius must be even.
     """
     tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))])
     keyed = nodes.select("fp", F.explode(tables).alias("key"))
@@ -144,14 +144,22 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over links within the radius."""
+    """doc_id, fp, component_id: the smallest doc_id reachable over links within the radius.
+
+    Fingerprints that many documents have, and components of many fingerprints, are joined by broadcast (``join_hot``).
+    """
+    if radius % 2:
+        raise ValueError("the radius must be even: crowded buckets are searched through points at half of it")
     prints = write_table(fingerprints(docs, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
     roots = connected_components(links(nodes.select("fp"), radius, bucket))
     release_shuffles(docs.sparkSession)
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    count, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rooted = write_table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    named = join_hot(rooted.select("fp", "root", F.col("n").alias("docs")), least, ["root"], count)
+    found = write_table(named.select("fp", "component_id", F.col("docs").alias("n")), "named")
+    return join_hot(prints, found, ["fp"], total).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp):

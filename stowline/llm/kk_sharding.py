@@ -6,7 +6,7 @@ adds them in opposite order, until one is left.
 
 Groups are dealt to parts by their digest. Each part is differenced in a task of its own; its partial partition, one
 sum a shard, is differenced with those of up to ``FAN`` parts, level by level, the last on the driver. A group is one
-row here, whatever its rows count, and its rows find their shard by a join. Equal texts: equal length, CRC32, XXH64
+row here, whatever its rows count, and its rows find their shard by a join, those of very large groups by broadcast. Equal texts: equal length, CRC32, XXH64
 and Murmur3.
 
 Defined results: null and empty texts are one group, of 16 bytes a row; repeated rows stay together; an empty table
@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import id_and_text, write_table
+from .common import id_and_text, join_hot, write_table
 
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
@@ -116,18 +116,18 @@ def shard(docs: DataFrame, shards: int = 40, part_groups: int = PART_GROUPS, fan
     """doc_id, size, text_crc32, shard and slot: gapless from 0 within a shard, in an order that hashes of doc_id give."""
     rows = id_and_text(docs).select("doc_id", (F.octet_length("text") + ROW_BYTES).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
     rows = write_table(rows, "sizes")
-    groups = rows.groupBy(*GROUP).agg(F.sum("size").alias("bytes"), F.min("doc_id").alias("first"))
+    groups = rows.groupBy(*GROUP).agg(F.sum("size").alias("bytes"), F.min("doc_id").alias("first"), F.count("*").alias("n"))
     parts = max(1, -(-groups.count() // part_groups))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["bytes", "first"], ascending=[False, True], kind="stable")
         return group.assign(place=karmarkar_karp(group["bytes"].tolist(), shards))
 
-    placed = groups.withColumn("part", F.pmod("h1", F.lit(parts))).groupBy("part").applyInPandas(run, "h1 long, h2 int, size long, text_crc32 long, bytes long, first long, part long, place int")
+    placed = groups.withColumn("part", F.pmod("h1", F.lit(parts))).groupBy("part").applyInPandas(run, "h1 long, h2 int, size long, text_crc32 long, bytes long, first long, n long, part long, place int")
     placed = write_table(placed, "places")
     cells = placed.groupBy("part", "place").agg(F.sum("bytes").alias("bytes"))
-    seats = placed.join(_seats(cells, shards, fan), ["part", "place"]).select(*GROUP, "shard")
-    laid = write_table(rows.join(seats, GROUP).select("doc_id", "size", "text_crc32", "shard"), "shards")
+    seats = write_table(placed.join(_seats(cells, shards, fan), ["part", "place"]).select(*GROUP, "n", "shard"), "seats")
+    laid = write_table(join_hot(rows, seats, GROUP, rows.count()).select("doc_id", "size", "text_crc32", "shard"), "shards")
     # Slots: rows are numbered within cells of a shard and a hash of doc_id, after the rows of the shard's cells in front.
     buckets = max(1, -(-laid.count() // CELL_ROWS))
     laid = laid.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))

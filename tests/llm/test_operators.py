@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from stowline.llm import bm25_decontam, covering_simhash, dac_tokens, flac_media, kk_sharding, license_scan, skip_chain_pii, subword_quality, suffix_dedup, vector_packing, word_cache
-from stowline.llm.common import id_and_text
+from stowline.llm.common import id_and_text, join_hot
 from stowline.llm.components import connected_components
 from stowline.llm.queries import QUERIES
 
@@ -229,9 +229,26 @@ def test_karmarkar_karp_is_better_than_dealing():
     assert sums.sum() == sum(sizes) and sums.max() - sums.min() < 10
 
 
-@pytest.mark.parametrize("part_groups,fan", [(50_000, 2000), (4, 3)])
-def test_shards(docs, rows, part_groups, fan):
+def test_hot_keys_join_as_others(spark):
+    rows = spark.createDataFrame([(i, i % 7 if i % 3 else 0) for i in range(200)], "i long, k long")
+    one = rows.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 10 AS v").where("k <> 5")
+    for least in (1, 30, 1000):
+        got = sorted(tuple(r) for r in join_hot(rows, one, ["k"], 200, least).select("i", "k", "v").collect())
+        assert got == [(i, k, k * 10) for i, k in sorted((i, i % 7 if i % 3 else 0) for i in range(200)) if k != 5]
+
+
+def test_an_odd_radius_raises(docs):
+    with pytest.raises(ValueError):
+        covering_simhash.near_duplicates(docs, radius=3)
+
+
+@pytest.mark.parametrize("part_groups,fan,hot", [(50_000, 2000, 200_000), (4, 3, 2)])
+def test_shards(docs, rows, part_groups, fan, hot, monkeypatch):
+    monkeypatch.setattr(join_hot, "__defaults__", (hot,))
     got = kk_sharding.shard(docs, 7, part_groups, fan).toPandas().sort_values("doc_id")
+    # One text is larger than a shard's share; the other shards are near equal.
+    sums = sorted(np.bincount(got["shard"], got["size"], minlength=7))
+    assert part_groups < 100 or sums[-2] - sums[0] < 50
     text = {i: (t or "").encode() for i, t in rows}
     assert got["doc_id"].tolist() == sorted(text) and got["size"].tolist() == [len(text[i]) + 16 for i in sorted(text)] and got["text_crc32"].tolist() == [zlib.crc32(text[i]) for i in sorted(text)]
     assert got.assign(t=[text[i] for i in got["doc_id"]]).groupby("t")["shard"].nunique().max() == 1
