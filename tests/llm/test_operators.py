@@ -504,7 +504,7 @@ def test_media(docs, rows, none):
 def test_licences(spark, none):
     m = license_scan.model()
     assert m.recall > 0.9 and m.precision > 0.95 and m.unknown_recall > 0.9
-    text = "Some prose.\nReleased under the MIT License.\nmore\nThis work is licensed under the GNU General Public License,\nversion 3.\n" + "word " * 30 + "\nAll rights reserved."
+    text = "Some prose.\nReleased under the MIT License.\nfiller\nThis work is licensed under the GNU General Public License,\nversion 3.\n" + "word " * 30 + "\nAll rights reserved."
     odd = "This work may be licensed under the Foobar Community License of our company."
     got = license_scan.licences(frame(spark, [(1, text), (2, None), (3, ""), (4, "The plumber is licensed in the state.\nEin mit. Die. Mit. This. Of this."), (5, odd), (5, odd)])).collect()
     assert [(r["doc_id"], r["family"], r["confirmed"], r["first_line"], r["last_line"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["paragraph"])) if r["doc_id"] < 5] == [(1, "MIT", True, 1, 1), (1, "GPL", True, 3, 4), (1, "Proprietary", True, 6, 6)]
