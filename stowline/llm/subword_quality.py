@@ -109,7 +109,8 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
         share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(texts) else 0.5
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(SEED)
-    emb, layer, bias = rng.normal(0, 0.05, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    # A row for each dimension, so that sums over features are over one array each.
+    emb, layer, bias = rng.normal(0, 0.05, (DIM, BUCKETS)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     g_emb, g_layer, g_bias = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
     text, starts, ends, doc, word = _words_of(texts)
     ids, n = word_features(text, starts, ends)
@@ -125,13 +126,16 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             size = first[some + 1] - first[some]
             p = _ranges(first[some], size)
             who = np.repeat(np.arange(len(some)), size)
-            own, inverse = np.unique(pair_word[p], return_inverse=True)
+            used = np.zeros(len(starts), bool)
+            used[pair_word[p]] = True
+            own = np.flatnonzero(used)
+            inverse = np.cumsum(used)[pair_word[p]] - 1
             f = ids[_ranges(at[own], n[own])]
-            f_word = np.repeat(np.arange(len(own)), n[own])
-            vectors = np.add.reduceat(emb[f], np.cumsum(n[own]) - n[own], axis=0) if len(own) else np.zeros((0, DIM))
+            begin = np.cumsum(n[own]) - n[own]
+            vectors = [np.add.reduceat(e[f], begin) if len(own) else np.zeros(0) for e in emb]
             many = np.maximum(np.bincount(who, times[p] * n[pair_word[p]], minlength=len(some)), 1)
             share = times[p] / many[who]
-            mean = np.stack([np.bincount(who, share * vectors[inverse, d], minlength=len(some)) for d in range(DIM)], axis=1)
+            mean = np.stack([np.bincount(who, share * vectors[d][inverse], minlength=len(some)) for d in range(DIM)], axis=1)
             logits = mean @ layer + bias
             e = np.exp(logits - logits.max(axis=1, keepdims=True))
             slope = e / e.sum(axis=1, keepdims=True)
@@ -139,16 +143,16 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             slope /= len(some)
             down = slope @ layer.T
             d_layer, d_bias = mean.T @ slope, slope.sum(axis=0)
-            d_word = np.stack([np.bincount(inverse, share * down[who, d], minlength=len(own)) for d in range(DIM)], axis=1)
-            touched, position = np.unique(f, return_inverse=True)
-            d_emb = np.stack([np.bincount(position, d_word[f_word, d], minlength=len(touched)) for d in range(DIM)], axis=1)
-            g_emb[touched] += (d_emb**2).mean(axis=1)
+            d_emb = [np.bincount(f, np.repeat(np.bincount(inverse, share * down[who, d], minlength=len(own)), n[own]), minlength=BUCKETS) for d in range(DIM)]
+            g_emb += sum(x * x for x in d_emb) / DIM
             g_layer += d_layer**2
             g_bias += d_bias**2
-            emb[touched] -= RATE * d_emb / np.sqrt(g_emb[touched])[:, None]
+            rate = RATE / np.sqrt(g_emb)
+            for e, x in zip(emb, d_emb, strict=True):
+                e -= rate * x
             layer -= RATE * 0.2 * d_layer / np.sqrt(g_layer)
             bias -= RATE * 0.2 * d_bias / np.sqrt(g_bias)
-    return Model(emb @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]))
+    return Model((layer[:, 1] - layer[:, 0]) @ emb, float(bias[1] - bias[0]))
 
 
 def held_out(doc_id):
