@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import NON_RELOCATING, entity_split, group, inventory, is_holding, ship_of_locker
+from .text import ENTITY, NON_RELOCATING, group, inventory_of, is_holding, ship_of_locker
 
 # Tags and line patterns of the log. (?d): only a line feed ends a line.
 SHAPE = r"(?d)^<([^>]+)> \[(\w+)\] <([^>]*)>\s*(.*)$"
@@ -45,12 +45,29 @@ SYSTEMS = ["stanton", "pyro", "nyx"]
 CUT_LENGTH = 1000
 
 
+#: Stands between the groups that one pass of a pattern gives; lines don't have it.
+_MARK = "\x01"
+
+
+def groups(c: Column, pattern: str, n: int, name: str = "") -> Column:
+    """The pattern's n groups in an array behind a name, by one pass; where it doesn't match, the text is the only element."""
+    body = pattern.replace("(?d)", "")
+    whole = f"(?ds){body}.*$" if body.startswith("^") else f"(?ds)^.*?{body}.*$"
+    return F.split(F.regexp_replace(c, whole, name + "".join(f"{_MARK}${k}" for k in range(1, n + 1))), _MARK, -1)
+
+
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is made once a row, whatever is asked of it later: filters don't move below it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def split_lines(lines: DataFrame) -> DataFrame:
     """lines (session_id, line_offset, line) with ts, severity, event_name and rest; others have no event and go."""
-    shaped = lines.where(F.col("line").startswith("<") & F.col("line").rlike(SHAPE))
-    part = lambda n: F.regexp_extract("line", SHAPE, n)
+    text = F.translate("line", _MARK, " ")
+    df = held(lines.where(F.col("line").startswith("<")), "_s", groups(text, SHAPE.removesuffix("$"), 4)).where(F.size("_s") > 1)
+    part = lambda n: F.get("_s", F.lit(n))
     ts = F.try_to_timestamp(F.regexp_replace(part(1), "Z$", "+00:00"))
-    return shaped.select("*", ts.alias("ts"), part(2).alias("severity"), part(3).alias("event_name"), part(4).alias("rest")).where(F.col("ts").isNotNull())
+    return df.select(*lines.columns, ts.alias("ts"), part(2).alias("severity"), part(3).alias("event_name"), part(4).alias("rest")).where(F.col("ts").isNotNull())
 
 
 def _blank(c: Column) -> Column:
@@ -62,94 +79,125 @@ def _classes(text: Column) -> Column:
     return F.filter(found, lambda x: (x != "") & ~x.isin("NULL", "NONE"))
 
 
+#: Pattern, number of groups and name of what a tag's lines say.
+_BY_TAG = {
+    "UnstowPendingEntities": (SPAWN, 3, "spawn"),
+    "OnInventoryStoreItem": (STORE, 3, "store"),
+    "AttachmentReceived": (ATTACHMENT, 4, "attachment"),
+    "Calculate Route": (ROUTE, 1, "route"),
+    "Player Selected Quantum Target - Local": (TARGET_POINT, 1, "point"),
+    "Player Inventory Request Complete": (PLAYER_COMPLETE, 2, "complete"),
+    "Inventory Request Completed": (COMPLETE, 2, "complete"),
+    "Inventory Token Flow": (TOKEN_FLOW, 2, "token"),
+    "OnDragInventoryItemModifyTarget": (CAPACITY, 4, "capacity"),
+    "Update Inventory Location": (LOCATION, 2, "location"),
+    "RequestLocationInventory": (LOCATION_NAME, 1, "location name"),
+    "Vehicle Control Flow": (FLOWN, 2, "flown"),
+    "CEntityComponentShipListProvider::SetVehicleSpawningInformations": (RETRIEVED, 1, "retrieved"),
+    "Channel Disconnected": (DISCONNECT, 2, "disconnect"),
+}
+_NO_PATTERN = ["Quantum Drive Arrived - Arrived at Final Destination", "CreateChannel", "ReuseChannel"]
+
+
+def _said(tag: Column, rest: Column) -> Column:
+    """What a line says: the name of its pattern and the groups. A line is matched against its own tag's patterns only."""
+    out = F.when(tag.isin(*QUEUED_TAGS), F.when(rest.startswith("Queued Request["), groups(rest, QUEUED, 11, "queued")))
+    out = out.when(tag == ADD_TAG, F.when(rest.rlike(ADD), groups(rest, ADD, 6, "add")).when(rest.rlike(ADD_LOOSE), groups(rest, ADD_LOOSE, 6, "add")).when(rest.rlike(ADD_CUT), groups(rest, ADD_CUT.removesuffix("$"), 5, "cut")))
+    for name, (pattern, n, what) in _BY_TAG.items():
+        out = out.when(tag == name, groups(rest, pattern, n, what))
+    return F.coalesce(out, F.array(F.lit("")))
+
+
 def events(lines: DataFrame) -> DataFrame:
-    """Typed events of lines (session_id, line_offset, line); lines that say nothing are left out."""
-    df = split_lines(lines)
-    tag, rest = F.col("event_name"), F.col("rest")
+    """Typed events of lines (session_id, line_offset, line); lines that say nothing are left out.
+
+    Each line's pattern runs once; its groups, and the entity, inventories and classes that they name, are columns of
+    their own from which the event is made.
+    """
+    df = held(split_lines(lines), "p", _said(F.col("event_name"), F.col("rest")))
+    tag, rest, p = F.col("event_name"), F.col("rest"), F.col("p")
     of = lambda *tags: tag.isin(*tags)
-    get = lambda pattern, n: F.regexp_extract(rest, pattern, n)
-
-    # Queued: the authoritative record of a move.
-    queued_tag = of(*QUEUED_TAGS) & rest.startswith("Queued Request[")
-    queued = queued_tag & rest.rlike(QUEUED)
-    item = get(QUEUED, 10)
-    split = entity_split(item)
-    q_class = F.when(split.isNotNull(), split["class_name"]).when(~_blank(get(QUEUED, 7)), get(QUEUED, 7)).when(~_blank(item), item)
-    # Add: the request behind it, for batches and drops the only record.
-    add_tag = of(ADD_TAG)
-    full, loose = add_tag & rest.rlike(ADD), add_tag & rest.rlike(ADD_LOOSE)
-    add = full | loose
-    a = lambda n: F.when(rest.rlike(ADD), get(ADD, n)).otherwise(get(ADD_LOOSE, n))
-    cut_shape = add_tag & ~add & rest.rlike(ADD_CUT)
-    cut_target = inventory(get(ADD_CUT, 4))
-    long_enough = F.length(F.rtrim("line")) - F.instr(F.rtrim("line"), "[") + 1 >= CUT_LENGTH
-    cut_text = get(ADD_CUT, 5)
-    cut_list = F.element_at(F.split(cut_text, r"(?<=\])\s*\]", 2), 1)
-    list_cut = ~cut_text.rlike(r"(?<=\])\s*\]")
-    cut_type = get(ADD_CUT, 2)
-    readable = long_enough & (cut_type != "Store") & (cut_target["kind"] != "Invalid") & (F.size(_classes(cut_list)) > 0)
-    batch = add & a(5).startswith("[") & (a(2) != "Store") & (F.size(_classes(a(5))) > 0)
-    relocating = lambda c: ~c.isin(*NON_RELOCATING)
-    spawn_entity, token_entity, flown_entity = entity_split(get(SPAWN, 2)), entity_split(get(TOKEN_FLOW, 1)), entity_split(get(FLOWN, 1))
-    locker = ship_of_locker(get(TOKEN_FLOW, 1)).isNotNull()
-    known = [*QUEUED_TAGS, ADD_TAG, "Player Inventory Request Complete", "Inventory Request Completed", "Inventory Token Flow", "OnDragInventoryItemModifyTarget", "Update Inventory Location", "RequestLocationInventory", "UnstowPendingEntities", "OnInventoryStoreItem", "AttachmentReceived", "Calculate Route", "Player Selected Quantum Target - Local", "Quantum Drive Arrived - Arrived at Final Destination", "Channel Disconnected", "Vehicle Control Flow", "CEntityComponentShipListProvider::SetVehicleSpawningInformations", "CreateChannel", "ReuseChannel"]
+    get = lambda n: F.get(p, F.lit(n))
+    said = F.when(F.size(p) > 1, get(0)).otherwise("")
+    is_ = lambda *names: F.col("said").isin(*names)
+    df = df.withColumn("said", said)
+    entity = F.when(is_("queued"), get(10)).when(is_("spawn"), get(2)).when(is_("store", "token", "flown"), get(1))
+    source = F.when(is_("queued"), get(5)).when(is_("add", "cut"), get(3)).when(is_("capacity"), get(1))
+    target = F.when(is_("queued"), get(6)).when(is_("add", "cut"), get(4)).when(is_("store", "capacity"), get(3))
+    # Queued: the authoritative record of a move. Add: the request behind it, for batches and drops the only record.
+    cut_list = F.element_at(F.split(get(5), r"(?<=\])\s*\]", 2), 1)
+    listed = F.when(is_("add") & get(5).startswith("["), _classes(get(5))).when(is_("cut"), _classes(cut_list))
+    df = held(df, "r", F.struct(groups(F.trim(entity), ENTITY, 2).alias("entity"), F.trim(source).alias("source"), F.trim(target).alias("target"), F.when(is_("add", "cut"), listed).alias("listed")))
+    df = held(df, "h", F.struct(F.split("r.source", ":", -1).alias("source"), F.split("r.target", ":", -1).alias("target")))
+    handle = lambda side: F.when(F.col(f"r.{side}").isNotNull(), inventory_of(F.col(f"r.{side}"), F.col(f"h.{side}")))
+    named = F.when(F.size("r.entity") == 3, F.struct(F.get("r.entity", F.lit(1)).alias("class_name"), F.get("r.entity", F.lit(2)).alias("geid")))
+    df = held(df, "x", F.struct(named.alias("entity"), handle("source").alias("source"), handle("target").alias("target")))
+    split, source, target, listed = F.col("x.entity"), F.col("x.source"), F.col("x.target"), F.col("r.listed")
+    own_geid = F.when(is_("spawn"), split["geid"] == get(3)).otherwise(split["geid"] == get(2))
+    q_class = F.when(split.isNotNull(), split["class_name"]).when(~_blank(get(7)), get(7)).when(~_blank(get(10)), get(10))
+    body = F.rtrim("line")
+    long_enough = F.length(body) - F.instr(body, "[") + 1 >= CUT_LENGTH
+    relocating = ~get(2).isin(*NON_RELOCATING)
+    readable = long_enough & (get(2) != "Store") & (target["kind"] != "Invalid") & (F.size(listed) > 0)
+    batch = get(5).startswith("[") & (get(2) != "Store") & (F.size(listed) > 0)
+    locker = ship_of_locker(get(1)).isNotNull()
+    known = [*QUEUED_TAGS, ADD_TAG, *_BY_TAG, *_NO_PATTERN]
     path = F.lower(F.regexp_extract("line", r"(?i)objectcontainers/pu/loc/([^\s\"']*)", 1))
     asset = F.element_at(F.filter(F.slice(F.split(path, "/"), 1, 2), lambda x: x.isin(*SYSTEMS)), 1)
 
     kind = (
-        F.when(queued, F.when(relocating(get(QUEUED, 2)) & q_class.isNotNull(), "ItemMoved"))
-        .when(queued_tag, "UnrecognisedMove")
-        .when(add, F.when(relocating(a(2)), F.when(batch, "MoveBatchRequested").otherwise("MoveRequested")))
-        .when(cut_shape & ~long_enough, "UnrecognisedMove")
-        .when(cut_shape & ~relocating(cut_type), F.lit(None))
-        .when(cut_shape & ((cut_type == "Store") | (cut_target["kind"] == "Invalid")), "UnrecognisedMove")
-        .when(cut_shape & ~is_holding(cut_target["kind"]), F.lit(None))
-        .when(cut_shape, F.when(readable, "MoveBatchRequested").otherwise("UnrecognisedMove"))
-        .when(add_tag, F.when(rest.rlike(REQUEST_LIKE), "UnrecognisedMove"))
-        .when(of("Player Inventory Request Complete") & rest.rlike(PLAYER_COMPLETE) | of("Inventory Request Completed") & rest.rlike(COMPLETE), "MoveCompleted")
-        .when(of("UnstowPendingEntities") & rest.rlike(SPAWN) & (spawn_entity["geid"] == get(SPAWN, 3)), "EntitySpawned")
-        .when(of("OnInventoryStoreItem") & rest.rlike(STORE) & entity_split(get(STORE, 1)).isNotNull() & is_holding(inventory(get(STORE, 3))["kind"]), "ItemStored")
-        .when(of("AttachmentReceived") & rest.rlike(ATTACHMENT), "AttachmentSeen")
-        .when(of("Calculate Route") & (F.trim(get(ROUTE, 1)) != ""), "PlaceNamed")
-        .when(of("Player Selected Quantum Target - Local") & rest.rlike(TARGET_POINT), "QuantumTargetSelected")
+        F.when(is_("queued"), F.when(relocating & q_class.isNotNull(), "ItemMoved"))
+        .when(of(*QUEUED_TAGS) & rest.startswith("Queued Request["), "UnrecognisedMove")
+        .when(is_("add"), F.when(relocating, F.when(batch, "MoveBatchRequested").otherwise("MoveRequested")))
+        .when(is_("cut") & ~long_enough, "UnrecognisedMove")
+        .when(is_("cut") & ~relocating, F.lit(None))
+        .when(is_("cut") & ((get(2) == "Store") | (target["kind"] == "Invalid")), "UnrecognisedMove")
+        .when(is_("cut") & ~is_holding(target["kind"]), F.lit(None))
+        .when(is_("cut"), F.when(readable, "MoveBatchRequested").otherwise("UnrecognisedMove"))
+        .when(of(ADD_TAG), F.when(rest.rlike(REQUEST_LIKE), "UnrecognisedMove"))
+        .when(is_("complete"), "MoveCompleted")
+        .when(is_("spawn") & own_geid, "EntitySpawned")
+        .when(is_("store") & split.isNotNull() & is_holding(target["kind"]), "ItemStored")
+        .when(is_("attachment"), "AttachmentSeen")
+        .when(is_("route") & (F.trim(get(1)) != ""), "PlaceNamed")
+        .when(is_("point"), "QuantumTargetSelected")
         .when(of("Quantum Drive Arrived - Arrived at Final Destination"), "QuantumArrived")
-        .when(of("Inventory Token Flow") & rest.rlike(TOKEN_FLOW) & (locker | (token_entity["geid"] == get(TOKEN_FLOW, 2))), "ContainerIdentified")
-        .when(of("OnDragInventoryItemModifyTarget") & rest.rlike(CAPACITY), "ContainerCapacitySeen")
-        .when(of("Update Inventory Location") & rest.rlike(LOCATION), "LocationChanged")
-        .when(of("RequestLocationInventory") & (F.trim(get(LOCATION_NAME, 1)) != ""), "LocationNamed")
-        .when(of("Vehicle Control Flow") & rest.rlike(FLOWN) & (flown_entity["geid"] == get(FLOWN, 2)), "VehicleFlown")
-        .when(of("CEntityComponentShipListProvider::SetVehicleSpawningInformations") & rest.rlike(RETRIEVED), "VehicleRetrieved")
-        .when(of("Channel Disconnected") & rest.rlike(DISCONNECT), "ChannelDisconnected")
+        .when(is_("token") & (locker | own_geid), "ContainerIdentified")
+        .when(is_("capacity"), "ContainerCapacitySeen")
+        .when(is_("location"), "LocationChanged")
+        .when(is_("location name") & (F.trim(get(1)) != ""), "LocationNamed")
+        .when(is_("flown") & own_geid, "VehicleFlown")
+        .when(is_("retrieved"), "VehicleRetrieved")
+        .when(is_("disconnect"), "ChannelDisconnected")
         .when(of("CreateChannel", "ReuseChannel") & rest.contains(CUSTOMIZER), "CharacterCreatorOpened")
         .when(~tag.isin(*known) & rest.rlike(REQUEST_LIKE), "UnrecognisedMove")
     )
     kind = F.coalesce(kind, F.when(F.lower("line").contains(ASSETS) & asset.isNotNull(), "PlaceAssetSeen"))
     df = df.withColumn("event_kind", kind).where(F.col("event_kind").isNotNull())
     k = F.col("event_kind")
-    is_add = (k == "MoveRequested") | (k == "MoveBatchRequested")
-    pick = lambda *pairs: F.coalesce(*[F.when(c, v) for c, v in pairs])
-    moved, done, cut = k == "ItemMoved", k == "MoveCompleted", is_add & cut_shape
-    whole_add = is_add & ~cut_shape
-    action = get(QUEUED, 11)
+    moved, batched, added = k == "ItemMoved", k == "MoveBatchRequested", k.isin("MoveRequested", "MoveBatchRequested")
+    name = (
+        F.when(k.isin("PlaceNamed", "LocationNamed"), F.trim(get(1))).when(k == "QuantumTargetSelected", get(1)).when(k == "PlaceAssetSeen", F.initcap(asset)).when(k == "UnrecognisedMove", tag).when(k == "ChannelDisconnected", get(2))
+    )
     return df.select(
         "session_id", "line_offset", "ts", "event_kind",
-        pick((moved, get(QUEUED, 1)), (whole_add, a(1)), (cut, get(ADD_CUT, 1)), (done & of("Inventory Request Completed"), get(COMPLETE, 1)), (done, get(PLAYER_COMPLETE, 1)), (k == "EntitySpawned", get(SPAWN, 1))).cast("int").alias("request_no"),
-        pick((moved, get(QUEUED, 2)), (whole_add, a(2)), (cut, cut_type)).alias("move_type"),
-        F.when(moved, get(QUEUED, 3)).alias("player"), F.when(moved, get(QUEUED, 4)).alias("player_id"),
-        pick((moved, q_class), (k == "MoveRequested", a(5)), (k == "EntitySpawned", spawn_entity["class_name"]), (k == "ItemStored", get(STORE, 2)), (k == "AttachmentSeen", get(ATTACHMENT, 1)), ((k == "ContainerIdentified") & locker, get(TOKEN_FLOW, 1)), (k == "ContainerIdentified", token_entity["class_name"]), (k == "VehicleFlown", flown_entity["class_name"])).alias("item_class"),
-        pick((moved, split["geid"]), (k == "EntitySpawned", get(SPAWN, 3)), (k == "ItemStored", entity_split(get(STORE, 1))["geid"]), (k == "AttachmentSeen", get(ATTACHMENT, 2)), (k == "ContainerIdentified", get(TOKEN_FLOW, 2)), (k == "VehicleFlown", get(FLOWN, 2)), (k == "VehicleRetrieved", get(RETRIEVED, 1))).alias("item_geid"),
-        F.when(moved, get(QUEUED, 8)).cast("int").alias("amount"),
-        F.when(moved, inventory(get(QUEUED, 5))).when(whole_add, inventory(a(3))).when(cut, inventory(get(ADD_CUT, 3))).when(k == "ContainerCapacitySeen", inventory(get(CAPACITY, 1))).alias("source"),
-        F.when(moved, inventory(get(QUEUED, 6))).when(whole_add, inventory(a(4))).when(cut, cut_target).when(k == "ItemStored", inventory(get(STORE, 3))).when(k == "ContainerCapacitySeen", inventory(get(CAPACITY, 3))).alias("target"),
-        F.when(whole_add, a(6)).alias("caller"),
-        F.when(moved & ~action.isin("", "None"), action).alias("action"),
-        F.when((k == "MoveBatchRequested") & whole_add, _classes(a(5))).when((k == "MoveBatchRequested") & cut, _classes(cut_list)).alias("classes"),
-        F.when(k == "MoveBatchRequested", cut & list_cut).alias("list_cut"),
-        pick((done & of("Inventory Request Completed"), get(COMPLETE, 2)), (done, get(PLAYER_COMPLETE, 2))).alias("result"),
-        F.when(k == "AttachmentSeen", get(ATTACHMENT, 4)).alias("port"), F.when(k == "AttachmentSeen", get(ATTACHMENT, 3)).alias("status"),
-        pick((k == "PlaceNamed", F.trim(get(ROUTE, 1))), (k == "LocationNamed", F.trim(get(LOCATION_NAME, 1))), (k == "QuantumTargetSelected", get(TARGET_POINT, 1)), (k == "PlaceAssetSeen", F.initcap(asset)), (k == "UnrecognisedMove", tag), (k == "ChannelDisconnected", get(DISCONNECT, 2))).alias("name"),
-        F.when(k == "LocationChanged", get(LOCATION, 1)).alias("landing_id"), F.when(k == "LocationChanged", get(LOCATION, 2)).alias("location_id"),
-        F.when(k == "ContainerCapacitySeen", get(CAPACITY, 2)).cast("long").alias("source_capacity"), F.when(k == "ContainerCapacitySeen", get(CAPACITY, 4)).cast("long").alias("target_capacity"),
+        F.when(moved | added | k.isin("MoveCompleted", "EntitySpawned"), get(1)).cast("int").alias("request_no"),
+        F.when(moved | added, get(2)).alias("move_type"),
+        F.when(moved, get(3)).alias("player"), F.when(moved, get(4)).alias("player_id"),
+        F.when(moved, q_class).when(k == "MoveRequested", get(5)).when(k.isin("EntitySpawned", "VehicleFlown"), split["class_name"]).when(k == "ItemStored", get(2)).when(k == "AttachmentSeen", get(1)).when((k == "ContainerIdentified") & locker, get(1)).when(k == "ContainerIdentified", split["class_name"]).alias("item_class"),
+        F.when(moved | (k == "ItemStored"), split["geid"]).when(k == "EntitySpawned", get(3)).when(k.isin("AttachmentSeen", "ContainerIdentified", "VehicleFlown"), get(2)).when(k == "VehicleRetrieved", get(1)).alias("item_geid"),
+        F.when(moved, get(8)).cast("int").alias("amount"),
+        F.when(moved | added | (k == "ContainerCapacitySeen"), source).alias("source"),
+        F.when(moved | added | k.isin("ItemStored", "ContainerCapacitySeen"), target).alias("target"),
+        F.when(added & is_("add"), get(6)).alias("caller"),
+        F.when(moved & ~get(11).isin("", "None"), get(11)).alias("action"),
+        F.when(batched, listed).alias("classes"),
+        F.when(batched, is_("cut") & ~get(5).rlike(r"(?<=\])\s*\]")).alias("list_cut"),
+        F.when(k == "MoveCompleted", get(2)).alias("result"),
+        F.when(k == "AttachmentSeen", get(4)).alias("port"), F.when(k == "AttachmentSeen", get(3)).alias("status"),
+        name.alias("name"),
+        F.when(k == "LocationChanged", get(1)).alias("landing_id"), F.when(k == "LocationChanged", get(2)).alias("location_id"),
+        F.when(k == "ContainerCapacitySeen", get(2)).cast("long").alias("source_capacity"), F.when(k == "ContainerCapacitySeen", get(4)).cast("long").alias("target_capacity"),
     )
 
 

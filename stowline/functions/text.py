@@ -14,7 +14,7 @@ APPAREL = ["backpack", "undersuit", "_core_", "_legs_", "_arms_"]
 CONSUMABLE = ["drink_", "food_", "crlf_consumable_"]
 NON_RELOCATING = ["QueryInventory", "OpenNestedInventory", "Sort", "StackAll"]
 HOLDING_KINDS = ["Location", "Container", "Equipped", "World"]
-_ENTITY = r"(?d)^(.+?)_(\d{6,})$"
+ENTITY = r"(?d)^(.+?)_(\d{6,})$"
 _LOCKER = r"(?d)^PersonalStorage_(.+)-\d+$"
 
 
@@ -30,20 +30,25 @@ def group(c: Column | str, pattern: str, n: int = 1) -> Column:
 def entity_split(c: Column | str) -> Column:
     """``class_geid`` as struct(class_name, geid); the class part is as short as can be, so digits at its end stay there."""
     t = F.trim(_c(c))
-    ok = t.rlike(_ENTITY) & ~t.isin("NULL", "NONE", "INVALID")
-    return F.when(ok, F.struct(F.regexp_extract(t, _ENTITY, 1).alias("class_name"), F.regexp_extract(t, _ENTITY, 2).alias("geid")))
+    ok = t.rlike(ENTITY) & ~t.isin("NULL", "NONE", "INVALID")
+    return F.when(ok, F.struct(F.regexp_extract(t, ENTITY, 1).alias("class_name"), F.regexp_extract(t, ENTITY, 2).alias("geid")))
 
 
 def inventory(c: Column | str) -> Column:
     """``owner:Kind:sub`` as struct(kind, owner_id, sub_id, raw, key); key is the location or container it stands for."""
     raw = F.trim(F.coalesce(_c(c), F.lit("")))
-    parts = F.split(raw, ":", -1)
+    return inventory_of(raw, F.split(raw, ":", -1))
+
+
+def inventory_of(raw: Column, parts: Column) -> Column:
+    """The same of a trimmed handle and its parts between colons."""
     three = F.size(parts) == 3
     kind = F.when(raw.isin("", "INVALID", "NULL", "NONE"), "Invalid").when(three & parts[1].isin("Location", "Container", "ClientOnly"), parts[1]).otherwise("Unknown")
-    owner = F.when(kind == "Invalid", "").when(three, parts[0]).otherwise(raw)
-    sub = F.when((kind != "Invalid") & three, parts[2]).otherwise("")
-    key = F.when(kind == "Location", sub).when(kind == "Container", owner).otherwise("")
-    return F.struct(kind.alias("kind"), owner.alias("owner_id"), sub.alias("sub_id"), F.when(kind == "Invalid", "").otherwise(raw).alias("raw"), key.alias("key"))
+    invalid = raw.isin("", "INVALID", "NULL", "NONE")
+    owner = F.when(invalid, "").when(three, parts[0]).otherwise(raw)
+    sub = F.when(~invalid & three, parts[2]).otherwise("")
+    key = F.when(invalid | ~three, "").when(parts[1] == "Location", parts[2]).when(parts[1] == "Container", parts[0]).otherwise("")
+    return F.struct(kind.alias("kind"), owner.alias("owner_id"), sub.alias("sub_id"), F.when(invalid, "").otherwise(raw).alias("raw"), key.alias("key"))
 
 
 def is_holding(kind: Column) -> Column:
