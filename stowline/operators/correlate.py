@@ -2,48 +2,61 @@
 
 A pass over each session pairs requests, queued moves, spawns and completions, and emits moves and patches to
 them; what patches say is then merged by joins and aggregates, which also settle what a disconnect voided. The state is
-what the pairing windows can still reach, ``LIMIT`` entries of each kind at most.
+what the pairing windows can still reach: entries leave it, in the order of their times, when no later event can pair
+with them. Requests that no queued line has answered stay until their numbers begin anew.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import HOLDING_KINDS
 from .folds import fold
 
-# Pairing windows in seconds, and how many entries of a kind are kept.
+# Pairing windows in seconds.
 COMPLETION_S, SPAWN_S, NAME_S, ARRIVAL_S, ASSET_S = 120, 60, 30, 10, 300
-LIMIT = 500
+_COMPLETION, _SPAWN = COMPLETION_S * 1_000_000, SPAWN_S * 1_000_000
 
 PAIRED = (
     "session_id long, line_offset long, item_ix int, patch string, at_offset long, request_no int, ts timestamp, player string, player_id string, move_type string, item_class string, "
     "item_geid string, amount int, src_raw string, src_kind string, src_key string, tgt_raw string, tgt_kind string, tgt_key string, caller string, action string, result string"
 )
+_NAMES = [c.strip().split()[0] for c in PAIRED.split(",")]
+_AT = {n: i for i, n in enumerate(_NAMES)}
+_REAL = frozenset(HOLDING_KINDS)
+
+PAIRING_KINDS = ["MoveRequested", "MoveBatchRequested", "ItemMoved", "EntitySpawned", "MoveCompleted", "ItemStored", "ChannelDisconnected", "LocationChanged"]
 
 
-def _text(x) -> str | None:
-    return None if x is None or x is pd.NA or x != x else x
+def pairing_rows(events: DataFrame) -> DataFrame:
+    """What the pass reads of the events, in plain columns; times in microseconds."""
+    end = lambda side: [F.col(f"{side}.{x}").alias(f"{short}_{x}") for short in [{"source": "src", "target": "tgt"}[side]] for x in ("kind", "key", "raw", "sub_id")]
+    place = F.when(F.col("location_id") != "0", F.col("location_id")).when(F.col("landing_id") != "0", F.col("landing_id"))
+    return events.where(F.col("event_kind").isin(*PAIRING_KINDS)).select(
+        "session_id", "line_offset", "ts", F.unix_micros("ts").alias("us"), "event_kind", "request_no", "move_type", "player", "player_id", "item_class", "item_geid", "amount", *end("source"), *end("target"), "caller", "action", "classes", "result", place.alias("place"),
+    )
 
 
 class Pairing:
     """One session's open requests."""
 
     def __init__(self):
-        self.generation, self.last = 0, None
-        self.issued: dict[int, object] = {}
+        self.generation, self.last, self.here, self.now = 0, None, None, None
+        self.issued: set[int] = set()
         self.callers: dict[int, tuple] = {}
         self.moves: dict[int, list[dict]] = {}
         self.spawns: dict[int, list[tuple]] = {}
-
-    def _near(self, a, b, seconds: int) -> bool:
-        return abs((a - b).total_seconds()) <= seconds
+        #: (time, number) of moves and of spawns, as they came.
+        self.move_queue: deque = deque()
+        self.spawn_queue: deque = deque()
 
     def _forget(self) -> None:
         self.generation += 1
         self.callers.clear()
         self.spawns.clear()
+        self.spawn_queue.clear()
         self.issued.clear()
 
     def _observe(self, number: int) -> None:
@@ -51,34 +64,43 @@ class Pairing:
             self._forget()
         self.last = number
 
-    def _normal(self, source: dict, target: dict, caller: str | None, action: str | None) -> dict | None:
-        """The target that the move has, or None where it moved nothing."""
-        if target["kind"] == "Invalid" and ("AttachItem" in (caller or "") or action == "Carry"):
-            return {"kind": "Equipped", "key": "", "raw": "EQUIPPED"}
-        same = source["kind"] in HOLDING_KINDS and source["raw"] == target["raw"]
-        return None if target["kind"] not in HOLDING_KINDS or same else target
+    def _target(self, e, caller: str | None, action: str | None) -> tuple | None:
+        """(raw, kind, key) of the target that the move has, or None where it moved nothing."""
+        if e.tgt_kind == "Invalid" and (caller and "AttachItem" in caller or action == "Carry"):
+            return "EQUIPPED", "Equipped", ""
+        return None if e.tgt_kind not in _REAL or e.src_kind in _REAL and e.src_raw == e.tgt_raw else (e.tgt_raw, e.tgt_kind, e.tgt_key)
 
-    def _record(self, e, source: dict, target: dict, name: str, geid: str | None, amount: int, caller: str | None, ix: int = 0) -> list[tuple]:
-        number, found = int(e.request_no), None
+    def _record(self, e, target: tuple, name: str, geid: str | None, amount: int, caller: str | None, ix: int = 0) -> tuple:
+        number = int(e.request_no)
         if geid is None:
-            waiting = self.spawns.get(number, [])
-            found = next((s for s in waiting if s[3] == self.generation and s[1] == name and self._near(e.ts, s[2], SPAWN_S)), None)
+            waiting = self.spawns.get(number, ())
+            found = next((s for s in waiting if s[3] == self.generation and s[1] == name and abs(e.us - s[2]) <= _SPAWN), None)
             if found:
                 waiting.remove(found)
                 geid = found[0]
         if ix == 0:
             self.moves.pop(number, None)
-        self.moves.setdefault(number, []).append({"offset": e.line_offset, "ix": ix, "ts": e.ts, "class": name, "generation": self.generation, "named": geid is not None, "late": False})
-        return [(e.session_id, e.line_offset, ix, "move", e.line_offset, number, e.ts, _text(e.player) or "", _text(e.player_id) or "", e.move_type, name, geid, amount, source["raw"], source["kind"], source["key"], target["raw"], target["kind"], target["key"], caller, _text(e.action), None)]
+        self.moves.setdefault(number, []).append({"offset": e.line_offset, "ix": ix, "us": e.us, "class": name, "generation": self.generation, "named": geid is not None, "late": False})
+        self.move_queue.append((e.us, number))
+        return (e.session_id, e.line_offset, ix, "move", e.line_offset, number, e.ts, e.player or "", e.player_id or "", e.move_type, name, geid, amount, e.src_raw, e.src_kind, e.src_key, *target, caller, e.action, None)
 
     def _patch(self, e, m: dict, **values) -> tuple:
-        row = dict.fromkeys((c.strip().split()[0] for c in PAIRED.split(",")), None)
-        row |= {"session_id": e.session_id, "line_offset": m["offset"], "item_ix": m["ix"], "at_offset": e.line_offset} | values
-        return tuple(row.values())
+        row = [None] * len(_NAMES)
+        row[0], row[1], row[2], row[4] = e.session_id, m["offset"], m["ix"], e.line_offset
+        for name, value in values.items():
+            row[_AT[name]] = value
+        return tuple(row)
 
     def step(self, e) -> list[tuple]:
-        out = getattr(self, f"_{e.event_kind}", lambda _: [])(e)
-        self._trim(e.ts)
+        if self.now is not None and e.us < self.now:
+            # The clock went back: the order of times is no longer the order of lines.
+            self._sweep(self.now)
+            out = getattr(self, "_" + e.event_kind)(e)
+            self._sweep(e.us)
+        else:
+            out = getattr(self, "_" + e.event_kind)(e)
+            self._expire(e.us)
+        self.now = e.us
         return out
 
     def end(self) -> list[tuple]:
@@ -89,70 +111,86 @@ class Pairing:
         self._observe(number)
         self.moves.pop(number, None)
         if e.move_type == "Drop":
-            at = e.source["sub_id"] if e.source["kind"] == "Location" else _text(e.here)
-            return self._record(e, e.source, {"kind": "World", "key": at or "", "raw": "WORLD"}, e.item_class, None, 1, _text(e.caller))
-        self.issued[number] = e.ts
-        self.callers[number] = (_text(e.caller), e.ts, self.generation)
+            at = e.src_sub_id if e.src_kind == "Location" else self.here
+            return [self._record(e, ("WORLD", "World", at or ""), e.item_class, None, 1, e.caller)]
+        self.issued.add(number)
+        self.callers[number] = (e.caller, e.us, self.generation)
         return []
 
     def _MoveBatchRequested(self, e) -> list[tuple]:
         self._observe(int(e.request_no))
         self.moves.pop(int(e.request_no), None)
-        target = self._normal(e.source, e.target, _text(e.caller), None)
-        return [r for i, name in enumerate(e.classes) for r in self._record(e, e.source, target, name, None, 1, _text(e.caller), i)] if target else []
+        target = self._target(e, e.caller, None)
+        return [self._record(e, target, name, None, 1, e.caller, i) for i, name in enumerate(e.classes)] if target else []
 
     def _ItemMoved(self, e) -> list[tuple]:
         number = int(e.request_no)
-        if self.issued.pop(number, None) is None:
+        if number in self.issued:
+            self.issued.discard(number)
+        else:
             self._observe(number)
-        caller, at, generation = self.callers.pop(number, (None, e.ts, -1))
-        if generation != self.generation or not self._near(e.ts, at, COMPLETION_S):
+        caller, at, generation = self.callers.pop(number, (None, e.us, -1))
+        if generation != self.generation or abs(e.us - at) > _COMPLETION:
             caller = None
-        target = self._normal(e.source, e.target, caller, _text(e.action))
-        return self._record(e, e.source, target, e.item_class, _text(e.item_geid), int(e.amount), caller) if target else []
+        target = self._target(e, caller, e.action)
+        return [self._record(e, target, e.item_class, e.item_geid, int(e.amount), caller)] if target else []
 
     def _EntitySpawned(self, e) -> list[tuple]:
-        for m in self.moves.get(int(e.request_no), []):
-            if not m["named"] and m["generation"] == self.generation and m["class"] == e.item_class and self._near(e.ts, m["ts"], SPAWN_S):
+        number = int(e.request_no)
+        for m in self.moves.get(number, ()):
+            if not m["named"] and m["generation"] == self.generation and m["class"] == e.item_class and abs(e.us - m["us"]) <= _SPAWN:
                 m["named"] = True
                 return [self._patch(e, m, patch="geid", item_geid=e.item_geid)]
-        self.spawns.setdefault(int(e.request_no), []).append((e.item_geid, e.item_class, e.ts, self.generation))
+        self.spawns.setdefault(number, []).append((e.item_geid, e.item_class, e.us, self.generation))
+        self.spawn_queue.append((e.us, number))
         return []
 
     def _MoveCompleted(self, e) -> list[tuple]:
         out = []
-        for m in self.moves.get(int(e.request_no), []):
-            gap = (e.ts - m["ts"]).total_seconds()
-            if e.line_offset > m["offset"] and (m["generation"] == self.generation and abs(gap) <= COMPLETION_S or m["late"] and 0 <= gap <= COMPLETION_S):
+        for m in self.moves.get(int(e.request_no), ()):
+            gap = e.us - m["us"]
+            if e.line_offset > m["offset"] and (m["generation"] == self.generation and abs(gap) <= _COMPLETION or m["late"] and 0 <= gap <= _COMPLETION):
                 out.append(self._patch(e, m, patch="result", result=e.result))
         return out
 
     def _ItemStored(self, e) -> list[tuple]:
-        blank = {"kind": "Invalid", "key": "", "raw": ""}
-        t = e.target
-        return [(e.session_id, e.line_offset, 0, "move", e.line_offset, 0, e.ts, "", "", "StoreItem", e.item_class, e.item_geid, 1, blank["raw"], blank["kind"], blank["key"], t["raw"], t["kind"], t["key"], None, None, None)]
+        return [(e.session_id, e.line_offset, 0, "move", e.line_offset, 0, e.ts, "", "", "StoreItem", e.item_class, e.item_geid, 1, "", "Invalid", "", e.tgt_raw, e.tgt_kind, e.tgt_key, None, None, None)]
 
     def _ChannelDisconnected(self, e) -> list[tuple]:
         self._forget()
         self.last = None
         for m in (m for held in self.moves.values() for m in held):
-            if 0 <= (e.ts - m["ts"]).total_seconds() <= COMPLETION_S:
+            if 0 <= e.us - m["us"] <= _COMPLETION:
                 m["late"] = True
         return []
 
-    def _trim(self, ts) -> None:
-        """What no later event can pair with goes."""
-        self.callers = {k: c for k, c in self.callers.items() if c[2] == self.generation and self._near(ts, c[1], COMPLETION_S)}
-        for held, seconds, at in ((self.spawns, SPAWN_S, lambda s: s[2]), (self.moves, COMPLETION_S, lambda m: m["ts"])):
-            for k in list(held):
-                held[k] = [x for x in held[k] if self._near(ts, at(x), seconds)]
-                if not held[k]:
-                    del held[k]
-            while len(held) > LIMIT:
-                del held[min(held, key=lambda k, held=held, at=at: at(held[k][-1]))]
-        for held in (self.callers, self.issued):
-            while len(held) > LIMIT:
-                del held[next(iter(held))]
+    def _LocationChanged(self, e) -> list[tuple]:
+        self.here = e.place or self.here
+        return []
+
+    def _expire(self, us: int) -> None:
+        """What is too old for any later event goes, the oldest first."""
+        for queue, held, at, window in ((self.move_queue, self.moves, lambda m: m["us"], _COMPLETION), (self.spawn_queue, self.spawns, lambda s: s[2], _SPAWN)):
+            while queue and us - queue[0][0] > window:
+                _, number = queue.popleft()
+                if (some := held.get(number)) is not None and (left := [x for x in some if us - at(x) <= window]) != some:
+                    if left:
+                        held[number] = left
+                    else:
+                        del held[number]
+        if len(self.callers) > 64 and us - next(iter(self.callers.values()))[1] > _COMPLETION:
+            self.callers = {k: c for k, c in self.callers.items() if us - c[1] <= _COMPLETION}
+
+    def _sweep(self, us: int) -> None:
+        """All that is too far from a time, on either side, goes."""
+        self.callers = {k: c for k, c in self.callers.items() if abs(us - c[1]) <= _COMPLETION}
+        for held, at, window in ((self.moves, lambda m: m["us"], _COMPLETION), (self.spawns, lambda s: s[2], _SPAWN)):
+            for number in list(held):
+                held[number] = [x for x in held[number] if abs(us - at(x)) <= window]
+                if not held[number]:
+                    del held[number]
+        self.move_queue = deque(sorted((m["us"], k) for k, held in self.moves.items() for m in held))
+        self.spawn_queue = deque(sorted((s[2], k) for k, held in self.spawns.items() for s in held))
 
 
 def with_location(events: DataFrame) -> DataFrame:
@@ -163,13 +201,9 @@ def with_location(events: DataFrame) -> DataFrame:
     return events.withColumn("_at", F.last(place, ignorenulls=True).over(w)).withColumns({"here": F.col("_at.id"), "here_since": F.col("_at.since")}).drop("_at")
 
 
-PAIRING_KINDS = ["MoveRequested", "MoveBatchRequested", "ItemMoved", "EntitySpawned", "MoveCompleted", "ItemStored", "ChannelDisconnected"]
-
-
 def paired(events: DataFrame) -> DataFrame:
     """Moves and patches, as the pass over each session emits them."""
-    e = with_location(events).where(F.col("event_kind").isin(*PAIRING_KINDS))
-    return fold(e, "session_id", ["line_offset"], Pairing, PAIRED)
+    return fold(pairing_rows(events), "session_id", ["line_offset"], Pairing, PAIRED)
 
 
 def settle(rows: DataFrame, closed: DataFrame, finished: DataFrame | None = None) -> DataFrame:

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def plain(batch: pd.DataFrame) -> Iterator[tuple]:
+    """Rows as named tuples, with None where a value is missing."""
+    row = namedtuple("Row", batch.columns)
+    columns = []
+    for name in batch.columns:
+        column = batch[name]
+        values = column.tolist()
+        if column.dtype != object and column.isna().any():
+            values = [None if gone else v for v, gone in zip(values, column.isna().tolist(), strict=True)]
+        columns.append(values)
+    return map(row, *columns) if columns else iter(())
+
+
 def fold(rows: DataFrame, key: str, order: list[str], state: Callable[[], object], schema: str) -> DataFrame:
     """Deal rows by key, sort them, and feed each key's rows to a state of its own.
 
@@ -20,7 +34,7 @@ def fold(rows: DataFrame, key: str, order: list[str], state: Callable[[], object
         now, held = None, None
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.itertuples(index=False):
+            for row in plain(batch):
                 if held is None or getattr(row, key) != now:
                     if held is not None:
                         out += held.end()

@@ -1,7 +1,8 @@
 """Growing log files as a stream of lines, resumed at byte offsets.
 
 The folder is one that the machines which run the query see under the same path. A line is read once its line feed is there. A file
-that became shorter was begun anew and is read from its start.
+that became shorter, or whose first line is another, was begun anew and is read from its start. ``begun`` is the beginning of the
+first line, which tells the two apart.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from .gamelog import split_bytes
 
-LINES = "path string, line_offset long, line string"
+LINES = "path string, begun string, line_offset long, line string"
 
 
-def _files(folder: str) -> dict[str, int]:
-    """Length up to the last line feed of each log file."""
+#: Bytes of the first line that tell a file from the one before it under the same path.
+HEAD = 64
+
+
+def _files(folder: str) -> dict[str, list]:
+    """Length up to the last line feed, and beginning of the first line, of each log file."""
     out = {}
     for top, _, names in os.walk(folder):
         for name in names:
@@ -26,7 +31,9 @@ def _files(folder: str) -> dict[str, int]:
                 path = os.path.join(top, name)
                 try:
                     with open(path, "rb") as f:
-                        out[path] = _whole(f)
+                        f.seek(0)
+                        head = f.read(HEAD).split(b"\n")[0].decode("utf-8", "replace")
+                        out[path] = [_whole(f), head]
                 except OSError:
                     continue  # tried again with the next batch
     return out
@@ -45,8 +52,8 @@ def _whole(f) -> int:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, begun: str, start: int, end: int):
+        self.path, self.begun, self.start, self.end = path, begun, start, end
 
 
 class TailReader(DataSourceStreamReader):
@@ -61,8 +68,11 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[_Part]:
         before, now = json.loads(start["files"]), json.loads(end["files"])
-        begin = {p: 0 if n < before.get(p, 0) else before.get(p, 0) for p, n in now.items()}
-        return [_Part(p, begin[p], n) for p, n in sorted(now.items()) if n > begin[p]] or [_Part("", 0, 0)]
+        begin = {}
+        for p, (n, head) in now.items():
+            old, old_head = before.get(p, [0, head])
+            begin[p] = 0 if n < old or head != old_head else old
+        return [_Part(p, head, begin[p], n) for p, (n, head) in sorted(now.items()) if n > begin[p]] or [_Part("", "", 0, 0)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         if not partition.path:
@@ -71,7 +81,7 @@ class TailReader(DataSourceStreamReader):
             f.seek(partition.start)
             data = f.read(partition.end - partition.start)
         for at, text in split_bytes(data):
-            yield partition.path, partition.start + at, text.lstrip("﻿") if partition.start + at == 0 else text
+            yield partition.path, partition.begun, partition.start + at, text.lstrip("﻿") if partition.start + at == 0 else text
 
     def commit(self, end: dict) -> None:
         pass

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.events import events as parse
-from ..operators.correlate import PAIRED, PAIRING_KINDS, Pairing, settle
+from ..operators.correlate import PAIRED, Pairing, pairing_rows, settle
+from ..operators.folds import plain
 from ..sources.tail import TailSource
 
 _NAMES = [c.strip().split()[0] for c in PAIRED.split(",")]
@@ -22,26 +23,28 @@ CLOSED = "closed"
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held, here = pickle.loads(state.get[0]) if state.exists else (Pairing(), None)
+    """Rows of a session's new lines. Lines at or before the last one seen are read again after a retry and change nothing;
+    a log that was begun anew, told by its first line's time, is another session."""
+    held, seen = pickle.loads(state.get[0]) if state.exists else (Pairing(), -1)
     rows = pd.concat(list(batches)).sort_values("line_offset")
     out: list[tuple] = []
-    for e in rows.itertuples(index=False):
-        if e.event_kind == "LocationChanged":
-            here = next((x for x in (e.location_id, e.landing_id) if x and x != "0"), here)
+    for e in plain(rows):
+        if e.line_offset <= seen:
             continue
+        seen = e.line_offset
         if e.event_kind == "ChannelDisconnected":
-            out.append(tuple({n: {"session_id": e.session_id, "line_offset": e.line_offset, "item_ix": -1, "patch": CLOSED, "at_offset": e.line_offset, "ts": e.ts}.get(n) for n in _NAMES}.values()))
-        out += held.step(e._replace(here=here))
-    state.update((pickle.dumps((held, here)),))
+            known = {"session_id": e.session_id, "line_offset": e.line_offset, "item_ix": -1, "patch": CLOSED, "at_offset": e.line_offset, "ts": e.ts}
+            out.append(tuple(known.get(n) for n in _NAMES))
+        out += held.step(e)
+    state.update((pickle.dumps((held, seen)),))
     yield pd.DataFrame(out, columns=_NAMES)
 
 
 def paired_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the pairing pass for the logs of a folder, as they grow."""
     spark.dataSource.register(TailSource)
-    lines = spark.readStream.format("gamelog").load(folder).withColumn("session_id", F.xxhash64("path"))
-    e = parse(lines).where(F.col("event_kind").isin(*PAIRING_KINDS, "LocationChanged")).withColumn("here", F.lit(None).cast("string"))
-    return e.groupBy("session_id").applyInPandasWithState(_step, PAIRED, "held binary", "append", GroupStateTimeout.NoTimeout)
+    lines = spark.readStream.format("gamelog").load(folder).withColumn("session_id", F.xxhash64("path", "begun"))
+    return pairing_rows(parse(lines)).groupBy("session_id").applyInPandasWithState(_step, PAIRED, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def follow(spark: SparkSession, folder: str, out: str, **trigger):
