@@ -47,23 +47,29 @@ def size_label(capacity: Column, key: Column) -> Column:
 
 
 def time_ago(at: Column, now: Column) -> Column:
+    """How long ago, rounded to the unit; the day itself from thirty days on."""
     s = F.unix_seconds(now) - F.unix_seconds(at)
-    return F.when(s < 60, "just now").when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit(" min ago"))).when(s < 86400, F.concat(F.floor(s / 3600).cast("string"), F.lit(" h ago"))).otherwise(F.concat(F.floor(s / 86400).cast("string"), F.lit(" d ago")))
+    in_ = lambda unit, name: F.concat(F.round(s / unit).cast("long").cast("string"), F.lit(name))
+    return F.when(s < 60, "just now").when(s < 3600, in_(60, " min ago")).when(s < 86400, in_(3600, " h ago")).when(s < 30 * 86400, in_(86400, " d ago")).otherwise(F.date_format(at, "yyyy-MM-dd"))
 
 
-# Labels by category.
+# Type labels by category; labels that end in (Armor) are armor too.
 CATEGORIES = {
-    "Armor": ["Helmet", "Torso Armor", "Arms Armor", "Legs Armor", "Undersuit", "Backpack"],
-    "Clothing": ["Hat", "Shirt", "Jacket", "Pants", "Shoes", "Gloves"],
-    "Weapon": ["Weapon", "Personal Weapon", "Knife", "Grenade", "Magazine", "Weapon Attachment"],
-    "Consumable": ["Food", "Drink", "Medical Consumable", "Consumable"],
-    "Component": ["Ship Weapon", "Cooler", "Power Plant", "Quantum Drive", "Shield Generator", "Missile"],
-}
+    "Armor": ["Armor", "Backpack", "Suit"],
+    "Clothing": ["Jacket", "Legs", "Shirt", "Shoes", "Hat", "Gloves", "Char Accessory Eyes", "Char Head Piercings"],
+    "Weapons": ["FPS Weapon", "Weapon Attachment", "Grenade"],
+    "Consumables": ["Food", "Drink", "Bottle", "Fps Consumable"],
+    "ShipParts": [
+        "Power Plant", "Cooler", "Shield", "Quantum Drive", "Jump Drive", "Radar", "Weapon Gun", "Weapon Defensive", "Weapon Mining", "Missile", "Missile Launcher", "Bomb", "Bomb Launcher", "Turret", "Utility Turret",
+        "Fuel Tank", "Quantum Fuel Tank", "External Fuel Tank", "Fuel Intake", "Main Thruster", "Manneuver Thruster", "Life Support Generator", "Quantum Interdiction Generator", "E M P", "Tractor Beam", "Salvage Head", "Salvage Modifier",
+    ],
+}
 
 
 def item_category(type_label: Column) -> Column:
-    out = None
+    """The category of a type label, whatever its case and the blanks around it; Other for any other and for none."""
+    label = F.lower(F.trim(type_label))
+    out = F.when(label.endswith("(armor)"), "Armor")
     for name, labels in CATEGORIES.items():
-        hit = F.lower(type_label).isin(*[x.lower() for x in labels])
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        out = out.when(label.isin(*[x.lower() for x in labels]), name)
     return out.otherwise("Other")

@@ -89,6 +89,11 @@ def is_consumable(name: Column | str) -> Column:
     return out
 
 
+def is_lootable(name: Column | str) -> Column:
+    """Crates that are found in the world, which nobody keeps."""
+    return F.coalesce(F.lower(_c(name)).contains("lootable"), F.lit(False))
+
+
 def ship_of_locker(name: Column | str) -> Column:
     """The ship class that a locker's class names, or null."""
     return group(name, _LOCKER)

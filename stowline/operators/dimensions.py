@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import is_holding, is_part_port, is_placeholder
+from ..functions.text import is_part_port, is_placeholder
 from ..plans.naming import is_system_only
 from .correlate import ARRIVAL_S, ASSET_S, NAME_S, with_location
 from .sessions import bursts
@@ -35,19 +35,19 @@ def location_names(events: DataFrame) -> DataFrame:
 
 
 def containers(events: DataFrame, moves: DataFrame) -> DataFrame:
-    """Class and capacity as last told, last seen, and where the player last was in reach of each."""
+    """Class and capacity as last told, last seen, and where the player last was in reach of each, by account."""
     e = with_location(events)
-    named = e.where("event_kind = 'ContainerIdentified'").select(F.col("item_geid").alias("geid"), F.col("item_class").alias("class_name"), F.lit(None).cast("long").alias("capacity"), "ts", *_SEQ, "here")
+    named = e.where("event_kind = 'ContainerIdentified'").select(F.col("item_geid").alias("geid"), F.col("item_class").alias("class_name"), F.lit(None).cast("long").alias("capacity"), "ts", *_SEQ, "here", "account")
     ends = F.array(F.struct(F.col("source").alias("ref"), F.col("source_capacity").alias("capacity")), F.struct(F.col("target").alias("ref"), F.col("target_capacity").alias("capacity")))
-    drag = e.where("event_kind = 'ContainerCapacitySeen'").select(F.explode(ends).alias("x"), "ts", *_SEQ, "here").where("x.ref.kind = 'Container'")
-    drag = drag.select(F.col("x.ref.key").alias("geid"), F.lit(None).cast("string").alias("class_name"), F.when(F.col("x.capacity") > 0, F.col("x.capacity")).alias("capacity"), "ts", *_SEQ, "here")
-    at = e.select("session_id", "line_offset", "ingest_seq", "here")
-    touch = moves.select("session_id", "line_offset", "ts", "src_kind", "src_key", "tgt_kind", "tgt_key").join(at, ["session_id", "line_offset"]).select(F.explode(F.array(F.struct(F.col("src_kind").alias("k"), F.col("src_key").alias("g")), F.struct(F.col("tgt_kind").alias("k"), F.col("tgt_key").alias("g")))).alias("x"), "ts", *_SEQ, "here").where("x.k = 'Container'")
-    touch = touch.select(F.col("x.g").alias("geid"), F.lit(None).cast("string").alias("class_name"), F.lit(None).cast("long").alias("capacity"), "ts", *_SEQ, "here")
+    drag = e.where("event_kind = 'ContainerCapacitySeen'").select(F.explode(ends).alias("x"), "ts", *_SEQ, "here", "account").where("x.ref.kind = 'Container'")
+    drag = drag.select(F.col("x.ref.key").alias("geid"), F.lit(None).cast("string").alias("class_name"), F.when(F.col("x.capacity") > 0, F.col("x.capacity")).alias("capacity"), "ts", *_SEQ, "here", "account")
+    at = e.select("session_id", "line_offset", "ingest_seq", "here", "account")
+    touch = moves.select("session_id", "line_offset", "ts", "src_kind", "src_key", "tgt_kind", "tgt_key").join(at, ["session_id", "line_offset"]).select(F.explode(F.array(F.struct(F.col("src_kind").alias("k"), F.col("src_key").alias("g")), F.struct(F.col("tgt_kind").alias("k"), F.col("tgt_key").alias("g")))).alias("x"), "ts", *_SEQ, "here", "account").where("x.k = 'Container'")
+    touch = touch.select(F.col("x.g").alias("geid"), F.lit(None).cast("string").alias("class_name"), F.lit(None).cast("long").alias("capacity"), "ts", *_SEQ, "here", "account")
     seen = named.unionByName(drag).unionByName(touch)
     seq = F.struct(*_SEQ)
     place = F.when(F.col("here").isNotNull(), F.struct("ts", (-F.col("ingest_seq")).alias("s"), (-F.col("line_offset")).alias("o")))
-    return seen.groupBy("geid").agg(
+    return seen.groupBy("account", "geid").agg(
         F.max_by("class_name", F.when(F.col("class_name").isNotNull(), seq)).alias("class_name"), F.max("ts").alias("last_seen"), F.max_by("here", place).alias("last_loc_id"),
         F.max_by("ts", place).alias("last_loc_ts"), F.max_by("capacity", F.when(F.col("capacity").isNotNull(), seq)).alias("capacity"),
     )
@@ -106,17 +106,12 @@ def sessions(lines: DataFrame, events: DataFrame, cutoff: str) -> DataFrame:
 
 
 def game_updates(sessions_with_build: DataFrame) -> DataFrame:
-    """Builds by their first time played, where they are newer than all before and not the first: (build, at, spawn, left_from, reset_at).
+    """Builds of each account by their first time played, where they are newer than all before and not the first: (account, build, at, spawn, left_from, reset_at).
 
     A row for each build is all that is ordered; sessions are summed first.
     """
     s = sessions_with_build.where("build IS NOT NULL").withColumn("at", F.coalesce("first_ts", "last_line_ts"))
-    by = s.groupBy("build").agg(F.min("at").alias("at"), F.min_by("first_loc_id", F.when(F.col("first_loc_id").isNotNull(), F.col("at"))).alias("spawn"), F.min("char_reset_at").alias("reset_at"), F.max_by("cur_loc_id", F.when(F.col("cur_loc_id").isNotNull(), F.col("at"))).alias("last_place"))
-    w = Window.orderBy("at", "build").rowsBetween(Window.unboundedPreceding, -1)
+    by = s.groupBy("account", "build").agg(F.min("at").alias("at"), F.min_by("first_loc_id", F.when(F.col("first_loc_id").isNotNull(), F.col("at"))).alias("spawn"), F.min("char_reset_at").alias("reset_at"), F.max_by("cur_loc_id", F.when(F.col("cur_loc_id").isNotNull(), F.col("at"))).alias("last_place"))
+    w = Window.partitionBy("account").orderBy("at", "build").rowsBetween(Window.unboundedPreceding, -1)
     out = by.withColumn("best", F.max("build").over(w)).withColumn("left_from", F.last("last_place", ignorenulls=True).over(w))
-    return out.where("best IS NOT NULL AND build > best").select("build", "at", "spawn", "left_from", "reset_at")
-
-
-def touched(moves: DataFrame) -> DataFrame:
-    """Holdings that moves name, with how many."""
-    return moves.where(is_holding(F.col("tgt_kind"))).groupBy("tgt_kind", "tgt_key").agg(F.count("*").alias("moves"))
+    return out.where("best IS NOT NULL AND build > best").select("account", "build", "at", "spawn", "left_from", "reset_at")

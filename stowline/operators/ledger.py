@@ -65,6 +65,8 @@ class Account:
 
     def __init__(self):
         self.places: dict[tuple, dict[str, Slot]] = {}
+        #: The places that have, or once had, a class.
+        self.places_of: dict[str, dict[tuple, None]] = {}
         self.at: dict[str, tuple] = {}
         self.carried: set[str] = set()
         self.settled: set[str] = set()
@@ -97,10 +99,12 @@ class Account:
         return tuple(values.get(n) for n in _NAMES)
 
     def _count(self, name: str, n: int = 1) -> None:
-        self.stats[name] = self.stats.get(name, 0) + n
+        if n:
+            self.stats[name] = self.stats.get(name, 0) + n
 
     def _slot(self, place: tuple, name: str, create: bool = False) -> Slot | None:
         if create:
+            self.places_of.setdefault(name, {})[place] = None
             return self.places.setdefault(place, {}).setdefault(name, Slot())
         return self.places.get(place, {}).get(name)
 
@@ -196,15 +200,15 @@ class Account:
         real = source[0] in REAL
         taken = self._draw(e, source, target, wanted, by, good, "from_source", None) if real else 0
         own = taken
-        if real:
-            for carrier in self._carriers():
+        if real and taken < wanted:
+            for carrier in self._carriers(e.item_class):
                 if carrier not in (source, target):
                     taken += self._draw(e, carrier, target, wanted - taken, by, good, "from_carried", True)
             taken += self._draw(e, LOST, target, wanted - taken, by, good, "from_lost_track", True, loose=False)
         if taken < wanted or taken > own:
             classes = self.places.get(source)
             cause = "NoSource" if not real else "SourceNeverSeen" if classes is None else "ClassNeverAtSource" if e.item_class not in classes else "AlreadyTaken"
-            elsewhere = next((p for p, c in self.places.items() if p not in (source, target) and (s := c.get(e.item_class)) and s.units()), None)
+            elsewhere = next((p for p in self.places_of.get(e.item_class, ()) if p not in (source, target) and self._slot(p, e.item_class).units()), None)
             covered = taken >= wanted
             rows.append(self._row("miss", item_class=e.item_class, quantity=wanted - (own if covered else taken), kind=target[0], key=target[1], at=e.ts, source_kind=source[0], source_key=source[1], duplicate_risk=elsewhere is not None, detail="CoveredByCarried" if covered else cause))
             if not covered:
@@ -230,8 +234,10 @@ class Account:
         self._count(stat, taken)
         return taken
 
-    def _carriers(self) -> list[tuple]:
-        return [BODY, *(("Container", g) for g in sorted(self.wearable) if ("Container", g) in self.places and self._worn_along(g))]
+    def _carriers(self, name: str) -> list[tuple]:
+        """The body and what is worn on it, as far as they have had the class."""
+        have = self.places_of.get(name, {})
+        return [BODY, *sorted(p for p in have if p[0] == "Container" and p[1] in self.wearable and self._worn_along(p[1]))]
 
     def _worn_along(self, geid: str) -> bool:
         seen = set()
@@ -312,7 +318,7 @@ class Account:
 
     def _reset(self, e) -> list[tuple]:
         n = sum(s.units() for c in self.places.values() for s in c.values())
-        for held in (self.places, self.at, self.carried, self.settled, self.port_of, self.occupant, self.out, self.into):
+        for held in (self.places, self.places_of, self.at, self.carried, self.settled, self.port_of, self.occupant, self.out, self.into):
             held.clear()
         self._count("wiped", n)
         return [self._row("reset", at=e.ts, quantity=n, detail=str(e.build))]
@@ -362,9 +368,3 @@ def timeline(moves: DataFrame, seen: DataFrame, resets: DataFrame, containers: D
 def ledger(entries: DataFrame) -> DataFrame:
     """Rows of every account: holdings, part parents, misses, placement checks, resets, counters (``row_kind``)."""
     return fold(entries, "account", ["ts", "rank", "seq", "sub", "item_geid"], Account, ROWS)
-
-
-def holdings(rows: DataFrame) -> DataFrame:
-    return rows.where("row_kind = 'holding'").select(*_NAMES[0:1], *_NAMES[2:15])
-
-

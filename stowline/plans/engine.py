@@ -2,49 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.events import events as parse
 from ..operators import dimensions as D, ledger as L
 from ..operators.correlate import moves as correlate
 from ..sources.gamelog import build_of, discover, read_lines, sessions_of
-from .holdings import chains, score, update_factors
+from . import naming as N
+from .holdings import chains, moved_the_player, score, update_factors
 from .store import cut
 
 #: Fixed value: moves before it are of another game patch.
 CUTOFF = "2026-07-16 00:00:00"
 
 
-def derive(lines: DataFrame, builds: DataFrame, account: str, cutoff: str = CUTOFF, finished: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of one account's lines (session_id, ingest_seq, line_offset, line); builds is (session_id, build).
+def derive(lines: DataFrame, builds: DataFrame, account: str | Column, cutoff: str = CUTOFF, finished: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of lines (session_id, ingest_seq, line_offset, line, ...); builds is (session_id, build).
 
-    Times of sessions count all lines; events before the cutoff do not count.
+    account is a name, or a column of the lines that gives one for each session (of their path, say): accounts run in
+    parallel. Times of sessions count all lines; events before the cutoff do not count.
     """
-    seq = lines.select("session_id", "ingest_seq").distinct()
-    own = {"account": F.lit(account), "seq": F.col("ingest_seq") * 10_000_000_000 + F.col("line_offset")}
+    whose = account if isinstance(account, Column) else F.lit(account)
+    seq = lines.groupBy("session_id").agg(F.min("ingest_seq").alias("ingest_seq"), F.min(whose).alias("account"))
+    number = {"seq": F.col("ingest_seq") * 10_000_000_000 + F.col("line_offset")}
     events = cut(parse(lines).where(F.col("ts") >= F.lit(cutoff).cast("timestamp")).join(seq, "session_id"))
-    moves = cut(correlate(events, finished).join(seq, "session_id").withColumns(own))
-    seen = D.sightings(events).withColumns(own)
-    sessions = cut(D.sessions(lines, events, cutoff).join(builds, "session_id", "left"))
+    moves = cut(correlate(events, finished).join(seq, "session_id").withColumns(number))
+    seen = D.sightings(events).withColumns(number).join(seq.select("session_id", "account"), "session_id")
+    sessions = cut(D.sessions(lines, events, cutoff).join(builds, "session_id", "left").join(seq.select("session_id", "account"), "session_id"))
     updates = D.game_updates(sessions)
-    containers = D.containers(events, moves).withColumn("account", F.lit(account))
-    containers, locations = cut(containers), cut(D.location_names(events))
-    resets = updates.where("reset_at IS NOT NULL").select(F.lit(account).alias("account"), F.col("at").alias("ts"), "build")
+    containers, locations = cut(D.containers(events, moves)), cut(D.location_names(events))
+    resets = updates.where("reset_at IS NOT NULL").select("account", F.col("at").alias("ts"), "build")
     rows = cut(L.ledger(L.timeline(moves, seen, resets, containers)))
     return {"events": events, "moves": moves, "sightings": seen, "sessions": sessions, "updates": updates, "containers": containers, "vehicles": D.vehicles(events), "attachments": D.attachments(seen), "location_names": locations, "place_evidence": D.place_evidence(events), "resets": resets, "ledger": rows}
 
 
-def resolve(tables: dict[str, DataFrame], as_of: str) -> DataFrame:
-    """Holdings with chain, score, confidence and caveats at a time."""
-    rows = tables["ledger"]
+def resolve(tables: dict[str, DataFrame], as_of: str, names: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
+    """Holdings with chain, score, confidence and caveats at a time.
+
+    Places are called what the catalogue of places calls them (``naming.place_catalogue``); names (class_name, display_name,
+    type_label) is a catalogue of items, from which each holding gets ``display_name`` and ``type_label``.
+    """
+    rows, spark = tables["ledger"], tables["ledger"].sparkSession
     held = rows.where("row_kind = 'holding'").select("account", "geid", "item_class", "quantity", "kind", "key", "since", "arrived_by", "confirmed", "inferred", "duplicate_risk", "ambiguous")
     parents = rows.where("row_kind = 'parent'").select("account", "geid")
-    factors = update_factors(rows.where("row_kind = 'check'"), tables["updates"])
-    return score(chains(held, parents, tables["containers"], tables["location_names"]), factors, F.lit(as_of).cast("timestamp"))
+    decided = decisions if decisions is not None else spark.createDataFrame([], "place_key string, name string, status string, sources int")
+    places = cut(N.place_catalogue(tables["location_names"], tables["place_evidence"], decided))
+    called = places.select(F.explode("alias_ids").alias("location_id"), F.when(F.col("status") == "Confirmed", F.col("name")).otherwise(F.concat("name", F.lit(" (unconfirmed)"))).alias("name")).dropDuplicates(["location_id"])
+    factors = moved_the_player(update_factors(rows.where("row_kind = 'check'"), tables["updates"]), places)
+    out = score(chains(held, parents, tables["containers"], called), factors, F.lit(as_of).cast("timestamp"))
+    if names is None:
+        return out.withColumns({"display_name": F.lit(None).cast("string"), "type_label": F.lit(None).cast("string")})
+    return N.name_by_stem(out, names).drop("dropped_parts")
 
 
-def from_folder(spark: SparkSession, folder: str, account: str = "me", cutoff: str = CUTOFF) -> dict[str, DataFrame]:
-    """Tables of a folder of logs; all but the live log are finished."""
+def from_folder(spark: SparkSession, folder: str, account: str | Column = "me", cutoff: str = CUTOFF) -> dict[str, DataFrame]:
+    """Tables of a folder of logs; all but the live log are finished. account may be a column of ``path``."""
     files, raw = discover(spark, folder, cutoff), read_lines(spark, folder)
     lines = sessions_of(raw, files)
     named = files.join(build_of(raw).withColumnRenamed("build", "_b"), "path", "left").select("path", "is_live", F.coalesce("build", "_b").alias("build"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scoring as S
-from ..functions.text import is_apparel, is_consumable, ship_of_locker
+from ..functions.text import is_apparel, is_consumable, is_lootable, ship_of_locker
 
 HOPS = 6
 LINK = "struct<kind:string,key:string,label:string,item_class:string,label_prefix:string>"
@@ -17,11 +17,11 @@ def _link(kind, key, label, item_class, prefix) -> Column:
 
 
 def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations: DataFrame) -> DataFrame:
-    """rows (account, kind, key, ...) with ``chain`` (outermost last) and ``chain_factor``.
+    """rows (account, kind, key, ...) with ``chain`` (outermost last), ``chain_factor`` and ``chain_caveats``.
 
     Each of up to six hops asks, by equi-joins on the account and the place's key, what holds the container, and notes what
-    it saw; links and factors are made of the notes in the end. A place that nothing holds ends at where the player
-    last opened it, or is unknown.
+    it saw; links, factors and caveats are made of the notes in the end. A container that nothing holds ends at where the
+    player last opened it, or is unknown; one that is found loot has no place at all.
     """
     about = lambda c: (is_apparel(c), ship_of_locker(c))
     worn, ship = about("item_class")
@@ -30,7 +30,8 @@ def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations
     known = containers.select("account", F.col("geid").alias("_g"), F.col("class_name").alias("_c2"), F.col("capacity").alias("_cap"), F.col("last_loc_id").alias("_loc"), worn.alias("_w2"), ship.alias("_s2"))
     boxes = held.join(known, ["account", "_g"], "full").join(parents.select("account", F.col("geid").alias("_g"), F.lit(True).alias("_part")), ["account", "_g"], "left")
     boxes = boxes.select("account", "_g", "_k", "_key", F.coalesce("_c", "_c2").alias("_c"), "_cap", "_loc", F.coalesce("_w", "_w2", F.lit(False)).alias("_w"), F.coalesce("_s", "_s2").alias("_s"), F.coalesce("_part", F.lit(False)).alias("_part"))
-    out = rows.withColumns({"_nk": F.col("kind"), "_nkey": F.col("key")})
+    loot = lambda x: is_lootable(x["cls"])
+    out = rows.withColumns({"_nk": F.col("kind"), "_nkey": F.col("key"), "_loop": F.lit(False)})
     for depth in range(HOPS):
         j = out.withColumn("_g", F.when(F.col("_nk") == "Container", F.col("_nkey"))).join(boxes, ["account", "_g"], "left")
         box = F.col("_nk") == "Container"
@@ -39,16 +40,16 @@ def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations
         for x in before:
             loop = loop | F.coalesce(x, F.lit(False))
         note = F.when(F.col("_nk").isNotNull() & ~(box & loop), F.struct(F.col("_nk").alias("kind"), F.col("_nkey").alias("key"), F.lit(depth).alias("depth"), F.col("_c").alias("cls"), F.col("_cap").alias("cap"), F.coalesce("_w", F.lit(False)).alias("worn"), F.col("_s").alias("ship"), F.coalesce("_part", F.lit(False)).alias("part"), F.col("_k").isNotNull().alias("held"), F.col("_loc").alias("loc")))
-        j = j.withColumn(f"_p{depth}", note)
+        j = j.withColumn(f"_p{depth}", note).withColumn("_loop", F.col("_loop") | F.coalesce(box & loop, F.lit(False)))
         p = F.col(f"_p{depth}")
         onward = (p["kind"] == "Container") & p["ship"].isNull()
         j = j.withColumns({
-            "_nk": F.when(onward & p["held"], F.col("_k")).when(onward & p["worn"], "Equipped").when(onward & p["loc"].isNotNull(), "Location"),
-            "_nkey": F.when(onward & p["held"], F.col("_key")).when(onward & p["worn"], "").when(onward & p["loc"].isNotNull(), F.col("_loc")),
+            "_nk": F.when(onward & p["held"], F.col("_k")).when(onward & p["worn"], "Equipped").when(onward & p["loc"].isNotNull() & ~loot(p), "Location"),
+            "_nkey": F.when(onward & p["held"], F.col("_key")).when(onward & p["worn"], "").when(onward & p["loc"].isNotNull() & ~loot(p), F.col("_loc")),
         })
         out = j.drop("_g", "_k", "_key", "_c", "_cap", "_loc", "_w", "_s", "_part")
     notes = [f"_p{d}" for d in range(HOPS)]
-    out = out.withColumn("notes", F.filter(F.array(*notes), lambda x: x.isNotNull())).drop("_nk", "_nkey", *notes)
+    out = out.withColumn("notes", F.filter(F.array(*notes), lambda x: x.isNotNull())).withColumn("_deep", F.col("_nk").isNotNull()).drop("_nk", "_nkey", *notes)
     # A chain has one place with a name, its last: one join names it.
     last = F.element_at("notes", -1)
     spot = F.when((F.size("notes") > 0) & last["kind"].isin("Location", "World"), last["key"])
@@ -70,41 +71,95 @@ def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations
         alone = box & ~x["held"]
         return (
             total * S.factor((x["kind"] == "Location") & name.isNull(), S.UNNAMED_LOCATION) * S.factor(x["kind"] == "LostTrack", S.LOST_TRACK)
-            * S.factor(box & (x["depth"] > 0) & ~x["worn"] & ~x["part"], S.CONTAINER_HOP) * S.factor(alone & ~x["worn"] & x["loc"].isNotNull(), S.OPENED_HERE)
-            * S.factor(alone & x["worn"], S.NEVER_PLACED) * S.factor(alone & ~x["worn"] & x["loc"].isNull(), S.UNKNOWN_CONTAINER)
+            * S.factor(box & (x["depth"] > 0) & ~x["worn"] & ~x["part"], S.CONTAINER_HOP) * S.factor(alone & ~x["worn"] & x["loc"].isNotNull() & ~loot(x), S.OPENED_HERE)
+            * S.factor(alone & x["worn"], S.NEVER_PLACED) * S.factor(alone & ~x["worn"] & (x["loc"].isNull() | loot(x)), S.UNKNOWN_CONTAINER)
         )
 
-    return out.withColumns({"chain": F.transform(F.filter("notes", lambda x: ~hidden(x)), link), "chain_factor": F.aggregate("notes", F.lit(1.0), doubt)}).drop("notes", "_l", "_name")
+    def warned(x: Column) -> Column:
+        """What is to be said of a container that nothing holds."""
+        alone = (x["kind"] == "Container") & x["ship"].isNull() & ~x["held"]
+        label = F.coalesce(x["cls"], S.size_label(x["cap"], x["key"]))
+        return (
+            F.when(alone & x["worn"], "in worn apparel that was never seen being stored anywhere, so assumed still carried")
+            .when(alone & loot(x), F.concat(F.lit("'"), label, F.lit("' is a lootable container, not a tracked place")))
+            .when(alone & x["loc"].isNotNull(), F.concat(F.lit("'"), label, F.lit("' was placed by where you last opened it, not by a recorded move")))
+            .when(alone, F.concat(F.lit("we have never seen where '"), label, F.lit("' itself is kept")))
+        )
+
+    ends = F.array(F.when(F.col("_loop"), "container nesting loops back on itself"), F.when(F.col("_deep"), "container nesting was deeper than we follow"))
+    caveats = F.filter(F.concat(F.transform("notes", warned), ends), lambda x: x.isNotNull())
+
+    return out.withColumns({"chain": F.transform(F.filter("notes", lambda x: ~hidden(x)), link), "chain_factor": F.aggregate("notes", F.lit(1.0), doubt), "chain_caveats": caveats}).drop("notes", "_l", "_name", "_loop", "_deep")
+
+
+#: Builds up to which a table of updates is sent to every task.
+BROADCAST_BUILDS = 10_000
 
 
 def update_factors(checks: DataFrame, updates: DataFrame) -> DataFrame:
-    """updates with how many checked placements spanned each, how many held, and its factor.
+    """updates (account, build, ...) with how many checked placements of their account spanned each, how many held, and the factor.
 
-    Updates are builds ever played: their number is checked before they are broadcast.
+    Updates are builds ever played: a small table is broadcast, any other joins by account.
     """
-    if updates.count() > 10_000:
-        raise ValueError("more builds than there can be")
-    c = checks.select("since", F.col("at").alias("seen_at"), "same_place")
-    by = F.broadcast(updates).join(c, (F.col("at") > F.col("since")) & (F.col("at") <= F.col("seen_at")), "left").groupBy("build", "at", "spawn", "left_from", "reset_at").agg(F.count("since").alias("checked"), F.count_if("same_place").alias("survived"))
+    u = F.broadcast(updates) if updates.count() <= BROADCAST_BUILDS else updates
+    c = checks.select("account", "since", F.col("at").alias("seen_at"), "same_place")
+    spans = (u["account"] == c["account"]) & (u["at"] > c["since"]) & (u["at"] <= c["seen_at"])
+    hit = c.join(u, spans).groupBy(u["account"], u["build"]).agg(F.count("since").alias("checked"), F.count_if("same_place").alias("survived"))
+    by = updates.join(hit, ["account", "build"], "left").na.fill(0, ["checked", "survived"])
     return by.withColumn("factor", S.survival_factor("survived", "checked"))
 
 
+def moved_the_player(updates: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """updates with ``moved``: whether the player spawned at another place than where they had left; null ends don't count.
+
+    places (place_key, alias_ids) folds the ids of one place.
+    """
+    out = updates
+    for end in ("spawn", "left_from"):
+        if places is None:
+            out = out.withColumn(f"_{end}", F.col(end))
+        else:
+            ids = places.select(F.explode("alias_ids").alias(end), F.col("place_key").alias(f"_{end}")).dropDuplicates([end])
+            out = out.join(ids, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    moved = F.coalesce((F.col("_spawn") != F.col("_left_from")) & F.col("left_from").isNotNull() & F.col("spawn").isNotNull(), F.lit(False))
+    return out.withColumn("moved", moved).drop("_spawn", "_left_from")
+
+
+def update_caveat(u: Column) -> Column:
+    """What is to be said of a placement before an update: (build, checked, survived, reset_at, spawn, left_from, moved)."""
+    build = u["build"].cast("string")
+    plain = F.concat(F.lit("placed before the game update to build "), build)
+    return (
+        F.when(u["checked"] >= S.SURVIVAL_LEAST, F.concat(plain, F.lit(", after which "), (u["checked"] - u["survived"]).cast("string"), F.lit(" of "), u["checked"].cast("string"), F.lit(" items checked were not where the ledger had them")))
+        .when(u["reset_at"].isNotNull(), F.concat(F.lit("placed before the character reset of "), F.date_format(u["reset_at"], "yyyy-MM-dd"), F.lit(" (game build "), build, F.lit("), which cleared everything held before it")))
+        .when(u["spawn"].isNull(), F.concat(plain, F.lit(", which came without a character reset — the logs do not say where the player spawned after it, and no later move has checked it")))
+        .when(u["moved"], F.concat(plain, F.lit(", which came without a character reset — the player spawned somewhere new, and no later move has checked whether stored items stayed put")))
+        .when(u["left_from"].isNull(), F.concat(plain, F.lit(", which no later move has checked — the logs do not say where the player logged out before it, so nothing says whether it moved anything")))
+        .otherwise(F.concat(plain, F.lit(", which no later move has checked — the player picked up where they had logged out, so nothing says whether it moved anything")))
+    )
+
+
 def score(rows: DataFrame, updates: DataFrame, as_of: Column) -> DataFrame:
-    """rows of chains() with score, confidence and caveats at a given time."""
-    listed = updates.agg(F.array_sort(F.collect_list(F.struct("at", "build", "factor"))).alias("updates"))
-    r = rows.crossJoin(F.broadcast(listed))
+    """rows of chains() with score, confidence and caveats at a given time; updates are those of update_factors() and moved_the_player()."""
+    one = F.struct("at", "build", "factor", "checked", "survived", "reset_at", "spawn", "left_from", "moved")
+    listed = updates.groupBy("account").agg(F.array_sort(F.collect_list(one)).alias("updates"))
+    r = rows.join(listed, "account", "left")
     crossed = F.filter("updates", lambda u: (u["at"] > F.col("since")) & (u["at"] <= as_of))
-    worst = F.coalesce(F.array_min(F.transform(crossed, lambda u: u["factor"])), F.lit(1.0))
+    r = r.withColumn("crossed", F.coalesce(crossed, F.array().cast(r.schema["updates"].dataType)))
+    worst = F.coalesce(F.array_min(F.transform("crossed", lambda u: u["factor"])), F.lit(1.0))
     age = F.unix_seconds(as_of) - F.unix_seconds("since")
     stale_food = is_consumable("item_class") & ~F.col("arrived_by").isin("Carry", "Drop") & (F.col("kind") != "Location") & (age > S.SHELF_DAYS * 86400)
     guess = F.col("inferred")
     factors = {
         "unconfirmed": (~F.col("confirmed"), S.UNCONFIRMED), "may be counted twice": (guess & F.col("duplicate_risk"), S.DUPLICATE_RISK), "first seen in passing": (guess & ~F.col("duplicate_risk"), 1.0), "last carried in hand": (F.col("arrived_by") == "Carry", S.CARRIED),
-        "may have been used": (stale_food, S.STALE_CONSUMABLE), "dropped": (F.col("arrived_by") == "Drop", S.DROPPED), "not seen for a month": (age > S.STALE_DAYS * 86400, 1.0), "one of several alike": (F.col("geid").isNotNull() & F.col("ambiguous"), 1.0), "moved before an update": (F.size(crossed) > 0, 1.0),
+        "may have been used": (stale_food, S.STALE_CONSUMABLE), "dropped": (F.col("arrived_by") == "Drop", S.DROPPED), "not seen for a month": (age > S.STALE_DAYS * 86400, 1.0), "one of several alike": (F.col("geid").isNotNull() & F.col("ambiguous"), 1.0),
     }
     total = S.product([S.factor(when, by) for when, by in factors.values()]) * worst * F.col("chain_factor")
-    caveats = F.filter(F.array(*[F.when(when, F.lit(name)) for name, (when, _) in factors.items()]), lambda x: x.isNotNull())
-    return r.withColumns({"score": total, "confidence": S.confidence_label(S.confidence_rank(total)), "rank": S.confidence_rank(total), "caveats": caveats}).drop("updates", "chain_factor")
+    # Of several updates, the one that weighs most is told, the newest of equals.
+    weight = lambda u: F.struct((-u["factor"]).alias("f"), u["at"].alias("at"), update_caveat(u).alias("text"))
+    told = F.array_max(F.transform("crossed", weight))["text"]
+    caveats = F.filter(F.concat(F.array(*[F.when(when, F.lit(name)) for name, (when, _) in factors.items()], told), "chain_caveats"), lambda x: x.isNotNull())
+    return r.withColumns({"score": total, "confidence": S.confidence_label(S.confidence_rank(total)), "rank": S.confidence_rank(total), "caveats": caveats}).drop("updates", "crossed", "chain_factor", "chain_caveats")
 
 
 def where_text(chain: Column) -> Column:

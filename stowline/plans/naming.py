@@ -65,8 +65,9 @@ def name_by_stem(items: DataFrame, names: DataFrame, drop: int = 3, keep: int =
     parts = F.split("item_class", "_")
     stems = F.transform(F.sequence(F.lit(0), F.lit(drop)), lambda n: F.struct(n.alias("n"), F.lower(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - n, F.lit(0))), "_")).alias("stem"), (F.size(parts) - n >= F.when(n == 0, 1).otherwise(keep)).alias("ok")))
     asked = items.select("item_class").distinct().select("item_class", F.explode(stems).alias("s")).where("s.ok")
-    lower = names.groupBy(F.lower("class_name").alias("stem")).agg(F.min("display_name").alias("display_name"))
-    hit = asked.join(lower, F.col("s.stem") == F.col("stem")).groupBy("item_class").agg(F.min_by("display_name", "s.n").alias("display_name"), F.min("s.n").alias("dropped_parts"))
+    extra = [c for c in ("type_label",) if c in names.columns]
+    lower = names.groupBy(F.lower("class_name").alias("stem")).agg(F.min("display_name").alias("display_name"), *[F.min_by(c, "display_name").alias(c) for c in extra])
+    hit = asked.join(lower, F.col("s.stem") == F.col("stem")).groupBy("item_class").agg(F.min_by("display_name", "s.n").alias("display_name"), *[F.min_by(c, "s.n").alias(c) for c in extra], F.min("s.n").alias("dropped_parts"))
     return items.join(hit, "item_class", "left")
 
 
@@ -102,3 +103,82 @@ def place_catalogue(raw_names: DataFrame, evidence: DataFrame, decisions: DataFr
         out = out.join(side, "place_key", "left")
     named = out.withColumn("name", F.coalesce("decided", "route_name", "raw", "near_name")).where("name IS NOT NULL")
     return named.select("place_key", "alias_ids", "name", F.coalesce(system_of_raw(F.col("raw")), "asset_system").alias("system"), "raw", F.coalesce("status", F.lit("Proposed")).alias("status"), F.coalesce("sources", F.lit(0)).alias("sources"))
+
+
+# Planets by system and orbit, station abbreviations, stations by planet and slot, places that fit no pattern.
+PLANETS = {
+    ("Stanton", 1): "Hurston", ("Stanton", 2): "Crusader", ("Stanton", 3): "ArcCorp", ("Stanton", 4): "microTech", ("Pyro", 1): "Pyro I", ("Pyro", 2): "Monox", ("Pyro", 3): "Bloom",
+    ("Pyro", 4): "Pyro IV", ("Pyro", 5): "Pyro V", ("Pyro", 6): "Terminus", ("Nyx", 1): "Nyx I", ("Nyx", 2): "Nyx II", ("Nyx", 3): "Nyx III",
+}
+BODIES = {"HUR": ("Stanton", 1), "CRU": ("Stanton", 2), "ARC": ("Stanton", 3), "MIC": ("Stanton", 4), "P1": ("Pyro", 1), "P2": ("Pyro", 2), "P3": ("Pyro", 3), "P4": ("Pyro", 4), "P5": ("Pyro", 5), "P6": ("Pyro", 6)}
+STATIONS = {
+    "HUR_LEO": "Everus Harbor", "HUR_L1": "HUR-L1 Green Glade Station", "HUR_L2": "HUR-L2 Faithful Dream Station", "HUR_L3": "HUR-L3 Thundering Express Station", "HUR_L4": "HUR-L4 Melodic Fields Station", "HUR_L5": "HUR-L5 High Course Station",
+    "CRU_LEO": "Seraphim Station", "CRU_L1": "CRU-L1 Ambitious Dream Station", "CRU_L4": "CRU-L4 Shallow Fields Station", "CRU_L5": "CRU-L5 Beautiful Glen Station",
+    "ARC_LEO": "Baijini Point", "ARC_L1": "ARC-L1 Wide Forest Station", "ARC_L2": "ARC-L2 Lively Pathway Station", "ARC_L3": "ARC-L3 Modern Express Station", "ARC_L4": "ARC-L4 Faint Glen Station", "ARC_L5": "ARC-L5 Yellow Core Station",
+    "MIC_LEO": "Port Tressler", "MIC_L1": "MIC-L1 Shallow Frontier Station", "MIC_L2": "MIC-L2 Long Forest Station", "MIC_L3": "MIC-L3 Endless Odyssey Station", "MIC_L4": "MIC-L4 Red Crossroads Station", "MIC_L5": "MIC-L5 Modern Icarus Station",
+    "P2_L4": "Checkmate Station", "P3_LEO": "Orbituary", "P3_L1": "Starlight Service Station", "P3_L3": "Patch City", "P5_L2": "Gaslight", "P5_L4": "Rod's Fuel 'N Supplies", "P5_L5": "Rat's Nest",
+    "P6_LEO": "Ruin Station", "P6_L3": "Endgame", "P6_L4": "Dudley & Daughters", "P6_L5": "Megumi Refueling",
+}
+ONE_OFFS = {"nyx_levski": ("Levski", "Delamar")}
+_ZONE, _STATION = r"^([A-Za-z]+)([0-9]+)_(.+)$", r"(?i)^R[RS]_([A-Za-z]+[0-9]?)_(LEO|L[1-5])$"
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """A small fixed table as a map of the plan."""
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+
+
+def known_place(raw: Column) -> Column:
+    """struct(place, planet) of an internal name on record: a landing zone of a planet, a station, or one that fits no pattern."""
+    low = F.lower(raw)
+    once = F.when(low.isin(*ONE_OFFS), F.struct(_lookup({k: v[0] for k, v in ONE_OFFS.items()}, low).alias("place"), _lookup({k: v[1] for k, v in ONE_OFFS.items()}, low).alias("planet")))
+    planet = _lookup({f"{s.lower()}{n}": name for (s, n), name in PLANETS.items()}, F.concat(F.lower(F.regexp_extract(raw, _ZONE, 1)), F.regexp_replace(F.regexp_extract(raw, _ZONE, 2), "^0+(?=[0-9])", "")))
+    zone = F.when(raw.rlike(_ZONE) & planet.isNotNull(), F.struct(F.translate(F.regexp_extract(raw, _ZONE, 3), "_", " ").alias("place"), planet.alias("planet")))
+    body, slot = F.upper(F.regexp_extract(raw, _STATION, 1)), F.upper(F.regexp_extract(raw, _STATION, 2))
+    name, world = _lookup(STATIONS, F.concat_ws("_", body, slot)), _lookup({b: PLANETS[at] for b, at in BODIES.items()}, body)
+    station = F.when(raw.rlike(_STATION) & name.isNotNull(), F.struct(name.alias("place"), F.when(slot == "LEO", world).otherwise(F.concat_ws(" ", world, slot)).alias("planet")))
+    return F.coalesce(once, zone, station)
+
+
+def game_text_names(raw_names: DataFrame, text: DataFrame) -> DataFrame:
+    """location_id, name: what the game's text (key, value) calls a raw name, by the key itself or by one of its patterns.
+
+    Keys are asked for in order; the first that the text has counts, and a transfer station may be the only child of its key.
+    """
+    from ..sources.files import only_child
+
+    raw, orbit, jump, social = F.col("name"), r"(?i)^R[RS]_([A-Za-z]+[0-9]?)_LEO$", r"^R[RS]_JP_([A-Z][a-z]+)([A-Z][a-z]+)$", r"(?i)^AsteroidClusterBase_([A-Za-z]+)_Social_[A-Za-z]+_([0-9]+)$"
+    part = lambda p, n: F.regexp_extract(raw, p, n)
+    number = _lookup({b: str(n) for b, (s, n) in BODIES.items() if s == "Stanton"}, F.upper(part(orbit, 1)))
+    transfer = F.concat(F.lit("stanton"), number, F.lit("_transfer"))
+    asked = F.array(raw, F.when(raw.rlike(orbit), F.concat(F.lit("rr_"), part(orbit, 1))), F.when(raw.rlike(orbit), transfer), F.when(raw.rlike(jump), F.concat(part(jump, 1), F.lit("_"), part(jump, 2), F.lit("_jpstation"))), F.when(raw.rlike(social), F.concat(part(social, 1), F.lit("_socialstation_"), part(social, 2))))
+    keys = raw_names.select("location_id", F.posexplode(asked).alias("n", "k")).where("k IS NOT NULL").withColumn("key", F.lower("k"))
+    own = keys.join(text.select(F.lower("key").alias("key"), "value"), "key").select("location_id", "n", "value")
+    stems = raw_names.select("location_id", transfer.alias("stem")).where(raw.rlike(orbit) & F.col("stem").isNotNull())
+    child = only_child(text, stems).join(text.select(F.lower("key").alias("key"), "value"), "key").join(stems, "stem").select("location_id", F.lit(9).alias("n"), "value")
+    return own.unionByName(child).groupBy("location_id").agg(F.min_by("value", "n").alias("name"))
+
+
+def wiki_place(names: DataFrame, wiki: DataFrame) -> DataFrame:
+    """names (name, system, ...) with the first wiki row (id, name, system) of that name in that system; an unknown system matches none."""
+    first = wiki.groupBy(F.lower("name").alias("_n"), F.lower("system").alias("_s")).agg(F.min("id").alias("wiki_id"))
+    return names.join(first, (F.lower("name") == F.col("_n")) & (F.lower("system") == F.col("_s")), "left").drop("_n", "_s")
+
+
+def place_proposals(raw_names: DataFrame, evidence: DataFrame, text: DataFrame, wiki: DataFrame) -> DataFrame:
+    """(place_key, name, source, rank) from route names, game text, known places and the wiki: what ``resolve_names`` weighs."""
+    folded = canonical_places(raw_names, evidence).select("location_id", F.col("canonical_id").alias("place_key"))
+    log = majority(evidence.where("kind = 'name'").join(folded, "location_id"), "place_key", "value", "hits").select("place_key", F.col("value").alias("name"), F.lit(SOURCES["log"]).alias("source"), F.lit(0).alias("rank"))
+    told = game_text_names(raw_names, text).join(folded, "location_id").select("place_key", "name", F.lit(SOURCES["game_text"]).alias("source"), F.lit(1).alias("rank"))
+    known = raw_names.select("location_id", known_place(F.col("name")).alias("k")).where("k IS NOT NULL").join(folded, "location_id").select("place_key", F.col("k.place").alias("name"), F.lit(SOURCES["known_places"]).alias("source"), F.lit(2).alias("rank"))
+    found = log.unionByName(told).unionByName(known)
+    system = raw_names.select("location_id", system_of_raw(F.col("name")).alias("system")).join(folded, "location_id").groupBy("place_key").agg(F.max("system").alias("system"))
+    seconded = wiki_place(found.select("place_key", "name").distinct().join(system, "place_key"), wiki).where("wiki_id IS NOT NULL").select("place_key", "name", F.lit(SOURCES["wiki"]).alias("source"), F.lit(3).alias("rank"))
+    return found.unionByName(seconded).distinct()
+
+
+def name_coverage(items: DataFrame, names: DataFrame) -> DataFrame:
+    """How many item classes are named by their own class, by a stem, and not at all."""
+    hit = name_by_stem(items.select("item_class").distinct(), names)
+    kind = F.when(F.col("dropped_parts").isNull(), "none").when(F.col("dropped_parts") == 0, "exact").otherwise("stem")
+    return hit.groupBy(kind.alias("match")).agg(F.count("*").alias("classes"))

@@ -29,14 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
 class Snapshots:
-    """Versions of a set of tables below one folder, named by a pointer file that is written last.
+    """Versions of a set of tables below one folder; a version counts once its pointer file is there, which is written last.
 
-    Readers take all tables from the version that the pointer names. Paths may be on any file system that Spark reads.
+    Pointers are never replaced: the current version is the highest one that has one. So a crash at any point leaves
+    readers with the version before. Paths may be on any file system that Spark reads.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -46,29 +50,37 @@ class Snapshots:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _versions(self, prefix: str) -> list[int]:
+        """Numbers behind the prefix of the folder's entries."""
+        fs, p = self._fs(self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and n.removeprefix(prefix).isdigit())
+
+    def _meta(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/committed-{version}").first()[0])
+
     def current(self) -> int | None:
-        fs, p = self._fs(f"{self.path}/_CURRENT")
-        return json.loads(self.spark.read.text(f"{self.path}/_CURRENT").first()[0])["version"] if fs.exists(p) else None
+        return max(self._versions("committed-"), default=None)
 
     def publish(self, tables: dict[str, DataFrame]) -> int:
-        version = (self.current() or 0) + 1
+        """Write the next version; folders of one that was never finished are not used again."""
+        version = max([0, *self._versions("committed-"), *self._versions("v=")]) + 1
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v={version}/{name}")
-        fs, p = self._fs(f"{self.path}/_CURRENT")
-        tmp = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_CURRENT.new")
-        out = fs.create(tmp, True)
+            df.write.mode("errorifexists").parquet(f"{self.path}/v={version}/{name}")
+        fs, tmp = self._fs(f"{self.path}/_new-{version}")
+        out = fs.create(tmp, False)
         out.write(bytearray(json.dumps({"version": version, "schema": SCHEMA_VERSION, "parser": PARSER_VERSION}).encode()))
         out.close()
-        fs.delete(p, False)
-        fs.rename(tmp, p)
+        if not fs.rename(tmp, self._fs(f"{self.path}/committed-{version}")[1]):
+            raise RuntimeError(f"version {version} was committed by another writer")
         return version
 
     def stale(self) -> bool:
         """Whether the stored version was derived by other rules and must be derived anew."""
-        fs, p = self._fs(f"{self.path}/_CURRENT")
-        if not fs.exists(p):
+        version = self.current()
+        if version is None:
             return True
-        meta = json.loads(self.spark.read.text(f"{self.path}/_CURRENT").first()[0])
+        meta = self._meta(version)
         return (meta["schema"], meta["parser"]) != (SCHEMA_VERSION, PARSER_VERSION)
 
     def read(self, name: str, version: int | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# What a version looks like; last parts of keys that are no names.
+NOT_NAMES = ["desc", "description", "clinic", "hospital"]
 _VERSION = r"\b(\d+\.\d+(?:\.\d+)?)-[a-z]+\.(\d{6,})\b"
 
 
@@ -31,9 +33,9 @@ def catalogue_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def only_child(keys: DataFrame, stems: DataFrame) -> DataFrame:
-    """stem -> its one child key: ``stem_x`` with no further part, where there is exactly one.
+    """stem -> its one child key: ``stem_x`` with no further part, where there is exactly one that can be a name.
 
     A key's own stem is what stands before its last part, so an equi-join finds the children.
     """
-    child = keys.select(F.regexp_replace(F.lower("key"), r"_[^_]+$", "").alias("stem"), F.lower("key").alias("key")).where("stem <> key")
+    child = keys.select(F.regexp_replace(F.lower("key"), r"_[^_]+$", "").alias("stem"), F.lower("key").alias("key")).where("stem <> key").where(~F.element_at(F.split("key", "_"), -1).isin(*NOT_NAMES)).distinct()
     return stems.select(F.lower("stem").alias("stem")).distinct().join(child, "stem").groupBy("stem").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").select("stem", "key")

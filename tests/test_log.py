@@ -139,7 +139,7 @@ def test_chain_and_score(spark):
         store(at(2), 1, "crate_a", 700000000005), done(at(2, 1), 1), store(at(3), 2, "gem", 700000000006, "INVALID", "700000000005:Container:0"), done(at(3, 1), 2),
     ]
     got = {r["item_class"]: r for r in resolve(tables(spark, lines), "2026-08-02 00:00:00").collect()}
-    assert [x["label"] for x in got["gem"]["chain"]] == ["crate_a", "Area18"] and got["gem"]["score"] == 1.0 and got["gem"]["confidence"] == "High"
+    assert [x["label"] for x in got["gem"]["chain"]] == ["crate_a", "Area18 (unconfirmed)"] and got["gem"]["score"] == 1.0 and got["gem"]["confidence"] == "High"
     assert [x["label"] for x in got["crate_a"]["chain"]] == ["Area18"]
 
 
