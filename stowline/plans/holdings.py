@@ -25,11 +25,11 @@ def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations
     """
     about = lambda c: (is_apparel(c), ship_of_locker(c))
     worn, ship = about("item_class")
-    held = rows.where("geid IS NOT NULL").select("account", F.col("geid").alias("_g"), F.col("kind").alias("_k"), F.col("key").alias("_key"), F.col("item_class").alias("_c"), worn.alias("_w"), ship.alias("_s"))
+    held = rows.where("geid IS NOT NULL").select("account", F.col("geid").alias("_g"), F.col("kind").alias("_k"), F.col("key").alias("_key"), F.col("item_class").alias("_c"), worn.alias("_w"), ship.alias("_s"), F.col("since").alias("_since"))
     worn, ship = about("class_name")
     known = containers.select("account", F.col("geid").alias("_g"), F.col("class_name").alias("_c2"), F.col("capacity").alias("_cap"), F.col("last_loc_id").alias("_loc"), worn.alias("_w2"), ship.alias("_s2"))
     boxes = held.join(known, ["account", "_g"], "full").join(parents.select("account", F.col("geid").alias("_g"), F.lit(True).alias("_part")), ["account", "_g"], "left")
-    boxes = boxes.select("account", "_g", "_k", "_key", F.coalesce("_c", "_c2").alias("_c"), "_cap", "_loc", F.coalesce("_w", "_w2", F.lit(False)).alias("_w"), F.coalesce("_s", "_s2").alias("_s"), F.coalesce("_part", F.lit(False)).alias("_part"))
+    boxes = boxes.select("account", "_g", "_k", "_key", F.coalesce("_c", "_c2").alias("_c"), "_cap", "_loc", "_since", F.coalesce("_w", "_w2", F.lit(False)).alias("_w"), F.coalesce("_s", "_s2").alias("_s"), F.coalesce("_part", F.lit(False)).alias("_part"))
     loot = lambda x: is_lootable(x["cls"])
     out = rows.withColumns({"_nk": F.col("kind"), "_nkey": F.col("key"), "_loop": F.lit(False)})
     for depth in range(HOPS):
@@ -39,7 +39,7 @@ def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations
         loop = F.lit(False)
         for x in before:
             loop = loop | F.coalesce(x, F.lit(False))
-        note = F.when(F.col("_nk").isNotNull() & ~(box & loop), F.struct(F.col("_nk").alias("kind"), F.col("_nkey").alias("key"), F.lit(depth).alias("depth"), F.col("_c").alias("cls"), F.col("_cap").alias("cap"), F.coalesce("_w", F.lit(False)).alias("worn"), F.col("_s").alias("ship"), F.coalesce("_part", F.lit(False)).alias("part"), F.col("_k").isNotNull().alias("held"), F.col("_loc").alias("loc")))
+        note = F.when(F.col("_nk").isNotNull() & ~(box & loop), F.struct(F.col("_nk").alias("kind"), F.col("_nkey").alias("key"), F.lit(depth).alias("depth"), F.col("_c").alias("cls"), F.col("_cap").alias("cap"), F.coalesce("_w", F.lit(False)).alias("worn"), F.col("_s").alias("ship"), F.coalesce("_part", F.lit(False)).alias("part"), F.col("_k").isNotNull().alias("held"), F.col("_loc").alias("loc"), F.col("_since").alias("since")))
         j = j.withColumn(f"_p{depth}", note).withColumn("_loop", F.col("_loop") | F.coalesce(box & loop, F.lit(False)))
         p = F.col(f"_p{depth}")
         onward = (p["kind"] == "Container") & p["ship"].isNull()
@@ -47,7 +47,7 @@ def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations
             "_nk": F.when(onward & p["held"], F.col("_k")).when(onward & p["worn"], "Equipped").when(onward & p["loc"].isNotNull() & ~loot(p), "Location"),
             "_nkey": F.when(onward & p["held"], F.col("_key")).when(onward & p["worn"], "").when(onward & p["loc"].isNotNull() & ~loot(p), F.col("_loc")),
         })
-        out = j.drop("_g", "_k", "_key", "_c", "_cap", "_loc", "_w", "_s", "_part")
+        out = j.drop("_g", "_k", "_key", "_c", "_cap", "_loc", "_since", "_w", "_s", "_part")
     notes = [f"_p{d}" for d in range(HOPS)]
     out = out.withColumn("notes", F.filter(F.array(*notes), lambda x: x.isNotNull())).withColumn("_deep", F.col("_nk").isNotNull()).drop("_nk", "_nkey", *notes)
     # A chain has one place with a name, its last: one join names it.
@@ -55,17 +55,20 @@ def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations
     spot = F.when((F.size("notes") > 0) & last["kind"].isin("Location", "World"), last["key"])
     out = out.withColumn("_l", spot).join(locations.select(F.col("location_id").alias("_l"), F.col("name").alias("_name")), "_l", "left")
     name = F.col("_name")
+    # Worn apparel is no place: it is never shown, and what is in it is carried.
+    hidden = lambda x: (x["kind"] == "Container") & x["ship"].isNull() & ~x["part"] & x["worn"]
+    out = out.withColumns({"_carried": F.exists("notes", hidden), "_seen": F.coalesce(F.get(F.reverse(F.filter("notes", lambda x: (x["kind"] == "Container") & x["held"])), F.lit(0))["since"], F.col("since"))})
 
     def link(x: Column) -> Column:
         kind, key = x["kind"], x["key"]
         box = F.coalesce(x["cls"], S.size_label(x["cap"], key))
         ship = x["ship"].isNotNull()
-        text = F.when(kind == "Location", F.coalesce(name, key)).when(kind == "World", F.when(key == "", "somewhere").otherwise(F.coalesce(name, key))).when(kind == "Equipped", "on you").when(kind == "LostTrack", "lost track").when(ship, x["ship"]).otherwise(box)
-        prefix = F.when(kind == "World", "dropped at ").when((kind == "Container") & ~ship & x["part"], "on ").otherwise("")
+        spot = F.coalesce(name, F.concat(F.lit("location "), key))
+        worn = F.when(F.col("_carried"), "carried on your character").otherwise("equipped on your character")
+        text = F.when(kind == "Location", spot).when(kind == "World", F.when(key == "", "dropped in the world").otherwise(spot)).when(kind == "Equipped", worn).when(kind == "LostTrack", "no longer on your character — whereabouts unknown").when(ship, x["ship"]).otherwise(box)
+        prefix = F.when((kind == "World") & (key != ""), "dropped at ").when(ship, "in your ").when((kind == "Container") & ~ship & x["part"], "on ").otherwise("")
         return _link(F.when(ship, "Ship").otherwise(kind), key, text, x["cls"], prefix)
 
-    hidden = lambda x: (x["kind"] == "Container") & x["ship"].isNull() & ~x["part"] & x["worn"] & (x["depth"] > 0)
-
     def doubt(total: Column, x: Column) -> Column:
         box = (x["kind"] == "Container") & x["ship"].isNull()
         alone = box & ~x["held"]
@@ -76,11 +79,13 @@ def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations
         )
 
     def warned(x: Column) -> Column:
-        """What is to be said of a container that nothing holds."""
+        """What is to be said of a place without a name, of lost track, and of a container that nothing holds."""
         alone = (x["kind"] == "Container") & x["ship"].isNull() & ~x["held"]
         label = F.coalesce(x["cls"], S.size_label(x["cap"], x["key"]))
         return (
-            F.when(alone & x["worn"], "in worn apparel that was never seen being stored anywhere, so assumed still carried")
+            F.when((x["kind"] == "Location") & name.isNull(), "this station's id was never paired with a name")
+            .when(x["kind"] == "LostTrack", F.concat(F.lit("last seen on your character "), F.date_format("_seen", "yyyy-MM-dd"), F.lit("; a later login no longer listed it, and no log line says where it went")))
+            .when(alone & x["worn"], "in worn apparel that was never seen being stored anywhere, so assumed still carried")
             .when(alone & loot(x), F.concat(F.lit("'"), label, F.lit("' is a lootable container, not a tracked place")))
             .when(alone & x["loc"].isNotNull(), F.concat(F.lit("'"), label, F.lit("' was placed by where you last opened it, not by a recorded move")))
             .when(alone, F.concat(F.lit("we have never seen where '"), label, F.lit("' itself is kept")))
@@ -89,7 +94,7 @@ def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations
     ends = F.array(F.when(F.col("_loop"), "container nesting loops back on itself"), F.when(F.col("_deep"), "container nesting was deeper than we follow"))
     caveats = F.filter(F.concat(F.transform("notes", warned), ends), lambda x: x.isNotNull())
 
-    return out.withColumns({"chain": F.transform(F.filter("notes", lambda x: ~hidden(x)), link), "chain_factor": F.aggregate("notes", F.lit(1.0), doubt), "chain_caveats": caveats}).drop("notes", "_l", "_name", "_loop", "_deep")
+    return out.withColumns({"chain": F.transform(F.filter("notes", lambda x: ~hidden(x)), link), "chain_factor": F.aggregate("notes", F.lit(1.0), doubt), "chain_caveats": caveats}).drop("notes", "_l", "_name", "_loop", "_deep", "_carried", "_seen")
 
 
 #: Builds up to which a table of updates is sent to every task.

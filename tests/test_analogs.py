@@ -6,7 +6,7 @@ import os
 import pandas as pd
 import pytest
 
-from stowline.plans import analogs
+from stowline.plans import analogs, replays
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -22,13 +22,13 @@ def rows(df: pd.DataFrame) -> list:
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the generated tables")
-@pytest.mark.parametrize("name", sorted(analogs.SQL))
-def test_query_equals_sql(spark, name):
+@pytest.mark.parametrize("module, name", [(m, n) for m in (analogs, replays) for n in sorted(m.SQL)])
+def test_query_equals_sql(spark, module, name):
     import duckdb
 
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    got, want = analogs.QUERIES[name](spark, DATA).toPandas(), con.sql(analogs.SQL[name]).df()
+    got, want = module.QUERIES[name](spark, DATA).toPandas(), con.sql(module.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)

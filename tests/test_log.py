@@ -140,7 +140,7 @@ def test_chain_and_score(spark):
     ]
     got = {r["item_class"]: r for r in resolve(tables(spark, lines), "2026-08-02 00:00:00").collect()}
     assert [x["label"] for x in got["gem"]["chain"]] == ["crate_a", "Area18 (unconfirmed)"] and got["gem"]["score"] == 1.0 and got["gem"]["confidence"] == "High"
-    assert [x["label"] for x in got["crate_a"]["chain"]] == ["Area18"]
+    assert [x["label"] for x in got["crate_a"]["chain"]] == ["Area18 (unconfirmed)"]
 
 
 def test_folder(spark, tmp_path):
