@@ -110,7 +110,7 @@ class Packer:
         self.pool = [(pool[i][0], int(start[i]), int(stop[i]), pool[i][3]) for i in np.flatnonzero(live).tolist()]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 32, max_loss: int = 1984, prompt_tokens: int = 32, least_cut: int = 8) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 32, max_loss: int = 2016, prompt_tokens: int = 32, least_cut: int = 8) -> DataFrame:
     """One row for each piece of each document: where it begins there, its length, its sequence and its place in it."""
     end = np.array([end_id], np.uint32)
 

@@ -179,7 +179,7 @@ def test_personal_data(docs, rows, none):
 # 3
 
 
-def check_packing(found, ids, tokens=2048, segments=32, loss=1984, prompt=32):
+def check_packing(found, ids, tokens=2048, segments=32, loss=2016, prompt=32):
     assert sorted(found["doc_id"].unique()) == sorted(ids)
     for i, g in found.sort_values(["doc_id", "start"]).groupby("doc_id"):
         assert (g["start"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() == len(ids[i]) == g["doc_tokens"].iloc[0]
@@ -206,7 +206,7 @@ def test_packing(docs, rows, none):
 @pytest.mark.parametrize("low, high", [(3, 3), (3, 10), (20, 40), (1, 3000), (5000, 9000)])
 def test_no_padding_whatever_the_lengths(low, high):
     rng = np.random.default_rng(low)
-    packer = vector_packing.Packer(2048, 32, 1984, 32, 8, 0)
+    packer = vector_packing.Packer(2048, 32, 2016, 32, 8, 0)
     ids = {i: rng.integers(0, 1000, rng.integers(low, high + 1), np.uint32) for i in range(3000 if high < 100 else 300)}
     for i, x in ids.items():
         packer.add(i, x)
