@@ -204,4 +204,4 @@ def events(lines: DataFrame) -> DataFrame:
 def request_shapes(lines: DataFrame) -> DataFrame:
     """Request lines by their body alone: what the capture rate is measured against."""
     df = split_lines(lines).where(F.col("rest").rlike(REQUEST_SHAPE))
-    return df.select("session_id", "line_offset", "ts", F.regexp_extract("rest", REQUEST_SHAPE, 2).cast("int").alias("request_no"), F.regexp_extract("rest", REQUEST_SHAPE, 3).alias("move_type"), (F.lower(group("rest", REQUEST_SHAPE, 1)) == "new").alias("is_add"))
+    return df.select("session_id", "line_offset", "ts", F.regexp_extract("rest", REQUEST_SHAPE, 2).cast("int").alias("request_no"), F.regexp_extract("rest", REQUEST_SHAPE, 3).alias("move_type"), (F.lower(group("rest", REQUEST_SHAPE, 1)) == "new").alias("is_add"), F.col("rest").rlike(r"(?i)ItemClass\[(|null|none)\] ").alias("blank"))

@@ -24,7 +24,7 @@ DEPTH, LISTING_S = 6, 30
 
 ROWS = (
     "account string, row_kind string, geid string, item_class string, quantity int, kind string, key string, since timestamp, arrived_by string, confirmed boolean, inferred boolean, "
-    "duplicate_risk boolean, ambiguous boolean, carried boolean, part_parent boolean, at timestamp, source_kind string, source_key string, same_place boolean, detail string"
+    "duplicate_risk boolean, ambiguous boolean, carried boolean, part_parent boolean, at timestamp, source_kind string, source_key string, same_place boolean, detail string, elsewhere string"
 )
 _NAMES = [c.strip().split()[0] for c in ROWS.split(",")]
 
@@ -198,7 +198,9 @@ class Account:
         self._count("class_moves")
         self._count("class_units", wanted)
         real = source[0] in REAL
-        taken = self._draw(e, source, target, wanted, by, good, "from_source", None) if real else 0
+        if real and self._slot(source, e.item_class) is None:
+            self._count("source_unknown")
+        taken = self._draw(e, source, target, wanted, by, good, "", None) if real else 0
         own = taken
         if real and taken < wanted:
             for carrier in self._carriers(e.item_class):
@@ -210,7 +212,7 @@ class Account:
             cause = "NoSource" if not real else "SourceNeverSeen" if classes is None else "ClassNeverAtSource" if e.item_class not in classes else "AlreadyTaken"
             elsewhere = next((p for p in self.places_of.get(e.item_class, ()) if p not in (source, target) and self._slot(p, e.item_class).units()), None)
             covered = taken >= wanted
-            rows.append(self._row("miss", item_class=e.item_class, quantity=wanted - (own if covered else taken), kind=target[0], key=target[1], at=e.ts, source_kind=source[0], source_key=source[1], duplicate_risk=elsewhere is not None, detail="CoveredByCarried" if covered else cause))
+            rows.append(self._row("miss", item_class=e.item_class, quantity=wanted - (own if covered else taken), kind=target[0], key=target[1], at=e.ts, source_kind=source[0], source_key=source[1], duplicate_risk=elsewhere is not None, carried=covered, detail=cause, elsewhere=elsewhere and elsewhere[0]))
             if not covered:
                 self._count("inferred", wanted - taken)
                 self._count("duplicate_risk" if elsewhere else "first_seen", wanted - taken)
@@ -228,10 +230,13 @@ class Account:
             self._note(pick["geid"], by)
             self._place(pick["geid"], e.item_class, target, e, by, good, ambiguous=ambiguous if ambiguous is not None else several or pick["ambiguous"])
             taken += 1
+        named = taken
         while loose and taken < wanted and slot.take():
             self._stack(target, e.item_class, 1, e, by, good)
             taken += 1
-        self._count(stat, taken)
+        # Of what a move's own source gave, named and unnamed units are told apart.
+        self._count(stat or "from_loose", taken if stat else taken - named)
+        self._count("from_named", 0 if stat else named)
         return taken
 
     def _carriers(self, name: str) -> list[tuple]:
@@ -321,7 +326,7 @@ class Account:
         for held in (self.places, self.places_of, self.at, self.carried, self.settled, self.port_of, self.occupant, self.out, self.into):
             held.clear()
         self._count("wiped", n)
-        return [self._row("reset", at=e.ts, quantity=n, detail=str(e.build))]
+        return [self._row("reset", at=e.ts, quantity=n, detail=str(int(e.build)))]
 
 
 def listings(seen: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,8 +37,11 @@ K = "cast(regexp_extract(props, '\"k\": (\\d+)', 1) AS INTEGER)"
 E = f"(SELECT *, {K} AS k FROM events)"
 
 
-def by_user():
-    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+def place_chain(key) -> Column:
+    """A chain of one place, which is called what its key says."""
+    from .holdings import LINK, _link
+
+    return F.array(_link("Location", key, key, None, "")).cast(f"array<{LINK}>")
 
 
 @query(f"SELECT event_id, {K} AS k, {K} >= 50 AS high FROM events")
@@ -56,32 +59,44 @@ def class_split(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", parts["class_name"].alias("class_name"), parts["geid"].alias("geid"))
 
 
-@query(f"""SELECT e.event_id, l.k AS location FROM {E} e ASOF LEFT JOIN (SELECT user_id, ts, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS r FROM {E} WHERE event_type = 'view') WHERE r = 1) l
-ON e.user_id = l.user_id AND e.ts >= l.ts""")
+@query(f"""SELECT event_id, last_value(CASE WHEN event_type = 'view' AND k % 10 > 0 THEN cast(k % 10 AS VARCHAR) WHEN event_type = 'view' AND k % 4 > 0 THEN concat('L', k % 4) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS location FROM {E}""")
 def asof_location(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.when(F.col("event_type") == "view", F.struct("ts", "event_id", "k"))
-    return events(spark, sf_dir).select("event_id", F.max(seen).over(w)["k"].alias("location"))
+    """Where the player was last: the location of a change, its landing where it names none, the one before where it names neither."""
+    from ..operators.correlate import with_location
 
+    change = F.col("event_type") == "view"
+    e = events(spark, sf_dir).select("event_id", F.col("user_id").alias("session_id"), F.col("event_id").alias("line_offset"), "ts", F.when(change, (F.col("k") % 10).cast("string")).alias("location_id"), F.when(change, F.when(F.col("k") % 4 > 0, F.concat(F.lit("L"), F.col("k") % 4)).otherwise("0")).alias("landing_id"))
+    return with_location(e).select("event_id", F.col("here").alias("location"))
 
-@query(f"""SELECT c.event_id, n.event_id AS named_by FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id FROM {E} WHERE event_type IN ('view', 'signup')) c
-JOIN events n ON n.event_id = c.next_id WHERE c.event_type = 'view' AND n.event_type = 'signup' AND n.ts - c.ts <= INTERVAL 6 HOUR""")
+
+@query(f"""SELECT event_id, unnest(CASE WHEN pk % 10 = 0 THEN [concat('L', pk % 4)] ELSE [cast(pk % 10 AS VARCHAR), concat('L', pk % 4)] END) AS location_id, concat('N', k % 3) AS name FROM (
+SELECT *, lag(event_type) OVER w AS pe, lag(k) OVER w AS pk, lag(event_id) OVER w AS po FROM {E} WHERE event_type IN ('view', 'signup') WINDOW w AS (PARTITION BY user_id % 5 ORDER BY event_id)) WHERE event_type = 'signup' AND pe = 'view' AND event_id - po <= 30""")
 def first_name_within(spark, sf_dir):
-    e = events(spark, sf_dir).where(F.col("event_type").isin("view", "signup"))
-    e = e.withColumn("next", F.lead(F.struct("ts", "event_id", "event_type")).over(by_user()))
-    ok = (F.col("event_type") == "view") & (F.col("next.event_type") == "signup") & (F.col("next.ts") - F.col("ts") <= F.expr("INTERVAL 6 HOURS"))
-    return e.where(ok).select("event_id", F.col("next.event_id").alias("named_by"))
+    """The first name that follows a change of place within half a minute names both of its ids; an event is a second."""
+    from ..operators.dimensions import location_bindings
+
+    e, change = events(spark, sf_dir).where(F.col("event_type").isin("view", "signup")), F.col("event_type") == "view"
+    kind = F.when(change, "LocationChanged").otherwise("LocationNamed")
+    e = e.select("event_id", (F.col("user_id") % 5).alias("session_id"), F.lit(0).alias("ingest_seq"), F.col("event_id").alias("line_offset"), F.timestamp_seconds("event_id").alias("ts"), kind.alias("event_kind"), (F.col("k") % 10).cast("string").alias("location_id"), F.concat(F.lit("L"), F.col("k") % 4).alias("landing_id"), F.concat(F.lit("N"), F.col("k") % 3).alias("name"))
+    return location_bindings(e).select(F.col("line_offset").alias("event_id"), "location_id", "name")
 
 
-@query(f"""SELECT a.event_id AS move_id, max(b.event_id) AS completion_id, count(*) AS candidates FROM {E} a JOIN {E} b ON a.user_id = b.user_id AND a.k = b.k AND b.event_id > a.event_id AND b.event_type = 'purchase'
-WHERE a.event_type = 'click' AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 172800000000 GROUP BY 1""")
+@query(f"""WITH e AS (SELECT *, event_id // 100 AS s FROM {E} WHERE event_type IN ('click', 'purchase')), m AS (SELECT *, lead(event_id) OVER (PARTITION BY s, k % 4 ORDER BY event_id) AS nxt FROM e WHERE event_type = 'click')
+SELECT m.event_id AS move_id, max(b.event_id) AS completion_id FROM m JOIN e b ON b.event_type = 'purchase' AND b.s = m.s AND b.k % 4 = m.k % 4 AND b.event_id > m.event_id AND (m.nxt IS NULL OR b.event_id < m.nxt) AND (b.event_id - m.event_id) * 3 <= 120 GROUP BY 1""")
 def interval_pairs(spark, sf_dir):
-    """Completions of a request: equal keys, later in the log, at most two days apart; the last one counts."""
-    e = events(spark, sf_dir)
-    a, b = e.where("event_type = 'click'").alias("a"), e.where("event_type = 'purchase'").alias("b")
-    near = F.abs(F.unix_micros(F.col("b.ts").cast("timestamp")) - F.unix_micros(F.col("a.ts").cast("timestamp"))) <= 172_800_000_000
-    on = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.k") == F.col("b.k")) & (F.col("b.event_id") > F.col("a.event_id")) & near
-    return a.join(b, on).groupBy(F.col("a.event_id").alias("move_id")).agg(F.max("b.event_id").alias("completion_id"), F.count("*").alias("candidates"))
+    """Completions of a request: its number, later in the log, within two minutes, before the number is used again; the last one counts.
+
+    Each number is a session of its own here, so that none begins anew; an event is three seconds.
+    """
+    from ..functions.events import events as parse
+    from ..operators.correlate import moves
+    from .replays import log_line, queued
+
+    e, at = events(spark, sf_dir).where(F.col("event_type").isin("click", "purchase")), F.col("event_id") * 3
+    line = F.when(F.col("event_type") == "click", log_line(at, "Inventory Mgmt Request Queued", queued("7", "Move", "9:Location:1", "{{event_id}}:Container:0", "part"))).otherwise(log_line(at, "Inventory Request Completed", "Request[7] Player[P] Result[{{event_id}}] x"))
+    session = F.floor(F.col("event_id") / 100) * 4 + F.col("k") % 4
+    done = moves(parse(e.select(session.alias("session_id"), F.col("event_id").alias("line_offset"), line.alias("line")))).where("result IS NOT NULL")
+    return done.select(F.col("line_offset").alias("move_id"), F.col("result").cast("long").alias("completion_id"))
 
 
 def _bursts(e: DataFrame) -> DataFrame:
@@ -112,19 +127,24 @@ def parent_candidate(spark, sf_dir):
     return _bursts(read(spark, sf_dir, "events")).select("event_id", F.last(F.when(F.col("event_type") != "click", F.col("event_id")), ignorenulls=True).over(w).alias("parent_id"))
 
 
-@query(f"""SELECT user_id, arg_max(k, struct_pack(t := ts, i := event_id)) AS last_k, arg_max(event_type, struct_pack(t := ts, i := event_id)) AS last_type, max(ts) AS last_seen FROM {E} GROUP BY user_id""")
+@query(f"""SELECT cast(user_id AS VARCHAR) AS geid, arg_max(cast(k AS VARCHAR), struct_pack(t := ts, i := event_id)) AS port, arg_max(event_type, struct_pack(t := ts, i := event_id)) AS class_name, max(ts) AS last_seen FROM {E} WHERE k % 9 <> 0 GROUP BY user_id""")
 def latest_wins(spark, sf_dir):
-    at = F.struct("ts", "event_id")
-    return events(spark, sf_dir).groupBy("user_id").agg(F.max_by("k", at).alias("last_k"), F.max_by("event_type", at).alias("last_type"), F.max("ts").alias("last_seen"))
+    """The last port and class seen of each entity, stand-ins aside."""
+    from ..operators.dimensions import attachments
+
+    seen = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("geid"), F.col("event_type").alias("class_name"), F.col("k").cast("string").alias("port"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("ingest_seq"), F.col("event_id").alias("line_offset"), (F.col("k") % 9 == 0).alias("placeholder"))
+    return attachments(seen)
 
 
-@query(f"""SELECT e.user_id, f.first_type, count(*) FILTER (WHERE e.event_type = f.first_type) AS agreeing, count(*) FILTER (WHERE e.event_type <> f.first_type) AS conflicts FROM events e
-JOIN (SELECT user_id, arg_min(event_type, struct_pack(t := ts, i := event_id)) AS first_type FROM events GROUP BY 1) f USING (user_id) GROUP BY 1, 2""")
+@query(f"""SELECT concat('u', e.user_id) AS location_id, f.name, count(*) FILTER (WHERE e.event_type = f.name) AS evidence_count, count(*) FILTER (WHERE e.event_type <> f.name) AS conflicts FROM events e
+JOIN (SELECT user_id, arg_min(event_type, struct_pack(t := ts, i := event_id)) AS name FROM events GROUP BY 1) f USING (user_id) GROUP BY 1, 2""")
 def first_wins(spark, sf_dir):
-    """The first name wins; later ones agree or conflict. One pass: counts by name, then the earliest name."""
-    named = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min(F.struct("ts", "event_id")).alias("at"))
-    by = named.groupBy("user_id").agg(F.min_by("event_type", "at").alias("first_type"), F.min_by("n", "at").alias("agreeing"), F.sum("n").alias("total"))
-    return by.select("user_id", "first_type", "agreeing", (F.col("total") - F.col("agreeing")).alias("conflicts"))
+    """The first name of a place stays; later ones agree or conflict. Each event is a change of place and its name."""
+    from ..operators.dimensions import location_names
+
+    pair = F.explode(F.array(F.lit("LocationChanged"), F.lit("LocationNamed"))).alias("event_kind")
+    e = read(spark, sf_dir, "events").select("*", pair).select(F.col("event_id").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ingest_seq"), (F.col("event_id") * 2 + (F.col("event_kind") == "LocationNamed").cast("int")).alias("line_offset"), F.col("ts").cast("timestamp").alias("ts"), "event_kind", F.concat(F.lit("u"), "user_id").alias("location_id"), F.lit("0").alias("landing_id"), F.col("event_type").alias("name"))
+    return location_names(e).select("location_id", "name", "evidence_count", "conflicts")
 
 
 VOTES = f"SELECT user_id, k, count(*) AS hits FROM {E} GROUP BY 1, 2"
@@ -145,30 +165,36 @@ def clear_majority(spark, sf_dir):
     return clear(votes, "user_id", "event_type", "hits").select("user_id", "event_type", F.round("share", 6).alias("share"))
 
 
-@query(f"SELECT user_id, cast(bit_or(1 << (k % 5)) AS INTEGER) AS sources, cast(bit_count(bit_or(1 << (k % 5))) AS INTEGER) AS support FROM {E} GROUP BY 1")
+@query(f"SELECT cast(user_id AS VARCHAR) AS place_key, 'n' AS name, cast(bit_or(1 << (k % 5)) AS INTEGER) AS sources, CASE WHEN bit_count(bit_or(1 << (k % 5))) >= 2 THEN 'Confirmed' ELSE 'Proposed' END AS status FROM {E} WHERE k % 10 < 2 GROUP BY 1")
 def source_bits(spark, sf_dir):
-    bits = events(spark, sf_dir).groupBy("user_id").agg(F.bit_or(F.expr("shiftleft(1, k % 5)")).alias("sources"))
-    return bits.select("user_id", "sources", F.bit_count("sources").alias("support"))
+    """Sources that agree on a name, as bits of one number."""
+    from .naming import resolve_names
 
+    e = events(spark, sf_dir).where("k % 10 < 2")
+    return resolve_names(e.select(F.col("user_id").cast("string").alias("place_key"), F.lit("n").alias("name"), F.expr("shiftleft(1, k % 5)").alias("source"), F.col("k").alias("rank")))
 
-@query(f"""SELECT user_id, event_id, k FROM (SELECT *, max(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {E}) WHERE k > best""")
+
+@query(f"""WITH b AS (SELECT user_id, k, min(ts) AS first_at FROM {E} GROUP BY 1, 2) SELECT cast(user_id AS VARCHAR) AS account, k AS build, first_at FROM (SELECT *, max(k) OVER (PARTITION BY user_id ORDER BY first_at, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM b) WHERE k > best""")
 def running_max_updates(spark, sf_dir):
-    w = by_user().rowsBetween(Window.unboundedPreceding, -1)
-    return events(spark, sf_dir).withColumn("best", F.max("k").over(w)).where("k > best").select("user_id", "event_id", "k")
+    """Game updates: builds newer than all that were played before, at the time they were first played."""
+    from ..operators.dimensions import game_updates
+
+    none = F.lit(None).cast("string")
+    s = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("account"), F.col("k").alias("build"), F.col("ts").alias("first_ts"), F.col("ts").alias("last_line_ts"), none.alias("first_loc_id"), none.alias("cur_loc_id"), F.lit(None).cast("timestamp").alias("char_reset_at"))
+    return game_updates(s).select("account", "build", F.col("at").alias("first_at"))
 
 
-@query(f"""SELECT u.event_id AS update_id, count(c.event_id) AS checked, count(*) FILTER (WHERE c.k >= 50) AS survived,
+@query(f"""SELECT u.event_id AS build, count(c.event_id) AS checked, count(*) FILTER (WHERE c.k >= 50) AS survived,
 round(CASE WHEN count(c.event_id) >= 5 THEN least(1.0, greatest(0.2, count(*) FILTER (WHERE c.k >= 50) / count(c.event_id))) ELSE 0.5 END, 6) AS factor
 FROM (SELECT * FROM {E} WHERE event_type = 'signup' AND k < 20) u LEFT JOIN (SELECT * FROM {E} WHERE event_type = 'click') c ON c.user_id = u.user_id AND u.ts > c.ts - INTERVAL 1 DAY AND u.ts <= c.ts GROUP BY 1""")
 def survival(spark, sf_dir):
     """Checks whose age spans an update, and the factor by which the update weighs."""
-    from ..functions.scoring import survival_factor
+    from .holdings import update_factors
 
-    e = events(spark, sf_dir)
-    u, c = e.where("event_type = 'signup' AND k < 20").alias("u"), e.where("event_type = 'click'").alias("c")
-    crossed = (F.col("c.user_id") == F.col("u.user_id")) & (F.col("u.ts") > F.col("c.ts") - F.expr("INTERVAL 1 DAY")) & (F.col("u.ts") <= F.col("c.ts"))
-    by = u.join(c, crossed, "left").groupBy(F.col("u.event_id").alias("update_id")).agg(F.count("c.event_id").alias("checked"), F.count_if(F.col("c.k") >= 50).alias("survived"))
-    return by.select("*", F.round(survival_factor("survived", "checked"), 6).alias("factor"))
+    e = events(spark, sf_dir).withColumn("account", F.col("user_id").cast("string"))
+    updates = e.where("event_type = 'signup' AND k < 20").select("account", F.col("event_id").alias("build"), F.col("ts").alias("at"))
+    checks = e.where("event_type = 'click'").select("account", (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("since"), F.col("ts").alias("at"), (F.col("k") >= 50).alias("same_place"))
+    return update_factors(checks, updates).select("build", "checked", "survived", F.round("factor", 6).alias("factor"))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT event_id, CASE WHEN k > 0 AND event_id - k >= 0 THEN event_id - k END AS parent FROM {E}),
@@ -203,62 +229,96 @@ def confidence_pool(spark, sf_dir):
     return by.select("event_type", "user_id", "quantity", "last_move", confidence_label(F.col("rank")).alias("confidence"), "caveats")
 
 
-@query("""SELECT category, count(*) AS parts, cast(sum(p_size) AS BIGINT) AS size FROM (SELECT p_size, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'armour' WHEN p_type = 'SMALL' THEN 'weapon' WHEN p_type = 'LARGE' THEN 'component' ELSE 'other' END AS category FROM part) GROUP BY 1""")
+@query("""SELECT category, count(*) AS rows FROM (SELECT CASE p_type WHEN 'ECONOMY' THEN 'Armor' WHEN 'PROMO' THEN 'Clothing' WHEN 'SMALL' THEN 'Weapons' WHEN 'LARGE' THEN 'ShipParts' ELSE 'Other' END AS category FROM part) GROUP BY 1""")
 def category_counts(spark, sf_dir):
+    """Parts by category; three of their types stand for labels of the catalogue."""
+    from .queries import category_counts as counts
+
     t = F.col("p_type")
-    category = F.when(t.isin("ECONOMY", "PROMO"), "armour").when(t == "SMALL", "weapon").when(t == "LARGE", "component").otherwise("other")
-    return read(spark, sf_dir, "part").groupBy(category.alias("category")).agg(F.count("*").alias("parts"), F.sum("p_size").alias("size"))
+    label = F.when(t == "ECONOMY", "Backpack").when(t == "PROMO", "Hat").when(t == "SMALL", "Grenade").when(t == "LARGE", "Cooler").otherwise(t)
+    return counts(read(spark, sf_dir, "part").select(label.alias("type_label")))
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC")
+@query("SELECT event_type AS move_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC")
 def moves_by_type(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+    from .queries import moves_by_type as by_type
+
+    return by_type(read(spark, sf_dir, "events").withColumnRenamed("event_type", "move_type"))
 
 
-@query(f"""SELECT count(*) AS moves, count(*) FILTER (WHERE lower(event_type) = 'error') AS failed, count(DISTINCT user_id) AS sessions, count(DISTINCT CASE WHEN k < 50 THEN k END) AS low_keys FROM {E}""")
+@query("""SELECT (SELECT count(*) FROM lineitem) AS moves, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS succeeded, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'N') AS unconfirmed, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_linestatus = 'O') AS items,
+(SELECT count(DISTINCT l_partkey % 10) FROM lineitem) AS classes, (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS named_moves, (SELECT count(*) FROM lineitem WHERE l_linestatus <> 'O') AS class_moves, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_linenumber = 1) AS in_use,
+(SELECT count(DISTINCT l_partkey) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND p_size > 25) AS identified, (SELECT count(*) FROM orders) AS sessions, (SELECT count(*) FROM nation) AS location_names, (SELECT count(*) FROM part WHERE p_size > 25) AS containers""")
 def store_summary(spark, sf_dir):
-    return events(spark, sf_dir).agg(F.count("*").alias("moves"), F.count_if(F.lower("event_type") == "error").alias("failed"), F.count_distinct("user_id").alias("sessions"), F.count_distinct(F.when(F.col("k") < 50, F.col("k"))).alias("low_keys"))
+    """Moves by outcome, distinct entities and classes (nulls don't count), containers in use and identified."""
+    from .queries import store_summary as summary
 
+    flag = F.col("l_returnflag")
+    i = read(spark, sf_dir, "lineitem").select(F.when(flag == "R", "SUCCEED").when(flag == "A", "failed").alias("result"), F.when(F.col("l_linestatus") == "O", F.col("l_suppkey").cast("string")).alias("item_geid"), (F.col("l_partkey") % 10).cast("string").alias("item_class"), F.when(F.col("l_linenumber") == 1, "Container").otherwise("Location").alias("tgt_kind"), F.col("l_partkey").cast("string").alias("tgt_key"))
+    boxes = read(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("geid"))
+    return summary(i, read(spark, sf_dir, "orders"), read(spark, sf_dir, "nation"), boxes)
 
-@query(f"""SELECT user_id, cast(coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END), 0) AS BIGINT) AS errors, max(ts) AS last_ts, CASE WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 4 > count(*) THEN 'drift' WHEN count(*) < 10 THEN 'quiet' ELSE 'ok' END AS banner FROM events GROUP BY 1""")
+
+@query("""SELECT (SELECT count(*) FROM orders) AS files, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS files_with_lines, (SELECT cast(sum(o_custkey % 3) AS BIGINT) FROM orders) AS unrecognised, (SELECT max(o_orderdate) FROM orders) AS newest_line, (SELECT count(*) FROM lineitem) AS moves""")
 def health(spark, sf_dir):
-    by = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
-    return by.select("user_id", "errors", "last_ts", F.when(F.col("errors") * 4 > F.col("n"), "drift").when(F.col("n") < 10, "quiet").otherwise("ok").alias("banner"))
+    from .queries import health as of
+
+    s = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("last_ts"), F.col("o_orderdate").alias("last_line_ts"), (F.col("o_custkey") % 3).alias("unrecognised"))
+    return of(s, read(spark, sf_dir, "lineitem"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN s_name END AS source_label, CASE WHEN l_linestatus = 'O' THEN p_name END AS target_label FROM lineitem
-LEFT JOIN supplier ON l_returnflag = 'R' AND s_suppkey = l_suppkey LEFT JOIN part ON l_linestatus = 'O' AND p_partkey = l_partkey""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN p_name END AS src_container, CASE WHEN l_linestatus = 'O' THEN s_name END AS tgt_place FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 3""")
 def trace(spark, sf_dir):
-    """Labels of a move's two ends, each looked up only for its own kind of end."""
-    line = read(spark, sf_dir, "lineitem")
-    s, p = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
-    out = line.join(s, (F.col("l_returnflag") == "R") & (F.col("s_suppkey") == F.col("l_suppkey")), "left")
-    out = out.join(p, (F.col("l_linestatus") == "O") & (F.col("p_partkey") == F.col("l_partkey")), "left")
-    return out.select("l_orderkey", "l_linenumber", F.col("s_name").alias("source_label"), F.col("p_name").alias("target_label"))
+    """Moves of one entity, out of containers and to places, each end named by its own kind; the entity is that of an order's first three lines."""
+    from .queries import trace as of
+
+    i = read(spark, sf_dir, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    moves = i.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") <= 3, "g").otherwise("h").alias("item_geid"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("line_offset"), F.col("l_linenumber").alias("item_ix"), F.when(F.col("l_returnflag") == "R", "Container").otherwise("World").alias("src_kind"), text("l_partkey").alias("src_key"), F.when(F.col("l_linestatus") == "O", "Location").otherwise("Equipped").alias("tgt_kind"), text("l_suppkey").alias("tgt_key"))
+    places = read(spark, sf_dir, "supplier").select(text("s_suppkey").alias("location_id"), F.col("s_name").alias("name"))
+    return of(moves, "g", places, read(spark, sf_dir, "part").select(text("p_partkey").alias("geid"), F.col("p_name").alias("class_name"))).select("l_orderkey", "l_linenumber", "src_container", "tgt_place")
 
 
-@query("""SELECT r_name, n_name, count(*) AS holders, round(sum(c_acctbal), 2) AS quantity, round(sum(sum(c_acctbal)) OVER (PARTITION BY r_name), 1) AS root_quantity FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2""")
+@query("""SELECT r_name AS root_key, concat(n_name, ' items') AS item_class, cast(sum(cast(c_custkey % 5 + 1 AS BIGINT)) AS BIGINT) AS quantity, max(c_mktsegment) AS last_move, CASE min(CASE WHEN c_acctbal > 5000 THEN 2 WHEN c_acctbal > 0 THEN 1 ELSE 0 END) WHEN 2 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END AS confidence,
+cast(sum(sum(c_custkey % 5 + 1)) OVER (PARTITION BY r_name) AS BIGINT) AS root_quantity FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE contains(n_name, '1') GROUP BY 1, 2""")
 def holdings_by_root(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("holders"), F.sum("c_acctbal").alias("q"))
-    joined = c.join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(read(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    return joined.select("r_name", "n_name", "holders", F.round("q", 2).alias("quantity"), F.round(F.sum("q").over(Window.partitionBy("r_name")), 1).alias("root_quantity"))
+    """What each outermost place holds of the classes that contain a text."""
+    from .queries import by_root
 
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", "n_name", "r_name")
+    balance = F.col("c_acctbal")
+    h = read(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.lit("me").alias("account"), F.concat("n_name", F.lit(" items")).alias("item_class"), (F.col("c_custkey") % 5 + 1).alias("quantity"), place_chain(F.col("r_name")).alias("chain"), F.col("c_mktsegment").alias("since"), F.when(balance > 5000, 2).when(balance > 0, 1).otherwise(0).alias("rank"))
+    return by_root(h, "1").drop("account", "root_kind")
 
-@query("SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'promo') ORDER BY p_name, p_partkey DESC")
+
+@query("""SELECT p_partkey, p_name AS display_name, concat('place ', p_size % 4) AS "where" FROM part WHERE (contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring')) AND p_type = 'SMALL'""")
 def search(spark, sf_dir):
-    hit = F.lower("p_name").contains("ring") | F.lower("p_type").contains("promo")
-    return read(spark, sf_dir, "part").where(hit).select("p_partkey", "p_name", "p_brand").orderBy("p_name", F.desc("p_partkey"))
+    """Parts of one category by a text in their name or class, with where they are."""
+    from .queries import search as find
+
+    spot = F.concat(F.lit("place "), F.col("p_size") % 4)
+    label = F.when(F.col("p_type") == "SMALL", "Weapon Attachment")
+    h = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("display_name"), F.col("p_brand").alias("item_class"), label.alias("type_label"), place_chain(spot).alias("chain"), F.col("p_size").alias("since"))
+    return find(h, "RING", "Weapons").select("p_partkey", "display_name", "where")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)")
+@query("SELECT s_name AS place_key, cast(s_nationkey AS VARCHAR) AS system FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)")
 def stations_semi(spark, sf_dir):
-    held = read(spark, sf_dir, "lineitem").where("l_quantity > 49")
-    return read(spark, sf_dir, "supplier").join(held, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").select("s_suppkey", "s_name")
+    """Suppliers that hold something, under either of their two ids."""
+    from .queries import stations
 
+    places = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("place_key"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("system"), F.array(F.col("s_suppkey").cast("string"), F.concat(F.lit("old"), "s_suppkey")).alias("alias_ids"))
+    key = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("old"), "l_suppkey")).otherwise(F.col("l_suppkey").cast("string"))
+    return stations(read(spark, sf_dir, "lineitem").where("l_quantity > 49").select(place_chain(key).alias("chain")), places).select("place_key", "system")
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+
+@query("SELECT DISTINCT cast(o_custkey AS VARCHAR) AS location_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0 WHERE c_custkey IS NULL")
 def orphans_anti(spark, sf_dir):
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    """Places with orders that are none of the known ones (customers in credit)."""
+    from .queries import orphans
+
+    known = read(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.array(F.col("c_custkey").cast("string")).alias("alias_ids"))
+    return orphans(read(spark, sf_dir, "orders").select(place_chain(F.col("o_custkey").cast("string")).alias("chain")), known)
 
 
 FINGERPRINTS = "SELECT user_id, k, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id) AS n FROM {e} WHERE event_id % 10 <> {r}"
@@ -274,16 +334,25 @@ def parity_sets(spark, sf_dir):
     return parity(e.where("event_id % 10 <> 3"), e.where("event_id % 10 <> 4"), ["user_id", "k"], "event_id").select("shared", "either", "only_live")
 
 
-@query("SELECT regexp_replace(concat(event_type, ' ', props), '\\d+', '#', 'g') AS caveat, count(*) AS n FROM events GROUP BY 1")
+@query("""SELECT caveat, count(*) AS n FROM (SELECT concat(event_type, ' ', chr(39), '…', chr(39), ' placed # days ago') AS caveat FROM events UNION ALL SELECT concat('build # in ', chr(39), '…', chr(39)) FROM events WHERE user_id % 2 = 0) GROUP BY 1""")
 def caveat_histogram(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.regexp_replace(F.concat_ws(" ", "event_type", "props"), r"\d+", "#").alias("caveat")).agg(F.count("*").alias("n"))
+    from .quality import caveat_shapes
 
+    name = F.concat(F.lit("'item "), F.col("event_id"), F.lit("'"))
+    caveats = F.array(F.concat("event_type", F.lit(" "), name, F.lit(" placed "), F.col("user_id"), F.lit(" days ago")), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("build "), F.col("event_id"), F.lit(" in "), name)))
+    return caveat_shapes(read(spark, sf_dir, "events").select(F.filter(caveats, lambda x: x.isNotNull()).alias("caveats")))
 
-@query("""SELECT CASE WHEN age <= INTERVAL 1 DAY THEN 'day' WHEN age <= INTERVAL 7 DAY THEN 'week' ELSE 'older' END AS bucket, count(*) AS n FROM (SELECT TIMESTAMP '2024-01-31 00:00:00' - ts AS age FROM events) GROUP BY 1""")
+
+@query(f"""SELECT age, crossed, count(*) AS checked, count(*) FILTER (WHERE k >= 50) AS held FROM (SELECT *, CASE WHEN s < 3600 THEN '< 1 h' WHEN s < 86400 THEN '1 h – 1 d' WHEN s < 604800 THEN '1 – 7 d' WHEN s < 2592000 THEN '7 – 30 d' ELSE '> 30 d' END AS age, user_id % 2 = 0 AND ts < TIMESTAMP '2024-01-20 00:00:00' AS crossed
+FROM (SELECT *, epoch_us(TIMESTAMP '2024-01-31 12:00:00' - ts) / 1000000 AS s FROM {E})) GROUP BY 1, 2""")
 def age_buckets(spark, sf_dir):
-    age = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz") - F.col("ts")
-    bucket = F.when(age <= F.expr("INTERVAL 1 DAY"), "day").when(age <= F.expr("INTERVAL 7 DAYS"), "week").otherwise("older")
-    return read(spark, sf_dir, "events").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    """Checks by age of the belief, within a build and across an update that half of the accounts had."""
+    from .quality import crossed, placement_table
+
+    time = lambda t: F.lit(t).cast("timestamp")
+    checks = events(spark, sf_dir).select((F.col("user_id") % 2).cast("string").alias("account"), F.col("ts").cast("timestamp").alias("since"), time("2024-01-31 12:00:00").alias("at"), (F.col("k") >= 50).alias("same_place"))
+    updates = spark.createDataFrame([("0", 0.5)], "account string, factor double").withColumn("at", time("2024-01-20 00:00:00"))
+    return placement_table(crossed(checks, updates))
 
 
 @query(f"""WITH r AS (SELECT *, dense_rank() OVER (ORDER BY d) AS rk, (SELECT count(DISTINCT cast(ts AS DATE)) FROM events) AS n FROM (SELECT event_type, k, cast(ts AS DATE) AS d FROM {E})),
@@ -323,12 +392,13 @@ def top_k_per_group(spark, sf_dir):
     return read(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).where("r <= 3").select("user_id", "event_id", "value")
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(n_name), '1') AND contains(lower(concat(n_name, ' ', r_name)), 'a') ORDER BY n_name, r_name LIMIT 40")
+@query("SELECT n_name AS label, r_name AS kind FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(concat(n_name, ' ', r_name)), 'a') AND contains(lower(concat(n_name, ' ', r_name)), '_1') ORDER BY r_name, n_name LIMIT 40")
 def command_palette(spark, sf_dir):
     """Every word in the label or its kind; the first forty are the feature."""
-    label = F.lower(F.concat_ws(" ", "n_name", "r_name"))
+    from .queries import palette
+
     n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.where(F.lower("n_name").contains("1") & F.forall(F.array(F.lit("a")), lambda w: label.contains(w))).select("n_name", "r_name").orderBy("n_name", "r_name").limit(40)
+    return palette(n.select(F.col("n_name").alias("label"), F.col("r_name").alias("kind")), "A _1")
 
 
 # The log pipeline and the read queries on tables written in the log's terms.
@@ -399,7 +469,7 @@ def _holdings(spark, sf_dir) -> DataFrame:
     crate = _link("Container", F.col("l_partkey") % 5, F.concat(F.lit("crate "), F.col("l_partkey") % 5), None, "")
     last = F.when(F.col("l_returnflag") == "R", _link("World", F.col("n_name"), F.col("n_name"), None, "dropped at ")).when(F.col("l_returnflag") == "A", _link("Ship", "s", F.concat(F.lit("ship "), F.col("l_linenumber")), None, "")).otherwise(_link("Location", F.col("n_name"), F.col("n_name"), None, ""))
     rank = F.when(F.col("l_discount") < 0.03, 2).when(F.col("l_discount") < 0.07, 1).otherwise(0)
-    return i.select(F.lit("me").alias("account"), F.concat(F.lit("part_"), F.col("l_partkey") % 10).alias("item_class"), F.col("l_quantity").cast("int").alias("quantity"), F.array(crate, last).cast(f"array<{LINK}>").alias("chain"), F.col("l_shipdate").alias("since"), rank.alias("rank"))
+    return i.select(F.lit("me").alias("account"), F.concat(F.lit("part_"), F.col("l_partkey") % 10).alias("item_class"), F.col("l_quantity").cast("int").alias("quantity"), F.array(crate, last).cast(f"array<{LINK}>").alias("chain"), F.col("l_shipdate").alias("since"), rank.alias("rank"), F.lit(None).cast("string").alias("geid"), F.array().cast("array<string>").alias("caveats"), F.when(F.col("l_linenumber") == 1, "Food").alias("type_label"))
 
 
 H = """(SELECT concat('part_', l_partkey % 10) AS item_class, cast(l_quantity AS INTEGER) AS quantity, l_partkey % 5 AS crate, CASE l_returnflag WHEN 'R' THEN 'World' WHEN 'A' THEN 'Ship' ELSE 'Location' END AS root_kind, CASE WHEN l_returnflag = 'A' THEN 's' ELSE n_name END AS root_key, l_linenumber, l_shipdate AS since,
@@ -414,13 +484,17 @@ def q_by_root(spark, sf_dir):
     return Q.by_root(_holdings(spark, sf_dir)).drop("account", "last_move")
 
 
-@query(f"SELECT 'container' AS row, 'Container' AS item_class, cast(crate AS VARCHAR) AS key, cast(sum(quantity) AS BIGINT) AS quantity, max(since) AS last_move, {LABEL} FROM {H} WHERE root_kind = 'World' AND root_key = (SELECT min(n_name) FROM nation) GROUP BY 3")
+FIRST = f"{H} WHERE root_kind = 'World' AND root_key = (SELECT min(n_name) FROM nation JOIN supplier ON s_nationkey = n_nationkey)"
+
+
+@query(f"SELECT 'container' AS row, concat('crate ', crate) AS item_class, cast(crate AS VARCHAR) AS key, 1 AS quantity, cast(sum(quantity) AS BIGINT) AS inside, max(since) AS last_move, {LABEL}, array_to_string(list_sort(list(DISTINCT CASE WHEN l_linenumber = 1 THEN 'Consumables' ELSE 'Other' END)), ',') AS categories FROM {FIRST} GROUP BY crate")
 def q_level(spark, sf_dir):
-    """What is below one place: its crates, each with all that it holds."""
+    """What is below one place: its crates, known by what they hold."""
     from . import queries as Q
 
-    first = read(spark, sf_dir, "nation").agg(F.min("n_name")).first()[0]
-    return Q.level(_holdings(spark, sf_dir), [("World", first)])
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
+    first = n.agg(F.min("n_name")).first()[0]
+    return Q.level(_holdings(spark, sf_dir), [("World", first)]).drop("caveats").withColumns({"quantity": F.col("quantity").cast("int"), "categories": F.array_join("categories", ",")})
 
 
 @query(f"SELECT count(DISTINCT CASE WHEN root_kind = 'Location' THEN root_key END) AS stations, count(DISTINCT CASE WHEN root_kind = 'Ship' THEN l_linenumber END) AS ships, cast(sum(CASE WHEN root_kind = 'World' THEN quantity ELSE 0 END) AS BIGINT) AS dropped FROM {H}")

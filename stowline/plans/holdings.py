@@ -106,10 +106,11 @@ def update_factors(checks: DataFrame, updates: DataFrame) -> DataFrame:
 
     Updates are builds ever played: a small table is broadcast, any other joins by account.
     """
-    u = F.broadcast(updates) if updates.count() <= BROADCAST_BUILDS else updates
+    u = updates.select("account", "build", F.col("at").alias("updated_at"))
+    u = F.broadcast(u) if updates.count() <= BROADCAST_BUILDS else u
     c = checks.select("account", "since", F.col("at").alias("seen_at"), "same_place")
-    spans = (u["account"] == c["account"]) & (u["at"] > c["since"]) & (u["at"] <= c["seen_at"])
-    hit = c.join(u, spans).groupBy(u["account"], u["build"]).agg(F.count("since").alias("checked"), F.count_if("same_place").alias("survived"))
+    spans = c.join(u, "account").where("updated_at > since AND updated_at <= seen_at")
+    hit = spans.groupBy("account", "build").agg(F.count("since").alias("checked"), F.count_if("same_place").alias("survived"))
     by = updates.join(hit, ["account", "build"], "left").na.fill(0, ["checked", "survived"])
     return by.withColumn("factor", S.survival_factor("survived", "checked"))
 

@@ -221,9 +221,8 @@ def _held() -> str:
     return " UNION ALL ".join(rows)
 
 
-@query(_held())
-def ledger_plays(spark, sf_dir):
-    """An account for each event: named and unnamed moves, shortfalls, lost and failed moves, listings, ports, resets, late lines."""
+def _played_accounts(spark, sf_dir) -> DataFrame:
+    """The account's rows for the plays of ACCOUNTS, an account for each event."""
     from ..operators.ledger import ledger, timeline
 
     def entries(kind: str, make: Callable[[int, dict, int], Column]) -> DataFrame:
@@ -243,7 +242,13 @@ def ledger_plays(spark, sf_dir):
     seen = entries("worn", lambda minute, v, n: F.struct(F.lit(1).cast("long").alias("session_id"), F.lit(n).cast("long").alias("line_offset"), F.lit(n).cast("long").alias("seq"), ts(minute), geid(v["geid"]).alias("geid"), name.alias("class_name"), F.lit(v["port"]).alias("port"), F.lit(False).alias("placeholder"), none.alias("parent_geid")))
     resets = entries("reset", lambda minute, v, n: F.struct(ts(minute), F.lit(1).alias("build")))
     boxes = spark.createDataFrame([], "account string, geid string, class_name string")
-    rows = ledger(timeline(moves, seen, resets, boxes)).where("row_kind = 'holding'")
+    return ledger(timeline(moves, seen, resets, boxes))
+
+
+@query(_held())
+def ledger_plays(spark, sf_dir):
+    """An account for each event: named and unnamed moves, shortfalls, lost and failed moves, listings, ports, resets, late lines."""
+    rows = _played_accounts(spark, sf_dir).where("row_kind = 'holding'")
     return rows.groupBy("account", "kind", "key", "item_class").agg(F.sum("quantity").alias("quantity"), F.count("geid").alias("named"), F.bool_or(F.coalesce("inferred", F.lit(False))).alias("inferred"))
 
 
@@ -432,19 +437,372 @@ def q_palette(spark, sf_dir):
     return palette(n.select(F.col("n_name").alias("label"), F.col("r_name").alias("kind")), "  aTION  1 ")
 
 
-@query("SELECT count(*) AS sessions, (SELECT count(*) FROM lineitem) AS moves, cast(sum(o_custkey % 2) AS BIGINT) AS unrecognised, max(o_orderdate) AS last_line_ts, 'lines changed shape' AS banner FROM orders")
+_BANNERS = [("none", "no logs found"), ("empty", "logs are still empty"), ("wiped", "no lines since the wipe date"), ("old", "logs are of an earlier patch"), ("still since", "no moves since the wipe date"), ("still", "no moves yet"), ("fine", None), ("new", "reading logs")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{case}' AS case_, {f"'{text}'" if text else "cast(NULL AS VARCHAR)"} AS banner, (SELECT count(*) FROM orders WHERE {"false" if case in ("none", "new") else "true"}) AS files FROM region WHERE r_regionkey = 0" for case, text in _BANNERS))
 def q_banner(spark, sf_dir):
-    from .queries import banner
+    """Each of the reasons for an empty page, on tables that give it."""
+    from .queries import banner, health
 
-    s = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 2).alias("unrecognised"), F.col("o_orderdate").alias("last_line_ts"))
-    return banner(s, read(spark, sf_dir, "lineitem"))
+    o, moves = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    day, none = F.col("o_orderdate"), F.lit(None).cast("timestamp")
 
+    def sessions(lines: Column, any_line: Column) -> DataFrame:
+        return o.select(lines.alias("last_ts"), any_line.alias("last_line_ts"), F.lit(0).alias("unrecognised"))
+
+    no_moves, no_logs = moves.where("false"), sessions(day, day).where("false")
+    cases = {
+        "none": (no_logs, no_moves, False, True), "empty": (sessions(none, none), no_moves, True, True), "wiped": (sessions(none, day), moves, True, True), "old": (sessions(none, day), moves, False, True),
+        "still since": (sessions(day, day), no_moves, True, True), "still": (sessions(day, day), no_moves, False, True), "fine": (sessions(day, day), moves, True, True), "new": (no_logs, no_moves, False, False),
+    }
+    out = None
+    for case, (s, m, wipe, built) in cases.items():
+        row = banner(health(s, m), wipe, built).select(F.lit(case).alias("case_"), "banner", "files")
+        out = row if out is None else out.unionByName(row)
+    return out
 
-@query("""SELECT metric, round(value, 6) AS value FROM (SELECT 'enrich.geid_coverage' AS metric, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS value FROM lineitem UNION ALL SELECT 'enrich.confirmed_rate', avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END) FROM lineitem UNION ALL SELECT 'ledger.lost_rate', avg(CASE WHEN l_linestatus = 'O' AND l_linenumber = 1 THEN 1.0 ELSE 0.0 END) FROM lineitem
-UNION ALL SELECT 'holdings.high', avg(CASE WHEN l_discount * 10 >= 0.7 THEN 1.0 ELSE 0.0 END) FROM lineitem UNION ALL SELECT 'holdings.low', avg(CASE WHEN l_discount * 10 < 0.4 THEN 1.0 ELSE 0.0 END) FROM lineitem UNION ALL SELECT 'holdings.mean', avg(l_discount * 10) FROM lineitem UNION ALL SELECT 'ledger.duplicate_risk_rate', avg(CASE WHEN l_tax > 0.05 THEN 1.0 ELSE 0.0 END) FROM lineitem)""")
+
+@query("""SELECT metric, round(value, 6) AS value FROM (SELECT 'enrich.geid_coverage' AS metric, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS value FROM lineitem UNION ALL SELECT 'enrich.confirmed_rate', avg(CASE WHEN l_linestatus = 'O' AND l_linenumber > 1 THEN 1.0 ELSE 0.0 END) FROM lineitem
+UNION ALL SELECT 'holdings.high_share', avg(CASE WHEN l_discount >= 0.07 THEN 1.0 ELSE 0.0 END) FROM lineitem UNION ALL SELECT 'holdings.low_share', avg(CASE WHEN l_discount < 0.04 THEN 1.0 ELSE 0.0 END) FROM lineitem UNION ALL SELECT 'holdings.mean_score', avg(l_discount) FROM lineitem
+UNION ALL SELECT 'holdings.inferred_share', avg(CASE WHEN l_tax > 0.05 THEN 1.0 ELSE 0.0 END) FROM lineitem UNION ALL SELECT 'holdings.first_seen_share', avg(CASE WHEN l_tax <= 0.05 AND l_linenumber = 2 THEN 1.0 ELSE 0.0 END) FROM lineitem)""")
 def quality_metrics(spark, sf_dir):
-    from .quality import metrics
+    from .quality import enrichment, holding_rates
 
     i = read(spark, sf_dir, "lineitem")
-    moves = i.select(F.when(F.col("l_returnflag") == "R", "g").alias("item_geid"), F.when(F.col("l_linestatus") == "O", F.when(F.col("l_linenumber") == 1, "lost").otherwise("succeed")).alias("result"))
-    return metrics(moves, i.select((F.col("l_discount") * 10).alias("score"), (F.col("l_tax") > 0.05).alias("duplicate_risk"))).select("metric", F.round("value", 6).alias("value"))
+    moves = i.select(F.when(F.col("l_returnflag") == "R", "g").alias("item_geid"), F.when(F.col("l_linestatus") == "O", F.when(F.col("l_linenumber") == 1, "lost").otherwise("Succeed")).alias("result"))
+    rank = F.when(F.col("l_discount") >= 0.07, 2).when(F.col("l_discount") >= 0.04, 1).otherwise(0)
+    caveats = F.filter(F.array(F.when(F.col("l_tax") > 0.05, "may be counted twice").when(F.col("l_linenumber") == 2, "first seen in passing"), F.when(F.col("l_linenumber") == 3, "dropped")), lambda x: x.isNotNull())
+    holdings = i.select(F.col("l_discount").alias("score"), rank.alias("rank"), caveats.alias("caveats"))
+    return enrichment(moves).unionByName(holding_rates(holdings)).select("metric", F.round("value", 6).alias("value"))
+
+
+# What the account counts and notes.
+
+#: Counters of each play of ACCOUNTS.
+COUNTED: list[dict[str, int]] = [
+    {"named_moves": 2}, {"class_moves": 1, "class_units": 3, "inferred": 3, "first_seen": 3}, {"named_moves": 1, "class_moves": 1, "class_units": 1, "from_named": 1}, {"failed": 1},
+    {"class_moves": 2, "class_units": 7, "inferred": 5, "first_seen": 5, "from_loose": 2}, {"named_moves": 1, "lost": 1}, {"lost": 1, "credited_by_lost": 1}, {"lost": 1, "credited_by_lost": 4},
+    {"named_moves": 1, "wiped": 1}, {"named_moves": 1, "used_up": 1}, {"named_moves": 1, "evicted": 1}, {"sightings": 2, "evicted": 1},
+    {"class_moves": 1, "class_units": 2, "inferred": 2, "first_seen": 2, "named_moves": 1, "reconciled": 1}, {"source_unknown": 1, "class_moves": 1, "class_units": 1, "inferred": 1, "first_seen": 1}, {"named_moves": 2},
+    {"class_moves": 2, "class_units": 5, "inferred": 3, "first_seen": 3, "failed": 1, "from_loose": 2},
+]
+#: (kind of row, detail, units, whether belief and source agree) of each play.
+NOTED: dict[int, list[tuple]] = {
+    0: [("check", None, None, True)], 1: [("miss", "NoSource", 3, None)], 4: [("miss", "NoSource", 5, None)], 8: [("reset", "1", 1, None)], 12: [("miss", "NoSource", 2, None)],
+    13: [("miss", "SourceNeverSeen", 1, None)], 15: [("miss", "NoSource", 2, None), ("miss", "AlreadyTaken", 1, None)],
+}
+
+
+def _of_plays(values: list[tuple[int, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT cast(event_id AS VARCHAR) AS account, {v} FROM events WHERE event_id % {len(ACCOUNTS)} = {i}" for i, v in values)
+
+
+def _sql(x) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper()
+
+
+@query(_of_plays([(i, f"'{name}' AS counter, {n} AS n") for i, counted in enumerate(COUNTED) for name, n in counted.items()]))
+def ledger_counters(spark, sf_dir):
+    return _played_accounts(spark, sf_dir).where("row_kind = 'stat'").select("account", F.col("detail").alias("counter"), F.col("quantity").alias("n"))
+
+
+@query(_of_plays([(i, f"'{kind}' AS row_kind, cast({_sql(detail)} AS VARCHAR) AS detail, cast({_sql(n)} AS INTEGER) AS n, cast({_sql(same)} AS BOOLEAN) AS same_place") for i, notes in NOTED.items() for kind, detail, n, same in notes]))
+def ledger_notes(spark, sf_dir):
+    """Shortfalls by cause, checks of belief against source, resets."""
+    return _played_accounts(spark, sf_dir).where("row_kind IN ('miss', 'check', 'reset')").select("account", "row_kind", "detail", F.col("quantity").alias("n"), "same_place")
+
+
+_UNITS = {name: f"(SELECT sum(n) FROM ({_of_plays([(i, f'{counted[name]} AS n') for i, counted in enumerate(COUNTED) if name in counted])}))" for name in ("class_units", "from_named", "from_loose")}
+
+
+@query(f"SELECT 'ledger.accounted_rate' AS metric, 1.0 AS value UNION ALL SELECT 'ledger.duplicate_risk_rate', 0.0 UNION ALL SELECT 'ledger.source_hit_rate', round(({_UNITS['from_named']} + {_UNITS['from_loose']}) / {_UNITS['class_units']}, 6) UNION ALL SELECT 'worn.evicted_then_resighted', 0.0")
+def ledger_metrics(spark, sf_dir):
+    from .quality import ledger_rates
+
+    return ledger_rates(_played_accounts(spark, sf_dir)).select("metric", F.round("value", 6).alias("value"))
+
+
+_MISSED = [("NoSource", n, i) for i, n in ((1, 3), (4, 5), (12, 2), (15, 2))] + [("SourceNeverSeen", 1, 13), ("AlreadyTaken", 1, 15)]
+
+
+@query(f"SELECT cause, 'first seen' AS made_up, cast(sum(n) AS BIGINT) AS units FROM ({_of_plays([(i, f"'{cause}' AS cause, {n} AS n") for cause, n, i in _MISSED])}) GROUP BY 1")
+def ledger_misses(spark, sf_dir):
+    from .quality import miss_causes
+
+    return miss_causes(_played_accounts(spark, sf_dir))
+
+
+# Scores, caveats, labels.
+
+_S = f"(SELECT *, CASE k % 4 WHEN 0 THEN 'Carry' WHEN 1 THEN 'Drop' ELSE 'Move' END AS how, k % 5 <> 0 AS good, k % 7 = 0 AS guess, k % 2 = 0 AS risk, k % 3 = 0 AS food, CASE WHEN user_id % 2 = 0 THEN 'Location' ELSE 'Container' END AS kind, epoch_us(TIMESTAMP '2024-02-20 00:00:00' - ts) / 1000000 AS age, user_id % 4 = 0 AND ts < TIMESTAMP '2024-01-15 00:00:00' AS old FROM {E})"
+_STALE = "food AND how = 'Move' AND kind <> 'Location' AND age > 604800"
+_SCORE = f"(CASE WHEN good THEN 1 ELSE 0.5 END) * (CASE WHEN guess AND risk THEN 0.8 ELSE 1 END) * (CASE WHEN how = 'Carry' THEN 0.5 ELSE 1 END) * (CASE WHEN {_STALE} THEN 0.5 ELSE 1 END) * (CASE WHEN how = 'Drop' THEN 0.3 ELSE 1 END) * (CASE WHEN old THEN 0.25 ELSE 1 END) * 0.9"
+
+
+@query(f"""SELECT event_id, round(s, 6) AS score, CASE WHEN s >= 0.7 THEN 'High' WHEN s >= 0.4 THEN 'Medium' ELSE 'Low' END AS confidence, cast((NOT good)::INT + guess::INT + (how = 'Carry')::INT + ({_STALE})::INT + (how = 'Drop')::INT + (age > 2592000)::INT + old::INT + 1 AS INTEGER) AS caveats,
+CASE WHEN old THEN 'placed before the game update to build 7, after which 6 of 8 items checked were not where the ledger had them' END AS told FROM (SELECT *, {_SCORE} AS s FROM {_S})""")
+def holding_scores(spark, sf_dir):
+    """Every factor of a score, and the update that weighs most of those since."""
+    from .holdings import score
+
+    time = lambda t: F.lit(t).cast("timestamp")
+    k, user = F.col("k"), F.col("user_id")
+    rows = events(spark, sf_dir).select(
+        "event_id", (user % 4).cast("string").alias("account"), F.lit(None).cast("string").alias("geid"), F.when(k % 3 == 0, "food_a").otherwise("gun").alias("item_class"), F.when(user % 2 == 0, "Location").otherwise("Container").alias("kind"), F.col("ts").cast("timestamp").alias("since"),
+        F.when(k % 4 == 0, "Carry").when(k % 4 == 1, "Drop").otherwise("Move").alias("arrived_by"), (k % 5 != 0).alias("confirmed"), (k % 7 == 0).alias("inferred"), (k % 2 == 0).alias("duplicate_risk"), F.lit(False).alias("ambiguous"), F.lit(0.9).alias("chain_factor"), F.array(F.lit("in a box")).alias("chain_caveats"),
+    )
+    none = F.lit(None).cast("string")
+    updates = spark.createDataFrame([("0", 7, 0.25, 8, 2, "2024-01-15 00:00:00"), ("0", 8, 0.5, 0, 0, "2024-01-03 00:00:00"), ("0", 9, 0.1, 9, 0, "2024-03-01 00:00:00")], "account string, build int, factor double, checked long, survived long, t string")
+    updates = updates.select("*", F.col("t").cast("timestamp").alias("at"), F.lit(None).cast("timestamp").alias("reset_at"), none.alias("spawn"), none.alias("left_from"), F.lit(False).alias("moved"))
+    told = F.get(F.filter("caveats", lambda c: c.startswith("placed before")), F.lit(0))
+    return score(rows, updates, time("2024-02-20 00:00:00")).select("event_id", F.round("score", 6).alias("score"), "confidence", F.size("caveats").alias("caveats"), told.alias("told"))
+
+
+_PLAIN = "placed before the game update to build "
+
+
+@query(f"""SELECT s_suppkey, s_suppkey % 6 = 3 AS moved, CASE s_suppkey % 6 WHEN 0 THEN concat('{_PLAIN}', s_suppkey, ', after which 2 of 5 items checked were not where the ledger had them') WHEN 1 THEN concat('placed before the character reset of 2026-08-01 (game build ', s_suppkey, '), which cleared everything held before it')
+WHEN 2 THEN concat('{_PLAIN}', s_suppkey, ', which came without a character reset — the logs do not say where the player spawned after it, and no later move has checked it')
+WHEN 3 THEN concat('{_PLAIN}', s_suppkey, ', which came without a character reset — the player spawned somewhere new, and no later move has checked whether stored items stayed put')
+WHEN 4 THEN concat('{_PLAIN}', s_suppkey, ', which no later move has checked — the logs do not say where the player logged out before it, so nothing says whether it moved anything')
+ELSE concat('{_PLAIN}', s_suppkey, ', which no later move has checked — the player picked up where they had logged out, so nothing says whether it moved anything') END AS caveat FROM supplier""")
+def update_texts(spark, sf_dir):
+    """Six kinds of updates, told from where the player logged out and spawned, aliases of one place folded."""
+    from .holdings import moved_the_player, update_caveat
+
+    t = F.col("s_suppkey") % 6
+    u = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("build"), F.when(t == 0, 5).otherwise(3).alias("checked"), F.lit(3).alias("survived"), F.when(t == 1, F.lit("2026-08-01").cast("timestamp")).alias("reset_at"), F.when(t == 2, None).when(t == 3, "9").otherwise("1").alias("spawn"), F.when(t == 4, None).otherwise("2").alias("left_from"))
+    places = spark.createDataFrame([("a", ["1", "2"]), ("b", ["9"])], "place_key string, alias_ids array<string>")
+    out = moved_the_player(u, places)
+    fields = F.struct("build", "checked", "survived", "reset_at", "spawn", "left_from", "moved")
+    return out.withColumn("u", fields).select("s_suppkey", "moved", update_caveat(F.col("u")).alias("caveat"))
+
+
+_NOW = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+@query(f"""SELECT ago, count(*) AS n FROM (SELECT CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN concat(cast(round(s / 60) AS BIGINT), ' min ago') WHEN s < 86400 THEN concat(cast(round(s / 3600) AS BIGINT), ' h ago') WHEN s < 2592000 THEN concat(cast(round(s / 86400) AS BIGINT), ' d ago') ELSE strftime(ts, '%Y-%m-%d') END AS ago
+FROM (SELECT ts, epoch({_NOW}) - floor(epoch(ts)) AS s FROM events)) GROUP BY 1""")
+def times_ago(spark, sf_dir):
+    from ..functions.scoring import time_ago
+
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    return read(spark, sf_dir, "events").groupBy(time_ago(F.col("ts").cast("timestamp"), now).alias("ago")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN concat('container ', p_partkey) WHEN p_partkey % 5 = 1 THEN concat(p_size, ' SCU container') WHEN p_partkey % 5 = 2 THEN concat(p_size, '.5 SCU container') WHEN p_partkey % 5 = 3 THEN concat(p_size, ' cSCU container') ELSE concat(p_size, '.25 cSCU container') END AS label FROM part""")
+def size_labels(spark, sf_dir):
+    """Capacities in micro-SCU, or none, as labels."""
+    from ..functions.scoring import size_label
+
+    t, n = F.col("p_partkey") % 5, F.col("p_size").cast("long")
+    capacity = F.when(t == 1, n * 1_000_000).when(t == 2, n * 1_000_000 + 500_000).when(t == 3, n * 10_000).when(t == 4, n * 10_000 + 2_500)
+    return read(spark, sf_dir, "part").select("p_partkey", size_label(capacity, F.col("p_partkey").cast("string")).alias("label"))
+
+
+_SYSTEM_RAW = [("Stanton3_Area18", "Stanton"), ("RR_P5_L2", None), ("Pyro_JumpPoint_Nyx", "Pyro"), ("ruins_pyro4b_x", "Pyro"), ("NYX_Levski", "Nyx"), ("stantonish_x", None), ("", None)]
+
+
+@query(f"SELECT s_suppkey, CASE s_suppkey % {len(_SYSTEM_RAW)} {' '.join(f"WHEN {i} THEN '{w}' " for i, (_, w) in enumerate(_SYSTEM_RAW) if w)} END AS system FROM supplier")
+def raw_systems(spark, sf_dir):
+    from .naming import system_of_raw
+
+    raw = F.get(F.array(*[F.lit(x) for x, _ in _SYSTEM_RAW]), (F.col("s_suppkey") % len(_SYSTEM_RAW)).cast("int"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", system_of_raw(raw).alias("system"))
+
+
+# Names.
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 3 <> 0 THEN (SELECT min(n_nationkey) FROM nation WHERE n_nationkey % 5 = c_nationkey % 5 AND n_regionkey = c_nationkey % 2) END AS wiki_id FROM customer")
+def wiki_lookup(spark, sf_dir):
+    """The first wiki row with a name in a system, in any case; an unknown system matches none."""
+    from .naming import wiki_place
+
+    n = F.col("c_nationkey")
+    names = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("PLACE "), n % 5).alias("name"), F.when(n % 3 != 0, F.concat(F.lit("s"), n % 2)).alias("system"))
+    wiki = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Place "), F.col("n_nationkey") % 5).alias("name"), F.concat(F.lit("S"), "n_regionkey").alias("system"))
+    return wiki_place(names, wiki).select("c_custkey", "wiki_id")
+
+
+@query("""WITH d AS (SELECT *, n_nationkey % 2 = 0 AS confirmed, n_nationkey % 3 = 0 AS by_user, n_nationkey % 5 = 0 AS again, n_nationkey % 7 <> 0 AS stored FROM nation)
+SELECT n_name AS place_key, CASE WHEN NOT stored THEN 'new' WHEN again AND by_user THEN CASE WHEN confirmed THEN 'old' ELSE 'new' END WHEN again THEN 'new' WHEN by_user OR confirmed THEN 'old' ELSE 'new' END AS name FROM d""")
+def decisions_merged(spark, sf_dir):
+    """Stored decisions and new ones: a user's counts, a confirmed one is not replaced by an automatic one, otherwise the newer stands."""
+    from .naming import merge_decisions
+
+    n, key = read(spark, sf_dir, "nation"), F.col("n_nationkey")
+    row = lambda name, status, by_user, at: [F.col("n_name").alias("place_key"), F.lit(name).alias("name"), status.alias("status"), F.lit(1).alias("sources"), F.when(by_user, "user").otherwise("auto").alias("decided_by"), F.lit(at).alias("updated_at")]
+    old = n.where("n_nationkey % 7 <> 0").select(*row("old", F.when(key % 2 == 0, "Confirmed").otherwise("Proposed"), key % 3 == 0, 1))
+    return merge_decisions(old, n.select(*row("new", F.lit("Proposed"), key % 5 == 0, 2))).select("place_key", "name")
+
+
+@query("SELECT CASE p_partkey % 4 WHEN 0 THEN 'exact' WHEN 3 THEN 'none' ELSE 'stem' END AS match, count(*) AS classes FROM part GROUP BY 1")
+def name_matches(spark, sf_dir):
+    """Item classes by how the catalogue names them."""
+    from .naming import name_coverage
+
+    t, own = F.col("p_partkey") % 4, F.concat(F.lit("gun_k"), F.col("p_partkey"))
+    p = read(spark, sf_dir, "part")
+    items = p.select(F.when(t == 1, F.concat(own, F.lit("_red"))).when(t == 2, F.concat(own, F.lit("_red_01_x"))).otherwise(own).alias("item_class"))
+    names = p.where(t != 3).select(own.alias("class_name"), F.lit("Gun").alias("display_name"))
+    return name_coverage(items.unionByName(items), names)
+
+
+# Captured requests, files, levels, store.
+
+_ASKED = "(k % 6 IN (0, 3, 4, 5))"
+
+
+@query(f"SELECT count(*) FILTER (WHERE {_ASKED}) AS requests, count(*) FILTER (WHERE {_ASKED} AND event_type <> 'error' AND k % 20 <= 10) AS hit, round(count(*) FILTER (WHERE {_ASKED} AND event_type <> 'error' AND k % 20 <= 10) / count(*) FILTER (WHERE {_ASKED}), 6) AS rate FROM {E}")
+def capture(spark, sf_dir):
+    """Requests by their shape that became a move within ten seconds; those that move nothing don't count."""
+    from .quality import capture_rate
+
+    return capture_rate(*_asked_and_moved(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"SELECT CASE k % 6 WHEN 3 THEN 'Store' WHEN 4 THEN 'Interaction' ELSE 'Move' END AS move_type, count(*) AS n FROM {E} WHERE {_ASKED} AND NOT (event_type <> 'error' AND k % 20 <= 10) GROUP BY 1")
+def capture_missed(spark, sf_dir):
+    from .quality import missed_requests
+
+    return missed_requests(*_asked_and_moved(spark, sf_dir))
+
+
+def _asked_and_moved(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A request for each event, some of no item, some within a grid or of no move, and a move up to twenty seconds after it, unless it was an error."""
+    from ..functions.events import events as parse, request_shapes
+    from ..operators.correlate import moves
+
+    e, t = events(spark, sf_dir), F.col("k") % 6
+    kind = F.when(t == 1, "Sort").when(t == 2, "Stack").when(t == 3, "Store").when(t == 4, "Interaction").otherwise("Move")
+    ask = log_line(F.lit(0), _ADD, added("{{k + 1}}", "{{kind}}", "9:Location:5", _BOX, "part_{{k}}", "C"))
+    odd = log_line(F.lit(0), _ADD, added("{{k + 1}}", "{{kind}}", "9:Location:5", _BOX, "NULL", "C"))
+    # Every third of the events with k % 6 = 0 asks once more, for no item.
+    move = log_line(F.col("k") % 20, _QUEUED, queued("{{k + 1}}", "Move", "9:Location:5", _BOX, "part_{{k}}"))
+    line = lambda n, x: F.struct(F.lit(n).cast("long").alias("n"), x.alias("line"))
+    rows = F.array(line(0, ask), line(1, F.when(t == 0, odd)), line(2, F.when(F.col("event_type") != "error", move)))
+    lines = e.withColumn("kind", kind).select(F.col("event_id").alias("session_id"), F.explode(rows).alias("x")).select("session_id", F.col("x.n").alias("line_offset"), "x.line").where("line IS NOT NULL")
+    return request_shapes(lines), moves(parse(lines))
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) AS moves FROM orders")
+def session_moves(spark, sf_dir):
+    """Sessions with their number of moves, none included."""
+    from .queries import moves_per_session
+
+    o = read(spark, sf_dir, "orders").withColumn("session_id", F.col("o_orderkey"))
+    return moves_per_session(o, read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("session_id"))).select("o_orderkey", "moves")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'R')")
+def incomplete_files(spark, sf_dir):
+    """Files that are there, not live, and not read to their end."""
+    from .queries import incomplete
+
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("/logs/"), "o_orderkey").alias("path"), (F.col("o_orderstatus") == "F").alias("complete"))
+    files = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("/logs/"), "l_orderkey").alias("path"), (F.col("l_returnflag") == "R").alias("is_live"))
+    return incomplete(o, files).select("o_orderkey")
+
+
+def _ends(spark, sf_dir) -> tuple[str, str]:
+    """The first and the last of the nations that have suppliers."""
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return tuple(n.agg(F.min("n_name"), F.max("n_name")).first())
+
+
+def _shelf(spark, sf_dir) -> DataFrame:
+    """Two crates in each nation with their own records, what is in five of them, parts of things in the fifth, and loose items."""
+    from .analogs import place_chain
+
+    n = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    day = F.lit("2026-08-01").cast("timestamp").alias("since")
+    inside = _holdings(spark, sf_dir).where(F.element_at("chain", -1)["kind"] == "Location")
+    on = F.transform("chain", lambda x, i: F.when((i == 0) & (x["key"] == "4"), x.withField("label_prefix", F.lit("on "))).otherwise(x))
+    inside = inside.withColumn("chain", on)
+    row = lambda geid, name, rank, caveats, label, place: [F.lit("me").alias("account"), name.alias("item_class"), F.lit(1).alias("quantity"), place_chain(place).alias("chain"), day, F.lit(rank).alias("rank"), geid.alias("geid"), caveats.alias("caveats"), F.lit(label).alias("type_label")]
+    nations = read(spark, sf_dir, "nation").select("n_name", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("c"))
+    crates = nations.select(*row(F.col("c").cast("string"), F.lit("crate"), 2, F.array(F.lit("own")), "Backpack", F.col("n_name")))
+    loose = n.select(*row(F.lit(None).cast("string"), F.concat(F.lit("loose_"), F.col("s_suppkey") % 3), 1, F.array(F.concat(F.lit("c"), F.col("s_suppkey") % 2)), "Hat", F.col("n_name")))
+    return inside.select(*loose.columns).withColumn("since", F.col("since").cast("timestamp")).unionByName(crates).unionByName(loose)
+
+
+_NATIONS = "(SELECT min(n_name) AS a, max(n_name) AS b FROM nation JOIN supplier ON s_nationkey = n_nationkey)"
+_ENDS = f"((SELECT a FROM {_NATIONS}), (SELECT b FROM {_NATIONS}))"
+_AT = f"(SELECT * FROM {H} WHERE root_kind = 'Location' AND root_key IN {_ENDS})"
+_KIND = "CASE WHEN l_linenumber = 1 THEN 'Consumables' ELSE 'Other' END"
+
+
+@query(f"""WITH b AS (SELECT crate, cast(sum(quantity) AS BIGINT) AS inside, string_agg(DISTINCT {_KIND}, ',' ORDER BY {_KIND}) AS kinds, min(rank) AS rank FROM {_AT} GROUP BY 1)
+SELECT 'container' AS row, 'crate' AS item_class, cast(c.c AS VARCHAR) AS key, cast(1 AS BIGINT) AS quantity, b.inside, 'High' AS confidence, 'own' AS caveats, concat('Armor', ',', b.kinds) AS categories FROM (SELECT unnest([0, 1]) AS c) c JOIN b ON b.crate = c.c
+UNION ALL SELECT 'container', concat(CASE WHEN crate = 4 THEN 'on ' ELSE '' END, 'crate ', crate), cast(crate AS VARCHAR), 1, inside, CASE rank WHEN 2 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END, '', kinds FROM b WHERE crate > 1
+UNION ALL SELECT 'item', concat('loose_', s_suppkey % 3), NULL, count(*), NULL, 'Medium', string_agg(DISTINCT concat('c', s_suppkey % 2), ',' ORDER BY concat('c', s_suppkey % 2)), 'Clothing' FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_name IN {_ENDS} GROUP BY 2""")
+def q_level_rows(spark, sf_dir):
+    """One place under two ids: loose items, crates with and without their own record, a thing known by its parts only."""
+    from .queries import level
+
+    h = _shelf(spark, sf_dir)
+    # Both ids have the two crates; an entity has one record.
+    first, last = _ends(spark, sf_dir)
+    h = h.where((F.col("item_class") != "crate") | (F.col("chain")[0]["key"] == first))
+    return level(h, [("Location", first)], (last,)).select("row", "item_class", "key", "quantity", "inside", "confidence", F.array_join("caveats", ",").alias("caveats"), F.array_join("categories", ",").alias("categories"))
+
+
+@query(f"""SELECT category, cast(sum(quantity) AS BIGINT) AS quantity FROM (SELECT {_KIND} AS category, quantity FROM {_AT} WHERE root_key = (SELECT a FROM {_NATIONS}) AND crate <> 4 UNION ALL SELECT 'Armor', 2 UNION ALL SELECT 'Clothing', count(*) FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_name = (SELECT a FROM {_NATIONS})) GROUP BY 1 HAVING sum(quantity) > 0""")
+def q_level_categories(spark, sf_dir):
+    """Units at a place by category, parts of things aside."""
+    from .queries import level_categories
+
+    return level_categories(_shelf(spark, sf_dir), [("Location", _ends(spark, sf_dir)[0])])
+
+
+@query(f"SELECT category, count(*) AS rows FROM (SELECT {_KIND} AS category FROM {H} WHERE item_class = 'part_5') GROUP BY 1")
+def q_search_categories(spark, sf_dir):
+    from .queries import search_categories
+
+    return search_categories(_holdings(spark, sf_dir).withColumn("display_name", F.lit(None).cast("string")), "PART_5")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_suppkey = (SELECT min(s_suppkey) FROM supplier) AND (l_linenumber <> 2 OR l_shipdate >= TIMESTAMP '1995-01-01 00:00:00')")
+def q_history(spark, sf_dir):
+    """One entity's moves since the last reset of each account; one of the accounts had two."""
+    from .queries import item_page
+
+    first = read(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]
+    moves = read(spark, sf_dir, "lineitem").select("*", F.col("l_suppkey").cast("string").alias("item_geid"), F.col("l_linenumber").cast("string").alias("account"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_orderkey").alias("line_offset"))
+    resets = spark.createDataFrame([("2", "1993-01-01"), ("2", "1995-01-01")], "account string, t string").select("account", F.col("t").cast("timestamp").alias("ts"))
+    return item_page(_holdings(spark, sf_dir), moves, str(first), resets)[1].select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
+@query(f"SELECT DISTINCT user_id, k FROM {E} WHERE event_type <> 'view' AND (user_id, k) NOT IN (SELECT user_id, k FROM {E} WHERE event_type = 'view')")
+def insert_ignore(spark, sf_dir):
+    """Keys that an insert which ignores conflicts adds."""
+    from .store import insert_new
+
+    e = events(spark, sf_dir)
+    return insert_new(e.where("event_type = 'view'"), e.where("event_type <> 'view'").select("user_id", "k", "event_id"), ["user_id", "k"]).select("user_id", "k")
+
+
+_BODIES = ["feat(app): show items (#12)\n\n- fix: a crash\nchore: none", "docs: words", "* perf!: faster reads  (#7)\r\nfix:   ", "Fix: one\nfeat: two"]
+_TOLD = [[("New", "Show items"), ("Fixed", "A crash")], [], [("Improved", "Faster reads")], [("Fixed", "One"), ("New", "Two")]]
+
+
+@query(" UNION ALL ".join(f"SELECT concat('v0.', s_suppkey) AS tag, '{kind}' AS kind, '{text}' AS text FROM supplier WHERE s_suppkey % 4 = {i}" for i, told in enumerate(_TOLD) for kind, text in told))
+def release_notes(spark, sf_dir):
+    from .releases import notes
+
+    return notes(_releases(spark, sf_dir)).select("tag", "kind", "text")
+
+
+def _releases(spark, sf_dir) -> DataFrame:
+    body = F.get(F.array(*[F.lit(x) for x in _BODIES]), (F.col("s_suppkey") % 4).cast("int"))
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit("v0."), "s_suppkey").alias("tag"), body.alias("body"))
+
+
+@query("SELECT concat('v0.', s_suppkey) AS tag FROM supplier WHERE s_suppkey % 4 <> 1 AND s_suppkey > 3 AND s_suppkey <= 9 ORDER BY s_suppkey DESC LIMIT 10")
+def releases_to_tell(spark, sf_dir):
+    """Releases since the last one seen that have notes, the newest first; ten at most are the feature."""
+    from .releases import to_tell
+
+    return to_tell(_releases(spark, sf_dir), "0.9.0.0", "0.3").select("tag")

@@ -20,10 +20,16 @@ def launcher_versions(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def localisation(spark: SparkSession, path: str) -> DataFrame:
-    """key -> value of ``key[,P]=value`` lines; keys without case, the last of a key counts."""
+    """key -> value of ``key[,flag]=value`` lines; keys without case, the last of a key counts."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("n", "line")).where(F.instr("line", "=") > 1)
-    key = F.lower(F.trim(F.regexp_replace(F.substring_index("line", "=", 1), r",P$", "")))
-    return lines.select("n", key.alias("key"), F.expr("substring(line, instr(line, '=') + 1)").alias("value")).groupBy("key").agg(F.max_by("value", "n").alias("value"))
+    key = F.lower(F.substring_index(F.trim(F.substring_index("line", "=", 1)), ",", 1))
+    return lines.select("n", key.alias("key"), F.expr("substring(line, instr(line, '=') + 1)").alias("value")).where("key <> ''").groupBy("key").agg(F.max_by("value", "n").alias("value"))
+
+
+def language(spark: SparkSession, path: str) -> str:
+    """The language that a settings file (a few lines) sets; English where it sets none."""
+    found = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"(?m)^\s*g_language\s*=\s*([^\s;]+)", 1).alias("v")).where("v <> ''").first()
+    return found["v"] if found else "english"
 
 
 def catalogue_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:

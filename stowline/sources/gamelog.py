@@ -42,17 +42,25 @@ def discover(spark: SparkSession, folder: str, cutoff: str = "2026-07-16 00:00:0
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of all log files of a folder, on any file system that Spark reads; a file is one row until it is split."""
+    """Lines of all log files of a folder, on any file system that Spark reads; a file is one row until it is split.
+
+    A file that can't be read is left out, and read the next time; ``unread`` lists it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 yield pd.DataFrame([(path, *x) for x in split_bytes(bytes(content))], columns=["path", "line_offset", "line"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(folder)
     return files.select("path", "content").mapInPandas(run, LINES)
 
 
+def unread(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """Files of ``discover`` that have bytes and gave no line: unreadable, or without a whole line yet."""
+    return files.where("length > 0").join(lines.select("path").distinct(), "path", "left_anti")
+
+
 def sessions_of(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Lines with session_id: a hash of the file's path and its first time, so that a file begun anew is another session."""
     from ..functions.events import split_lines

@@ -7,7 +7,7 @@ one pass gives. Batches go to folders of their own, written anew if a batch is t
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -47,11 +47,17 @@ def paired_stream(spark: SparkSession, folder: str) -> DataFrame:
     return pairing_rows(parse(lines)).groupBy("session_id").applyInPandasWithState(_step, PAIRED, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def follow(spark: SparkSession, folder: str, out: str, **trigger):
-    """Start a query that appends to the table at ``out``; trigger is that of writeStream (default: what there is now)."""
+def follow(spark: SparkSession, folder: str, out: str, publish: Callable[[int], None] | None = None, **trigger):
+    """Start a query that appends to the table at ``out``; trigger is that of writeStream (default: what there is now).
+
+    ``publish(batch)`` is called after each batch that brought something: lines that change no holding give no rows.
+    """
 
     def keep(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        path = f"{out}/batch={batch}"
+        rows.write.mode("overwrite").parquet(path)
+        if publish is not None and not rows.sparkSession.read.schema(PAIRED).parquet(path).isEmpty():
+            publish(batch)
 
     return paired_stream(spark, folder).writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(**(trigger or {"availableNow": True})).start()
 
