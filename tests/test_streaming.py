@@ -21,10 +21,13 @@ def test_pieces_equal_one_pass(spark, tmp_path):
     logs.mkdir()
     log = logs / "Game.log"
     cuts = [0, len(lines[0]) + 20, sum(len(x) + 1 for x in lines[:3]), sum(len(x) + 1 for x in lines[:6]) - 1, len(data)]
+    published: list[int] = []
     for a, z in zip(cuts, cuts[1:], strict=False):
         with log.open("ab") as f:
             f.write(data[a:z])
-        follow(spark, str(logs), str(tmp_path / "out")).awaitTermination()
+        follow(spark, str(logs), str(tmp_path / "out"), published.append).awaitTermination()
+    # A change of place alone, in the first piece, moves nothing.
+    assert 0 < len(published) < len(cuts) - 1 and 0 not in published
     whole = read_lines(spark, str(logs)).withColumn("session_id", F.lit(1))
     cold = moves(events(whole))
     live = followed_moves(spark, str(tmp_path / "out"))
