@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .block_naming import exact_duplicates
 from .bm25_decontam import contaminated
 from .common import documents, table
 from .covering_simhash import hex_digits, near_duplicates
@@ -62,6 +63,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(documents(spark, sf_dir))
 
 
+def op13_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_skip_chain_pii": op2_skip_chain_pii,
@@ -73,6 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dac_tokens": op8_dac_tokens,
     "op9_flac_media": op9_flac_media,
     "op10_license_scan": op10_license_scan,
+    "op13_block_naming": op13_block_naming,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op13_block_naming": """
+        with t as (select row_number() over () as row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents)
+        select doc_id, first_value(doc_id) over g as keep_id, count(*) over (partition by text) as group_size, row = first_value(row) over g as kept, sha256(text) as text_sha256
+        from t window g as (partition by text order by doc_id desc nulls last, row)
+    """,
+}
