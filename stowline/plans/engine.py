@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.events import events as parse
 from ..operators import dimensions as D, ledger as L
 from ..operators.correlate import moves as correlate
-from ..sources.gamelog import build_of, discover, read_lines, sessions_of
+from ..sources.gamelog import build_of, discover, read_log, sessions_of
 from . import naming as N
 from .holdings import chains, moved_the_player, score, update_factors
 from .store import cut
@@ -56,9 +56,14 @@ def resolve(tables: dict[str, DataFrame], as_of: str, names: DataFrame | None =
 
 
 def from_folder(spark: SparkSession, folder: str, account: str | Column = "me", cutoff: str = CUTOFF) -> dict[str, DataFrame]:
-    """Tables of a folder of logs; all but the live log are finished. account may be a column of ``path``."""
-    files, raw = discover(spark, folder, cutoff), read_lines(spark, folder)
-    lines = sessions_of(raw, files)
+    """Tables of a folder of logs; all but the live log are finished. account may be a column of ``path``.
+
+    The folder is read once. ``unread`` lists files that could not be read whole; they give no rows.
+    """
+    files = cut(discover(spark, folder, cutoff))
+    raw, unread = read_log(spark, folder)
+    lines, ids = sessions_of(raw, files)
     named = files.join(build_of(raw).withColumnRenamed("build", "_b"), "path", "left").select("path", "is_live", F.coalesce("build", "_b").alias("build"))
-    ids = lines.select("session_id", "path").distinct().join(named, "path")
-    return derive(lines, ids.select("session_id", "build"), account, cutoff, ids.where("NOT is_live").select("session_id"))
+    ids = cut(ids.join(named, "path").select("session_id", "is_live", "build"))
+    found = derive(lines, ids.select("session_id", "build"), account, cutoff, ids.where("NOT is_live").select("session_id"))
+    return found | {"unread": unread}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,20 +23,32 @@ def insert_new(store: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.dropDuplicates(key).join(store.select(*key).distinct(), key, "left_anti")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed now and kept in the checkpoint folder: what is built on it has a short plan and outlives lost executors.
-
-    The folder is the session's (spark.checkpoint.dir); only where none is set, as in tests, one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (spark.checkpoint.dir); only where none is set, as in tests, one is made."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed now and kept in the checkpoint folder: what is built on it has a short plan and outlives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df, written now as Parquet in the checkpoint folder: for tables of which readers want some columns or rows only."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Snapshots:
     """Versions of a set of tables below one folder; a version counts once its pointer file is there, which is written last.
 

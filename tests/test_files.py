@@ -1,12 +1,15 @@
 """Small files, snapshots, reports and release decisions."""
 
 import glob
+from urllib.parse import unquote
+
+import pytest
 
 from stowline.plans.quality import METRICS, corpus_fingerprint, manifest, report, write_report
 from stowline.plans.releases import action, to_tell, version, version_text
 from stowline.plans.store import Snapshots
 from stowline.sources.files import catalogue_pages, language, launcher_versions, localisation, only_child
-from stowline.sources.gamelog import discover, read_lines, unread
+from stowline.sources.gamelog import read_log, split_bytes
 
 
 def write(path, text):
@@ -83,8 +86,39 @@ def test_releases(spark):
     assert [say("1.2", None, True), say("1.2", None, False), say("1.2", "1.2.0", True), say("1.10", "1.9", True)] == ["show", "record", "nothing", "show"]
 
 
-def test_unread_files(spark, tmp_path):
+LOGS = {
+    "Game.log": b"\xef\xbb\xbffirst \xc3\xa9\r\nsecond \xff bad\n\n\n" + b"third " * 400 + b"line\r\rx\nlast\npartial",
+    "a b%20+c Build(99999999).log": b"one\ntwo\r\n",
+    "empty.log": b"",
+    "no feed.log": b"no line feed",
+    "feeds.log": b"\n" * 50,
+    "mark only.log": b"\xef\xbb\xbfx\ny",
+    "long.log": b"".join(b"%d %s\n" % (i, b"w" * (i % 97)) for i in range(300)),
+}
+
+
+@pytest.mark.parametrize("size", ["700", "5000", "128m"])
+def test_lines_are_the_same_for_any_byte_range(spark, tmp_path, size):
+    for name, data in LOGS.items():
+        (tmp_path / name).write_bytes(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines, missed = read_log(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    found = [(unquote(r.path.rsplit("/", 1)[1]), r.line_no, r.line_offset, r.line) for r in lines.collect()]
+    assert sorted(found) == sorted((name, i, at, text) for name, data in LOGS.items() for i, (at, text) in enumerate(split_bytes(data)))
+    assert missed.count() == 0
+
+
+def test_a_file_that_cannot_be_read_is_listed_and_the_rest_is_read(spark, tmp_path):
     write(tmp_path / "Game.log", "<x> a\n")
-    write(tmp_path / "Game Build(99999999).log", "no line feed")
-    left = unread(discover(spark, str(tmp_path)), read_lines(spark, str(tmp_path))).collect()
-    assert len(left) == 1 and "Build" in left[0].path
+    # The local file system checks a file against the sums beside it.
+    write(tmp_path / "Game Build(99999999).log", "<y> b\n" * 300)
+    (tmp_path / ".Game Build(99999999).log.crc").write_bytes(b"crc\x00\x00\x00\x02\x00" + b"\x01" * 16)
+    lines, missed = read_log(spark, str(tmp_path))
+    assert [r.line for r in lines.collect()] == ["<x> a"]
+    assert [(unquote(r.path.rsplit("/", 1)[1]), r.length) for r in missed.collect()] == [("Game Build(99999999).log", 1800)]
