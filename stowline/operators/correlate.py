@@ -23,6 +23,8 @@ PAIRED = (
     "session_id long, line_offset long, item_ix int, patch string, at_offset long, request_no int, ts timestamp, player string, player_id string, move_type string, item_class string, "
     "item_geid string, amount int, src_raw string, src_kind string, src_key string, tgt_raw string, tgt_kind string, tgt_key string, caller string, action string, result string"
 )
+#: Rows that are no moves: what a patch says of one, a disconnect, and that a session has no more lines.
+GEID, RESULT, CLOSED, FINISHED = "geid", "result", "closed", "finished"
 _NAMES = [c.strip().split()[0] for c in PAIRED.split(",")]
 _AT = {n: i for i, n in enumerate(_NAMES)}
 _REAL = frozenset(HOLDING_KINDS)
@@ -140,7 +142,7 @@ class Pairing:
         for m in self.moves.get(number, ()):
             if not m["named"] and m["generation"] == self.generation and m["class"] == e.item_class and abs(e.us - m["us"]) <= _SPAWN:
                 m["named"] = True
-                return [self._patch(e, m, patch="geid", item_geid=e.item_geid)]
+                return [self._patch(e, m, patch=GEID, item_geid=e.item_geid)]
         self.spawns.setdefault(number, []).append((e.item_geid, e.item_class, e.us, self.generation))
         self.spawn_queue.append((e.us, number))
         return []
@@ -150,7 +152,7 @@ class Pairing:
         for m in self.moves.get(int(e.request_no), ()):
             gap = e.us - m["us"]
             if e.line_offset > m["offset"] and (m["generation"] == self.generation and abs(gap) <= _COMPLETION or m["late"] and 0 <= gap <= _COMPLETION):
-                out.append(self._patch(e, m, patch="result", result=e.result))
+                out.append(self._patch(e, m, patch=RESULT, result=e.result))
         return out
 
     def _ItemStored(self, e) -> list[tuple]:
@@ -162,7 +164,7 @@ class Pairing:
         for m in (m for held in self.moves.values() for m in held):
             if 0 <= e.us - m["us"] <= _COMPLETION:
                 m["late"] = True
-        return []
+        return [self._patch(e, {"offset": e.line_offset, "ix": -1}, patch=CLOSED, ts=e.ts)]
 
     def _LocationChanged(self, e) -> list[tuple]:
         self.here = e.place or self.here
@@ -202,28 +204,37 @@ def with_location(events: DataFrame) -> DataFrame:
 
 
 def paired(events: DataFrame) -> DataFrame:
-    """Moves and patches, as the pass over each session emits them."""
-    return fold(pairing_rows(events), "session_id", ["line_offset"], Pairing, PAIRED)
+    """Moves, patches to them and disconnects, as the pass over each session emits them."""
+    return fold(pairing_rows(events), ["session_id"], ["line_offset"], Pairing, PAIRED)
+
 
+def finished_rows(finished: DataFrame) -> DataFrame:
+    """The rows of the pass that say that sessions (session_id) have no more lines; they stand behind all others."""
+    return finished.select("session_id", F.lit(2**63 - 1).alias("line_offset"), F.lit(-1).alias("item_ix"), F.lit(FINISHED).alias("patch")).distinct()
 
-def settle(rows: DataFrame, closed: DataFrame, finished: DataFrame | None = None) -> DataFrame:
-    """Moves with what their patches say; closed has the disconnects (session_id, line_offset, ts).
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Moves with what the other rows of the pass say of them.
 
     The last completion of a move counts. Without one, it was lost if a later disconnect's time is not before its own, or
-    if its session is ``finished`` (session_id): has no more lines.
+    if its session has no more lines. One shuffle by session: patches meet their move in an aggregate, and what comes
+    later is the running maximum of the disconnects' times, from the last line back.
     """
     key = ["session_id", "line_offset", "item_ix"]
-    base = rows.where("patch = 'move'").drop("patch", "at_offset", "result")
-    patches = rows.where("patch <> 'move'").groupBy(*key).agg(F.max_by("item_geid", F.when(F.col("patch") == "geid", F.col("at_offset"))).alias("_geid"), F.max_by("result", F.when(F.col("patch") == "result", F.col("at_offset"))).alias("_result"))
-    closed = closed.select(F.col("session_id").alias("_s"), F.col("line_offset").alias("_off"), F.col("ts").alias("_ts"))
-    void = base.join(closed, (F.col("session_id") == F.col("_s")) & (F.col("_off") > F.col("line_offset")) & (F.col("_ts") >= F.col("ts")), "left_semi").select(*key).withColumn("_lost", F.lit(True))
-    out = base.join(patches, key, "left").join(void, key, "left")
-    if finished is not None:
-        out = out.join(finished.select("session_id").distinct().withColumn("_end", F.lit(True)), "session_id", "left")
-    gone = F.coalesce("_lost", *(["_end"] if finished is not None else []), F.lit(False)) & (F.col("request_no") > 0) & (F.col("move_type") != "StoreItem")
+    values = [c for c in _NAMES if c not in (*key, "patch", "at_offset", "result")]
+    of = lambda patch, value: F.when(F.col("patch") == patch, value)
+    one = rows.repartition("session_id").groupBy(*key).agg(
+        F.max_by(F.struct(*values), of("move", F.lit(1))).alias("m"), F.max_by("item_geid", of(GEID, F.col("at_offset"))).alias("_geid"), F.max_by("result", of(RESULT, F.col("at_offset"))).alias("_result"),
+        F.max(of(CLOSED, F.col("ts"))).alias("_closed"), F.max(of(FINISHED, F.lit(True))).alias("_finished"),
+    )
+    later = Window.partitionBy("session_id").orderBy(F.desc("line_offset"), F.desc("item_ix")).rowsBetween(Window.unboundedPreceding, -1)
+    out = one.withColumn("_end", F.max("_finished").over(later)).withColumn("_after", F.max("_closed").over(later)).where("m IS NOT NULL").select(*key, "m.*", "_geid", "_result", "_end", "_after")
+    gone = F.coalesce("_end", F.col("_after") >= F.col("ts"), F.lit(False)) & (F.col("request_no") > 0) & (F.col("move_type") != "StoreItem")
     result = F.coalesce("_result", F.when(gone, "lost"))
     return out.select(*key, "request_no", "ts", "player", "player_id", "move_type", "item_class", F.coalesce("item_geid", "_geid").alias("item_geid"), "amount", "src_raw", "src_kind", "src_key", "tgt_raw", "tgt_kind", "tgt_key", "caller", "action", result.alias("result"))
 
 
 def moves(events: DataFrame, finished: DataFrame | None = None) -> DataFrame:
-    return settle(paired(events), events.where("event_kind = 'ChannelDisconnected'"), finished)
+    """Settled moves of events; finished has the sessions (session_id) that have no more lines."""
+    rows = paired(events)
+    return settle(rows if finished is None else rows.unionByName(finished_rows(finished), allowMissingColumns=True))

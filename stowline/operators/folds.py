@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import namedtuple
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,26 +23,27 @@ def plain(batch: pd.DataFrame) -> Iterator[tuple]:
     return map(row, *columns) if columns else iter(())
 
 
-def fold(rows: DataFrame, key: str, order: list[str], state: Callable[[], object], schema: str) -> DataFrame:
+def fold(rows: DataFrame, key: list[str], order: list[str], state: Callable[[], object], schema: str) -> DataFrame:
     """Deal rows by key, sort them, and feed each key's rows to a state of its own.
 
     ``state()`` makes an object with ``step(row) -> rows`` and ``end() -> rows``. A key's rows stream through a task in
     sorted batches, so that what is in memory is the state, never the history.
     """
     names = [c.strip().split()[0] for c in schema.split(",")]
+    of = attrgetter(*key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, None
         for batch in batches:
             out: list[tuple] = []
             for row in plain(batch):
-                if held is None or getattr(row, key) != now:
+                if held is None or of(row) != now:
                     if held is not None:
                         out += held.end()
-                    now, held = getattr(row, key), state()
+                    now, held = of(row), state()
                 out += held.step(row)
             yield pd.DataFrame(out, columns=names)
         if held is not None:
             yield pd.DataFrame(held.end(), columns=names)
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)

@@ -91,7 +91,6 @@ class Account:
                     rows.append(self._row("holding", geid=i["geid"], item_class=name, quantity=1, kind=kind, key=key, since=i["since"], arrived_by=i["by"], confirmed=i["confirmed"], inferred=i["inferred"], duplicate_risk=False, ambiguous=i["ambiguous"], carried=i["geid"] in self.carried, part_parent=i["geid"] in self.parents))
                 for g in slot.groups:
                     rows.append(self._row("holding", item_class=name, quantity=g["n"], kind=kind, key=key, since=g["since"], arrived_by=g["by"], confirmed=g["confirmed"], inferred=g["inferred"], duplicate_risk=g["risk"], ambiguous=False, carried=False, part_parent=False))
-        rows += [self._row("parent", geid=p) for p in sorted(self.parents)]
         return rows + [self._row("stat", detail=k, quantity=n) for k, n in sorted(self.stats.items())]
 
     def _row(self, row_kind: str, **values) -> tuple:
@@ -276,6 +275,9 @@ class Account:
     def _wearable(self, e) -> None:
         self.wearable.add(e.item_geid)
 
+    def _parent(self, e) -> None:
+        self.parents.add(e.item_geid)
+
     def _worn(self, e) -> None:
         self._count("sightings")
         if self.at.get(e.item_geid) == LOST:
@@ -370,6 +372,39 @@ def timeline(moves: DataFrame, seen: DataFrame, resets: DataFrame, containers: D
     )
 
 
+def epochs(entries: DataFrame) -> DataFrame:
+    """Entries with ``epoch``, the number of the account's resets before them, and what each epoch must know of those before.
+
+    A reset empties all places, so that an account falls into stretches that share nothing but two sets: what can be worn,
+    and what has been the parent of parts. Of these an epoch gets what its own entries speak of. A reset closes its epoch. Resets
+    of an account are as few as the game's updates: their times are one array, no order of entries is needed.
+    """
+    resets = entries.where("entry = 'reset'").groupBy("account").agg(F.collect_list("ts").alias("wiped"))
+    # Its place among the sorted resets, those of its own instant included unless it is one.
+    at = F.when(F.col("entry") == "reset", F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 MICROSECOND"))
+    before = F.coalesce(F.array_position(F.sort_array(F.array_append("wiped", at)), at) - 1, F.lit(0))
+    numbered = lambda how: entries.where("entry <> 'wearable'").join(resets, "account", how).withColumn("epoch", before).drop("wiped")
+    dealt, wear = numbered("left"), entries.where("entry = 'wearable'")
+    spoken = F.array_compact(F.array(F.when(F.col("src_kind") == "Container", F.col("src_key")), F.when(F.col("tgt_kind") == "Container", F.col("tgt_key")), "parent_geid", "item_geid"))
+    # The first epoch has all there is to wear; its parents are its own.
+    later = numbered("inner").where("epoch > 0").select("account", "epoch", F.explode(spoken).alias("item_geid")).distinct()
+    known = wear.withColumn("epoch", F.lit(0)).unionByName(wear.join(later, ["account", "item_geid"]))
+    parents = dealt.where("entry = 'worn' AND is_part AND parent_geid IS NOT NULL").groupBy("account", F.col("parent_geid").alias("item_geid")).agg(F.min("epoch").alias("first"))
+    carried = parents.join(later, ["account", "item_geid"]).where("epoch > first").select("account", "epoch", "item_geid", F.lit("parent").alias("entry"), F.lit(0).alias("rank"), F.lit(0).cast("timestamp").alias("ts"))
+    return dealt.unionByName(known).unionByName(carried, allowMissingColumns=True)
+
+
 def ledger(entries: DataFrame) -> DataFrame:
-    """Rows of every account: holdings, part parents, misses, placement checks, resets, counters (``row_kind``)."""
-    return fold(entries, "account", ["ts", "rank", "seq", "sub", "item_geid"], Account, ROWS)
+    """Rows of every account: holdings, part parents, misses, placement checks, resets, counters (``row_kind``).
+
+    An account runs in as many tasks as it has epochs. Each has its own counters, which ``counters`` adds up. The entries are
+    read more than once: a table, not a plan.
+    """
+    rows = fold(epochs(entries), ["account", "epoch"], ["ts", "rank", "seq", "sub", "item_geid"], Account, ROWS)
+    parents = entries.where("entry = 'worn' AND is_part AND parent_geid IS NOT NULL").select("account", F.lit("parent").alias("row_kind"), F.col("parent_geid").alias("geid")).distinct()
+    return rows.unionByName(parents, allowMissingColumns=True)
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """(account, detail, quantity): the counters of an account over all its epochs."""
+    return rows.where("row_kind = 'stat'").groupBy("account", "detail").agg(F.sum("quantity").alias("quantity"))

@@ -157,21 +157,29 @@ def evidence_votes(spark, sf_dir):
     return majority(events(spark, sf_dir).groupBy("user_id", "k").agg(F.count("*").alias("hits")), "user_id", "k", "hits").select("user_id", "k", "hits")
 
 
-@query("SELECT user_id, event_type, round(hits / total, 6) AS share FROM (SELECT user_id, event_type, count(*) AS hits, sum(count(*)) OVER (PARTITION BY user_id) AS total FROM events WHERE event_type IN ('view', 'error') GROUP BY 1, 2) WHERE hits / total >= 0.75")
+DAY = "concat(user_id, '/', cast(cast(ts AS DATE) AS VARCHAR))"
+
+
+def _by_day(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).withColumn("unit", F.concat(F.col("user_id").cast("string"), F.lit("/"), F.to_date("ts").cast("string")))
+
+
+@query(f"SELECT unit, event_type, round(hits / total, 6) AS share FROM (SELECT {DAY} AS unit, event_type, count(*) AS hits, sum(count(*)) OVER (PARTITION BY {DAY}) AS total FROM events GROUP BY 1, 2) WHERE hits / total >= 0.75")
 def clear_majority(spark, sf_dir):
+    """The event type that has three quarters of a user's day."""
     from .naming import clear_majority as clear
 
-    votes = read(spark, sf_dir, "events").where(F.col("event_type").isin("view", "error")).groupBy("user_id", "event_type").agg(F.count("*").alias("hits"))
-    return clear(votes, "user_id", "event_type", "hits").select("user_id", "event_type", F.round("share", 6).alias("share"))
+    votes = _by_day(spark, sf_dir).groupBy("unit", "event_type").agg(F.count("*").alias("hits"))
+    return clear(votes, "unit", "event_type", "hits").select("unit", "event_type", F.round("share", 6).alias("share"))
 
 
-@query(f"SELECT cast(user_id AS VARCHAR) AS place_key, 'n' AS name, cast(bit_or(1 << (k % 5)) AS INTEGER) AS sources, CASE WHEN bit_count(bit_or(1 << (k % 5))) >= 2 THEN 'Confirmed' ELSE 'Proposed' END AS status FROM {E} WHERE k % 10 < 2 GROUP BY 1")
+@query(f"SELECT {DAY} AS place_key, 'n' AS name, cast(bit_or(1 << (k % 5)) AS INTEGER) AS sources, CASE WHEN bit_count(bit_or(1 << (k % 5))) >= 2 THEN 'Confirmed' ELSE 'Proposed' END AS status FROM {E} WHERE k IS NOT NULL GROUP BY 1")
 def source_bits(spark, sf_dir):
-    """Sources that agree on a name, as bits of one number."""
+    """Sources that agree on a name, as bits of one number: a place for each user's day."""
     from .naming import resolve_names
 
-    e = events(spark, sf_dir).where("k % 10 < 2")
-    return resolve_names(e.select(F.col("user_id").cast("string").alias("place_key"), F.lit("n").alias("name"), F.expr("shiftleft(1, k % 5)").alias("source"), F.col("k").alias("rank")))
+    e = _by_day(spark, sf_dir).where("k IS NOT NULL")
+    return resolve_names(e.select(F.col("unit").alias("place_key"), F.lit("n").alias("name"), F.expr("shiftleft(1, k % 5)").alias("source"), F.col("k").alias("rank")))
 
 
 @query(f"""WITH b AS (SELECT user_id, k, min(ts) AS first_at FROM {E} GROUP BY 1, 2) SELECT cast(user_id AS VARCHAR) AS account, k AS build, first_at FROM (SELECT *, max(k) OVER (PARTITION BY user_id ORDER BY first_at, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM b) WHERE k > best""")
@@ -460,6 +468,30 @@ def ledger_fold(spark, sf_dir):
     return rows.where("row_kind = 'holding'").groupBy("account", "item_class", F.col("key").alias("place")).agg(F.sum("quantity").alias("quantity"))
 
 
+EPOCHS = """WITH m AS (SELECT l_linestatus AS account, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq, cast(l_partkey AS VARCHAR) AS geid, cast(l_suppkey AS VARCHAR) AS place FROM lineitem),
+r AS (SELECT account, ts, row_number() OVER (PARTITION BY account ORDER BY ts) - 1 AS epoch FROM (SELECT DISTINCT l_linestatus AS account, date_trunc('month', o_orderdate) AS ts FROM lineitem JOIN orders ON o_orderkey = l_orderkey)),
+e AS (SELECT m.*, (SELECT count(*) FROM r WHERE r.account = m.account AND r.ts <= m.ts) AS epoch FROM m)
+SELECT r.account, 'reset' AS row_kind, NULL AS geid, NULL AS place, r.ts AS at, count(DISTINCT geid) AS quantity FROM r LEFT JOIN e ON e.account = r.account AND e.epoch = r.epoch GROUP BY r.account, r.ts
+UNION ALL SELECT account, 'holding', geid, arg_max(place, (ts, seq)), max(ts), 1 FROM e WHERE epoch = (SELECT count(*) FROM r WHERE r.account = e.account) GROUP BY account, geid
+UNION ALL SELECT account, 'stat', 'named_moves', NULL, NULL, count(*) FROM m GROUP BY account"""
+
+
+@query(EPOCHS)
+def ledger_epochs(spark, sf_dir):
+    """Two accounts that hold all line items, wiped each month: what each reset took, what is left after the last, one counter over all."""
+    from ..operators.ledger import counters, ledger, timeline
+    from .store import keep
+
+    i, none = read(spark, sf_dir, "lineitem"), lambda schema: spark.createDataFrame([], schema)
+    moves = i.select(F.col("l_linestatus").alias("account"), F.col("l_shipdate").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.lit(0).alias("item_ix"), F.lit("Store").alias("move_type"), F.lit("part").alias("item_class"), F.col("l_partkey").cast("string").alias("item_geid"), F.lit(1).alias("amount"), F.lit("Invalid").alias("src_kind"), F.lit("").alias("src_key"), F.lit("Location").alias("tgt_kind"), F.col("l_suppkey").cast("string").alias("tgt_key"), F.lit("succeed").alias("result"))
+    resets = i.join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_linestatus").alias("account"), F.date_trunc("month", "o_orderdate").alias("ts")).distinct().withColumn("build", F.lit(1))
+    seen = none("account string, session_id long, line_offset long, seq long, ts timestamp, geid string, class_name string, port string, placeholder boolean, parent_geid string")
+    rows = keep(ledger(keep(timeline(moves, seen, resets, none("account string, geid string, class_name string")), "timeline")), "epochs")
+    kinds = rows.where("row_kind IN ('reset', 'holding')").select("account", "row_kind", "geid", F.col("key").alias("place"), F.coalesce("at", "since").alias("at"), F.col("quantity").cast("long").alias("quantity"))
+    moved = counters(rows).where("detail = 'named_moves'").select("account", F.lit("stat").alias("row_kind"), F.col("detail").alias("geid"), F.lit(None).cast("string").alias("place"), F.lit(None).cast("timestamp").alias("at"), "quantity")
+    return kinds.unionByName(moved)
+
+
 def _holdings(spark, sf_dir) -> DataFrame:
     """Line items as holdings: in a crate (the part) at a station (the nation of the supplier), dropped, or in a ship."""
     from .holdings import LINK, _link

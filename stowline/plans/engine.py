@@ -10,7 +10,7 @@ from ..operators.correlate import moves as correlate
 from ..sources.gamelog import build_of, discover, read_log, sessions_of
 from . import naming as N
 from .holdings import chains, moved_the_player, score, update_factors
-from .store import cut
+from .store import cut, keep
 
 #: Fixed value: moves before it are of another game patch.
 CUTOFF = "2026-07-16 00:00:00"
@@ -23,16 +23,16 @@ def derive(lines: DataFrame, builds: DataFrame, account: str | Column, cutoff: s
     parallel. Times of sessions count all lines; events before the cutoff do not count.
     """
     whose = account if isinstance(account, Column) else F.lit(account)
-    seq = lines.groupBy("session_id").agg(F.min("ingest_seq").alias("ingest_seq"), F.min(whose).alias("account"))
+    seq = cut(lines.groupBy("session_id").agg(F.min("ingest_seq").alias("ingest_seq"), F.min(whose).alias("account")))
     number = {"seq": F.col("ingest_seq") * 10_000_000_000 + F.col("line_offset")}
     events = cut(parse(lines).where(F.col("ts") >= F.lit(cutoff).cast("timestamp")).join(seq, "session_id"))
     moves = cut(correlate(events, finished).join(seq, "session_id").withColumns(number))
-    seen = D.sightings(events).withColumns(number).join(seq.select("session_id", "account"), "session_id")
+    seen = cut(D.sightings(events).withColumns(number).join(seq.select("session_id", "account"), "session_id"))
     sessions = cut(D.sessions(lines, events, cutoff).join(builds, "session_id", "left").join(seq.select("session_id", "account"), "session_id"))
     updates = D.game_updates(sessions)
     containers, locations = cut(D.containers(events, moves)), cut(D.location_names(events))
     resets = updates.where("reset_at IS NOT NULL").select("account", F.col("at").alias("ts"), "build")
-    rows = cut(L.ledger(L.timeline(moves, seen, resets, containers)))
+    rows = cut(L.ledger(keep(L.timeline(moves, seen, resets, containers), "timeline")))
     return {"events": events, "moves": moves, "sightings": seen, "sessions": sessions, "updates": updates, "containers": containers, "vehicles": D.vehicles(events), "attachments": D.attachments(seen), "location_names": locations, "place_evidence": D.place_evidence(events), "resets": resets, "ledger": rows}
 
 

@@ -504,7 +504,9 @@ def _sql(x) -> str:
 
 @query(_of_plays([(i, f"'{name}' AS counter, {n} AS n") for i, counted in enumerate(COUNTED) for name, n in counted.items()]))
 def ledger_counters(spark, sf_dir):
-    return _played_accounts(spark, sf_dir).where("row_kind = 'stat'").select("account", F.col("detail").alias("counter"), F.col("quantity").alias("n"))
+    from ..operators.ledger import counters
+
+    return counters(_played_accounts(spark, sf_dir)).select("account", F.col("detail").alias("counter"), F.col("quantity").alias("n"))
 
 
 @query(_of_plays([(i, f"'{kind}' AS row_kind, cast({_sql(detail)} AS VARCHAR) AS detail, cast({_sql(n)} AS INTEGER) AS n, cast({_sql(same)} AS BOOLEAN) AS same_place") for i, notes in NOTED.items() for kind, detail, n, same in notes]))

@@ -1,8 +1,10 @@
 """Growing log files as a stream of lines, resumed at byte offsets.
 
-The folder is one that the machines which run the query see under the same path. A line is read once its line feed is there. A file
-that became shorter, or whose first line is another, was begun anew and is read from its start. ``begun`` is the beginning of the
-first line, which tells the two apart.
+The folder is one that the machines which run the query see under the same path. A line is read once its line feed is there.
+A log is known by its file (the number that the file system has for it) and the beginning of its first line: one that is
+renamed goes on where it was, one that became shorter or begins otherwise was begun anew and is read from its start. A log that
+is no longer the live one (``Game.log``) is finished: behind its lines comes a mark, a row whose ``line`` is null, which
+may come more than once. A copy of a log is another log.
 """
 
 from __future__ import annotations
@@ -15,15 +17,16 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from .gamelog import split_bytes
 
-LINES = "path string, begun string, line_offset long, line string"
+LINES = "path string, file long, begun string, line_offset long, line string"
+LIVE = "game.log"
 
 
-#: Bytes of the first line that tell a file from the one before it under the same path.
+#: Bytes of the first line that tell a log from the one before it in the same file.
 HEAD = 64
 
 
 def _files(folder: str) -> dict[str, list]:
-    """Length up to the last line feed, and beginning of the first line, of each log file."""
+    """Length up to the last line feed, beginning of the first line, and file number of each log file."""
     out = {}
     for top, _, names in os.walk(folder):
         for name in names:
@@ -33,12 +36,16 @@ def _files(folder: str) -> dict[str, list]:
                     with open(path, "rb") as f:
                         f.seek(0)
                         head = f.read(HEAD).split(b"\n")[0].decode("utf-8", "replace")
-                        out[path] = [_whole(f), head]
+                        out[path] = [_whole(f), head, os.fstat(f.fileno()).st_ino]
                 except OSError:
                     continue  # tried again with the next batch
     return out
 
 
+def _live(path: str) -> bool:
+    return os.path.basename(path).lower() == LIVE
+
+
 def _whole(f) -> int:
     at = f.seek(0, os.SEEK_END)
     while at:
@@ -52,8 +59,8 @@ def _whole(f) -> int:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, begun: str, start: int, end: int):
-        self.path, self.begun, self.start, self.end = path, begun, start, end
+    def __init__(self, path: str, file: int, begun: str, start: int, end: int, finished: bool):
+        self.path, self.file, self.begun, self.start, self.end, self.finished = path, file, begun, start, end, finished
 
 
 class TailReader(DataSourceStreamReader):
@@ -67,12 +74,15 @@ class TailReader(DataSourceStreamReader):
         return {"files": json.dumps(_files(self.folder), sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[_Part]:
-        before, now = json.loads(start["files"]), json.loads(end["files"])
-        begin = {}
-        for p, (n, head) in now.items():
-            old, old_head = before.get(p, [0, head])
-            begin[p] = 0 if n < old or head != old_head else old
-        return [_Part(p, head, begin[p], n) for p, (n, head) in sorted(now.items()) if n > begin[p]] or [_Part("", "", 0, 0)]
+        before = {(file, head): (n, path) for path, (n, head, file) in json.loads(start["files"]).items()}
+        parts = []
+        for path, (n, head, file) in sorted(json.loads(end["files"]).items()):
+            old, old_path = before.get((file, head), (0, None))
+            begin = 0 if n < old else old
+            finished = not _live(path) and (n > begin or old_path is not None and _live(old_path))
+            if n > begin or finished:
+                parts.append(_Part(path, file, head, begin, n, finished))
+        return parts or [_Part("", 0, "", 0, 0, False)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         if not partition.path:
@@ -80,8 +90,11 @@ class TailReader(DataSourceStreamReader):
         with open(partition.path, "rb") as f:
             f.seek(partition.start)
             data = f.read(partition.end - partition.start)
+        log = partition.path, partition.file, partition.begun
         for at, text in split_bytes(data):
-            yield partition.path, partition.begun, partition.start + at, text.lstrip("﻿") if partition.start + at == 0 else text
+            yield *log, partition.start + at, text.lstrip("\ufeff") if partition.start + at == 0 else text
+        if partition.finished:
+            yield *log, partition.end, None
 
     def commit(self, end: dict) -> None:
         pass

@@ -14,28 +14,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.events import events as parse
-from ..operators.correlate import PAIRED, Pairing, pairing_rows, settle
+from ..operators.correlate import FINISHED, PAIRED, Pairing, finished_rows, pairing_rows, settle
 from ..operators.folds import plain
 from ..sources.tail import TailSource
 
 _NAMES = [c.strip().split()[0] for c in PAIRED.split(",")]
-CLOSED = "closed"
+_END = "LogFinished"
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Rows of a session's new lines. Lines at or before the last one seen are read again after a retry and change nothing;
-    a log that was begun anew, told by its first line's time, is another session."""
+    a log that was begun anew is another session, one that was renamed is the same. The mark of its end becomes a row."""
     held, seen = pickle.loads(state.get[0]) if state.exists else (Pairing(), -1)
     rows = pd.concat(list(batches)).sort_values("line_offset")
     out: list[tuple] = []
     for e in plain(rows):
-        if e.line_offset <= seen:
-            continue
-        seen = e.line_offset
-        if e.event_kind == "ChannelDisconnected":
-            known = {"session_id": e.session_id, "line_offset": e.line_offset, "item_ix": -1, "patch": CLOSED, "at_offset": e.line_offset, "ts": e.ts}
+        if e.event_kind == _END:
+            known = {"session_id": e.session_id, "line_offset": e.line_offset, "item_ix": -1, "patch": FINISHED}
             out.append(tuple(known.get(n) for n in _NAMES))
-        out += held.step(e)
+        elif e.line_offset > seen:
+            seen = e.line_offset
+            out += held.step(e)
     state.update((pickle.dumps((held, seen)),))
     yield pd.DataFrame(out, columns=_NAMES)
 
@@ -43,8 +42,10 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def paired_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the pairing pass for the logs of a folder, as they grow."""
     spark.dataSource.register(TailSource)
-    lines = spark.readStream.format("gamelog").load(folder).withColumn("session_id", F.xxhash64("path", "begun"))
-    return pairing_rows(parse(lines)).groupBy("session_id").applyInPandasWithState(_step, PAIRED, "held binary", "append", GroupStateTimeout.NoTimeout)
+    lines = spark.readStream.format("gamelog").load(folder).withColumn("session_id", F.xxhash64("file", "begun"))
+    ends = lines.where("line IS NULL").select("session_id", "line_offset", F.lit(_END).alias("event_kind"))
+    rows = pairing_rows(parse(lines.where("line IS NOT NULL"))).unionByName(ends, allowMissingColumns=True)
+    return rows.groupBy("session_id").applyInPandasWithState(_step, PAIRED, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def follow(spark: SparkSession, folder: str, out: str, publish: Callable[[int], None] | None = None, **trigger):
@@ -65,4 +66,5 @@ def follow(spark: SparkSession, folder: str, out: str, publish: Callable[[int],
 def followed_moves(spark: SparkSession, out: str) -> DataFrame:
     """Moves as far as the stream has come."""
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
-    return settle(rows.where(F.col("patch") != CLOSED), rows.where(F.col("patch") == CLOSED))
+    ends = F.col("patch") == FINISHED
+    return settle(rows.where(~ends).unionByName(finished_rows(rows.where(ends)), allowMissingColumns=True))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stowline.functions.events import events
 from stowline.operators.correlate import moves
+from stowline.plans.engine import from_folder
 from stowline.sources.gamelog import read_lines
 from stowline.streaming.tail import follow, followed_moves
 from test_log import add, at, class_move, done, line, place, spawn
@@ -33,3 +34,26 @@ def test_pieces_equal_one_pass(spark, tmp_path):
     live = followed_moves(spark, str(tmp_path / "out"))
     rows = lambda d: sorted((tuple(r) for r in d.select(*COLUMNS).collect()), key=str)
     assert rows(live) == rows(cold) and len(rows(cold)) == 3
+
+
+def test_a_rotated_log_goes_on_and_loses_what_no_line_answered(spark, tmp_path):
+    """The live log is renamed when the next one begins: its session goes on, ends, and agrees with a batch over the folder."""
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+    logs.mkdir()
+    old = [class_move(at(0), 6, "ammo", 1, "9001:Location:5001", "7:Container:0"), done(at(0, 9), 6), class_move(at(1), 7, "gun", 1, "9001:Location:5001", "7:Container:0"), class_move(at(2), 8, "cup", 1, "9001:Location:5001", "7:Container:0")]
+    new = [class_move(at(30), 6, "hat", 1, "9001:Location:5001", "7:Container:0")]
+    log = logs / "Game.log"
+    log.write_text("\n".join(old[:3]) + "\n")
+    follow(spark, str(logs), out).awaitTermination()
+    result = lambda d: {(r["item_class"], r["result"]) for r in d.collect()}
+    assert result(followed_moves(spark, out)) == {("ammo", "succeed"), ("gun", None)}
+    with log.open("a") as f:
+        f.write(old[3] + "\n")
+    (logs / "logbackups").mkdir()
+    log.rename(logs / "logbackups" / "Game Build(12300000).log")
+    log.write_text("\n".join(new) + "\n")
+    for _ in range(2):
+        follow(spark, str(logs), out).awaitTermination()
+    live = followed_moves(spark, out)
+    assert live.count() == 4
+    assert result(live) == {("ammo", "succeed"), ("gun", "lost"), ("cup", "lost"), ("hat", None)} == result(from_folder(spark, str(logs))["moves"])
