@@ -146,7 +146,7 @@ def _frame(data: bytes, info: Info) -> tuple[list[list[int]], int]:
     size, rate, layout, depth = b.take(4), b.take(4), b.take(4), b.take(3)
     b.take(1)
     lead = b.take(8)
-    for _ in range(max(0, 7 - (lead ^ 0xFF).bit_length() - 1)):
+    for _ in range(max(0, 7 - (lead ^ 0xFF).bit_length())):
         b.take(8)
     if size == 0 or layout > 10 or depth == 3:
         raise DamagedStream("a frame header has reserved values")

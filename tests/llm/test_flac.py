@@ -145,3 +145,26 @@ def test_a_long_text_takes_bounded_memory():
     assert resource.RUSAGE_SELF == 0
     mb = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout)
     assert mb < 330
+
+
+@pytest.mark.parametrize("frames, noise", [(127, True), (128, True), (129, True), (300, True), (2048, False), (2049, False), (70000, False)])
+def test_the_general_reader_reads_frame_numbers_of_any_length(frames, noise):
+    payload = np.random.default_rng(frames).integers(60, 70, 192 * frames, dtype=np.uint8).tobytes() if noise else bytes([frames % 100]) * (192 * frames)
+    (data,) = flac_media.encode_streams([payload])
+    assert (read_stream(data)[0][:, 0].astype(np.int8).view(np.uint8) ^ 0x80).tobytes() == payload
+
+
+def test_a_false_header_in_a_long_stream():
+    payload = bytearray(np.random.default_rng(4).integers(0, 256, 192 * 300, dtype=np.uint8).tobytes())
+    false = flac_media._headers(np.array([200]))[0][0][:7].tobytes()
+    payload[50:57] = bytes(x ^ 0x80 for x in false)
+    (data,) = flac_media.encode_streams([bytes(payload)])
+    with pytest.raises(ValueError):
+        flac_media._decode_fast([data])
+    assert [(x.view(np.uint8) ^ 0x80).tobytes() for x in flac_media.decode_streams([data])] == [bytes(payload)]
+
+
+def test_foreign_numbers_of_two_and_three_bytes():
+    x = np.cumsum(np.random.default_rng(9).integers(-20, 21, (96 * 3, 1)), axis=0)
+    frames = [frame(k, [x[i * 96 : (i + 1) * 96, 0].tolist()], 16, 0, 4, [8], parts=0, rice=5, rice_kind=0, escape=False) for i, k in enumerate((127, 130, 70000))]
+    assert (read_stream(stream(frames, x, 16, 96))[0] == x).all()
