@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming (operator 13).
 
-A normalised text (A-Z lower-cased, UTF-8) is cut into blocks of a fixed size. Blocks of all documents are sorted and each
-gets an integer name, its dense rank; then adjacent names are paired, the pairs sorted and named in the same way, and so on
+A normalised text (A-Z lower-cased, UTF-8) is cut into blocks of a fixed size. Blocks of all documents are sorted, by a
+64-bit hash and then by their bytes, and each gets an integer name, its dense rank; then adjacent names are paired, the pairs sorted and named in the same way, and so on
 until each document has one name. Names are ranks of what they stand for, not hashes: two documents get the same name
 at the same level if and only if they have the same bytes.
 
@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,12 +37,12 @@ PART_ROWS = 4000
 #: Bytes of blocks that the cutter holds before it hands them on.
 BATCH_BYTES = 8 << 20
 
-BLOCKS = "row long, doc_id long, pos long, blocks long, key binary, text_sha256 string"
+BLOCKS = "row long, doc_id long, pos long, blocks long, lead long, key binary, text_sha256 string"
 
 
 def _cutter(size: int) -> Callable:
     """Blocks of each text; position 0 carries the document's id and its text's digest."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("blocks", pa.int64()), ("key", pa.binary()), ("text_sha256", pa.string())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("blocks", pa.int64()), ("lead", pa.int64()), ("key", pa.binary()), ("text_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_bytes = [], 0
@@ -52,7 +53,8 @@ def _cutter(size: int) -> Callable:
                 count = max(1, -(-len(data) // size))
                 for pos in range(count):
                     first = pos == 0
-                    held.append((row, doc_id if first else None, pos, count, data[pos * size : (pos + 1) * size], hashlib.sha256(data).hexdigest() if first else None))
+                    block = data[pos * size : (pos + 1) * size]
+                    held.append((row, doc_id if first else None, pos, count, xxhash.xxh3_64_intdigest(block) - (1 << 63), block, hashlib.sha256(data).hexdigest() if first else None))
                     held_bytes += size
                     if held_bytes >= BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
@@ -106,22 +108,24 @@ def _closed(batch: pa.RecordBatch, last: list | None, keys: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*batch.columns, *ends], names=[*batch.schema.names, *(f"last_{i}" for i in range(keys))])
 
 
-def dense_names(rows: DataFrame, keys: list[str], order: list[str], partitions: int, marked: str = "false") -> tuple[DataFrame, int]:
+def dense_names(rows: DataFrame, keys: list[str], order: list[str], partitions: int, marked: str = "false", lead: int | None = None) -> tuple[DataFrame, int]:
     """rows with ``name``, the dense rank of the key columns over all rows, in place of them; and how many rows are marked.
 
-    Keys are not null. ``order`` tells rows with equal keys apart: they spread over partitions too. The rows are a table in
-    the shared folder.
+    Keys are not null. ``order`` tells rows with equal keys apart: they spread over partitions too. Ranges are drawn by
+    the first ``lead`` key columns alone, so that no wide key is sampled; should different keys with one lead meet at the edge of
+    two partitions, all is drawn anew by whole keys. The rows are a table in the shared folder.
     """
     spark = rows.sparkSession
     rest = [c for c in rows.columns if c not in keys]
     kinds = dict(rows.dtypes)
     edges = [[f"{side}_{i}" for i in range(len(keys))] for side in ("first", "last")]
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in rest), "part long, rank long", *(f"{e} {kinds[k]}" for names in edges for e, k in zip(names, keys, strict=True))])
-    dealt = rows.select(*keys, *rest).repartitionByRange(partitions, *keys, *order).sortWithinPartitions(*keys, *order)
+    lead = len(keys) if lead is None else lead
+    dealt = rows.select(*keys, *rest).repartitionByRange(partitions, *keys[:lead], *order).sortWithinPartitions(*keys, *order)
     ranked = write_table(dealt.mapInArrow(_numbered(len(keys)), schema), "ranks")
     # Integers come along; blocks are compared where they are.
     narrow = all(kinds[k] == "bigint" for k in keys)
-    wanted = [F.max(e).alias(e) for names in edges for e in names] if narrow else []
+    wanted = [F.max(e).alias(e) for names in edges for e in (names if narrow else names[:lead] if lead < len(keys) else [])]
     counts = sorted(tuple(r) for r in ranked.groupBy("part").agg((F.max("rank") + 1).alias("n"), F.count(F.when(F.expr(marked), 1)).alias("marked"), *wanted).collect())
     neighbours = list(zip(counts, counts[1:], strict=False))
     if narrow:
@@ -130,6 +134,8 @@ def dense_names(rows: DataFrame, keys: list[str], order: list[str], partitions:
         before = spark.createDataFrame([(b[0], a[0]) for a, b in neighbours], "part long, front long")
         first, last = (ranked.where(f"{names[0]} is not null").select(F.col("part").alias(of), *(F.col(e).alias(f"k{i}") for i, e in enumerate(names))) for names, of in zip(edges, ("part", "front"), strict=True))
         goes_on = {r["part"] for r in first.join(before, "part").join(last, ["front", *(f"k{i}" for i in range(len(keys)))]).select("part").collect()}
+        if lead < len(keys) and any(b[0] not in goes_on and a[3 + lead :] == b[3 : 3 + lead] for a, b in neighbours):
+            return dense_names(rows, keys, order, partitions, marked)
     starts, total = [], 0
     for part, n, *_ in counts:
         total -= part in goes_on
@@ -151,7 +157,7 @@ def identities(docs: DataFrame, size: int = BLOCK, part_bytes: int = PART_BYTES)
         return max(min(least, rows // PART_ROWS + 1), -(-rows * row_bytes // part_bytes))
 
     count = total[0] // size + total[1]
-    named, left = dense_names(texts.mapInArrow(_cutter(size), BLOCKS), ["key"], ["row", "pos"], parts(count, -(-total[0] // max(1, count)) + 40), "blocks > 1")
+    named, left = dense_names(texts.mapInArrow(_cutter(size), BLOCKS), ["lead", "key"], ["row", "pos"], parts(count, -(-total[0] // max(1, count)) + 48), "blocks > 1", 1)
     release_shuffles(spark)
     heads = named.where("pos = 0").select("row", "doc_id", "text_sha256")
     done = lambda names, level: names.where("blocks = 1").select("row", F.lit(level).alias("level"), "name")

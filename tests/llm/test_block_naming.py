@@ -61,6 +61,10 @@ def test_names_are_dense_ranks_over_all_partitions(spark):
         named, marked = dense_names(rows, ["key"], ["row"], 13, "row < 7")
         assert sorted((r["row"], r["name"]) for r in named.collect()) == [(i, rank[k]) for i, k in enumerate(keys)]
         assert marked == 7
+    # Two keys with one lead, at the edges of partitions.
+    one = data.selectExpr("0L as lead", "key", "row")
+    named, _ = dense_names(one, ["lead", "key"], ["row"], 13, lead=1)
+    assert sorted((r["row"], r["name"]) for r in named.collect()) == [(i, rank[k]) for i, k in enumerate(keys)]
     assert dense_names(data.limit(0), ["key"], ["row"], 4)[0].count() == 0
 
 

@@ -78,7 +78,7 @@ def subframe(b, x, bits, kind, wasted=0, **how):
 
 def frame(number, channels, bits, layout, code, kinds, **how):
     n = len(channels[0])
-    head = bytes([0xFF, 0xF8, 7 << 4, layout << 4 | code << 1]) + bytes([number]) + struct.pack(">H", n - 1)
+    head = bytes([0xFF, 0xF8, 7 << 4, layout << 4 | code << 1]) + chr(number).encode() + struct.pack(">H", n - 1)
     b = Bits()
     if layout == 8:
         channels = [channels[0], [x - y for x, y in zip(*channels)]]
