@@ -32,8 +32,9 @@ def derive(lines: DataFrame, builds: DataFrame, account: str | Column, cutoff: s
     updates = D.game_updates(sessions)
     containers, locations = cut(D.containers(events, moves)), cut(D.location_names(events))
     resets = updates.where("reset_at IS NOT NULL").select("account", F.col("at").alias("ts"), "build")
-    rows = cut(L.ledger(keep(L.timeline(moves, seen, resets, containers), "timeline")))
-    return {"events": events, "moves": moves, "sightings": seen, "sessions": sessions, "updates": updates, "containers": containers, "vehicles": D.vehicles(events), "attachments": D.attachments(seen), "location_names": locations, "place_evidence": D.place_evidence(events), "resets": resets, "ledger": rows}
+    timeline = keep(L.timeline(moves, seen, resets, containers), "timeline")
+    rows = cut(L.ledger(timeline))
+    return {"events": events, "moves": moves, "sightings": seen, "sessions": sessions, "updates": updates, "containers": containers, "vehicles": D.vehicles(events), "attachments": D.attachments(seen), "location_names": locations, "place_evidence": D.place_evidence(events), "resets": resets, "timeline": timeline, "ledger": rows}
 
 
 def resolve(tables: dict[str, DataFrame], as_of: str, names: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:

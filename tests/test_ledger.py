@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from types import SimpleNamespace
 
 from stowline.operators.ledger import _NAMES, Account, counters, ledger
+from stowline.streaming.live import LiveLedger
 
 START = datetime(2026, 8, 1)
 BODY, STATION, CRATE, LOST = ("Equipped", ""), ("Location", "1"), ("Container", "7"), ("LostTrack", "")
@@ -105,11 +106,13 @@ def test_checks_compare_belief_and_source():
     assert [r["same_place"] for r in rows if r["row_kind"] == "check"] == [True, False]
 
 
-def test_epochs_equal_one_serial_pass(spark):
-    """Random timelines with resets, at the same instants too: an epoch at a time gives the rows of one pass over the account."""
+SCHEMA = "account string, entry string, ts timestamp, rank int, seq long, sub int, move_type string, item_class string, item_geid string, amount int, src_kind string, src_key string, tgt_kind string, tgt_key string, action string, result string, port string, is_part boolean, body_port boolean, parent_geid string, geids array<string>, classes array<string>, build int"
+COLUMNS = [c.strip().split()[0] for c in SCHEMA.split(",")]
+
+
+def random_timeline():
+    """Three accounts with moves, sightings, listings and resets, many at one instant."""
     rng = random.Random(12)
-    schema = "account string, entry string, ts timestamp, rank int, seq long, sub int, move_type string, item_class string, item_geid string, amount int, src_kind string, src_key string, tgt_kind string, tgt_key string, action string, result string, port string, is_part boolean, body_port boolean, parent_geid string, geids array<string>, classes array<string>, build int"
-    names = [c.strip().split()[0] for c in schema.split(",")]
     rank = {"wearable": 0, "reset": 1, "move": 2, "worn": 3, "body": 4}
     places = [STATION, ("Location", "2"), BODY, ("World", "w"), ("Invalid", ""), *(("Container", f"g{i}") for i in range(4))]
     rows = []
@@ -125,7 +128,16 @@ def test_epochs_equal_one_serial_pass(spark):
             rows.append(v | {"account": who, "entry": kind, "ts": START + timedelta(minutes=minute), "seq": i, "sub": 0})
         rows += [{"account": who, "entry": "reset", "ts": START + timedelta(minutes=m), "seq": 0, "build": 10 + n} for n, m in enumerate([*rng.sample(minutes, max(0, resets - 1)), minutes[5]][:resets])]
         rows += [{"account": who, "entry": "wearable", "ts": datetime(1970, 1, 1), "seq": 0, "item_geid": f"g{i}"} for i in (0, 1, 2)]
-    rows = [dict.fromkeys(names) | r | {"rank": rank[r["entry"]]} for r in rows]
+    return [dict.fromkeys(COLUMNS) | r | {"rank": rank[r["entry"]]} for r in rows]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([tuple(r[n] for n in COLUMNS) for r in rows], SCHEMA).repartition(3)
+
+
+def test_epochs_equal_one_serial_pass(spark):
+    """An epoch at a time gives the rows of one pass over the account."""
+    rows = random_timeline()
     want = []
     for who in "abc":
         a, parents = Account(), set()
@@ -135,7 +147,37 @@ def test_epochs_equal_one_serial_pass(spark):
             parents |= {r["parent_geid"]} if r["entry"] == "worn" and r["is_part"] else set()
         assert parents == a.parents
         want += a.end() + [a._row("parent", geid=p) for p in parents]
-    found = ledger(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema).repartition(3))
+    found = ledger(frame(spark, rows))
     sums = {(r[_NAMES.index("account")], r[_NAMES.index("detail")], r[_NAMES.index("quantity")]) for r in want if r[1] == "stat"}
     assert {tuple(r) for r in counters(found).collect()} == sums
     assert sorted((tuple(r) for r in found.where("row_kind <> 'stat'").collect()), key=str) == sorted((r for r in want if r[1] != "stat"), key=str)
+
+
+def test_a_live_ledger_equals_a_rebuild_and_replays_what_changed(spark, tmp_path):
+    """Entries in three deliveries, the second in the midst of the first, the third of one account; then an old move is patched."""
+    rows = random_timeline()
+    live = LiveLedger(spark, str(tmp_path / "live"), every=10)
+    times = sorted({r["ts"] for r in rows if r["entry"] != "wearable"})
+    late = {times[k] for k in range(len(times) // 2, len(times) // 2 + 9)}
+    last = set(times[-6:])
+    deliveries = [lambda r: r["ts"] not in late | last, lambda r: r["ts"] not in last, lambda r: r["ts"] not in last or r["account"] == "b", lambda r: r["ts"] not in last or r["account"] == "b"]
+
+    def all_rows(df):
+        sums = {tuple(r) for r in counters(df).collect()}
+        return sums, sorted((tuple(r) for r in df.where("row_kind <> 'stat'").collect()), key=str)
+
+    sizes = []
+    for i, wanted in enumerate(deliveries):
+        have = [r for r in rows if wanted(r)]
+        if i == 3:
+            patched = next(r for r in reversed(have) if r["account"] == "a" and r["entry"] == "move" and r["result"] is None)
+            have = [r | {"result": "failed"} if r is patched else r for r in have]
+        version = live.update(frame(spark, have))
+        assert version == i + 1
+        assert all_rows(live.rows()) == all_rows(ledger(frame(spark, have)))
+        sizes.append(live.store.read("entries", version).count())
+        if i == 2:
+            assert [r["account"] for r in live.republished(version).collect()] == ["b"]
+    assert live.update(frame(spark, have)) is None
+    # Only what stands behind a kept state is read again.
+    assert sizes[1] < 0.7 * sizes[0] and sizes[2] < 40 and sizes[3] < 0.3 * sizes[0]
