@@ -20,6 +20,24 @@ def factor(when: Column, value: float) -> Column:
     return F.when(when, F.lit(float(value))).otherwise(F.lit(1.0))
 
 
+# What is said of a placement, in this order; {days} is its age.
+CAVEATS = {
+    "unconfirmed": "the game never confirmed the move that put it here",
+    "duplicate_risk": "we saw this arrive but never saw where it came from, so it may have been counted twice",
+    "first_seen": "first seen being moved out of somewhere we had no record of — looted, bought, or there before the logs begin",
+    "carried": "last picked up in hand to use — food, drink and handed-in items are used up without a log line",
+    "stale_consumable": "food, drink and medical items are used up without a log line, and this one has not moved in {days} days — it may be gone",
+    "dropped": "dropped on the floor — kept if in a hangar, cleared away anywhere else, and the logs do not say which",
+    "stale": "last seen {days} days ago",
+    "ambiguous": "the log did not name which of several identical items was moved, so this instance may be one of its twins",
+}
+
+
+def caveat(name: str, seconds: Column) -> Column:
+    """The caveat's sentence for a placement of that age."""
+    return F.replace(F.lit(CAVEATS[name]), F.lit("{days}"), F.round(seconds / 86400).cast("long").cast("string"))
+
+
 def product(factors: list[Column]) -> Column:
     return F.aggregate(F.array(*factors), F.lit(1.0), lambda a, x: a * x)
 

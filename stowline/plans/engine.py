@@ -37,20 +37,24 @@ def derive(lines: DataFrame, builds: DataFrame, account: str | Column, cutoff: s
     return {"events": events, "moves": moves, "sightings": seen, "sessions": sessions, "updates": updates, "containers": containers, "vehicles": D.vehicles(events), "attachments": D.attachments(seen), "location_names": locations, "place_evidence": D.place_evidence(events), "resets": resets, "timeline": timeline, "ledger": rows}
 
 
-def resolve(tables: dict[str, DataFrame], as_of: str, names: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
+def resolve(tables: dict[str, DataFrame], as_of: str, names: DataFrame | None = None, decisions: DataFrame | None = None, text: DataFrame | None = None, wiki: DataFrame | None = None) -> DataFrame:
     """Holdings with chain, score, confidence and caveats at a time.
 
-    Places are called what the catalogue of places calls them (``naming.place_catalogue``); names (class_name, display_name,
-    type_label) is a catalogue of items, from which each holding gets ``display_name`` and ``type_label``.
+    Places are called what their sources agree on: routes in the log, the game's text (key, value), places on record and the
+    wiki's places (id, name, system), weighed with the decisions stored so far (``naming.decide_places``). A name that is not
+    confirmed says so. names (class_name, display_name, type_label) is a catalogue of items, from which each holding gets
+    ``display_name`` and ``type_label``.
     """
     rows, spark = tables["ledger"], tables["ledger"].sparkSession
     held = rows.where("row_kind = 'holding'").select("account", "geid", "item_class", "quantity", "kind", "key", "since", "arrived_by", "confirmed", "inferred", "duplicate_risk", "ambiguous")
     parents = rows.where("row_kind = 'parent'").select("account", "geid")
-    decided = decisions if decisions is not None else spark.createDataFrame([], "place_key string, name string, status string, sources int")
+    given = lambda df, schema: df if df is not None else spark.createDataFrame([], schema)
+    time = F.lit(as_of).cast("timestamp")
+    decided = N.decide_places(tables["location_names"], tables["place_evidence"], given(text, N.TEXT), given(wiki, N.WIKI), given(decisions, N.DECISIONS), time)
     places = cut(N.place_catalogue(tables["location_names"], tables["place_evidence"], decided))
     called = places.select(F.explode("alias_ids").alias("location_id"), F.when(F.col("status") == "Confirmed", F.col("name")).otherwise(F.concat("name", F.lit(" (unconfirmed)"))).alias("name")).dropDuplicates(["location_id"])
     factors = moved_the_player(update_factors(rows.where("row_kind = 'check'"), tables["updates"]), places)
-    out = score(chains(held, parents, tables["containers"], called), factors, F.lit(as_of).cast("timestamp"))
+    out = score(chains(held, parents, tables["containers"], called), factors, time)
     if names is None:
         return out.withColumns({"display_name": F.lit(None).cast("string"), "type_label": F.lit(None).cast("string")})
     return N.name_by_stem(out, names).drop("dropped_parts")

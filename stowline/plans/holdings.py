@@ -157,14 +157,17 @@ def score(rows: DataFrame, updates: DataFrame, as_of: Column) -> DataFrame:
     stale_food = is_consumable("item_class") & ~F.col("arrived_by").isin("Carry", "Drop") & (F.col("kind") != "Location") & (age > S.SHELF_DAYS * 86400)
     guess = F.col("inferred")
     factors = {
-        "unconfirmed": (~F.col("confirmed"), S.UNCONFIRMED), "may be counted twice": (guess & F.col("duplicate_risk"), S.DUPLICATE_RISK), "first seen in passing": (guess & ~F.col("duplicate_risk"), 1.0), "last carried in hand": (F.col("arrived_by") == "Carry", S.CARRIED),
-        "may have been used": (stale_food, S.STALE_CONSUMABLE), "dropped": (F.col("arrived_by") == "Drop", S.DROPPED), "not seen for a month": (age > S.STALE_DAYS * 86400, 1.0), "one of several alike": (F.col("geid").isNotNull() & F.col("ambiguous"), 1.0),
+        "unconfirmed": (~F.col("confirmed"), S.UNCONFIRMED), "duplicate_risk": (guess & F.col("duplicate_risk"), S.DUPLICATE_RISK), "first_seen": (guess & ~F.col("duplicate_risk"), 1.0), "carried": (F.col("arrived_by") == "Carry", S.CARRIED),
+        "stale_consumable": (stale_food, S.STALE_CONSUMABLE), "dropped": (F.col("arrived_by") == "Drop", S.DROPPED), "stale": (age > S.STALE_DAYS * 86400, 1.0), "ambiguous": (F.col("geid").isNotNull() & F.col("ambiguous"), 1.0),
     }
     total = S.product([S.factor(when, by) for when, by in factors.values()]) * worst * F.col("chain_factor")
     # Of several updates, the one that weighs most is told, the newest of equals.
     weight = lambda u: F.struct((-u["factor"]).alias("f"), u["at"].alias("at"), update_caveat(u).alias("text"))
     told = F.array_max(F.transform("crossed", weight))["text"]
-    caveats = F.filter(F.concat(F.array(*[F.when(when, F.lit(name)) for name, (when, _) in factors.items()], told), "chain_caveats"), lambda x: x.isNotNull())
+    own = {name: F.when(when, S.caveat(name, age)) for name, (when, _) in factors.items()}
+    # An update is told behind what it is about, before the placement's age.
+    said = [*(own[n] for n in own if n not in ("stale", "ambiguous")), told, own["stale"], own["ambiguous"]]
+    caveats = F.filter(F.concat(F.array(*said), "chain_caveats"), lambda x: x.isNotNull())
     return r.withColumns({"score": total, "confidence": S.confidence_label(S.confidence_rank(total)), "rank": S.confidence_rank(total), "caveats": caveats}).drop("updates", "crossed", "chain_factor", "chain_caveats")
 
 

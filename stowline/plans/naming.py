@@ -35,11 +35,13 @@ def canonical_places(raw_names: DataFrame, evidence: DataFrame) -> DataFrame:
 def resolve_names(proposals: DataFrame) -> DataFrame:
     """proposals (place_key, name, source, rank) -> name, sources, status of each place.
 
-    Names are proposals with their sources or-ed together; the one with more sources wins, then the better rank. It is contested if
-    another has two sources and as many, and confirmed if it has two and is not.
+    Names are proposals, whatever their case, with their sources or-ed together; the one with more sources wins, then the better
+    rank. It is spelled as the wiki lists it, or as its best proposer does. It is contested if another has two sources and as many,
+    and confirmed if it has two and is not.
     """
-    by = proposals.groupBy("place_key", "name").agg(F.bit_or("source").alias("sources"), F.min("rank").alias("rank")).withColumn("support", F.bit_count("sources"))
-    w = Window.partitionBy("place_key").orderBy(F.desc("support"), "rank", "name")
+    spelled = F.coalesce(F.min(F.when(F.col("source") == SOURCES["wiki"], F.col("name"))), F.min_by("name", F.struct("rank", "name")))
+    by = proposals.groupBy("place_key", F.lower("name").alias("fold")).agg(spelled.alias("name"), F.bit_or("source").alias("sources"), F.min("rank").alias("rank")).withColumn("support", F.bit_count("sources"))
+    w = Window.partitionBy("place_key").orderBy(F.desc("support"), "rank", "fold")
     ranked = by.withColumn("n", F.row_number().over(w)).withColumn("other", F.lead("support").over(w))
     contested = (F.coalesce("other", F.lit(0)) >= 2) & (F.col("other") == F.col("support"))
     return ranked.where("n = 1").select("place_key", "name", "sources", F.when(contested, "Contested").when(F.col("support") >= 2, "Confirmed").otherwise("Proposed").alias("status"))
@@ -161,7 +163,7 @@ def game_text_names(raw_names: DataFrame, text: DataFrame) -> DataFrame:
 
 def wiki_place(names: DataFrame, wiki: DataFrame) -> DataFrame:
     """names (name, system, ...) with the first wiki row (id, name, system) of that name in that system; an unknown system matches none."""
-    first = wiki.groupBy(F.lower("name").alias("_n"), F.lower("system").alias("_s")).agg(F.min("id").alias("wiki_id"))
+    first = wiki.groupBy(F.lower("name").alias("_n"), F.lower("system").alias("_s")).agg(F.min("id").alias("wiki_id"), F.min_by("name", "id").alias("wiki_name"))
     return names.join(first, (F.lower("name") == F.col("_n")) & (F.lower("system") == F.col("_s")), "left").drop("_n", "_s")
 
 
@@ -173,10 +175,20 @@ def place_proposals(raw_names: DataFrame, evidence: DataFrame, text: DataFrame,
     known = raw_names.select("location_id", known_place(F.col("name")).alias("k")).where("k IS NOT NULL").join(folded, "location_id").select("place_key", F.col("k.place").alias("name"), F.lit(SOURCES["known_places"]).alias("source"), F.lit(2).alias("rank"))
     found = log.unionByName(told).unionByName(known)
     system = raw_names.select("location_id", system_of_raw(F.col("name")).alias("system")).join(folded, "location_id").groupBy("place_key").agg(F.max("system").alias("system"))
-    seconded = wiki_place(found.select("place_key", "name").distinct().join(system, "place_key"), wiki).where("wiki_id IS NOT NULL").select("place_key", "name", F.lit(SOURCES["wiki"]).alias("source"), F.lit(3).alias("rank"))
+    seconded = wiki_place(found.select("place_key", "name").distinct().join(system, "place_key"), wiki).where("wiki_id IS NOT NULL").select("place_key", F.col("wiki_name").alias("name"), F.lit(SOURCES["wiki"]).alias("source"), F.lit(3).alias("rank"))
     return found.unionByName(seconded).distinct()
 
 
+#: Columns of stored decisions on names, of the game's text, and of the wiki's places.
+DECISIONS, TEXT, WIKI = "place_key string, name string, status string, sources int, decided_by string, updated_at timestamp", "key string, value string", "id long, name string, system string"
+
+
+def decide_places(raw_names: DataFrame, evidence: DataFrame, text: DataFrame, wiki: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """Decisions on the names of all places: those stored, and what the sources say now; a confirmed name stays."""
+    found = resolve_names(place_proposals(raw_names, evidence, text, wiki))
+    return merge_decisions(decisions, found.select("place_key", "name", "status", F.col("sources").cast("int").alias("sources"), F.lit("auto").alias("decided_by"), now.alias("updated_at")))
+
+
 def name_coverage(items: DataFrame, names: DataFrame) -> DataFrame:
     """How many item classes are named by their own class, by a stem, and not at all."""
     hit = name_by_stem(items.select("item_class").distinct(), names)

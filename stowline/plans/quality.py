@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.scoring import CAVEATS
 from ..functions.text import NON_RELOCATING
 
 TOLERANCE = 0.002
@@ -73,7 +74,7 @@ def holding_rates(holdings: DataFrame) -> DataFrame:
     return _long(
         holdings.agg(
             _share(F.col("rank") == 2).alias("holdings.high_share"), _share(F.col("rank") == 0).alias("holdings.low_share"), F.coalesce(F.avg("score"), F.lit(1.0)).alias("holdings.mean_score"),
-            _share(told("may be counted twice")).alias("holdings.inferred_share"), _share(told("first seen in passing")).alias("holdings.first_seen_share"),
+            _share(told(CAVEATS["duplicate_risk"])).alias("holdings.inferred_share"), _share(told(CAVEATS["first_seen"])).alias("holdings.first_seen_share"),
         )
     )
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.scoring import CAVEATS
 from .analogs import K, E, H, LABEL, _holdings, events, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -472,7 +473,7 @@ def quality_metrics(spark, sf_dir):
     i = read(spark, sf_dir, "lineitem")
     moves = i.select(F.when(F.col("l_returnflag") == "R", "g").alias("item_geid"), F.when(F.col("l_linestatus") == "O", F.when(F.col("l_linenumber") == 1, "lost").otherwise("Succeed")).alias("result"))
     rank = F.when(F.col("l_discount") >= 0.07, 2).when(F.col("l_discount") >= 0.04, 1).otherwise(0)
-    caveats = F.filter(F.array(F.when(F.col("l_tax") > 0.05, "may be counted twice").when(F.col("l_linenumber") == 2, "first seen in passing"), F.when(F.col("l_linenumber") == 3, "dropped")), lambda x: x.isNotNull())
+    caveats = F.filter(F.array(F.when(F.col("l_tax") > 0.05, CAVEATS["duplicate_risk"]).when(F.col("l_linenumber") == 2, CAVEATS["first_seen"]), F.when(F.col("l_linenumber") == 3, CAVEATS["dropped"])), lambda x: x.isNotNull())
     holdings = i.select(F.col("l_discount").alias("score"), rank.alias("rank"), caveats.alias("caveats"))
     return enrichment(moves).unionByName(holding_rates(holdings)).select("metric", F.round("value", 6).alias("value"))
 
@@ -535,14 +536,44 @@ def ledger_misses(spark, sf_dir):
     return miss_causes(_played_accounts(spark, sf_dir))
 
 
+_N = "replace(n_name, '_', ' ')"
+_W = f"concat(upper(substr({_N}, 1, 1)), lower(substr({_N}, 2)))"
+
+
+@query(f"""WITH p AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 6 = 4 THEN concat('Old ', {_W}) WHEN n_nationkey % 2 = 0 THEN {_W} WHEN n_nationkey % 3 = 0 THEN lower({_N}) WHEN n_nationkey % 3 = 1 THEN concat('old ', {_N}) ELSE {_N} END AS name,
+n_nationkey % 6 <> 4 AND (n_nationkey % 2 = 0 OR n_nationkey % 3 = 0) AS confirmed FROM nation)
+SELECT l_linenumber AS line, concat(name, CASE WHEN confirmed THEN '' ELSE ' (unconfirmed)' END) AS "where", cast(count(*) AS BIGINT) AS holdings FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN p ON k = s_nationkey GROUP BY 1, 2""")
+def names_in_holdings(spark, sf_dir):
+    """Places that the log's routes, places on record and the wiki name alike, otherwise, or alone: confirmed, contested and proposed names in holdings."""
+    from .engine import resolve
+    from .holdings import where_text
+
+    n = read(spark, sf_dir, "nation").withColumn("place", F.translate("n_name", "_", " "))
+    k, key = F.col("n_nationkey"), F.col("n_nationkey").cast("string").alias("location_id")
+    listed = F.concat(F.upper(F.substring("place", 1, 1)), F.lower(F.expr("substring(place, 2)")))
+    raw = n.select(key, F.concat(F.lit("Stanton"), F.col("n_regionkey") % 4 + 1, F.lit("_"), "n_name").alias("name"))
+    route = F.when(k % 3 == 0, F.lower("place")).when(k % 3 == 1, F.concat(F.lit("old "), "place"))
+    evidence = n.select(key, F.lit("name").alias("kind"), route.alias("value"), F.lit(2).cast("long").alias("hits"), F.lit(0).cast("timestamp").alias("last_seen")).where("value IS NOT NULL")
+    wiki = n.where(k % 2 == 0).select(k.alias("id"), listed.alias("name"), F.lit("stanton").alias("system")).unionByName(n.where(k % 6 == 4).select((k + 1000).alias("id"), F.concat(F.lit("Old "), listed).alias("name"), F.lit("Stanton").alias("system")))
+    held = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.lit("me").alias("account"), F.lit("holding").alias("row_kind"), F.lit(None).cast("string").alias("geid"), F.col("l_linenumber").cast("string").alias("item_class"), F.lit(1).alias("quantity"), F.lit("Location").alias("kind"), F.col("s_nationkey").cast("string").alias("key"), F.col("l_shipdate").cast("timestamp").alias("since"), F.lit("Move").alias("arrived_by"), F.lit(True).alias("confirmed"), F.lit(False).alias("inferred"), F.lit(False).alias("duplicate_risk"), F.lit(False).alias("ambiguous"), F.lit(None).cast("timestamp").alias("at"), F.lit(True).alias("same_place"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    tables = {"ledger": held, "location_names": raw, "place_evidence": evidence, "containers": none("account string, geid string, class_name string, capacity long, last_seen timestamp, last_loc_id string, last_loc_ts timestamp"), "updates": none("account string, build int, at timestamp, spawn string, left_from string, reset_at timestamp")}
+    out = resolve(tables, "2026-08-02 00:00:00", wiki=wiki)
+    return out.groupBy(F.col("item_class").cast("int").alias("line"), where_text(F.col("chain")).alias("where")).agg(F.count("*").alias("holdings"))
+
+
 # Scores, caveats, labels.
 
 _S = f"(SELECT *, CASE k % 4 WHEN 0 THEN 'Carry' WHEN 1 THEN 'Drop' ELSE 'Move' END AS how, k % 5 <> 0 AS good, k % 7 = 0 AS guess, k % 2 = 0 AS risk, k % 3 = 0 AS food, CASE WHEN user_id % 2 = 0 THEN 'Location' ELSE 'Container' END AS kind, epoch_us(TIMESTAMP '2024-02-20 00:00:00' - ts) / 1000000 AS age, user_id % 4 = 0 AND ts < TIMESTAMP '2024-01-15 00:00:00' AS old FROM {E})"
 _STALE = "food AND how = 'Move' AND kind <> 'Location' AND age > 604800"
+_DAYS = "cast(cast(round(age / 86400) AS BIGINT) AS VARCHAR)"
+_TEXTS = f"""concat_ws('; ', CASE WHEN NOT good THEN 'the game never confirmed the move that put it here' END, CASE WHEN guess AND risk THEN 'we saw this arrive but never saw where it came from, so it may have been counted twice' WHEN guess THEN 'first seen being moved out of somewhere we had no record of — looted, bought, or there before the logs begin' END,
+CASE WHEN how = 'Carry' THEN 'last picked up in hand to use — food, drink and handed-in items are used up without a log line' END, CASE WHEN {_STALE} THEN concat('food, drink and medical items are used up without a log line, and this one has not moved in ', {_DAYS}, ' days — it may be gone') END,
+CASE WHEN how = 'Drop' THEN 'dropped on the floor — kept if in a hangar, cleared away anywhere else, and the logs do not say which' END, CASE WHEN old THEN 'placed before the game update to build 7, after which 6 of 8 items checked were not where the ledger had them' END, CASE WHEN age > 2592000 THEN concat('last seen ', {_DAYS}, ' days ago') END, 'in a box')"""
 _SCORE = f"(CASE WHEN good THEN 1 ELSE 0.5 END) * (CASE WHEN guess AND risk THEN 0.8 ELSE 1 END) * (CASE WHEN how = 'Carry' THEN 0.5 ELSE 1 END) * (CASE WHEN {_STALE} THEN 0.5 ELSE 1 END) * (CASE WHEN how = 'Drop' THEN 0.3 ELSE 1 END) * (CASE WHEN old THEN 0.25 ELSE 1 END) * 0.9"
 
 
-@query(f"""SELECT event_id, round(s, 6) AS score, CASE WHEN s >= 0.7 THEN 'High' WHEN s >= 0.4 THEN 'Medium' ELSE 'Low' END AS confidence, cast((NOT good)::INT + guess::INT + (how = 'Carry')::INT + ({_STALE})::INT + (how = 'Drop')::INT + (age > 2592000)::INT + old::INT + 1 AS INTEGER) AS caveats,
+@query(f"""SELECT event_id, round(s, 6) AS score, CASE WHEN s >= 0.7 THEN 'High' WHEN s >= 0.4 THEN 'Medium' ELSE 'Low' END AS confidence, cast((NOT good)::INT + guess::INT + (how = 'Carry')::INT + ({_STALE})::INT + (how = 'Drop')::INT + (age > 2592000)::INT + old::INT + 1 AS INTEGER) AS caveats, {_TEXTS} AS texts,
 CASE WHEN old THEN 'placed before the game update to build 7, after which 6 of 8 items checked were not where the ledger had them' END AS told FROM (SELECT *, {_SCORE} AS s FROM {_S})""")
 def holding_scores(spark, sf_dir):
     """Every factor of a score, and the update that weighs most of those since."""
@@ -558,7 +589,7 @@ def holding_scores(spark, sf_dir):
     updates = spark.createDataFrame([("0", 7, 0.25, 8, 2, "2024-01-15 00:00:00"), ("0", 8, 0.5, 0, 0, "2024-01-03 00:00:00"), ("0", 9, 0.1, 9, 0, "2024-03-01 00:00:00")], "account string, build int, factor double, checked long, survived long, t string")
     updates = updates.select("*", F.col("t").cast("timestamp").alias("at"), F.lit(None).cast("timestamp").alias("reset_at"), none.alias("spawn"), none.alias("left_from"), F.lit(False).alias("moved"))
     told = F.get(F.filter("caveats", lambda c: c.startswith("placed before")), F.lit(0))
-    return score(rows, updates, time("2024-02-20 00:00:00")).select("event_id", F.round("score", 6).alias("score"), "confidence", F.size("caveats").alias("caveats"), told.alias("told"))
+    return score(rows, updates, time("2024-02-20 00:00:00")).select("event_id", F.round("score", 6).alias("score"), "confidence", F.size("caveats").alias("caveats"), F.array_join("caveats", "; ").alias("texts"), told.alias("told"))
 
 
 _PLAIN = "placed before the game update to build "
