@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring as S
 from ..functions.text import is_apparel, is_consumable, is_lootable, ship_of_locker
@@ -97,22 +97,30 @@ def chains(rows: DataFrame, parents: DataFrame, containers: DataFrame, locations
     return out.withColumns({"chain": F.transform(F.filter("notes", lambda x: ~hidden(x)), link), "chain_factor": F.aggregate("notes", F.lit(1.0), doubt), "chain_caveats": caveats}).drop("notes", "_l", "_name", "_loop", "_deep", "_carried", "_seen")
 
 
-#: Builds up to which a table of updates is sent to every task.
-BROADCAST_BUILDS = 10_000
-
-
 def update_factors(checks: DataFrame, updates: DataFrame) -> DataFrame:
     """updates (account, build, ...) with how many checked placements of their account spanned each, how many held, and the factor.
 
-    Updates are builds ever played: a small table is broadcast, any other joins by account.
+    A check spans the updates behind its first time up to its second: a stretch of the account's updates in their order. It
+    adds one where the stretch begins and takes one where it ends; sums of these, and their prefix over an account's updates,
+    are the counts. A check is two steps, however many updates it spans, and steps are summed before they are shuffled.
     """
-    u = updates.select("account", "build", F.col("at").alias("updated_at"))
-    u = F.broadcast(u) if updates.count() <= BROADCAST_BUILDS else u
-    c = checks.select("account", "since", F.col("at").alias("seen_at"), "same_place")
-    spans = c.join(u, "account").where("updated_at > since AND updated_at <= seen_at")
-    hit = spans.groupBy("account", "build").agg(F.count("since").alias("checked"), F.count_if("same_place").alias("survived"))
-    by = updates.join(hit, ["account", "build"], "left").na.fill(0, ["checked", "survived"])
-    return by.withColumn("factor", S.survival_factor("survived", "checked"))
+    times = updates.groupBy("account").agg(F.sort_array(F.collect_set("at")).alias("times"))
+
+    def passed(t: str) -> Column:
+        """How many of the account's updates are not after t."""
+        after = F.col(t) + F.expr("INTERVAL 1 MICROSECOND")
+        return (F.array_position(F.sort_array(F.array_append("times", after)), after) - 1).cast("int")
+
+    held = F.coalesce(F.col("same_place"), F.lit(False)).cast("int")
+    spans = checks.where("since < at").join(times, "account").select("account", passed("since").alias("first"), passed("at").alias("end"), held.alias("held")).where("first < end")
+    step = lambda i, sign: F.struct(F.col(i).alias("i"), F.lit(sign).alias("checked"), (sign * F.col("held")).alias("survived"))
+    every = times.select("account", F.posexplode("times").alias("i", "at"))
+    steps = spans.select("account", F.explode(F.array(step("first", 1), step("end", -1))).alias("s")).select("account", "s.*").unionByName(every.select("account", "i", F.lit(0).alias("checked"), F.lit(0).alias("survived")))
+    so_far = Window.partitionBy("account").orderBy("i")
+    summed = steps.groupBy("account", "i").agg(F.sum("checked").alias("c"), F.sum("survived").alias("s"))
+    counts = summed.select("account", "i", F.sum("c").over(so_far).alias("checked"), F.sum("s").over(so_far).alias("survived"))
+    by = updates.join(every.join(counts, ["account", "i"]).drop("i"), ["account", "at"], "left").na.fill(0, ["checked", "survived"])
+    return by.select(*updates.columns, "checked", "survived").withColumn("factor", S.survival_factor("survived", "checked"))
 
 
 def moved_the_player(updates: DataFrame, places: DataFrame | None = None) -> DataFrame:
