@@ -8,7 +8,7 @@ import pytest
 from stowline.plans.quality import METRICS, corpus_fingerprint, manifest, report, write_report
 from stowline.plans.releases import action, to_tell, version, version_text
 from stowline.plans.store import Snapshots
-from stowline.sources.files import catalogue_pages, language, launcher_versions, localisation, only_child
+from stowline.sources.files import catalogue_pages, page_problems, replace_catalogue, language, launcher_versions, localisation, only_child
 from stowline.sources.gamelog import read_log, split_bytes
 
 
@@ -122,3 +122,25 @@ def test_a_file_that_cannot_be_read_is_listed_and_the_rest_is_read(spark, tmp_pa
     lines, missed = read_log(spark, str(tmp_path))
     assert [r.line for r in lines.collect()] == ["<x> a"]
     assert [(unquote(r.path.rsplit("/", 1)[1]), r.length) for r in missed.collect()] == [("Game Build(99999999).log", 1800)]
+
+
+def test_a_catalogue_is_replaced_by_a_whole_set_of_pages_only(spark, tmp_path):
+    schema, store = "uuid string, name string", Snapshots(spark, str(tmp_path / "store"))
+    page = lambda n, last, rows: '{"data": [%s], "meta": {"current_page": %s, "last_page": %s}}' % (", ".join('{"uuid": "%s", "name": "%s"}' % r for r in rows), n, last)
+
+    def load(name, *pages):
+        (tmp_path / name).mkdir()
+        for i, text in enumerate(pages):
+            write(tmp_path / name / f"{i}.json", text)
+        found = {(r.problem, r.page) for r in page_problems(spark, str(tmp_path / name), schema).collect()}
+        return found, replace_catalogue(store, "wiki_item", str(tmp_path / name), schema, "uuid")
+
+    have = lambda: {tuple(r) for r in store.read("wiki_item").collect()}
+    assert load("whole", page(1, 2, [("a", "A"), ("b", "B")]), page(2, 2, [("a", "A2")])) == (set(), 1)
+    assert have() == {("a", "A2"), ("b", "B")}
+    assert load("gap", page(1, 3, [("z", "Z")]), page(3, 3, [])) == ({("missing", 2)}, None)
+    assert load("apart", page(1, 2, [("z", "Z")]), page(2, 3, [("y", "Y")])) == ({("missing", 3), ("last pages differ", 3)}, None)
+    assert load("broken", page(1, 2, [("z", "Z")]), '{"data": [') == ({("no valid numbers", None), ("missing", 2)}, None)
+    assert load("no rows", '{"meta": {"current_page": 1, "last_page": 1}}') == ({("no rows", 1)}, None)
+    assert have() == {("a", "A2"), ("b", "B")} and store.current() == 1
+    assert load("next", page(1, 1, [("c", "C")])) == (set(), 2) and have() == {("c", "C")}
