@@ -4,8 +4,13 @@ A multinomial logistic regression over sparse word 1- to 3-grams tells a paragra
 licences of no known family (``unknown``) and from ordinary text. It is trained here, by numpy gradient descent, on
 variants of public licence wording, on announcements of families and of other licences by name, on decoys and on random
 words. Its temperature, and the probability below which a family is not named, are fitted on announcements worded
-otherwise and on licences it has not seen: of these, at most ``LEAST_NAMED`` may be given a family. A family is confirmed
-if the paragraph and a template of the family share enough word trigrams, or if the paragraph holds the template.
+otherwise and on licences it has not seen: of these, at most ``LEAST_NAMED`` may be given a family.
+
+The family's templates, its texts and the announcements of its names, have the last word. Of the word trigrams of the
+shorter of the two, the paragraph and a template share a part. A family is named if that is at least ``LEAST_SIMILARITY`` and it is
+probable enough, or, however probable, at least ``SURE``; so a named family is a confirmed one. If it is less than ``REJECTED``
+the templates reject the family and the next likely class counts, which may be ordinary text; in between the paragraph is of
+an unknown licence.
 
 What is scored are stretches of words, whatever the lines: a document's anchors are the word 2- and 3-grams that speak
 for a licence and not all function words; anchors of one sentence with at most ``GAP`` words between them are a stretch, with up to ``AROUND`` words
@@ -36,8 +41,12 @@ from .license_templates import DECOYS, NAMES, OTHERS, SAID, SAID_OTHERWISE, TEMP
 LEAST_LICENCE, LEAST_NAMED = 0.5, 0.05
 #: Shared trigrams, as a share of the smaller set, that confirm a family.
 LEAST_SIMILARITY = 0.6
+#: The same, at which a family is named whatever its probability, and below which it is rejected.
+SURE, REJECTED = 0.9, 0.3
 #: Words between anchors of a stretch, around a stretch, and between stretches of a paragraph.
 GAP, AROUND, BETWEEN = 10, 3, 12
+#: Further words of the sentence that are shown of a licence of no known family: its name.
+NAME = 6
 VARIANTS, ROUNDS, SEED = 8, 150, 10
 BATCH_BYTES = 4 << 20
 RESULT = "doc_id long, paragraph long, first_line long, last_line long, family string, probability double, similarity double, confirmed boolean, text string"
@@ -91,6 +100,8 @@ class Model:
         rng = random.Random(SEED)
         self.classes = [*TEMPLATES, "unknown", "none"]
         self.templates = [[tokens_of(t) for t in v] for v in TEMPLATES.values()]
+        said = [[tokens_of(form.format(n)) for n in NAMES.get(name, []) for form in SAID] for name in TEMPLATES]
+        self.compared = [[self._trigrams(t) for t in (*texts, *announced)] for texts, announced in zip(self.templates, said, strict=True)]
         unknown, none = len(self.classes) - 2, len(self.classes) - 1
         rows: list[tuple[list[str], int]] = []
         for family, (name, texts) in enumerate(TEMPLATES.items()):
@@ -205,13 +216,27 @@ class Model:
         order = np.lexsort((size, at))
         return at[order], (at + size)[order]
 
+    @staticmethod
+    def _trigrams(tokens: list[str]) -> frozenset[tuple[str, ...]]:
+        return frozenset(tuple(tokens[i : i + 3]) for i in range(max(1, len(tokens) - 2)))
+
     def similarity(self, tokens: list[str], family: int) -> float:
-        own = {tuple(tokens[i : i + 3]) for i in range(max(1, len(tokens) - 2))}
-        best = 0.0
-        for t in self.templates[family]:
-            other = {tuple(t[i : i + 3]) for i in range(max(1, len(t) - 2))}
-            best = max(best, len(own & other) / min(len(own), len(other)))
-        return best
+        own = self._trigrams(tokens)
+        return max(len(own & other) / min(len(own), len(other)) for other in self.compared[family])
+
+    def judge(self, tokens: list[str], p: np.ndarray) -> tuple[str, float, float, bool] | None:
+        """Family, probability, similarity and whether it is confirmed; None for ordinary text."""
+        for kind in np.argsort(-p, kind="stable").tolist():
+            if self.classes[kind] == "none":
+                return None
+            if self.classes[kind] == "unknown":
+                return "unknown", float(p[kind]), 0.0, False
+            alike = self.similarity(tokens, kind)
+            if alike >= SURE or alike >= LEAST_SIMILARITY and p[kind] >= self.named:
+                return self.classes[kind], float(p[kind]), alike, True
+            if alike >= REJECTED:
+                return "unknown", float(p[kind]), alike, False
+        return None
 
 
 @lru_cache(maxsize=1)
@@ -270,12 +295,14 @@ def scan(m: Model, texts: list[str]) -> list[list[tuple]]:
     for (d, _), a, z, p, x, y in groups:
         own = tokens(a, z)
         p = m.probabilities(own) if p is None else p
-        kind = int(p[:-1].argmax())
-        known = kind < len(m.classes) - 2
-        alike = m.similarity(own, kind) if known else 0.0
-        named = known and p[kind] >= m.named
+        judged = m.judge(own, p)
+        if judged is None:
+            continue
+        if judged[0] == "unknown":
+            # The name of a licence that is not known is none of the known words.
+            x, y = a, min(z + NAME, int(np.searchsorted(sentence, sentence[z - 1], side="right")))
         at = np.searchsorted(lines, [begins[d], starts[x], ends[y - 1]])
-        found[d].append((len(found[d]), int(at[1] - at[0]), int(at[2] - at[0]), m.classes[kind] if named else "unknown", float(p[kind]), alike, bool(named and alike >= LEAST_SIMILARITY), raw[starts[x] : ends[y - 1]].decode("utf-8", "surrogatepass")))
+        found[d].append((len(found[d]), int(at[1] - at[0]), int(at[2] - at[0]), *judged, raw[starts[x] : ends[y - 1]].decode("utf-8", "surrogatepass")))
     return found
 
 

@@ -531,6 +531,22 @@ def test_wordings_it_has_not_seen():
     assert not any(x[3] != "unknown" for f in found[len(said) :] for x in f)
 
 
+def test_templates_confirm_and_reject():
+    """A text's beginning is its family's whatever the classifier is sure of; a name alone in prose is none's."""
+    m = license_scan.model()
+    begun = "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and associated documentation files"
+    eupl = "Distributed under the terms of the European Union Public Licence."
+    prose = ["The MIT campus is large.", "The GNU is a large antelope of the savanna.", "She studied at MIT and the BSD conference was in Ottawa.", "The Apache helicopter landed near the general store.", "Mozilla is a company with an office in Berlin."]
+    found = license_scan.scan(m, [begun, eupl, *prose])
+    assert [(x[3], x[5], x[6]) for x in found[0]] == [("MIT", 1.0, True)]
+    assert [(x[3], x[6], x[7]) for x in found[1]] == [("unknown", False, eupl.rstrip("."))]
+    assert found[2:] == [[]] * len(prose)
+    # A named family is always a confirmed one, and its paragraph shares trigrams with it.
+    texts = [form.format(n) for n in ("MIT License", "Apache License 2.0", "BSD license", "Quux License") for form in license_scan.SAID_OTHERWISE]
+    for x in (x for f in license_scan.scan(m, texts) for x in f):
+        assert (x[3] != "unknown") == x[6] and (not x[6] or m.similarity(license_scan.tokens_of(x[7]), m.classes.index(x[3])) >= 0.6)
+
+
 def test_texts_of_a_batch_are_scanned_as_each_alone(rows):
     m = license_scan.model()
     texts = [t or "" for _, t in rows] + ["Released under the MIT License.", "", "All rights reserved", "é Licensed under CC BY 4.0"]
@@ -543,5 +559,5 @@ def test_texts_of_a_batch_are_scanned_as_each_alone(rows):
 
 def test_ids_and_queries(docs, rows):
     assert id_and_text(docs).count() == len(rows)
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 14))
     assert pd.Series(list(QUERIES)).is_unique
