@@ -562,6 +562,52 @@ def names_in_holdings(spark, sf_dir):
     return out.groupBy(F.col("item_class").cast("int").alias("line"), where_text(F.col("chain")).alias("where")).agg(F.count("*").alias("holdings"))
 
 
+@query("""SELECT o_custkey AS build, o_orderdate AS at, o_orderdate + INTERVAL 5 HOUR AS reset_at, date_trunc('day', o_orderdate + INTERVAL 5 HOUR) AS wipe_from FROM orders WHERE o_orderstatus = 'F'""")
+def q_resets(spark, sf_dir):
+    """Updates that came with a character reset, and the day a wipe date after them counts from."""
+    from .queries import resets
+
+    o = read(spark, sf_dir, "orders")
+    reset = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate") + F.expr("INTERVAL 5 HOURS"))
+    return resets(o.select(F.col("o_custkey").alias("build"), F.col("o_orderdate").alias("at"), reset.alias("reset_at")))
+
+
+@query("""SELECT cast(n_nationkey AS VARCHAR) AS place_key, n_name AS name, r_name AS system, CASE WHEN bit_count(n_nationkey % 16) >= 2 THEN 'Confirmed' ELSE 'Proposed' END AS status, cast(bit_count(n_nationkey % 16) AS INTEGER) AS support, cast(count(s_suppkey) AS INTEGER) AS aliases
+FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name, r_name""")
+def q_places_listing(spark, sf_dir):
+    """Places with their system, status, how many sources agree and how many ids they have."""
+    from .queries import places_listing
+
+    ids = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list(F.col("s_suppkey").cast("string")).alias("alias_ids"))
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(ids, "n_nationkey", "left")
+    sources = F.col("n_nationkey") % 16
+    return places_listing(n.select(F.col("n_nationkey").cast("string").alias("place_key"), F.col("n_name").alias("name"), F.col("r_name").alias("system"), F.when(F.bit_count(sources) >= 2, "Confirmed").otherwise("Proposed").alias("status"), sources.alias("sources"), F.coalesce("alias_ids", F.array().cast("array<string>")).alias("alias_ids")))
+
+
+@query("""SELECT DISTINCT concat('Place ', event_id % 700) AS name FROM events WHERE user_id % 3 = 1 AND event_type IN ('view', 'signup')""")
+def q_suggestions(spark, sf_dir):
+    """Names in one system, whatever its case, of types that begin alike."""
+    from .queries import suggestions
+
+    e = events(spark, sf_dir)
+    system = F.when(F.col("user_id") % 3 == 1, F.when(F.col("user_id") % 2 == 0, "PYRO").otherwise("pyro")).otherwise("Stanton")
+    kind = F.when(F.col("event_type") == "view", "Station, orbital").when(F.col("event_type") == "signup", "landing zone").otherwise("Moon of a station")
+    return suggestions(e.select(F.concat(F.lit("Place "), F.col("event_id") % 700).alias("name"), system.alias("system"), kind.alias("type")), "Pyro", ["station", "Landing"])
+
+
+@query("""SELECT cast(s_suppkey AS VARCHAR) AS location_id, CASE WHEN s_suppkey % 4 < 2 THEN concat('Zone ', s_suppkey) ELSE concat('Social ', s_suppkey) END AS name FROM supplier WHERE s_suppkey % 3 <> 0""")
+def names_of_game_text(spark, sf_dir):
+    """Raw names that the game's text has by their own key, in any case, or by the key of a pattern; a third of the keys is absent."""
+    from .naming import game_text_names
+
+    n = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    zone = F.col("s_suppkey") % 4 < 2
+    raw = n.select(k.alias("location_id"), F.when(zone, F.concat(F.lit("Stanton1_Z"), k)).otherwise(F.concat(F.lit("AsteroidClusterBase_Pyro_Social_Hub_"), k)).alias("name"))
+    text = n.where("s_suppkey % 3 <> 0").select(F.when(zone, F.concat(F.lit("STANTON1_z"), k)).otherwise(F.concat(F.lit("Pyro_SocialStation_"), k)).alias("key"), F.when(zone, F.concat(F.lit("Zone "), k)).otherwise(F.concat(F.lit("Social "), k)).alias("value"))
+    return game_text_names(raw, text)
+
+
 # Scores, caveats, labels.
 
 _S = f"(SELECT *, CASE k % 4 WHEN 0 THEN 'Carry' WHEN 1 THEN 'Drop' ELSE 'Move' END AS how, k % 5 <> 0 AS good, k % 7 = 0 AS guess, k % 2 = 0 AS risk, k % 3 = 0 AS food, CASE WHEN user_id % 2 = 0 THEN 'Location' ELSE 'Container' END AS kind, epoch_us(TIMESTAMP '2024-02-20 00:00:00' - ts) / 1000000 AS age, user_id % 4 = 0 AND ts < TIMESTAMP '2024-01-15 00:00:00' AS old FROM {E})"
