@@ -572,6 +572,19 @@ def q_resets(spark, sf_dir):
     return resets(o.select(F.col("o_custkey").alias("build"), F.col("o_orderdate").alias("at"), reset.alias("reset_at")))
 
 
+@query(f"""SELECT concat('ship ', l_linenumber) AS ship, cast(sum(quantity) AS BIGINT) AS quantity, count(*) AS rows, CASE WHEN l_linenumber % 2 = 1 THEN concat('Model ', l_linenumber) END AS label, (SELECT max(ts) FROM events WHERE user_id % 9 = l_linenumber AND event_type = 'error') AS retrieved_ts
+FROM {H} WHERE root_kind = 'Ship' GROUP BY l_linenumber""")
+def q_ships_named(spark, sf_dir):
+    """Ships that hold something, with the label of their class, in any case, and when the newest of the class was fetched."""
+    from .queries import ships
+
+    e = read(spark, sf_dir, "events")
+    name = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("SHIP "), F.col("user_id") % 9)).otherwise(F.concat(F.lit("Ship "), F.col("user_id") % 9))
+    vehicles = e.select(name.alias("class_name"), F.when(F.col("event_type") == "error", F.col("ts")).alias("retrieved_ts"))
+    models = read(spark, sf_dir, "nation").where("n_nationkey % 2 = 1").select(F.concat(F.lit("Ship "), "n_nationkey").alias("class_name"), F.concat(F.lit("Model "), "n_nationkey").alias("name"))
+    return ships(_holdings(spark, sf_dir), vehicles, models).select("ship", "quantity", "rows", "label", "retrieved_ts")
+
+
 @query("""SELECT cast(n_nationkey AS VARCHAR) AS place_key, n_name AS name, r_name AS system, CASE WHEN bit_count(n_nationkey % 16) >= 2 THEN 'Confirmed' ELSE 'Proposed' END AS status, cast(bit_count(n_nationkey % 16) AS INTEGER) AS support, cast(count(s_suppkey) AS INTEGER) AS aliases
 FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name, r_name""")
 def q_places_listing(spark, sf_dir):
