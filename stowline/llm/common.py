@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,15 @@ def write_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, other: DataFrame, key: list[str] | Column, how: str = "inner") -> DataFrame:
+    """rows joined with ``other`` by a shuffle of both, never by broadcast.
+
+    Both grow with the documents. Spark takes an exploded table for as small as what it was exploded from, and would collect
+    dozens of rows for each of that table's on the driver.
+    """
+    return rows.join(other.hint("merge"), key, how)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Ask the driver for a collection, so that Spark's cleaner deletes the shuffle files of finished jobs.
 

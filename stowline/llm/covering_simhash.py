@@ -25,7 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import frame, id_and_text, join_hot, release_shuffles, write_table
+from .common import frame, id_and_text, join_hot, join_spread, release_shuffles, write_table
 from .components import connected_components
 
 BITS = 64
@@ -134,13 +134,13 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))])
     keyed = nodes.select("fp", F.explode(tables).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, "key")
+    shared = join_spread(keyed, sizes, ["key"])
     buckets = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     near = buckets.select("fps").mapInPandas(_forest(radius), "u long, v long")
     crowded = shared.where(F.col("n") > bucket).select("fp").distinct()
     points = crowded.mapInPandas(_points(radius), "point long, fp long")
     least = points.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("x")).where("v < x").select("point", "v")
-    return near.unionByName(points.join(least, "point").select(F.col("fp").alias("u"), "v").where("u <> v")).distinct()
+    return near.unionByName(join_spread(points, least, ["point"]).select(F.col("fp").alias("u"), "v").where("u <> v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: in
     roots = connected_components(links(nodes.select("fp"), radius, bucket))
     release_shuffles(docs.sparkSession)
     count, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    rooted = write_table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = write_table(join_spread(nodes, roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     named = join_hot(rooted.select("fp", "root", F.col("n").alias("docs")), least, ["root"], count)
     found = write_table(named.select("fp", "component_id", F.col("docs").alias("n")), "named")

@@ -69,3 +69,11 @@ def test_added_tokens_in_texts_are_one_id(name):
     cache = WordCache(path)
     for _ in range(2):
         assert [x.tolist() for x in cache.encode(texts)] == want
+
+
+def test_links_broadcast_nothing_that_grows(spark, tmp_path):
+    from stowline.llm.covering_simhash import links
+
+    spark.range(2000).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/nodes")
+    found = links(spark.read.parquet(f"{tmp_path}/nodes"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
