@@ -161,7 +161,8 @@ def score(rows: DataFrame, updates: DataFrame, as_of: Column) -> DataFrame:
     crossed = F.filter("updates", lambda u: (u["at"] > F.col("since")) & (u["at"] <= as_of))
     r = r.withColumn("crossed", F.coalesce(crossed, F.array().cast(r.schema["updates"].dataType)))
     worst = F.coalesce(F.array_min(F.transform("crossed", lambda u: u["factor"])), F.lit(1.0))
-    age = F.unix_seconds(as_of) - F.unix_seconds("since")
+    # Seconds with their fraction: ages are rounded to days, and half a day less an instant is no half day.
+    age = (F.unix_micros(as_of) - F.unix_micros(F.col("since"))) / 1_000_000
     stale_food = is_consumable("item_class") & ~F.col("arrived_by").isin("Carry", "Drop") & (F.col("kind") != "Location") & (age > S.SHELF_DAYS * 86400)
     guess = F.col("inferred")
     factors = {

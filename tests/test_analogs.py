@@ -32,3 +32,14 @@ def test_query_equals_sql(spark, module, name):
     got, want = module.QUERIES[name](spark, DATA).toPandas(), con.sql(module.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_ages_count_fractions_of_a_second(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    times = "('2024-01-10 12:00:00.5'), ('2024-01-10 12:00:00'), ('2024-01-10 11:59:59.999999'), ('2024-01-21 00:00:00.000001'), ('2024-01-20 23:59:59.999999')"
+    props = "concat('{\"k\": ', row_number() OVER () % 12, '}')"
+    con.sql(f"COPY (SELECT row_number() OVER () AS event_id, cast(t AS TIMESTAMP) AS ts, cast(1 AS BIGINT) AS user_id, 'view' AS event_type, 1.0 AS value, {props} AS props FROM (VALUES {times}) v(t)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert rows(replays.QUERIES["holding_scores"](spark, str(tmp_path)).toPandas()) == rows(con.sql(replays.SQL["holding_scores"]).df())
