@@ -21,6 +21,8 @@ REAL = frozenset(["Location", "Container", "Equipped", "World"])
 BODY, LOST = ("Equipped", ""), ("LostTrack", "")
 #: Containers within containers that are followed; seconds that a body listing takes.
 DEPTH, LISTING_S = 6, 30
+#: Entries of an account from which on its resets are broadcast; of n entries in all, at most n / MANY accounts are so large.
+MANY = 200_000
 
 ROWS = (
     "account string, row_kind string, geid string, item_class string, quantity int, kind string, key string, since timestamp, arrived_by string, confirmed boolean, inferred boolean, "
@@ -372,19 +374,22 @@ def timeline(moves: DataFrame, seen: DataFrame, resets: DataFrame, containers: D
     )
 
 
-def epochs(entries: DataFrame) -> DataFrame:
+def epochs(entries: DataFrame, many: int = MANY) -> DataFrame:
     """Entries with ``epoch``, the number of the account's resets before them, and what each epoch must know of those before.
 
     A reset empties all places, so that an account falls into stretches that share nothing but two sets: what can be worn,
     and what has been the parent of parts. Of these an epoch gets what its own entries speak of. A reset closes its epoch. Resets
-    of an account are as few as the game's updates: their times are one array, no order of entries is needed.
+    of an account are as few as the game's updates: their times are one array, no order of entries is needed. Accounts of many
+    entries get it by broadcast, so that no task reads an account whole before it is dealt out by epochs.
     """
-    resets = entries.where("entry = 'reset'").groupBy("account").agg(F.collect_list("ts").alias("wiped"))
+    accounts = entries.where("entry <> 'wearable'").groupBy("account").agg(F.collect_list(F.when(F.col("entry") == "reset", F.col("ts"))).alias("wiped"), F.count("*").alias("n"))
+    hot, rest = F.broadcast(accounts.where(F.col("n") > many).drop("n")), accounts.where((F.col("n") <= many) & (F.size("wiped") > 0)).drop("n")
     # Its place among the sorted resets, those of its own instant included unless it is one.
     at = F.when(F.col("entry") == "reset", F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 MICROSECOND"))
     before = F.coalesce(F.array_position(F.sort_array(F.array_append("wiped", at)), at) - 1, F.lit(0))
-    numbered = lambda how: entries.where("entry <> 'wearable'").join(resets, "account", how).withColumn("epoch", before).drop("wiped")
-    dealt, wear = numbered("left"), entries.where("entry = 'wearable'")
+    told, wear = entries.where("entry <> 'wearable'"), entries.where("entry = 'wearable'")
+    numbered = lambda how: told.join(hot, "account").unionByName(told.join(hot, "account", "left_anti").join(rest, "account", how)).withColumn("epoch", before).drop("wiped")
+    dealt = numbered("left")
     spoken = F.array_compact(F.array(F.when(F.col("src_kind") == "Container", F.col("src_key")), F.when(F.col("tgt_kind") == "Container", F.col("tgt_key")), "parent_geid", "item_geid"))
     # The first epoch has all there is to wear; its parents are its own.
     later = numbered("inner").where("epoch > 0").select("account", "epoch", F.explode(spoken).alias("item_geid")).distinct()

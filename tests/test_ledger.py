@@ -181,3 +181,19 @@ def test_a_live_ledger_equals_a_rebuild_and_replays_what_changed(spark, tmp_path
     assert live.update(frame(spark, have)) is None
     # Only what stands behind a kept state is read again.
     assert sizes[1] < 0.7 * sizes[0] and sizes[2] < 40 and sizes[3] < 0.3 * sizes[0]
+
+
+def test_resets_reach_large_accounts_by_broadcast(spark):
+    from stowline.operators.ledger import epochs
+
+    none = "cast(NULL AS string)"
+    entries = spark.range(60).selectExpr(
+        "IF(id % 6 = 0, 'small', IF(id % 2 = 0, 'large', 'never'))  AS account", "IF(id % 10 = 0 AND id % 4 = 0, 'reset', 'move') AS entry", "timestamp_seconds(id DIV 3) AS ts",
+        "id AS seq", f"{none} AS src_kind", f"{none} AS src_key", "'Container' AS tgt_kind", "string(id % 5) AS tgt_key", f"{none} AS parent_geid", "string(id) AS item_geid", "false AS is_part", "1 AS rank",
+    )
+    want = sorted(map(tuple, epochs(entries).collect()), key=str)
+    assert len(want) == 60 and len({(r[0], r[-1]) for r in want}) > 4
+    for many in (0, 15):
+        found = epochs(entries, many)
+        assert sorted(map(tuple, found.collect()), key=str) == want
+    assert "BroadcastHashJoin [account" in epochs(entries, 0)._jdf.queryExecution().executedPlan().toString()
