@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stowline.llm.bm25_decontam import decontaminate
 from stowline.llm.common import documents, table, write_table
-from stowline.llm.jaccard_sets import keep_one_of_each
+from stowline.llm.covering_simhash import near_duplicates
+from stowline.llm.jaccard_sets import keep_one_of_groups
 from stowline.llm.skip_chain_pii import mask_personal_data
 from stowline.llm.subword_quality import keep_good
 from stowline.llm.vector_packing import pack
@@ -27,8 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) the document with the smallest doc_id stays."""
-    return keep_one_of_each(docs).select(*COLUMNS)
+    """Of each group of near-duplicates the document with the smallest doc_id stays.
+
+    Groups are those of operator 7 (fingerprints within 4 bits), joined by the links that its radius doesn't reach: Jaccard
+    0.8 of five-word shingles, verified.
+    """
+    return keep_one_of_groups(docs, near_duplicates(docs)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles (the pipeline's stage after operator 7).
+"""Near-duplicates by the Jaccard similarity of word shingles (in the pipeline, links beyond those of operator 7).
 
 Two documents are linked if their sets of shingles have a similarity of ``SIMILAR`` or more. Candidates share one of
 ``BANDS`` keys of ``ROWS`` min-hashes; a pair at 0.8 shares none with probability 1.1e-4, closer pairs less. Each
@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import frame, id_and_text, release_shuffles, write_table
+from .common import frame, id_and_text, join_spread, release_shuffles, write_table
 from .components import connected_components
 from .covering_simhash import SEED, shingle_hashes
 
@@ -137,7 +137,7 @@ def set_links(docs: DataFrame, signatures: DataFrame, words: int, group: int = G
     first = signatures.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     keyed = signatures.join(first, ["doc_id", "fp"]).select("fp", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub < top")
-    shared = write_table(keyed.join(sizes.select("key", "hub"), "key").distinct(), "buckets")
+    shared = write_table(join_spread(keyed, sizes.select("key", "hub"), ["key"]).distinct(), "buckets")
     wanted = shared.select("fp").distinct().join(first, "fp").select("doc_id").distinct()
     wanted = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
     shingles = write_table(_shingles(wanted, words).dropDuplicates(["fp"]), "shingles")
@@ -171,3 +171,13 @@ def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of docs but for those whose component has a smaller doc_id; all columns stay."""
     kept = similar_documents(docs, words).where("doc_id = component_id").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi")
+
+
+def keep_one_of_groups(docs: DataFrame, groups: DataFrame, words: int = 5) -> DataFrame:
+    """keep_one_of_each over the links of similar documents and of ``groups`` (doc_id, component_id), taken together."""
+    links = [d.where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for d in (groups, similar_documents(docs, words))]
+    roots = connected_components(links[0].unionByName(links[1]))
+    # Documents without a link are their own; of linked ones the root alone stays.
+    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node")).distinct()
+    kept = join_spread(ids, roots.where("node <> root").select("node").distinct(), ["node"], "left_anti").select(F.col("node").alias("doc_id"))
+    return docs.join(kept, "doc_id", "left_semi")

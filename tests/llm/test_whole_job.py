@@ -77,3 +77,21 @@ def test_links_broadcast_nothing_that_grows(spark, tmp_path):
     spark.range(2000).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/nodes")
     found = links(spark.read.parquet(f"{tmp_path}/nodes"))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_dedup_stage_links_what_operator_7_links(spark):
+    import corpus_pipeline
+    from stowline.llm.covering_simhash import near_duplicates
+    from stowline.llm.jaccard_sets import similar_documents
+
+    rng = np.random.default_rng(7)
+    few = [f"w{i}" for i in range(40)]
+    # Many repeats of one line: its shingles settle the fingerprint, the rest of the set differs.
+    line = " ".join(rng.choice(few, 5, replace=False)) + " "
+    texts = [line * 200 + " ".join(f"{side}{i}" for i in range(30)) for side in "ab"]
+    # A third, which shares four fifths of the second's set, and one that is like none.
+    texts += [texts[1] + " c1 c2", " ".join(rng.choice([f"v{i}" for i in range(5000)], 100))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.component_id for r in similar_documents(docs).collect()} == {0: 0, 1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}[1] == 0
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 3]
