@@ -63,11 +63,11 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def split_lines(lines: DataFrame) -> DataFrame:
     """lines (session_id, line_offset, line) with ts, severity, event_name and rest; others have no event and go."""
-    text = F.translate("line", _MARK, " ")
+    text = F.when(F.contains("line", F.lit(_MARK)), F.translate("line", _MARK, " ")).otherwise(F.col("line"))
     df = held(lines.where(F.col("line").startswith("<")), "_s", groups(text, SHAPE.removesuffix("$"), 4)).where(F.size("_s") > 1)
     part = lambda n: F.get("_s", F.lit(n))
-    ts = F.try_to_timestamp(F.regexp_replace(part(1), "Z$", "+00:00"))
-    return df.select(*lines.columns, ts.alias("ts"), part(2).alias("severity"), part(3).alias("event_name"), part(4).alias("rest")).where(F.col("ts").isNotNull())
+    ts = F.try_to_timestamp(F.when(part(1).endswith("Z"), F.concat(F.left(part(1), F.length(part(1)) - 1), F.lit("+00:00"))).otherwise(part(1)))
+    return held(df, "ts", ts).where(F.col("ts").isNotNull()).select(*lines.columns, "ts", part(2).alias("severity"), part(3).alias("event_name"), part(4).alias("rest"))
 
 
 def _blank(c: Column) -> Column:

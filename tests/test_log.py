@@ -152,3 +152,13 @@ def test_folder(spark, tmp_path):
     t = from_folder(spark, str(tmp_path))
     assert held(t) == [("cup", "700000000002", 1, "Location", "5001"), ("hat", "700000000001", 1, "Location", "5001")]
     assert {(r["item_class"], r["request_no"]): r["result"] for r in t["moves"].collect()} == {("cup", 1): None, ("hat", 1): "succeed", ("hat", 2): "lost"}
+
+
+def test_a_line_is_taken_apart_and_dated_once(spark):
+    from stowline.functions.events import split_lines
+
+    texts = ["<2026-08-01T00:00:00.500Z> [Notice] <Tag> a\x01b", "<2026-08-01T00:00:00.500+02:00> [Notice] <Tag> c", "<2026-08-01T00:00:00.5> [Notice] <Tag> d", "<no time Z> [Notice] <Tag> e", "<Z> [Notice] <Tag> f", "g"]
+    found = split_lines(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "session_id long, line_offset long, line string"))
+    got = {r.line_offset: (str(r.ts_), r.rest) for r in found.selectExpr("line_offset", "cast(ts AS string) AS ts_", "rest").collect()}
+    assert got == {0: ("2026-08-01 00:00:00.5", "a b"), 1: ("2026-07-31 22:00:00.5", "c"), 2: ("2026-08-01 00:00:00.5", "d")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("+00:00") == 1
