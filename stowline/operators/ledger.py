@@ -29,6 +29,10 @@ ROWS = (
     "duplicate_risk boolean, ambiguous boolean, carried boolean, part_parent boolean, at timestamp, source_kind string, source_key string, same_place boolean, detail string, elsewhere string"
 )
 _NAMES = [c.strip().split()[0] for c in ROWS.split(",")]
+#: What the pass itself gives; part parents are told by the entries.
+KINDS = frozenset(["holding", "miss", "check", "reset", "stat"])
+#: What the pass looks at; the other columns are for the order.
+_READS = ["account", "entry", "ts", "move_type", "item_class", "item_geid", "amount", "src_kind", "src_key", "tgt_kind", "tgt_key", "action", "result", "port", "is_part", "body_port", "parent_geid", "geids", "classes", "build"]
 
 
 class Slot:
@@ -63,9 +67,13 @@ class Slot:
 
 
 class Account:
-    """One account's state."""
+    """One account's state, which gives rows of the kinds that are wanted."""
 
-    def __init__(self):
+    kinds = KINDS
+
+    def __init__(self, kinds: frozenset[str] = KINDS):
+        if kinds != KINDS:
+            self.kinds = kinds
         self.places: dict[tuple, dict[str, Slot]] = {}
         #: The places that have, or once had, a class.
         self.places_of: dict[str, dict[tuple, None]] = {}
@@ -87,13 +95,13 @@ class Account:
 
     def end(self) -> list[tuple]:
         rows = []
-        for (kind, key), classes in self.places.items():
+        for (kind, key), classes in self.places.items() if "holding" in self.kinds else ():
             for name, slot in classes.items():
                 for i in slot.named:
                     rows.append(self._row("holding", geid=i["geid"], item_class=name, quantity=1, kind=kind, key=key, since=i["since"], arrived_by=i["by"], confirmed=i["confirmed"], inferred=i["inferred"], duplicate_risk=False, ambiguous=i["ambiguous"], carried=i["geid"] in self.carried, part_parent=i["geid"] in self.parents))
                 for g in slot.groups:
                     rows.append(self._row("holding", item_class=name, quantity=g["n"], kind=kind, key=key, since=g["since"], arrived_by=g["by"], confirmed=g["confirmed"], inferred=g["inferred"], duplicate_risk=g["risk"], ambiguous=False, carried=False, part_parent=False))
-        return rows + [self._row("stat", detail=k, quantity=n) for k, n in sorted(self.stats.items())]
+        return rows + [self._row("stat", detail=k, quantity=n) for k, n in sorted(self.stats.items()) if "stat" in self.kinds]
 
     def _row(self, row_kind: str, **values) -> tuple:
         values |= {"account": self.account, "row_kind": row_kind}
@@ -213,7 +221,8 @@ class Account:
             cause = "NoSource" if not real else "SourceNeverSeen" if classes is None else "ClassNeverAtSource" if e.item_class not in classes else "AlreadyTaken"
             elsewhere = next((p for p in self.places_of.get(e.item_class, ()) if p not in (source, target) and self._slot(p, e.item_class).units()), None)
             covered = taken >= wanted
-            rows.append(self._row("miss", item_class=e.item_class, quantity=wanted - (own if covered else taken), kind=target[0], key=target[1], at=e.ts, source_kind=source[0], source_key=source[1], duplicate_risk=elsewhere is not None, carried=covered, detail=cause, elsewhere=elsewhere and elsewhere[0]))
+            if "miss" in self.kinds:
+                rows.append(self._row("miss", item_class=e.item_class, quantity=wanted - (own if covered else taken), kind=target[0], key=target[1], at=e.ts, source_kind=source[0], source_key=source[1], duplicate_risk=elsewhere is not None, carried=covered, detail=cause, elsewhere=elsewhere and elsewhere[0]))
             if not covered:
                 self._count("inferred", wanted - taken)
                 self._count("duplicate_risk" if elsewhere else "first_seen", wanted - taken)
@@ -258,6 +267,8 @@ class Account:
 
     def _check(self, e, source: tuple) -> list[tuple]:
         """Where the entity was believed to be, held against where a move says it came from."""
+        if "check" not in self.kinds:
+            return []
         believed = self.at.get(e.item_geid)
         slot = self._slot(believed, e.item_class) if believed else None
         known = next((i for i in slot.named if i["geid"] == e.item_geid), None) if slot else None
@@ -330,7 +341,7 @@ class Account:
         for held in (self.places, self.places_of, self.at, self.carried, self.settled, self.port_of, self.occupant, self.out, self.into):
             held.clear()
         self._count("wiped", n)
-        return [self._row("reset", at=e.ts, quantity=n, detail=str(int(e.build)))]
+        return [self._row("reset", at=e.ts, quantity=n, detail=str(int(e.build)))] if "reset" in self.kinds else []
 
 
 def listings(seen: DataFrame) -> DataFrame:
@@ -399,13 +410,17 @@ def epochs(entries: DataFrame, many: int = MANY) -> DataFrame:
     return dealt.unionByName(known).unionByName(carried, allowMissingColumns=True)
 
 
-def ledger(entries: DataFrame) -> DataFrame:
+def ledger(entries: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """Rows of every account: holdings, part parents, misses, placement checks, resets, counters (``row_kind``).
 
     An account runs in as many tasks as it has epochs. Each has its own counters, which ``counters`` adds up. The entries are
-    read more than once: a table, not a plan.
+    read more than once: a table, not a plan. Who reads rows of some ``kinds`` only gets them alone: the pass is the same, but the
+    other rows are not written.
     """
-    rows = fold(epochs(entries), ["account", "epoch"], ["ts", "rank", "seq", "sub", "item_geid"], Account, ROWS)
+    wanted = KINDS if kinds is None else KINDS & set(kinds)
+    rows = fold(epochs(entries), ["account", "epoch"], ["ts", "rank", "seq", "sub", "item_geid"], lambda: Account(wanted), ROWS, _READS)
+    if kinds is not None and "parent" not in kinds:
+        return rows
     parents = entries.where("entry = 'worn' AND is_part AND parent_geid IS NOT NULL").select("account", F.lit("parent").alias("row_kind"), F.col("parent_geid").alias("geid")).distinct()
     return rows.unionByName(parents, allowMissingColumns=True)
 

@@ -464,8 +464,8 @@ def ledger_fold(spark, sf_dir):
 
     none = lambda schema: spark.createDataFrame([], schema)
     seen = none("account string, session_id long, line_offset long, seq long, ts timestamp, geid string, class_name string, port string, placeholder boolean, parent_geid string")
-    rows = ledger(timeline(_moves(spark, sf_dir), seen, none("account string, ts timestamp, build int"), none("account string, geid string, class_name string")))
-    return rows.where("row_kind = 'holding'").groupBy("account", "item_class", F.col("key").alias("place")).agg(F.sum("quantity").alias("quantity"))
+    rows = ledger(timeline(_moves(spark, sf_dir), seen, none("account string, ts timestamp, build int"), none("account string, geid string, class_name string")), ["holding"])
+    return rows.groupBy("account", "item_class", F.col("key").alias("place")).agg(F.sum("quantity").alias("quantity"))
 
 
 EPOCHS = """WITH m AS (SELECT l_linestatus AS account, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq, cast(l_partkey AS VARCHAR) AS geid, cast(l_suppkey AS VARCHAR) AS place FROM lineitem),
@@ -486,7 +486,7 @@ def ledger_epochs(spark, sf_dir):
     moves = i.select(F.col("l_linestatus").alias("account"), F.col("l_shipdate").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.lit(0).alias("item_ix"), F.lit("Store").alias("move_type"), F.lit("part").alias("item_class"), F.col("l_partkey").cast("string").alias("item_geid"), F.lit(1).alias("amount"), F.lit("Invalid").alias("src_kind"), F.lit("").alias("src_key"), F.lit("Location").alias("tgt_kind"), F.col("l_suppkey").cast("string").alias("tgt_key"), F.lit("succeed").alias("result"))
     resets = i.join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_linestatus").alias("account"), F.date_trunc("month", "o_orderdate").alias("ts")).distinct().withColumn("build", F.lit(1))
     seen = none("account string, session_id long, line_offset long, seq long, ts timestamp, geid string, class_name string, port string, placeholder boolean, parent_geid string")
-    rows = keep(ledger(keep(timeline(moves, seen, resets, none("account string, geid string, class_name string")), "timeline")), "epochs")
+    rows = keep(ledger(keep(timeline(moves, seen, resets, none("account string, geid string, class_name string")), "timeline"), ["reset", "holding", "stat"]), "epochs")
     kinds = rows.where("row_kind IN ('reset', 'holding')").select("account", "row_kind", "geid", F.col("key").alias("place"), F.coalesce("at", "since").alias("at"), F.col("quantity").cast("long").alias("quantity"))
     moved = counters(rows).where("detail = 'named_moves'").select("account", F.lit("stat").alias("row_kind"), F.col("detail").alias("geid"), F.lit(None).cast("string").alias("place"), F.lit(None).cast("timestamp").alias("at"), "quantity")
     return kinds.unionByName(moved)

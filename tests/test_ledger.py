@@ -197,3 +197,27 @@ def test_resets_reach_large_accounts_by_broadcast(spark):
         found = epochs(entries, many)
         assert sorted(map(tuple, found.collect()), key=str) == want
     assert "BroadcastHashJoin [account" in epochs(entries, 0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_pass_gets_lists_as_text_and_nothing_that_is_for_the_order_alone(spark):
+    """Spark walks all absent arrays of a batch for each row that it adds to it, so no array may go to a task."""
+    from pyspark.sql import functions as F
+
+    from stowline.operators.folds import fold
+
+    class Told:
+        def step(self, e):
+            return [(e.k, repr((e.ts, e.l, e.n, hasattr(e, "o"))), e.ts)]
+
+        def end(self):
+            return []
+
+    some = F.array(F.lit('a"b\n, ü'), F.lit(None), F.col("id").cast("string"))
+    rows = spark.range(7).select((F.col("id") % 2).cast("string").alias("k"), (-F.col("id")).alias("o"), F.timestamp_micros(F.col("id") + 1).alias("ts"), F.when(F.col("id") > 1, some).alias("l"), F.when(F.col("id") != 4, F.col("id")).alias("n"))
+    found = fold(rows, ["k"], ["o"], Told, "k string, told string, ts timestamp", ["ts", "l", "n"])
+    us = lambda i: datetime(1970, 1, 1) + timedelta(microseconds=i + 1)
+    want = [(str(i % 2), repr((us(i), ['a"b\n, ü', None, str(i)] if i > 1 else None, None if i == 4 else i, False))) for i in (6, 4, 2, 0, 5, 3, 1)]
+    assert sorted((r.k, r.told) for r in found.collect()) == sorted(want)
+    assert [r.told for r in found.where("k = '0'").collect()] == [told for k, told in want if k == "0"]
+    assert [r.us for r in found.selectExpr("unix_micros(ts) AS us").orderBy("us").collect()] == list(range(1, 8))
+    assert "array<" not in found._jdf.queryExecution().analyzed().children().head().schema().catalogString()
