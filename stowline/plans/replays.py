@@ -222,8 +222,8 @@ def _held() -> str:
     return " UNION ALL ".join(rows)
 
 
-def _played_accounts(spark, sf_dir) -> DataFrame:
-    """The account's rows for the plays of ACCOUNTS, an account for each event."""
+def _played_accounts(spark, sf_dir, *kinds: str) -> DataFrame:
+    """The account's rows of these kinds for the plays of ACCOUNTS, an account for each event."""
     from ..operators.ledger import ledger, timeline
 
     def entries(kind: str, make: Callable[[int, dict, int], Column]) -> DataFrame:
@@ -243,13 +243,13 @@ def _played_accounts(spark, sf_dir) -> DataFrame:
     seen = entries("worn", lambda minute, v, n: F.struct(F.lit(1).cast("long").alias("session_id"), F.lit(n).cast("long").alias("line_offset"), F.lit(n).cast("long").alias("seq"), ts(minute), geid(v["geid"]).alias("geid"), name.alias("class_name"), F.lit(v["port"]).alias("port"), F.lit(False).alias("placeholder"), none.alias("parent_geid")))
     resets = entries("reset", lambda minute, v, n: F.struct(ts(minute), F.lit(1).alias("build")))
     boxes = spark.createDataFrame([], "account string, geid string, class_name string")
-    return ledger(timeline(moves, seen, resets, boxes))
+    return ledger(timeline(moves, seen, resets, boxes), list(kinds))
 
 
 @query(_held())
 def ledger_plays(spark, sf_dir):
     """An account for each event: named and unnamed moves, shortfalls, lost and failed moves, listings, ports, resets, late lines."""
-    rows = _played_accounts(spark, sf_dir).where("row_kind = 'holding'")
+    rows = _played_accounts(spark, sf_dir, "holding")
     return rows.groupBy("account", "kind", "key", "item_class").agg(F.sum("quantity").alias("quantity"), F.count("geid").alias("named"), F.bool_or(F.coalesce("inferred", F.lit(False))).alias("inferred"))
 
 
@@ -507,13 +507,13 @@ def _sql(x) -> str:
 def ledger_counters(spark, sf_dir):
     from ..operators.ledger import counters
 
-    return counters(_played_accounts(spark, sf_dir)).select("account", F.col("detail").alias("counter"), F.col("quantity").alias("n"))
+    return counters(_played_accounts(spark, sf_dir, "stat")).select("account", F.col("detail").alias("counter"), F.col("quantity").alias("n"))
 
 
 @query(_of_plays([(i, f"'{kind}' AS row_kind, cast({_sql(detail)} AS VARCHAR) AS detail, cast({_sql(n)} AS INTEGER) AS n, cast({_sql(same)} AS BOOLEAN) AS same_place") for i, notes in NOTED.items() for kind, detail, n, same in notes]))
 def ledger_notes(spark, sf_dir):
     """Shortfalls by cause, checks of belief against source, resets."""
-    return _played_accounts(spark, sf_dir).where("row_kind IN ('miss', 'check', 'reset')").select("account", "row_kind", "detail", F.col("quantity").alias("n"), "same_place")
+    return _played_accounts(spark, sf_dir, "miss", "check", "reset").select("account", "row_kind", "detail", F.col("quantity").alias("n"), "same_place")
 
 
 _UNITS = {name: f"(SELECT sum(n) FROM ({_of_plays([(i, f'{counted[name]} AS n') for i, counted in enumerate(COUNTED) if name in counted])}))" for name in ("class_units", "from_named", "from_loose")}
@@ -523,7 +523,7 @@ _UNITS = {name: f"(SELECT sum(n) FROM ({_of_plays([(i, f'{counted[name]} AS n')
 def ledger_metrics(spark, sf_dir):
     from .quality import ledger_rates
 
-    return ledger_rates(_played_accounts(spark, sf_dir)).select("metric", F.round("value", 6).alias("value"))
+    return ledger_rates(_played_accounts(spark, sf_dir, "stat")).select("metric", F.round("value", 6).alias("value"))
 
 
 _MISSED = [("NoSource", n, i) for i, n in ((1, 3), (4, 5), (12, 2), (15, 2))] + [("SourceNeverSeen", 1, 13), ("AlreadyTaken", 1, 15)]
@@ -533,7 +533,7 @@ _MISSED = [("NoSource", n, i) for i, n in ((1, 3), (4, 5), (12, 2), (15, 2))] +
 def ledger_misses(spark, sf_dir):
     from .quality import miss_causes
 
-    return miss_causes(_played_accounts(spark, sf_dir))
+    return miss_causes(_played_accounts(spark, sf_dir, "miss"))
 
 
 _N = "replace(n_name, '_', ' ')"

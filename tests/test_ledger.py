@@ -221,3 +221,34 @@ def test_a_pass_gets_lists_as_text_and_nothing_that_is_for_the_order_alone(spark
     assert [r.told for r in found.where("k = '0'").collect()] == [told for k, told in want if k == "0"]
     assert [r.us for r in found.selectExpr("unix_micros(ts) AS us").orderBy("us").collect()] == list(range(1, 8))
     assert "array<" not in found._jdf.queryExecution().analyzed().children().head().schema().catalogString()
+
+
+def test_a_pass_writes_rows_in_pieces(spark, monkeypatch):
+    """What many small accounts leave is not gathered over a batch of entries."""
+    import pyarrow as pa
+
+    from stowline.operators import folds
+
+    class Ends:
+        def step(self, e):
+            self.k = e.k
+            return []
+
+        def end(self):
+            return [(self.k, i) for i in range(3)]
+
+    rows = spark.createDataFrame([], "k long, o long")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: run)
+    run = folds.fold(rows, ["k"], ["o"], Ends, "k long, i int", ["k"])
+    out = list(run(iter([pa.record_batch([pa.array(range(10_000))], names=["k"])])))
+    assert [(r["k"], r["i"]) for b in out for r in b.to_pylist()] == [(k, i) for k in range(10_000) for i in range(3)]
+    assert max(b.num_rows for b in out) < folds.PIECE + 3
+
+
+def test_rows_of_some_kinds_are_those_of_all(spark):
+    entries = frame(spark, random_timeline())
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    every = rows(ledger(entries))
+    assert {r[1] for r in every} == {"holding", "miss", "check", "reset", "stat", "parent"}
+    for kinds in (["holding"], ["miss", "check", "reset"], ["stat"], ["parent", "stat"]):
+        assert rows(ledger(entries, kinds)) == [r for r in every if r[1] in kinds]
