@@ -181,7 +181,7 @@ def events(lines: DataFrame) -> DataFrame:
     )
     return df.select(
         "session_id", "line_offset", "ts", "event_kind",
-        F.when(moved | added | k.isin("MoveCompleted", "EntitySpawned"), get(1)).cast("int").alias("request_no"),
+        F.when(moved | added | k.isin("MoveCompleted", "EntitySpawned"), get(1)).cast("long").alias("request_no"),
         F.when(moved | added, get(2)).alias("move_type"),
         F.when(moved, get(3)).alias("player"), F.when(moved, get(4)).alias("player_id"),
         F.when(moved, q_class).when(k == "MoveRequested", get(5)).when(k.isin("EntitySpawned", "VehicleFlown"), split["class_name"]).when(k == "ItemStored", get(2)).when(k == "AttachmentSeen", get(1)).when((k == "ContainerIdentified") & locker, get(1)).when(k == "ContainerIdentified", split["class_name"]).alias("item_class"),
@@ -204,4 +204,4 @@ def events(lines: DataFrame) -> DataFrame:
 def request_shapes(lines: DataFrame) -> DataFrame:
     """Request lines by their body alone: what the capture rate is measured against."""
     df = split_lines(lines).where(F.col("rest").rlike(REQUEST_SHAPE))
-    return df.select("session_id", "line_offset", "ts", F.regexp_extract("rest", REQUEST_SHAPE, 2).cast("int").alias("request_no"), F.regexp_extract("rest", REQUEST_SHAPE, 3).alias("move_type"), (F.lower(group("rest", REQUEST_SHAPE, 1)) == "new").alias("is_add"), F.col("rest").rlike(r"(?i)ItemClass\[(|null|none)\] ").alias("blank"))
+    return df.select("session_id", "line_offset", "ts", F.regexp_extract("rest", REQUEST_SHAPE, 2).cast("long").alias("request_no"), F.regexp_extract("rest", REQUEST_SHAPE, 3).alias("move_type"), (F.lower(group("rest", REQUEST_SHAPE, 1)) == "new").alias("is_add"), F.col("rest").rlike(r"(?i)ItemClass\[(|null|none)\] ").alias("blank"))

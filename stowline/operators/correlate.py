@@ -20,7 +20,7 @@ COMPLETION_S, SPAWN_S, NAME_S, ARRIVAL_S, ASSET_S = 120, 60, 30, 10, 300
 _COMPLETION, _SPAWN = COMPLETION_S * 1_000_000, SPAWN_S * 1_000_000
 
 PAIRED = (
-    "session_id long, line_offset long, item_ix int, patch string, at_offset long, request_no int, ts timestamp, player string, player_id string, move_type string, item_class string, "
+    "session_id long, line_offset long, item_ix int, patch string, at_offset long, request_no long, ts timestamp, player string, player_id string, move_type string, item_class string, "
     "item_geid string, amount int, src_raw string, src_kind string, src_key string, tgt_raw string, tgt_kind string, tgt_key string, caller string, action string, result string"
 )
 #: Rows that are no moves: what a patch says of one, a disconnect, and that a session has no more lines.
@@ -33,11 +33,11 @@ PAIRING_KINDS = ["MoveRequested", "MoveBatchRequested", "ItemMoved", "EntitySpaw
 
 
 def pairing_rows(events: DataFrame) -> DataFrame:
-    """What the pass reads of the events, in plain columns; times in microseconds."""
+    """What the pass reads of the events, in plain columns; times in microseconds, number 0 where a kind has none (pandas would make all of them floats)."""
     end = lambda side: [F.col(f"{side}.{x}").alias(f"{short}_{x}") for short in [{"source": "src", "target": "tgt"}[side]] for x in ("kind", "key", "raw", "sub_id")]
     place = F.when(F.col("location_id") != "0", F.col("location_id")).when(F.col("landing_id") != "0", F.col("landing_id"))
     return events.where(F.col("event_kind").isin(*PAIRING_KINDS)).select(
-        "session_id", "line_offset", "ts", F.unix_micros("ts").alias("us"), "event_kind", "request_no", "move_type", "player", "player_id", "item_class", "item_geid", "amount", *end("source"), *end("target"), "caller", "action", "classes", "result", place.alias("place"),
+        "session_id", "line_offset", "ts", F.unix_micros("ts").alias("us"), "event_kind", F.coalesce("request_no", F.lit(0)).alias("request_no"), "move_type", "player", "player_id", "item_class", "item_geid", "amount", *end("source"), *end("target"), "caller", "action", "classes", "result", place.alias("place"),
     )
 
 

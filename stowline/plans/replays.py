@@ -109,7 +109,7 @@ def parse_shapes(spark, sf_dir):
         hit = F.col("event_id") % len(SHAPES) == i
         out = F.when(hit, log_line(at, tag, body)) if out is None else out.when(hit, log_line(at, tag, body))
     lines = events(spark, sf_dir).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("line_offset"), out.alias("line"))
-    e = parse(lines).withColumns({"event_id": F.col("line_offset"), "src_kind": F.col("source.kind"), "src_key": F.col("source.key"), "tgt_kind": F.col("target.kind"), "tgt_key": F.col("target.key"), "n_classes": F.when(F.col("classes").isNotNull(), F.size("classes")), "capacity": F.col("target_capacity")})
+    e = parse(lines).withColumns({"event_id": F.col("line_offset"), "request_no": F.col("request_no").cast("int"), "src_kind": F.col("source.kind"), "src_key": F.col("source.key"), "tgt_kind": F.col("target.kind"), "tgt_key": F.col("target.key"), "n_classes": F.when(F.col("classes").isNotNull(), F.size("classes")), "capacity": F.col("target_capacity")})
     return e.select("event_id", *_OUT)
 
 
@@ -138,7 +138,7 @@ def pair_reused(spark, sf_dir):
         .otherwise(log_line(at, "Channel Disconnected", 'cause=1 reason="x"'))
     )
     lines = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("line_offset"), line.alias("line"))
-    return moves(parse(lines)).select("session_id", "line_offset", "request_no", "result")
+    return moves(parse(lines)).select("session_id", "line_offset", F.col("request_no").cast("int").alias("request_no"), "result")
 
 
 _Q = lambda n, **v: (_QUEUED, queued(str(n), v.get("kind", "Move"), v.get("src", "9:Location:5"), v.get("tgt", _BOX), "part_{{k}}"))

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SCHEMA_VERSION, PARSER_VERSION = 18, 9
+SCHEMA_VERSION, PARSER_VERSION = 19, 9
 DIMENSIONS = ("wiki_item", "wiki_vehicle", "wiki_location", "place_name")
 
 

@@ -19,7 +19,7 @@ from ..operators.folds import plain
 from ..sources.tail import TailSource
 
 _NAMES = [c.strip().split()[0] for c in PAIRED.split(",")]
-_END = "LogFinished"
+_NUMBER, _END = _NAMES.index("request_no"), "LogFinished"
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,14 +36,17 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             seen = e.line_offset
             out += held.step(e)
     state.update((pickle.dumps((held, seen)),))
-    yield pd.DataFrame(out, columns=_NAMES)
+    made = pd.DataFrame(out, columns=_NAMES)
+    # Patches have no number: the column would be floats, which don't hold all numbers.
+    made["request_no"] = pd.Series([row[_NUMBER] for row in out], dtype=object)
+    yield made
 
 
 def paired_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the pairing pass for the logs of a folder, as they grow."""
     spark.dataSource.register(TailSource)
     lines = spark.readStream.format("gamelog").load(folder).withColumn("session_id", F.xxhash64("file", "begun"))
-    ends = lines.where("line IS NULL").select("session_id", "line_offset", F.lit(_END).alias("event_kind"))
+    ends = lines.where("line IS NULL").select("session_id", "line_offset", F.lit(_END).alias("event_kind"), F.lit(0).cast("long").alias("request_no"))
     rows = pairing_rows(parse(lines.where("line IS NOT NULL"))).unionByName(ends, allowMissingColumns=True)
     return rows.groupBy("session_id").applyInPandasWithState(_step, PAIRED, "held binary", "append", GroupStateTimeout.NoTimeout)
 

@@ -43,3 +43,17 @@ def test_ages_count_fractions_of_a_second(spark, tmp_path):
     con.sql(f"COPY (SELECT row_number() OVER () AS event_id, cast(t AS TIMESTAMP) AS ts, cast(1 AS BIGINT) AS user_id, 'view' AS event_type, 1.0 AS value, {props} AS props FROM (VALUES {times}) v(t)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert rows(replays.QUERIES["holding_scores"](spark, str(tmp_path)).toPandas()) == rows(con.sql(replays.SQL["holding_scores"]).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the generated tables")
+@pytest.mark.parametrize("name", ["correlate_fold"])
+def test_request_numbers_beyond_32_bits(spark, tmp_path, name):
+    """Orders of a table so large that the lines' request numbers need more than 32 bits; SQL's own INTEGER can't hold them."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (l_orderkey + 53850000 * (l_orderkey % 2) AS l_orderkey) FROM '{DATA}/lineitem.parquet' WHERE l_orderkey < 50) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got, want = analogs.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(analogs.SQL[name].replace("AS INTEGER) AS request_no", "AS BIGINT) AS request_no")).df()
+    assert want["line_offset"].max() > 2**32
+    assert rows(got) == rows(want)

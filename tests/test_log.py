@@ -120,6 +120,14 @@ def test_queued_interleaved_is_no_restart(spark):
     assert [(r[1], r[2], r[5]) for r in results(spark, lines)] == [("b", "700000000009", "succeed"), ("a", None, "succeed")]
 
 
+def test_request_numbers_have_64_bits(spark):
+    n = 2**53 + 1
+    lines = [place(at(0), 5001), class_move(at(0), n, "ammo", 1, "9:Location:1", "7:Container:0"), class_move(at(0), n + 1, "gun", 1, "9:Location:1", "7:Container:0"), spawn(at(0, 9), n, "ammo", 700000000009), done(at(1), n), add(at(2), 2**31, "cup", "9:Location:1", "7:Container:0", "Drop"), done(at(3), n + 1)]
+    assert [(r[1], r[2], r[5]) for r in results(spark, lines)] == [("ammo", "700000000009", "succeed"), ("gun", None, None), ("cup", None, None)]
+    assert [r["request_no"] for r in events(frame(spark, lines)).orderBy("line_offset").collect()] == [None, n, n + 1, n, n, 2**31, n + 1]
+    assert {r["request_no"] for r in request_shapes(frame(spark, lines)).collect()} == {n, n + 1, 2**31}
+
+
 def test_dimensions(spark):
     lines = [
         place(at(0), 5001, 77), line(at(0, 10), "RequestLocationInventory", "x Location[Stanton3_Area18]"), place(at(1), 5002), line(at(2), "RequestLocationInventory", "x Location[Late]"),

@@ -36,6 +36,16 @@ def test_pieces_equal_one_pass(spark, tmp_path):
     assert rows(live) == rows(cold) and len(rows(cold)) == 3
 
 
+def test_numbers_of_64_bits_stay_exact_beside_lines_without_one(spark, tmp_path):
+    n, logs, out = 2**53 + 1, tmp_path / "logs", str(tmp_path / "out")
+    logs.mkdir()
+    ends = ("9001:Location:5001", "7:Container:0")
+    lines = [place(at(0), 5001), class_move(at(0), n, "ammo", 1, *ends), class_move(at(0), n + 1, "gun", 1, *ends), done(at(0, 9), n)]
+    (logs / "Game.log").write_text("\n".join(lines) + "\n")
+    follow(spark, str(logs), out).awaitTermination()
+    assert {(r["request_no"], r["item_class"], r["result"]) for r in followed_moves(spark, out).collect()} == {(n, "ammo", "succeed"), (n + 1, "gun", None)}
+
+
 def test_a_rotated_log_goes_on_and_loses_what_no_line_answered(spark, tmp_path):
     """The live log is renamed when the next one begins: its session goes on, ends, and agrees with a batch over the folder."""
     logs, out = tmp_path / "logs", str(tmp_path / "out")
