@@ -432,6 +432,7 @@ ITEMS = "(SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_order
 
 @query(f"SELECT l_orderkey % 64 AS session_id, {OFFSET} AS line_offset, cast({OFFSET} AS INTEGER) AS request_no, concat('part_', l_partkey) AS item_class, cast(l_quantity AS INTEGER) AS amount, cast(l_suppkey AS VARCHAR) AS source_key, cast(l_orderkey AS VARCHAR) AS target_key FROM {ITEMS}")
 def parse_moves(spark, sf_dir):
+    """Moves of the lines. Numbers have 64 bits; SQL's have 32 and end it with an error from order 21,474,836 on."""
     from ..functions.events import events as parse
 
     e = parse(_lines(spark, sf_dir)).where("event_kind = 'ItemMoved'")

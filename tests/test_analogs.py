@@ -46,7 +46,7 @@ def test_ages_count_fractions_of_a_second(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the generated tables")
-@pytest.mark.parametrize("name", ["correlate_fold"])
+@pytest.mark.parametrize("name", ["correlate_fold", "parse_moves"])
 def test_request_numbers_beyond_32_bits(spark, tmp_path, name):
     """Orders of a table so large that the lines' request numbers need more than 32 bits; SQL's own INTEGER can't hold them."""
     import duckdb
