@@ -8,11 +8,14 @@ A place is (kind, key). A slot, for a place and a class, has named entities, new
 one provenance, with the date and manner of the newest arrival over all of them. Slots that become empty stay: that
 a class was once there tells two kinds of miss apart. Places are searched in the order in which they were first
 used, carried containers by geid.
+
+Only unnamed units, the body and containers tie entities to each other. Where a large account's epoch has none of them, its
+entries come entity by entity, and the state is one entity's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_apparel, is_body_port, is_character_port, is_part_port
 from .folds import fold
@@ -23,6 +26,8 @@ BODY, LOST = ("Equipped", ""), ("LostTrack", "")
 DEPTH, LISTING_S = 6, 30
 #: Entries of an account from which on its resets are broadcast; of n entries in all, at most n / MANY accounts are so large.
 MANY = 200_000
+#: How an epoch whose entities stand apart ends.
+WIPED, OPEN = "wiped", "open"
 
 ROWS = (
     "account string, row_kind string, geid string, item_class string, quantity int, kind string, key string, since timestamp, arrived_by string, confirmed boolean, inferred boolean, "
@@ -32,7 +37,7 @@ _NAMES = [c.strip().split()[0] for c in ROWS.split(",")]
 #: What the pass itself gives; part parents are told by the entries.
 KINDS = frozenset(["holding", "miss", "check", "reset", "stat"])
 #: What the pass looks at; the other columns are for the order.
-_READS = ["account", "entry", "ts", "move_type", "item_class", "item_geid", "amount", "src_kind", "src_key", "tgt_kind", "tgt_key", "action", "result", "port", "is_part", "body_port", "parent_geid", "geids", "classes", "build"]
+_READS = ["account", "entry", "ts", "move_type", "item_class", "item_geid", "amount", "src_kind", "src_key", "tgt_kind", "tgt_key", "action", "result", "port", "is_part", "body_port", "parent_geid", "geids", "classes", "build", "apart"]
 
 
 class Slot:
@@ -70,6 +75,8 @@ class Account:
     """One account's state, which gives rows of the kinds that are wanted."""
 
     kinds = KINDS
+    #: Units that were let go before the reset that takes them.
+    left = 0
 
     def __init__(self, kinds: frozenset[str] = KINDS):
         if kinds != KINDS:
@@ -94,6 +101,17 @@ class Account:
         return getattr(self, f"_{e.entry}")(e) or []
 
     def end(self) -> list[tuple]:
+        return self._holdings() + [self._row("stat", detail=k, quantity=n) for k, n in sorted(self.stats.items()) if "stat" in self.kinds]
+
+    def leave(self, wiped: bool) -> list[tuple]:
+        """Let go of all that is held, of which no later entry speaks; what a reset will take is only counted."""
+        rows = [] if wiped else self._holdings()
+        if wiped:
+            self.left += self._units()
+        self._clear()
+        return rows
+
+    def _holdings(self) -> list[tuple]:
         rows = []
         for (kind, key), classes in self.places.items() if "holding" in self.kinds else ():
             for name, slot in classes.items():
@@ -101,7 +119,14 @@ class Account:
                     rows.append(self._row("holding", geid=i["geid"], item_class=name, quantity=1, kind=kind, key=key, since=i["since"], arrived_by=i["by"], confirmed=i["confirmed"], inferred=i["inferred"], duplicate_risk=False, ambiguous=i["ambiguous"], carried=i["geid"] in self.carried, part_parent=i["geid"] in self.parents))
                 for g in slot.groups:
                     rows.append(self._row("holding", item_class=name, quantity=g["n"], kind=kind, key=key, since=g["since"], arrived_by=g["by"], confirmed=g["confirmed"], inferred=g["inferred"], duplicate_risk=g["risk"], ambiguous=False, carried=False, part_parent=False))
-        return rows + [self._row("stat", detail=k, quantity=n) for k, n in sorted(self.stats.items()) if "stat" in self.kinds]
+        return rows
+
+    def _units(self) -> int:
+        return sum(s.units() for c in self.places.values() for s in c.values())
+
+    def _clear(self) -> None:
+        for held in (self.places, self.places_of, self.at, self.carried, self.settled, self.port_of, self.occupant, self.out, self.into):
+            held.clear()
 
     def _row(self, row_kind: str, **values) -> tuple:
         values |= {"account": self.account, "row_kind": row_kind}
@@ -337,13 +362,29 @@ class Account:
                 self._count("used_up" if slot.by == "Carry" else "evicted", n)
 
     def _reset(self, e) -> list[tuple]:
-        n = sum(s.units() for c in self.places.values() for s in c.values())
-        for held in (self.places, self.places_of, self.at, self.carried, self.settled, self.port_of, self.occupant, self.out, self.into):
-            held.clear()
+        n, self.left = self.left + self._units(), 0
+        self._clear()
         self._count("wiped", n)
         return [self._row("reset", at=e.ts, quantity=n, detail=str(int(e.build)))] if "reset" in self.kinds else []
 
 
+class Epoch:
+    """An account between two resets. Entities that stand apart come one after another; of each only its own state is held."""
+
+    def __init__(self, kinds: frozenset[str] = KINDS):
+        self.account, self.geid = Account(kinds), None
+
+    def step(self, e) -> list[tuple]:
+        if e.apart is None or e.item_geid == self.geid:
+            return self.account.step(e)
+        rows = [] if self.geid is None else self.account.leave(e.apart == WIPED)
+        self.geid = e.item_geid
+        return rows + self.account.step(e)
+
+    def end(self) -> list[tuple]:
+        return self.account.end()
+
+
 def listings(seen: DataFrame) -> DataFrame:
     """A body listing for each sighting of the body: what its session shows from there on, for half a minute.
 
@@ -385,32 +426,50 @@ def timeline(moves: DataFrame, seen: DataFrame, resets: DataFrame, containers: D
     )
 
 
-def epochs(entries: DataFrame, many: int = MANY) -> DataFrame:
+def stands_apart(kinds: frozenset[str]) -> Column:
+    """Whether an entry speaks of one named entity alone, or is a reset. A check follows containers, which are entities too."""
+    in_box = F.coalesce(F.col("src_kind") == "Container", F.lit(False)) | F.coalesce(F.col("tgt_kind") == "Container", F.lit(False))
+    alone = (F.col("entry") == "move") & F.col("item_geid").isNotNull()
+    return (F.col("entry") == "reset") | (alone & ~in_box if "check" in kinds else alone)
+
+
+def epochs(entries: DataFrame, many: int = MANY, apart: Column | None = None) -> DataFrame:
     """Entries with ``epoch``, the number of the account's resets before them, and what each epoch must know of those before.
 
     A reset empties all places, so that an account falls into stretches that share nothing but two sets: what can be worn,
     and what has been the parent of parts. Of these an epoch gets what its own entries speak of. A reset closes its epoch. Resets
     of an account are as few as the game's updates: their times are one array, no order of entries is needed. Accounts of many
     entries get it by broadcast, so that no task reads an account whole before it is dealt out by epochs.
+
+    With ``apart``, what an entry must be so that entities share nothing (``stands_apart``), the entries have a column of that name: of
+    accounts of many entries, in the epochs whose entries all are so, it says how the epoch ends.
     """
-    accounts = entries.where("entry <> 'wearable'").groupBy("account").agg(F.collect_list(F.when(F.col("entry") == "reset", F.col("ts"))).alias("wiped"), F.count("*").alias("n"))
-    hot, rest = F.broadcast(accounts.where(F.col("n") > many).drop("n")), accounts.where((F.col("n") <= many) & (F.size("wiped") > 0)).drop("n")
+    worn = F.coalesce((F.col("entry") == "worn") & F.col("is_part") & F.col("parent_geid").isNotNull(), F.lit(False))
+    accounts = entries.groupBy("account").agg(F.collect_list(F.when(F.col("entry") == "reset", F.col("ts"))).alias("wiped"), F.count_if(F.col("entry") != "wearable").alias("n"), F.bool_or((F.col("entry") == "wearable") | worn).alias("marked"))
+    hot, rest = accounts.where(F.col("n") > many).drop("n"), accounts.where((F.col("n") <= many) & (F.size("wiped") > 0)).drop("n")
     # Its place among the sorted resets, those of its own instant included unless it is one.
     at = F.when(F.col("entry") == "reset", F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 MICROSECOND"))
     before = F.coalesce(F.array_position(F.sort_array(F.array_append("wiped", at)), at) - 1, F.lit(0))
     told, wear = entries.where("entry <> 'wearable'"), entries.where("entry = 'wearable'")
-    numbered = lambda how: told.join(hot, "account").unionByName(told.join(hot, "account", "left_anti").join(rest, "account", how)).withColumn("epoch", before).drop("wiped")
-    dealt = numbered("left")
+    large = lambda some: told.join(F.broadcast(some), "account").withColumn("epoch", before)
+    small = lambda some, how: told.join(F.broadcast(hot), "account", "left_anti").join(some, "account", how).withColumn("epoch", before)
+    of_large = large(hot)
+    if apart is not None:
+        # As few rows as those accounts have resets.
+        all_apart = of_large.groupBy("account", "epoch").agg(F.bool_and(apart).alias("all_apart"))
+        ends = F.when(F.col("all_apart"), F.when(F.col("epoch") < F.size("wiped"), WIPED).otherwise(OPEN))
+        of_large = of_large.join(F.broadcast(all_apart), ["account", "epoch"]).withColumn("apart", ends).drop("all_apart")
+    dealt = of_large.unionByName(small(rest, "left"), allowMissingColumns=True).drop("wiped", "marked")
     spoken = F.array_compact(F.array(F.when(F.col("src_kind") == "Container", F.col("src_key")), F.when(F.col("tgt_kind") == "Container", F.col("tgt_key")), "parent_geid", "item_geid"))
-    # The first epoch has all there is to wear; its parents are its own.
-    later = numbered("inner").where("epoch > 0").select("account", "epoch", F.explode(spoken).alias("item_geid")).distinct()
+    # The first epoch has all there is to wear; its parents are its own. Most large accounts have neither.
+    later = large(hot.where("marked")).unionByName(small(rest.where("marked"), "inner")).where("epoch > 0").select("account", "epoch", F.explode(spoken).alias("item_geid")).distinct()
     known = wear.withColumn("epoch", F.lit(0)).unionByName(wear.join(later, ["account", "item_geid"]))
     parents = dealt.where("entry = 'worn' AND is_part AND parent_geid IS NOT NULL").groupBy("account", F.col("parent_geid").alias("item_geid")).agg(F.min("epoch").alias("first"))
     carried = parents.join(later, ["account", "item_geid"]).where("epoch > first").select("account", "epoch", "item_geid", F.lit("parent").alias("entry"), F.lit(0).alias("rank"), F.lit(0).cast("timestamp").alias("ts"))
-    return dealt.unionByName(known).unionByName(carried, allowMissingColumns=True)
+    return dealt.unionByName(known, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
 
 
-def ledger(entries: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def ledger(entries: DataFrame, kinds: list[str] | None = None, many: int = MANY) -> DataFrame:
     """Rows of every account: holdings, part parents, misses, placement checks, resets, counters (``row_kind``).
 
     An account runs in as many tasks as it has epochs. Each has its own counters, which ``counters`` adds up. The entries are
@@ -418,7 +477,9 @@ def ledger(entries: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     other rows are not written.
     """
     wanted = KINDS if kinds is None else KINDS & set(kinds)
-    rows = fold(epochs(entries), ["account", "epoch"], ["ts", "rank", "seq", "sub", "item_geid"], lambda: Account(wanted), ROWS, _READS)
+    dealt = epochs(entries, many, stands_apart(wanted))
+    dealt = dealt.withColumns({"by": F.when(F.col("apart").isNotNull(), F.col("item_geid")), "last": F.col("apart").isNotNull() & (F.col("entry") == "reset")})
+    rows = fold(dealt, ["account", "epoch"], ["last", "by", "ts", "rank", "seq", "sub", "item_geid"], lambda: Epoch(wanted), ROWS, _READS)
     if kinds is not None and "parent" not in kinds:
         return rows
     parents = entries.where("entry = 'worn' AND is_part AND parent_geid IS NOT NULL").select("account", F.lit("parent").alias("row_kind"), F.col("parent_geid").alias("geid")).distinct()

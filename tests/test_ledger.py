@@ -252,3 +252,67 @@ def test_rows_of_some_kinds_are_those_of_all(spark):
     assert {r[1] for r in every} == {"holding", "miss", "check", "reset", "stat", "parent"}
     for kinds in (["holding"], ["miss", "check", "reset"], ["stat"], ["parent", "stat"]):
         assert rows(ledger(entries, kinds)) == [r for r in every if r[1] in kinds]
+
+
+def named_timeline():
+    """Moves of named entities alone, many at one instant, between resets; account n also has a sighting and an unnamed move in two of its epochs."""
+    rng = random.Random(5)
+    rank, places = {"reset": 1, "move": 2, "worn": 3}, [STATION, ("Location", "2"), ("World", "w"), ("Invalid", ""), BODY]
+    rows = []
+    for who in "mnob":
+        for i in range(300):
+            boxes = [("Container", f"g{k}") for k in range(3)] if who == "b" else []
+            src, tgt = rng.choice(places + boxes), rng.choice(places + boxes)
+            rows.append({"account": who, "entry": "move", "ts": START + timedelta(minutes=i // 3), "seq": rng.randrange(9), "sub": 0, "src_kind": src[0], "src_key": src[1], "tgt_kind": tgt[0], "tgt_key": tgt[1], "item_geid": f"g{rng.randrange(12)}", "item_class": rng.choice("cd"), "amount": 1, "move_type": "Move", "action": rng.choice([None, "Carry"]), "result": rng.choice(["succeed", "failed", "lost", None])})
+        rows += [{"account": who, "entry": "reset", "ts": START + timedelta(minutes=m), "seq": 0, "build": 7} for m in ((20, 45, 70) if who != "o" else ())]
+    rows.append({"account": "n", "entry": "worn", "ts": START + timedelta(minutes=30), "seq": 99, "item_geid": "g1", "item_class": "c", "port": "optics_attach", "is_part": True, "body_port": False, "parent_geid": "g2"})
+    rows.append(next(r for r in rows if r["account"] == "n" and r["ts"] > START + timedelta(minutes=80) and r["tgt_kind"] == "Location") | {"item_geid": None, "seq": 98, "result": "succeed"})
+    return [dict.fromkeys(COLUMNS) | r | {"rank": rank[r["entry"]], "seq": n if r["entry"] == "move" else 1000} for n, r in enumerate(rows)]
+
+
+def test_entities_that_stand_apart_equal_one_serial_pass(spark):
+    from stowline.operators.ledger import KINDS, epochs, stands_apart
+
+    rows = named_timeline()
+    want = []
+    for who in "mnob":
+        a = Account()
+        for r in sorted((r for r in rows if r["account"] == who), key=lambda r: (r["ts"], r["rank"], r["seq"])):
+            want += a.step(SimpleNamespace(**r))
+        want += a.end() + [a._row("parent", geid=p) for p in a.parents]
+    entries = frame(spark, rows)
+    text = lambda found: sorted((tuple(r) for r in found), key=str)
+    for many in (0, 10_000):
+        for kinds in (None, ["holding", "miss", "reset", "stat"], ["check"]):
+            found, asked = ledger(entries, kinds, many), {r[1] for r in want} if kinds is None else set(kinds)
+            assert text(found.where("row_kind <> 'stat'").collect()) == text(r for r in want if r[1] in asked and r[1] != "stat")
+            if "stat" in asked:
+                assert {tuple(r) for r in counters(found).collect()} == {(r[0], r[_NAMES.index("detail")], r[_NAMES.index("quantity")]) for r in want if r[1] == "stat"}
+    assert {r[1] for r in want} == {"holding", "miss", "reset", "stat", "check", "parent"}
+    ends = lambda kinds: {(r.account, r.epoch): r.apart for r in epochs(entries, 0, stands_apart(frozenset(kinds))).where("entry = 'move'").collect()}
+    found = ends(["holding", "reset"])
+    assert [found["m", k] for k in range(4)] == [found["b", k] for k in range(4)] == ["wiped", "wiped", "wiped", "open"] and found["o", 0] == "open"
+    assert [found["n", k] for k in range(4)] == ["wiped", None, "wiped", None]
+    assert {v for (who, _), v in ends(KINDS).items() if who == "b"} == {None}
+
+
+def test_of_entities_that_stand_apart_one_is_held():
+    from stowline.operators.ledger import OPEN, WIPED, Epoch
+
+    for end in (WIPED, OPEN):
+        e, rows = Epoch(), []
+        for i in range(500):
+            for minute in (i, i + 1):
+                m = move(minute, "hat", INVALID, STATION, f"g{i}", kind="Store")
+                m.apart = end
+                rows += e.step(m)
+                assert len(e.account.at) == sum(len(s.named) for c in e.account.places.values() for s in c.values()) == 1
+        if end == WIPED:
+            r = entry(600, "reset", build=5)
+            r.apart = end
+            rows += e.step(r)
+        rows = [dict(zip(_NAMES, r, strict=True)) for r in rows + e.end()]
+        kinds = [r["row_kind"] for r in rows]
+        assert (kinds.count("holding"), kinds.count("reset")) == ((0, 1) if end == WIPED else (500, 0))
+        assert [r["quantity"] for r in rows if r["row_kind"] == "reset" or r["detail"] == "wiped"] == ([500, 500] if end == WIPED else [])
+        assert next(r["quantity"] for r in rows if r["detail"] == "named_moves") == 1000
