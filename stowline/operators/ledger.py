@@ -447,24 +447,26 @@ def epochs(entries: DataFrame, many: int = MANY, apart: Column | None = None) ->
     worn = F.coalesce((F.col("entry") == "worn") & F.col("is_part") & F.col("parent_geid").isNotNull(), F.lit(False))
     accounts = entries.groupBy("account").agg(F.collect_list(F.when(F.col("entry") == "reset", F.col("ts"))).alias("wiped"), F.count_if(F.col("entry") != "wearable").alias("n"), F.bool_or((F.col("entry") == "wearable") | worn).alias("marked"))
     hot, rest = accounts.where(F.col("n") > many).drop("n"), accounts.where((F.col("n") <= many) & (F.size("wiped") > 0)).drop("n")
-    # Its place among the sorted resets, those of its own instant included unless it is one.
-    at = F.when(F.col("entry") == "reset", F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 MICROSECOND"))
-    before = F.coalesce(F.array_position(F.sort_array(F.array_append("wiped", at)), at) - 1, F.lit(0))
-    told, wear = entries.where("entry <> 'wearable'"), entries.where("entry = 'wearable'")
-    large = lambda some: told.join(F.broadcast(some), "account").withColumn("epoch", before)
-    small = lambda some, how: told.join(F.broadcast(hot), "account", "left_anti").join(some, "account", how).withColumn("epoch", before)
-    of_large = large(hot)
+    # Those of its own instant included unless it is one. Counted, as sorting them for each entry takes several times as long.
+    up_to = F.when(F.col("entry") == "reset", F.col("ts") - F.expr("INTERVAL 1 MICROSECOND")).otherwise(F.col("ts"))
+    before = F.coalesce(F.array_size(F.filter("wiped", lambda x: x <= F.col("up_to"))).cast("long"), F.lit(0))
+    told, wear = entries.where("entry <> 'wearable'").withColumn("up_to", up_to), entries.where("entry = 'wearable'")
+    large = lambda some: told.join(F.broadcast(some), "account").withColumn("epoch", before).drop("up_to")
+    small = lambda some, how: told.join(F.broadcast(hot), "account", "left_anti").join(some, "account", how).withColumn("epoch", before).drop("up_to")
+    of_large, of_small = large(hot), small(rest, "left")
+    numbered = of_large.unionByName(of_small)
+    dealt = numbered
     if apart is not None:
         # As few rows as those accounts have resets.
         all_apart = of_large.groupBy("account", "epoch").agg(F.bool_and(apart).alias("all_apart"))
         ends = F.when(F.col("all_apart"), F.when(F.col("epoch") < F.size("wiped"), WIPED).otherwise(OPEN))
-        of_large = of_large.join(F.broadcast(all_apart), ["account", "epoch"]).withColumn("apart", ends).drop("all_apart")
-    dealt = of_large.unionByName(small(rest, "left"), allowMissingColumns=True).drop("wiped", "marked")
+        dealt = of_large.join(F.broadcast(all_apart), ["account", "epoch"]).withColumn("apart", ends).drop("all_apart").unionByName(of_small, allowMissingColumns=True)
+    dealt = dealt.drop("wiped", "marked")
     spoken = F.array_compact(F.array(F.when(F.col("src_kind") == "Container", F.col("src_key")), F.when(F.col("tgt_kind") == "Container", F.col("tgt_key")), "parent_geid", "item_geid"))
     # The first epoch has all there is to wear; its parents are its own. Most large accounts have neither.
     later = large(hot.where("marked")).unionByName(small(rest.where("marked"), "inner")).where("epoch > 0").select("account", "epoch", F.explode(spoken).alias("item_geid")).distinct()
     known = wear.withColumn("epoch", F.lit(0)).unionByName(wear.join(later, ["account", "item_geid"]))
-    parents = dealt.where("entry = 'worn' AND is_part AND parent_geid IS NOT NULL").groupBy("account", F.col("parent_geid").alias("item_geid")).agg(F.min("epoch").alias("first"))
+    parents = numbered.where("entry = 'worn' AND is_part AND parent_geid IS NOT NULL").groupBy("account", F.col("parent_geid").alias("item_geid")).agg(F.min("epoch").alias("first"))
     carried = parents.join(later, ["account", "item_geid"]).where("epoch > first").select("account", "epoch", "item_geid", F.lit("parent").alias("entry"), F.lit(0).alias("rank"), F.lit(0).cast("timestamp").alias("ts"))
     return dealt.unionByName(known, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
 
